@@ -22,7 +22,7 @@ from cofferlake.llm.common import bounded_sample
 
 #: Fixed thresholds of the base rule and of the model.
 MIN_WORDS, MAX_REPEAT_PERCENT, KEEP_PROBABILITY = 50, 50, 0.5
-WORD_BITS, GRAM_BITS = 12, 13
+WORD_BITS, GRAM_BITS = 11, 12
 N_FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
 
 _SYMBOL = tv.byte_class(b"#*$%&|<>")
@@ -93,9 +93,9 @@ def _training_rows(batches):
                     total = count[part].sum()
                     per[i][0] = np.concatenate([per[i][0], key[part] % N_FEATURES])
                     per[i][1] = np.concatenate([per[i][1], count[part] / max(total, 1)])
-            feats += [p[0] for p in per]
-            shares += [p[1] for p in per]
-        yield pa.RecordBatch.from_arrays([ids, label, pa.array(feats, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "quality", "feature", "share"])
+            feats += [p[0].astype(np.int32) for p in per]
+            shares += [p[1].astype(np.float32) for p in per]
+        yield pa.RecordBatch.from_arrays([ids, label, pa.array(feats, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], names=["doc_id", "quality", "feature", "share"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -121,10 +121,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, ro
     return w, b
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> dict | None:
+def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -> dict | None:
     """Weights, intercept and Platt calibration; None if the labels do not hold both classes."""
     use = bounded_sample(labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "doc_id", max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_training_rows, "doc_id long, quality int, feature array<long>, share array<double>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_training_rows, "doc_id long, quality int, feature array<int>, share array<float>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if rows["quality"].nunique() < 2:
         return None
@@ -135,15 +135,14 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 3000) ->
     held = np.arange(len(rows)) % 4 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    train = ~held
-    w, b = fit_logistic(x[train], y[train], np.ones(train.sum()), 1e-4, 150)
-    check = held if held.any() else train
-    score = (x[check] @ w + b)[:, None].astype(np.float32)
-    a, c = fit_logistic(score, y[check], np.ones(check.sum()), 1e-4, 400)
+    check = held if held.any() else ~held
+    w, b = fit_logistic(x, y, (~held).astype(np.float64), 1e-4, 150)
+    score = (x @ w + b)[:, None].astype(np.float32)
+    a, c = fit_logistic(score, y, check.astype(np.float64), 1e-4, 400)
     return {"weights": w.astype(np.float64), "intercept": b, "slope": float(a[0]), "shift": c}
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -> DataFrame:
     """Per document the base counts, the calibrated probability of good quality, and the verdict."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train_quality(docs, labels, max_train))

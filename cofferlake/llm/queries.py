@@ -6,8 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cofferlake.llm.common import table
+from cofferlake.llm.minhash import near_duplicates
+from cofferlake.llm.mixing import MIXTURE_SQL, mixture
 from cofferlake.llm.quality import quality_scores
 from cofferlake.llm.toxicity import in_training, toxicity_scores
+from cofferlake.llm.warc import round_trip
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +34,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op7_toxicity": op7_toxicity, "op9_quality": op9_quality}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_mixing": op2_mixing, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL}

@@ -58,9 +58,9 @@ def _bags(batches):
             cut = np.searchsorted(doc[s] if len(s) else s, np.arange(len(offs)))
             for i in range(len(offs) - 1):
                 part = s[cut[i] : cut[i + 1]]
-                words.append(w[cut[i] : cut[i + 1]])
-                bags.append(part - part[0] if len(part) else part)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "sentences"])
+                words.append(w[cut[i] : cut[i + 1]].astype(np.int32))
+                bags.append((part - part[0] if len(part) else part).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(words, pa.list_(pa.int32())), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "sentences"])
 
 
 def _softplus(x: np.ndarray) -> np.ndarray:
@@ -113,20 +113,21 @@ def in_training(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5 != 0
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> tuple[np.ndarray, float] | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> tuple[np.ndarray, float] | None:
     labels = labels.where("toxic in (0, 1) and doc_id is not null").where(in_training("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     use = bounded_sample(labels.where("toxic = 1"), "doc_id", max_train // 2).unionByName(bounded_sample(labels.where("toxic = 0"), "doc_id", max_train - max_train // 2))
-    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_bags, "doc_id long, toxic int, words array<long>, sentences array<long>").toPandas()
+    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_bags, "doc_id long, toxic int, words array<int>, sentences array<int>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if rows["toxic"].nunique() < 2:
         return None
     counts = np.array([s[-1] + 1 if len(s) else 0 for s in rows["sentences"]])
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
     sentence = np.concatenate([s + o for s, o in zip(rows["sentences"], base, strict=True)])
-    return fit_noisy_or(np.concatenate(list(rows["words"])), sentence, np.repeat(np.arange(len(rows)), counts), rows["toxic"].to_numpy())
+    words = np.concatenate(list(rows["words"])).astype(np.int64)
+    return fit_noisy_or(words, sentence, np.repeat(np.arange(len(rows)), counts), rows["toxic"].to_numpy())
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 4000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> DataFrame:
     """doc_id, score, predicted, and ``offending``: start and end byte and score of each sentence at or above one half."""
     model = docs.sparkSession.sparkContext.broadcast(train_toxicity(docs, labels, max_train))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
