@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cofferlake.llm.common import table
 from cofferlake.llm.minhash import near_duplicates
 from cofferlake.llm.mixing import MIXTURE_SQL, mixture
+from cofferlake.llm.packing import packed_documents
+from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
 from cofferlake.llm.toxicity import in_training, toxicity_scores
 from cofferlake.llm.warc import round_trip
@@ -30,9 +32,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.coalesce(in_training("doc_id"), F.lit(True))).alias("held_out"), "score", "predicted", "offending")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_mixing": op2_mixing, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL}
