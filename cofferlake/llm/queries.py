@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cofferlake.llm.common import table
+from cofferlake.llm.hilbert_ann import nearest
 from cofferlake.llm.minhash import near_duplicates
 from cofferlake.llm.mixing import MIXTURE_SQL, mixture
 from cofferlake.llm.packing import packed_documents
 from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
+from cofferlake.llm.secrets import secret_spans
 from cofferlake.llm.toxicity import in_training, toxicity_scores
 from cofferlake.llm.warc import round_trip
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (~F.coalesce(in_training("doc_id"), F.lit(True))).alias("held_out"), "score", "predicted", "offending")
@@ -44,5 +55,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op6_hilbert": op6_hilbert, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL}
