@@ -13,6 +13,7 @@ from cofferlake.llm.packing import packed_documents
 from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
 from cofferlake.llm.secrets import secret_spans
+from cofferlake.llm.suffix_dedup import remove_repeats
 from cofferlake.llm.toxicity import in_training, toxicity_scores
 from cofferlake.llm.warc import round_trip
 
@@ -25,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
@@ -55,5 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op6_hilbert": op6_hilbert, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_suffix": op3_suffix, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op6_hilbert": op6_hilbert, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL}

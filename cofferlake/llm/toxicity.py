@@ -88,7 +88,7 @@ def fit_noisy_or(words: np.ndarray, sentence: np.ndarray, bag: np.ndarray, label
     sizes = np.maximum(np.bincount(bag, minlength=n), 1)
     b = float(np.log(max(label.mean(), 1e-3) / sizes.mean()))
     w = np.zeros(k)
-    weight = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((1 - label).sum(), 1))
+    weight = np.full(n, 1 / n)
     mom, var, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(where, weights=w[feature], minlength=m)
@@ -127,8 +127,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 3000) ->
     return fit_noisy_or(words, sentence, np.repeat(np.arange(len(rows)), counts), rows["toxic"].to_numpy())
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> DataFrame:
-    """doc_id, score, predicted, and ``offending``: start and end byte and score of each sentence at or above one half."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, score, predicted, and ``offending``: start and end byte and score of each sentence at or above one half.
+
+    ``keep`` names columns of ``docs`` to carry along (doc_id alone by default).
+    """
     model = docs.sparkSession.sparkContext.broadcast(train_toxicity(docs, labels, max_train))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -153,7 +156,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -
                     here[d].append({"start": int(start[i] - offs[d]), "end": int(end[i] - offs[d]), "score": float(p[i])})
                 found += here
             value = np.clip(np.concatenate(total) if total else np.zeros(0), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array(found, spans)], names=["doc_id", "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(value), pa.array(found, spans)], names=[*keep, "score", "offending"])
 
-    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
+    keep = keep or ["doc_id"]
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys([*keep, "text"]))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep)
+    keep = [f.name for f in docs.schema if f.name in keep]
+    out = docs.mapInArrow(score, kinds + "score double, offending array<struct<start:long,end:long,score:double>>")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
