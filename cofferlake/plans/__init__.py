@@ -1,0 +1,6 @@
+"""Registered queries over the test tables, each with its SQL."""
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from cofferlake.plans import cellar, portfolio  # noqa: F401
