@@ -7,10 +7,10 @@ concentration as for independent coordinates.
 
 Plan: one pass over the texts makes a key of each document's shingle set, and ``bands`` hashes of ``rows_per_band``
 coordinates. Documents with equal sets collapse into one node before anything else. Within a band's bucket every node
-is compared with the bucket's first node only (a star, not all pairs); after connected components, buckets that still
-hold several components compare every member outside the largest one with the members of other components. A pair in
-one component needs no comparison, so no connection is lost. Candidates are confirmed on full sets: 100 * intersection
->= percent * union. With 24 bands of 5 rows, a pair at similarity 0.85 is missed with probability 8e-7.
+is compared with the bucket's first node only (a star, not all pairs). Buckets that still hold several components are
+blocked anew by prefix filtering, and members outside the largest component of a block take turns until all were
+compared with the members of other components. A pair in one component needs no comparison, so no connection is lost. Candidates are confirmed on full sets: 100 * intersection
+>= percent * union. With 32 bands of 6 rows, a pair at similarity 0.85 is missed with probability 3e-7.
 
 Cases: null or empty text has an empty set (n_shingles 0) and is linked with nothing; fewer words than a shingle give
 one shingle of the whole sequence; repeated rows share a node; rows with a null ``doc_id`` are never linked, have a
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofferlake.llm import textvec as tv
@@ -151,48 +151,108 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
     return labels.select("node", "label")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) whose full sets are similar enough; sets are made anew for the nodes named."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes, "node").select("node", F.col("rep").alias("doc_id"), "set_key")
+def _sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the named nodes, made anew from one document of each."""
+    wanted = nodes.select("node", F.col("rep").alias("doc_id"), "set_key")
     sets = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "set_key", "text").mapInArrow(_full_sets(width), "node long, shingles array<long>")
-    sets = materialise(sets, "sets").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return materialise(sets, "sets").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) whose full sets are similar enough."""
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return materialise(pairs.join(one, "a").join(two, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), "links")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after the components named in ``links`` (a, b) have become one each."""
+    of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    moved = connected_components(joined).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _prefix_blocks(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, size, pos): the elements that any two similar sets must share one of.
+
+    With elements by rising number of holders, a set of n only needs its first n - ceil(percent * n / 100) + 1. Passages
+    that many documents share come last in that order, so they bring nothing together. Elements with one holder are
+    counted, not joined.
+    """
+    every = sets.select("node", F.explode("shingles").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = every.join(shared, "bucket").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("holders", "bucket"))).alias("held"))
+    out = held.join(sets.select("node", F.size("shingles").cast("long").alias("size")), "node").withColumn("alone", F.col("size") - F.size("held"))
+    need = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - F.col("alone")
+    out = out.where(need > 0).select("node", "size", "alone", F.posexplode(F.slice("held", F.lit(1), need.cast("int"))).alias("at", "element"))
+    return materialise(out.select(F.col("element.bucket").alias("bucket"), "node", "size", (F.col("alone") + F.col("at")).alias("pos")), "blocks")
+
 
+def components_in_buckets(members: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, pivots: int = 16) -> DataFrame:
+    """(node, label) of all nodes that share a bucket; ``members``: bucket, first (its least node), node, size.
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 24, rows_per_band: int = 5) -> DataFrame:
-    """Per document n_shingles, component_id (least doc_id reachable over links) and kept."""
+    First every member is compared with its bucket's first node. Nodes of buckets that still hold several components
+    are then blocked anew by prefix filtering, which loses no similar pair. In rounds, a few members outside the
+    largest component of each unsettled block (four times as many each round) are compared with the members of other
+    components. It ends when each such member had its turn, so that every pair of a block is in one component or was
+    compared; groups that do merge need few comparisons.
+    """
+    labels = materialise(members.select("node", F.col("node").alias("label")).distinct(), "labels")
+    sets = _sets_of(labels.join(nodes, "node"), docs, width)
+    sizes = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
+    fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
+    ordered = [F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")]
+    pairs = members.select(F.col("first").alias("a"), "node", "size").where("a <> node").distinct().join(sizes, "a").where(fits).select(*ordered)
+    checked = materialise(pairs, "pairs")
+    links = _confirmed(checked, sets, percent)
+    if links.limit(1).count():
+        labels = _merged(labels, links)
+    mixed = members.select("bucket", "node").join(labels, "node").groupBy("bucket").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("bucket")
+    left = members.join(mixed, "bucket", "left_semi").select("node").distinct()
+    sets = materialise(sets.join(left, "node", "left_semi"), "sets")
+    blocks, used = _prefix_blocks(sets, percent), None
+    reach = (100 + percent) * F.least(F.col("size") - F.col("pos"), F.col("size_a") - F.col("pos_a")) >= percent * (F.col("size") + F.col("size_a"))
+    while True:
+        state = blocks.join(labels, "node")
+        groups = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("groups > 1")
+        open_ = materialise(state.join(groups, "bucket").select("bucket", "node", "size", "pos", "label", (F.col("label") == F.col("largest")).alias("main")), "open")
+        turn = open_.where("not main")
+        if used is not None:
+            turn = turn.join(used, ["bucket", "node"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node"), "node"))
+        turn = materialise(turn.withColumn("rank", rank).where(F.col("rank") <= pivots).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a")), "turn")
+        if not turn.limit(1).count():
+            return labels
+        done = turn.select("bucket", F.col("a").alias("node"))
+        used = done if used is None else used.unionByName(done)
+        pairs = turn.join(open_, "bucket").where((F.col("label") != F.col("label_a")) & fits & reach).select(*ordered).distinct()
+        pairs = materialise(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        checked = checked.unionByName(pairs)
+        links = _confirmed(pairs, sets, percent)
+        if links.limit(1).count():
+            labels = _merged(labels, links)
+        pivots *= 4
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows_per_band: int = 6) -> DataFrame:
+    """Per document n_shingles, component_id (least doc_id reachable over links) and kept.
+
+    The default banding fits thresholds of 85 and more; at 80, a pair just at the threshold is missed with 6e-5.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketched = materialise(docs.mapInArrow(_sketched(width, bands, rows_per_band), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "sketches")
     linkable = sketched.where("doc_id is not null and n_shingles > 0")
     nodes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bucketed = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
-    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    members = materialise(bucketed.join(shared, "bucket").select("bucket", "a", F.col("node").alias("b"), "size"), "buckets")
-    keys = nodes.select("node", "rep", "set_key")
-    sizes = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
-    fits = 100 * F.least("size", "size_a") >= percent * F.greatest("size", "size_a")
-    stars = members.where("a <> b").select("a", "b", "size").distinct().join(sizes, "a").where(fits).select("a", "b")
-    links = materialise(_confirmed(materialise(stars, "stars"), keys, docs, width, percent), "links")
-    labels = connected_components(links)
-    # Buckets that still hold several components: members outside the largest against those of other components.
-    state = members.select("bucket", F.col("b").alias("node"), "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = state.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("groups"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("groups > 1")
-    left = materialise(state.join(groups, "bucket").select("bucket", "node", "size", "label", (F.col("label") == F.col("largest")).alias("main")), "unsettled")
-    one = left.where("not main").select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("size").alias("size_a"))
-    rest = one.join(left, "bucket").where((F.col("label") != F.col("label_a")) & (F.col("main") | (F.col("a") < F.col("node"))) & fits)
-    rest = rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = materialise(rest, "rest")
-    if rest.limit(1).count():
-        more = materialise(_confirmed(rest, keys, docs, width, percent), "links")
-        if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
+    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
+    members = materialise(bucketed.join(shared, "bucket").select("bucket", "first", "node", "size"), "buckets")
+    keys = nodes.select("node", "rep", "size", "set_key")
+    labels = components_in_buckets(members, docs, keys, width, percent)
     least = labels.join(keys, "node").groupBy("label").agg(F.min("rep").alias("component"))
     linked = labels.join(least, "label").join(keys, "node").select("set_key", "component")
-    found = nodes.select("set_key", "rep").join(linked, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    found = keys.select("set_key", "rep").join(linked, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     single = sketched.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = linkable.select("doc_id", "n_shingles", "set_key").join(found, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return grouped.unionByName(single).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
