@@ -11,8 +11,9 @@ renaming and no recursion.
 
 Spark finds what has to be sorted at all. Of each string of LENGTH bytes one 16-byte anchor is chosen by least hash, so
 equal strings have equal anchors, and about every 18th position is one. (1) Tasks deal the anchors' hashes over
-buckets, packed; a bucket answers with the anchors that documents share. (2) Documents that share some emit, for each
-such anchor, the stretch of text whose strings chose it. (3) Equal stretches collapse to one with its least doc_id;
+buckets, packed; a bucket answers with the anchors that documents share. (2) Exact copies of a document with a smaller id are
+settled at once; other documents that share anchors emit, for each such anchor, a key of the stretch of text whose
+strings chose it. (3) Equal stretches collapse to one with its least doc_id;
 an anchor with a single stretch is settled; the stretches of every other anchor form a suffix array, whose neighbours
 with LENGTH common bytes give each string's least doc_id. Anchors with more than ``SPLIT`` different stretches are
 split by string instead. (4) Removed starts return to the documents.
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofferlake.llm import textvec as tv
-from cofferlake.llm.common import materialise
+from cofferlake.llm.common import materialise, release
 
 LENGTH, GRAM = 50, 16
 #: Anchors in a bucket; different stretches of one anchor that are sorted together.
 PER_BUCKET, SPLIT = 200_000, 2_000
 _SPAN = LENGTH - GRAM + 1
+#: The bits of an anchor's hash that are dealt; the rest is compared later.
+_TOP = np.uint64((1 << 64) - (1 << 16))
 _PIECE = (1 << 20) - 4 * LENGTH
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -206,7 +209,7 @@ def _dealt(buckets: int):
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
                 packed = []
                 for a, b in zip(cut, np.append(cut[1:], len(bucket))):
-                    packed.append(np.concatenate([h[a:b], doc[a:a + 1].view(np.uint64), np.diff(doc[a:b]).view(np.uint64)]).tobytes())
+                    packed.append(np.ascontiguousarray(h[a:b]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() + np.diff(doc[a:b], prepend=0).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     return run
@@ -216,10 +219,11 @@ def _shared(table: pa.Table) -> pa.Table:
     """(doc_id, h) of the anchors in a bucket that several documents hold."""
     hs, docs = [], []
     for packed in table.column("packed").to_pylist():
-        part = np.frombuffer(packed, np.uint64)
-        n = len(part) // 2
-        hs.append(part[:n])
-        docs.append(np.cumsum(part[n:].view(np.int64)))
+        n = len(packed) // 14
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, 2:] = np.frombuffer(packed, np.uint8, 6 * n).reshape(n, 6)
+        hs.append(wide.view(np.uint64).ravel())
+        docs.append(np.cumsum(np.frombuffer(packed, np.int64, n, 6 * n)))
     h, doc = np.concatenate(hs), np.concatenate(docs)
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
@@ -229,37 +233,44 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(doc[many]), pa.array(h[many].view(np.int64))], names=["doc_id", "h"])
 
 
-_STRETCH = "doc_id long, text_key long, n_bytes long, sha256 string, text binary, h long, key binary, start int, n int, stretch binary"
+_FINISHED = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+_STRETCH = {"text": pa.binary(), "h": pa.int64(), "key": pa.binary(), "start": pa.int32(), "n": pa.int32()}
+_ROWS = "doc_id long, text_key long, n_bytes long, n_removed long, kept_sha256 string, text binary, h long, key binary, start int, n int"
 
 
 def _stretches(batches):
-    """Finished rows of documents that share no anchor; else their text, and the stretches of shared anchors."""
-    names = [x.split()[0] for x in _STRETCH.split(", ")]
-    kinds = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_bytes": pa.int64(), "sha256": pa.string(), "text": pa.binary(), "h": pa.int64(), "key": pa.binary(), "start": pa.int32(), "n": pa.int32(), "stretch": pa.binary()}
+    """Finished rows of copies and of documents that share no anchor; else the text, and a key of each shared stretch."""
+    kinds = _FINISHED | _STRETCH
     for batch in batches:
-        ids, keys, shared = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("hs")
+        ids, keys, copies, shared = (batch.column(c) for c in ("doc_id", "text_key", "is_copy", "hs"))
+        ids, keys, copies = ids.to_pylist(), keys.to_pylist(), copies.to_pylist()
         for lo, hi, data, offs in tv.text_slices(batch.column("text")):
-            out = {k: [] for k in names}
-            alone = [k for k in range(lo, hi) if not shared[k].is_valid]
+            out = {k: [] for k in kinds}
+
+            def add(*values, out=out):
+                for column, value in zip(out.values(), values, strict=True):
+                    column.append(value)
+
+            open_ = []
             for k in range(lo, hi):
                 text = data[offs[k - lo] : offs[k - lo + 1]].tobytes()
-                finished = not shared[k].is_valid
-                for name, value in zip(names, (ids[k], keys[k], len(text), hashlib.sha256(text).hexdigest() if finished else None, None if finished else text, None, None, None, None, None), strict=True):
-                    out[name].append(value)
-            if len(alone) < hi - lo:
+                if copies[k] or not shared[k].is_valid:
+                    gone = copies[k] and len(text) >= LENGTH
+                    add(ids[k], keys[k], len(text), len(text) if gone else 0, hashlib.sha256(b"" if gone else text).hexdigest(), None, None, None, None, None)
+                else:
+                    add(ids[k], keys[k], len(text), None, None, text, None, None, None, None)
+                    open_.append(k)
+            if open_:
                 h, doc, start, n = anchors(data, offs)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for k in range(lo, hi):
-                    if not shared[k].is_valid:
-                        continue
+                for k in open_:
                     a, b = cut[k - lo], cut[k - lo + 1]
                     known = shared[k].values.to_numpy().view(np.uint64)
-                    for i in a + np.flatnonzero(np.isin(h[a:b], known)):
+                    for i in a + np.flatnonzero(np.isin(h[a:b] & _TOP, known)):
                         at = offs[k - lo] + start[i]
-                        stretch = data[at : at + n[i] + LENGTH - 1].tobytes()
-                        for name, value in zip(names, (ids[k], keys[k], None, None, None, int(h[i].view(np.int64)), hashlib.blake2b(stretch, digest_size=16).digest(), int(start[i]), int(n[i]), stretch), strict=True):
-                            out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], kinds[k]) for k in names], names=names)
+                        key = hashlib.blake2b(data[at : at + n[i] + LENGTH - 1].tobytes(), digest_size=16).digest()
+                        add(ids[k], keys[k], None, None, None, None, int(h[i].view(np.int64)), key, int(start[i]), int(n[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], names=list(kinds))
 
 
 def _sorted_blocks(table: pa.Table) -> pa.Table:
@@ -298,15 +309,22 @@ def remove_repeats(docs: DataFrame, per_bucket: int = PER_BUCKET, split: int = S
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, min(1 << 20, math.ceil(size / 18 / per_bucket)))
     dealt = docs.where("doc_id is not null").mapInArrow(_dealt(buckets), "bucket long, packed binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, "doc_id long, h long")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).join(shared, "doc_id", "left").select("doc_id", "text_key", "text", "hs")
-    rows = materialise(keyed.mapInArrow(_stretches, _STRETCH), "stretches")
-    stretches = rows.where("h is not null").select("doc_id", "text_key", "h", "key", "start", "n", "stretch")
-    unique = stretches.groupBy("h", "key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("stretch").alias("stretch"))
-    unique = materialise(unique, "unique")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared, "doc_id long, h long").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    digests = keyed.where("doc_id is not null").select("doc_id", "text_key", F.unhex(F.sha2("text", 256)).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    copies = digests.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_key").alias("copy_keys"))
+    known = shared.join(copies, "doc_id", "full_outer")
+    keyed = keyed.join(known, "doc_id", "left").select("doc_id", "text_key", "text", "hs", F.coalesce(F.array_contains("copy_keys", F.col("text_key")), F.lit(False)).alias("is_copy"))
+    rows = materialise(keyed.mapInArrow(_stretches, _ROWS), "stretches")
+    release(docs.sparkSession)
+    stretches = rows.where("h is not null").select("doc_id", "text_key", "h", "key", "start", "n")
+    texts = rows.where("text is not null").select("doc_id", "text_key", "n_bytes", "text")
+    unique = materialise(stretches.groupBy("h", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("at")).select("h", "key", F.col("at.doc_id").alias("first"), "at"), "unique")
     sizes = unique.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = unique.join(sizes, "h")
+    several = unique.join(sizes, "h").select("h", "key", "first", "kinds", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"), "at.start", "at.n")
+    several = several.join(texts.drop("n_bytes"), ["doc_id", "text_key"]).withColumn("stretch", F.substring("text", F.col("start") + 1, F.col("n") + LENGTH - 1)).select("h", "key", "first", "kinds", "n", "stretch")
+    several = materialise(several, "several")
     blocks = several.where(F.col("kinds") <= split).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(16 * buckets)))
     small = blocks.select("bucket", "h", "key", "first", "stretch").groupBy("bucket").applyInArrow(_sorted_blocks, "h long, key binary, least array<long>")
     strings = several.where(F.col("kinds") > split).select("h", "key", "first", F.posexplode(F.expr(f"transform(sequence(1, n), i -> substring(stretch, i, {LENGTH}))")).alias("at", "string"))
@@ -316,8 +334,9 @@ def remove_repeats(docs: DataFrame, per_bucket: int = PER_BUCKET, split: int = S
     judged = materialise(single.unionByName(small).unionByName(large), "judged")
     one = F.when(F.element_at("least", 1) < F.col("doc_id"), F.array(F.struct("start", "n"))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
     each = F.filter(F.transform("least", lambda m, j: F.struct((F.col("start") + j).alias("start"), F.when(m < F.col("doc_id"), 1).alias("n"))), lambda s: s["n"].isNotNull())
-    hits = stretches.drop("stretch").join(judged, ["h", "key"]).select("doc_id", "text_key", F.when(F.size("least") == F.col("n"), each).otherwise(one).alias("starts")).where(F.size("starts") > 0)
+    hits = stretches.join(judged, ["h", "key"]).select("doc_id", "text_key", F.when(F.size("least") == F.col("n"), each).otherwise(one).alias("starts")).where(F.size("starts") > 0)
     hits = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    finished = rows.where("sha256 is not null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
-    affected = rows.where("text is not null").select("doc_id", "text_key", "n_bytes", "text").join(hits, ["doc_id", "text_key"], "left")
+    release(docs.sparkSession)
+    finished = rows.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", F.when(F.col("n_removed") > 0, 1).otherwise(0).cast("long").alias("n_spans"), "kept_sha256")
+    affected = texts.join(hits, ["doc_id", "text_key"], "left")
     return affected.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").unionByName(finished)
