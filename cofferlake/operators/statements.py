@@ -65,6 +65,15 @@ ASSET_TYPES = {
 }
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns, each worked out once per row.
+
+    They leave a generator, which no projection or filter is merged into; plain columns would be copied into every
+    expression above them, and parsed cells are used many times.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def normalize_asset_type(x: Column) -> Column:
     low = F.lower(F.trim(x))
     known = reduce(lambda c, kind: c.when(low.isin(*ASSET_TYPES[kind]), kind), list(ASSET_TYPES)[1:], F.when(low.isin(*ASSET_TYPES["Stock"]), "Stock"))
@@ -82,8 +91,8 @@ def detect_broker(text: Column) -> Column:
 
 def split_csv(line: Column, separator: Column) -> Column:
     """Cells of one line, trimmed; quoted fields may hold separators and doubled quotes."""
-    parsed = {s: F.from_csv(line, _CELLS, {"sep": s, "escape": '"'}) for s in (",", ";", "\t")}
-    cells = {s: F.array(*[F.trim(p[f"c{i}"]) for i in range(WIDTH)]) for s, p in parsed.items()}
+    fields = lambda p: F.array(*[F.trim(p[f"c{i}"]) for i in range(WIDTH)])
+    cells = {s: F.get(F.transform(F.array(F.from_csv(line, _CELLS, {"sep": s, "escape": '"'})), fields), F.lit(0)) for s in (",", ";", "\t")}
     return F.when(separator == ";", cells[";"]).when(separator == "\t", cells["\t"]).otherwise(cells[","])
 
 
@@ -97,10 +106,11 @@ def statement_rows(files: DataFrame, columns: dict[str, tuple[str, ...]]) -> Dat
     """file, line_no, cells and the position of each named column (``at_<name>``); blank lines are dropped."""
     lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
     rows = files.select("file", lines.alias("lines")).where(F.size("lines") > 0)
-    rows = rows.withColumn("header_line", F.element_at("lines", 1)["line"]).withColumn("separator", csv_separator(F.col("header_line")))
-    rows = rows.withColumn("header", split_csv(F.col("header_line"), F.col("separator"))).withColumns({f"at_{k}": find_col(F.col("header"), v) for k, v in columns.items()})
+    rows = evaluated(rows.withColumn("header_line", F.element_at("lines", 1)["line"]), separator=csv_separator(F.col("header_line")))
+    rows = evaluated(evaluated(rows, header=split_csv(F.col("header_line"), F.col("separator"))), **{f"at_{k}": find_col(F.col("header"), v) for k, v in columns.items()})
     rows = rows.select("file", "separator", *[f"at_{k}" for k in columns], F.explode_outer(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("l"))
-    return rows.select("file", *[f"at_{k}" for k in columns], F.col("l.line_no").alias("line_no"), split_csv(F.col("l.line"), F.col("separator")).alias("cells"))
+    rows = evaluated(rows, cells=split_csv(F.col("l.line"), F.col("separator")))
+    return rows.select("file", *[f"at_{k}" for k in columns], F.col("l.line_no").alias("line_no"), "cells")
 
 
 def _cell(name: str, shift: int = 0) -> Column:
@@ -120,19 +130,19 @@ def _picked(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[s
     """The named cells as columns, ``beside`` right of one of them, and whether the needed columns exist."""
     rows = statement_rows(files, columns)
     complete = reduce(lambda a, b: a & b, [F.col(f"at_{n}").isNotNull() for n in need])
-    cells = [_cell(c).alias(c) for c in columns] + ([_cell(beside, 1).alias("beside")] if beside else [])
-    return rows.where(F.col("line_no").isNotNull() | ~complete).select("file", "line_no", complete.alias("complete"), *cells)
+    cells = {c: _cell(c) for c in columns} | ({"beside": _cell(beside, 1)} if beside else {})
+    return evaluated(rows.where(F.col("line_no").isNotNull() | ~complete), complete=complete, **cells).select("file", "line_no", "complete", *cells)
 
 
 def parse_transactions(files: DataFrame) -> DataFrame:
     """Transactions export: the quantity's sign is the side, the price's currency stands right of the price."""
     r = _picked(files, TRANSACTION_COLUMNS, ("isin", "qty", "price"), "price")
-    r = r.withColumns({"ident": F.upper(F.trim(F.coalesce("isin", F.lit("")))), "n_qty": parse_signed_number(F.col("qty")), "n_price": parse_number_broker(F.col("price")), "n_fees": F.abs(F.coalesce(parse_number_broker(F.col("fees")), F.lit(0.0)))})
+    r = evaluated(r, ident=F.upper(F.trim(F.coalesce("isin", F.lit("")))), n_qty=parse_signed_number(F.col("qty")), n_price=parse_number_broker(F.col("price")), n_fees=F.abs(F.coalesce(parse_number_broker(F.col("fees")), F.lit(0.0))), day=normalize_date(F.col("date")))
     ident, qty, price = F.col("ident"), F.col("n_qty"), F.col("n_price")
     kind = F.when(~F.col("complete"), "error").when((ident == "") | qty.isNull() | (qty == 0), "skipped").when(price.isNull() | (price <= 0), "review").otherwise("trade")
-    r = r.withColumn("kind", kind)
+    r = evaluated(r, kind=kind)
     out = _event(
-        r, "degiro", kind=F.col("kind"), type=F.when(qty < 0, "sell").otherwise("buy"), date=normalize_date(F.col("date")), identifier=ident, is_isin=is_isin(ident), price=price,
+        r, "degiro", kind=F.col("kind"), type=F.when(qty < 0, "sell").otherwise("buy"), date=F.col("day"), identifier=ident, is_isin=is_isin(ident), price=price,
         shares=F.when(F.col("kind") == "review", qty).otherwise(F.abs(qty)), fees=F.col("n_fees"), currency=currency_of_text(F.coalesce(F.nullif("beside", F.lit("")), "price"), F.lit("EUR")), name=F.coalesce("product", F.lit("")),
         reason=F.when(F.col("kind") == "review", "corporate_action").when(F.col("kind") == "error", "ISIN, quantity or price column is missing"),
     )
@@ -166,14 +176,15 @@ def detect_split_pairs(events: DataFrame, least: float = 3.0) -> DataFrame:
 def parse_app_statement(files: DataFrame) -> DataFrame:
     """App broker's statement: trades, splits as share changes, dividends, fees; other movements are skipped."""
     r = _picked(files, APP_COLUMNS, ("ticker", "type", "qty"))
-    r = r.withColumns({"kind_text": F.upper(F.coalesce("type", F.lit(""))), "ident": F.upper(F.trim(F.coalesce("ticker", F.lit("")))), "n_qty": parse_number_broker(F.col("qty")), "n_total": parse_number_broker(F.col("total")), "n_delta": parse_signed_number(F.col("qty")), "n_price": parse_number_broker(F.col("price")), "n_tax": F.abs(F.coalesce(parse_number_broker(F.col("tax")), F.lit(0.0)))})
+    numbers = {"n_qty": parse_number_broker(F.col("qty")), "n_total": parse_number_broker(F.col("total")), "n_delta": parse_signed_number(F.col("qty")), "n_price": parse_number_broker(F.col("price")), "n_tax": F.abs(F.coalesce(parse_number_broker(F.col("tax")), F.lit(0.0)))}
+    r = evaluated(r, kind_text=F.upper(F.coalesce("type", F.lit(""))), ident=F.upper(F.trim(F.coalesce("ticker", F.lit("")))), day=normalize_date(F.col("date")), money=currency_of_text(F.coalesce("currency", "price", "total"), F.lit("USD")), **numbers)
     kind_text, ident, complete = F.col("kind_text"), F.col("ident"), F.col("complete")
     trade, split = kind_text.rlike("^(?:BUY|SELL)"), kind_text.contains("STOCK SPLIT")
     dividend, fee = kind_text.rlike("^DIVIDEND") & ~kind_text.contains("TAX"), kind_text.rlike("FEE|CUSTODY")
     qty, total, delta = F.col("n_qty"), F.col("n_total"), F.col("n_delta")
     price = F.when(F.col("n_price") > 0, F.col("n_price")).when((total > 0) & (qty > 0), total / qty)
-    r = r.withColumns({"n_amount": F.abs(F.coalesce("n_total", F.lit(0.0))), "n_price": price})
-    amount, price = F.col("n_amount"), F.col("n_price")
+    r = evaluated(r, n_amount=F.abs(F.coalesce("n_total", F.lit(0.0))), paid=price)
+    amount, price = F.col("n_amount"), F.col("paid")
     named = ident != ""
     kind = (
         F.when(~complete, "error")
@@ -185,11 +196,10 @@ def parse_app_statement(files: DataFrame) -> DataFrame:
     )
     reason = F.when(~complete, "ticker, type or quantity column is missing").when(trade & ~F.coalesce(named & (qty > 0), F.lit(False)), "ticker or quantity is not valid").when(trade & price.isNull(), "no price")
     kind_name = F.when(kind_text.rlike("^BUY"), "buy").when(kind_text.rlike("^SELL"), "sell").when(split, "split").when(dividend, "dividend").when(fee, "fee")
-    currency = currency_of_text(F.coalesce("currency", "price", "total"), F.lit("USD"))
     out = _event(
-        r, "revolut", kind=kind, type=kind_name, date=normalize_date(F.col("date")), identifier=F.when(fee & ~named, "CASH").otherwise(ident), is_isin=F.when(fee, False).otherwise(is_isin(ident)),
+        r, "revolut", kind=kind, type=kind_name, date=F.col("day"), identifier=F.when(fee & ~named, "CASH").otherwise(ident), is_isin=F.when(fee, False).otherwise(is_isin(ident)),
         shares=F.when(trade, qty).when(split, delta), price=F.when(trade, price), amount=F.when(dividend, amount).when(fee, F.when(kind_text.rlike("REVERSAL|REFUND"), -amount).otherwise(amount)),
-        tax=F.when(dividend, F.col("n_tax")), fees=F.when(trade, 0.0), currency=currency, name=F.lit(""), reason=reason,
+        tax=F.when(dividend, F.col("n_tax")), fees=F.when(trade, 0.0), currency=F.col("money"), name=F.lit(""), reason=reason,
     )
     whole = out.where(F.col("reason").contains("column is missing")).dropDuplicates(["file"])
     return out.where(~F.coalesce(F.col("reason").contains("column is missing"), F.lit(False))).unionByName(whole).withColumn("ratio", F.lit(None).cast("double"))
@@ -199,9 +209,9 @@ def parse_account_statement(files: DataFrame) -> DataFrame:
     """Account statement: dividends and withheld tax, netted by instrument and value date; reversals cancel."""
     r = _picked(files, ACCOUNT_COLUMNS, ("isin", "desc", "change"), "change").where("complete and line_no is not null")
     desc, ident = F.lower(F.trim(F.coalesce("desc", F.lit("")))), F.upper(F.trim(F.coalesce("isin", F.lit(""))))
-    r = r.withColumns({"desc": desc, "identifier": ident, "amount": parse_signed_number(F.col("beside")), "day": normalize_date(F.coalesce("value_date", "date"))})
-    gross, tax, amount = F.col("desc").isin("dividendo", "dividend"), F.col("desc").rlike("^imposto sobre dividendo") | F.col("desc").contains("dividend tax"), F.col("amount")
-    rows = r.select("file", "line_no", "identifier", F.col("day").alias("date"), currency_of_text(F.col("change"), F.lit("EUR")).alias("currency"), F.when(gross, amount).otherwise(0.0).alias("gross"), F.when(tax, -amount).otherwise(0.0).alias("withheld"), (gross | tax).alias("wanted"), amount.alias("change"))
+    r = evaluated(r, text=desc, identifier=ident, amount=parse_signed_number(F.col("beside")), day=normalize_date(F.coalesce("value_date", "date")), money=currency_of_text(F.col("change"), F.lit("EUR")))
+    gross, tax, amount = F.col("text").isin("dividendo", "dividend"), F.col("text").rlike("^imposto sobre dividendo") | F.col("text").contains("dividend tax"), F.col("amount")
+    rows = r.select("file", "line_no", "identifier", F.col("day").alias("date"), F.col("money").alias("currency"), F.when(gross, amount).otherwise(0.0).alias("gross"), F.when(tax, -amount).otherwise(0.0).alias("withheld"), (gross | tax).alias("wanted"), amount.alias("change"))
     rows = rows.where((F.col("identifier") != "") & F.col("wanted") & F.col("change").isNotNull())
     total = lambda c: F.sum(F.col(c).cast("decimal(28,6)")).cast("double")
     sums = rows.groupBy("file", "identifier", "date").agg(F.min("line_no").alias("line_no"), F.min_by("currency", "line_no").alias("currency"), total("gross").alias("gross"), total("withheld").alias("withheld"))
@@ -215,8 +225,8 @@ def normalize_trades(rows: DataFrame, broker: str = "generic") -> DataFrame:
     side = F.lower(F.coalesce("side", F.lit("")))
     side = F.when(side.contains("sell"), "sell").when(side.contains("buy"), "buy")
     numbers = {f"n_{c}": parse_number_broker(F.col(c)) for c in ("shares", "price", "total", "fees")}
-    rows = rows.withColumns(numbers | {"ident": F.upper(F.trim(F.coalesce("identifier", F.lit("")))), "side": side})
-    ident, side, shares = F.col("ident"), F.col("side"), F.col("n_shares")
+    rows = evaluated(rows, **numbers, ident=F.upper(F.trim(F.coalesce("identifier", F.lit("")))), way=side)
+    ident, side, shares = F.col("ident"), F.col("way"), F.col("n_shares")
     price = F.when(F.col("n_price") > 0, F.col("n_price")).when((F.col("n_total") > 0) & (shares > 0), F.col("n_total") / shares)
     ok = (ident != "") & side.isNotNull() & F.coalesce(shares > 0, F.lit(False)) & price.isNotNull()
     return _event(rows, broker, kind=F.when(ok, "trade").otherwise("skipped"), type=side, date=normalize_date(F.col("date")), identifier=ident, is_isin=is_isin(ident), shares=shares, price=price, fees=F.abs(F.coalesce("n_fees", F.lit(0.0))), currency=currency_of_text(F.col("currency"), F.lit("EUR")), name=F.coalesce("name", F.lit("")), reason=F.when(~ok, "incomplete trade"))
@@ -277,15 +287,17 @@ def parse_holdings(files: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda x: F.trim(x["line"]) != "")
     rows = files.select("file", holdings_separator(F.col("value")).alias("sep"), lines.alias("lines")).where(F.size("lines") > 0)
     head = lambda k: F.coalesce(_cells_of(F.get("lines", F.lit(k))["line"], F.col("sep")), F.array().cast("array<string>"))
-    rows = rows.withColumns({f"m{k}": holdings_columns(head(k)) for k in range(3)}).withColumn("guess", holdings_layout_guess(head(0)))
+    rows = evaluated(rows, **{f"h{k}": head(k) for k in range(3)})
+    rows = evaluated(rows, **{f"m{k}": holdings_columns(F.col(f"h{k}")) for k in range(3)}, guess=holdings_layout_guess(F.col("h0")))
     found = lambda k: F.col(f"m{k}.symbol").isNotNull() & F.col(f"m{k}.shares").isNotNull()
     rows = rows.withColumn("first", F.when(found(0), 1).when(found(1), 2).when(found(2), 3).otherwise(0))
     rows = rows.withColumn("at", F.when(found(0), F.col("m0")).when(found(1), F.col("m1")).when(found(2), F.col("m2")).otherwise(F.col("guess")))
-    rows = rows.select("file", "sep", "at", F.explode(F.slice("lines", F.col("first") + 1, F.size("lines"))).alias("l"))
-    cells = _cells_of(F.col("l.line"), F.col("sep"))
-    cell = lambda r: F.nullif(F.get(cells, F.col(f"at.{r}")), F.lit(""))
+    rows = rows.select("file", "sep", *[F.col(f"at.{r}").alias(f"at_{r}") for r in HOLDINGS_COLUMNS], F.explode(F.slice("lines", F.col("first") + 1, F.size("lines"))).alias("l"))
+    rows = evaluated(rows, cells=_cells_of(F.col("l.line"), F.col("sep")))
+    cells = F.col("cells")
+    cell = lambda r: F.nullif(F.get(cells, F.col(f"at_{r}")), F.lit(""))
     rows = rows.select("file", F.col("l.line_no").cast("long").alias("line_no"), F.upper(cell("symbol")).alias("symbol"), cell("name").alias("name"), cell("platform").alias("platform"), cell("type").alias("type"), cell("shares").alias("shares"), cell("price").alias("p"), cell("amount").alias("amount"))
-    rows = rows.withColumns({c: parse_number_holdings(F.col(c)) for c in ("shares", "p", "amount")})
+    rows = evaluated(rows.withColumnsRenamed({c: f"{c}_text" for c in ("shares", "p", "amount")}), **{c: parse_number_holdings(F.col(f"{c}_text")) for c in ("shares", "p", "amount")})
     ok = F.col("symbol").isNotNull() & F.coalesce(F.col("shares") > 0, F.lit(False))
     price = F.when(F.col("p") > 0, F.col("p")).when((F.col("amount") > 0) & (F.col("shares") > 0), F.col("amount") / F.col("shares")).otherwise(0.0)
     return rows.select("file", "line_no", F.when(ok, "holding").otherwise("error").alias("kind"), "symbol", F.coalesce("name", "symbol").alias("name"), F.coalesce("platform", F.lit("Unknown")).alias("platform"), normalize_asset_type(F.col("type")).alias("asset_type"), "shares", price.alias("price"), (ok & (price == 0)).alias("needs_price"))
