@@ -36,8 +36,6 @@ PATTERNS = {
     "masked_email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[\[({{](?i:at)[\])}}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({{](?i:dot)[\])}}])\x20?[A-Za-z0-9-]++)++",
     "number": r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9A-Za-z])",
 }
-#: Texts without these need no search.
-_NEEDS = {"email": F.lit("@"), "masked_email": None}
 _CUES = r"(?i)(?:\btel|phone|mobil|\bcall|\bfax|e-?mail|contact|\bcard|\bvisa|account|\bip\b|\bhost|\bssn|whatsapp|reach me)"
 _NOT_CUES = r"(?i)(?:version|licen[sc]e|\bpage|isbn|chapter|section|\bdoi|copyright|[$€£]\s*$)"
 _DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$"
