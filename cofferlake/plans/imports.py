@@ -14,6 +14,10 @@ from cofferlake.plans.views import Views, oracle
 
 _ISIN = "concat('US', lpad(CAST(user_id AS string), 4, '0'), upper(substr(symbol, 1, 6)))"
 _TRADES = "user_id % 4 < 2 AND type IN ('buy', 'sell') AND length(symbol) >= 6"
+#: Every ledger row in one kind of statement; what neither of the first two holds is in the files of the app.
+_ALL_TRADES = "user_id % 4 <> 2 AND type IN ('buy', 'sell') AND length(symbol) >= 6"
+_ALL_DIVIDENDS = "user_id % 4 <> 2 AND type = 'dividend' AND length(symbol) >= 6"
+_ALL_OTHER = f"NOT ({_ALL_TRADES}) AND NOT ({_ALL_DIVIDENDS})"
 
 
 def _number(x, european):
@@ -26,35 +30,35 @@ def _isin(v):
     return F.concat(F.lit("US"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.upper(F.substring("symbol", 1, 6)))
 
 
-def _files(rows, header, line):
+def _files(rows, header, line, name="user-"):
     """One file by user: header and lines in order of seq, symbol."""
     parts = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "seq", line.alias("line")))).alias("l"), F.first(header).alias("h"))
-    return parts.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("file"), F.concat_ws("\r\n", "h", F.array_join(F.col("l.line"), "\r\n"), F.lit("")).alias("value"))
+    return parts.select(F.concat(F.lit(name), F.col("user_id").cast("string")).alias("file"), F.concat_ws("\r\n", "h", F.array_join(F.col("l.line"), "\r\n"), F.lit("")).alias("value"))
 
 
-def transaction_files(v: Views):
+def transaction_files(v: Views, rows: str = _TRADES, name: str = "user-"):
     odd = F.col("user_id") % 2 == 1
     header = F.when(odd, "Data;Hora;Produto;ISIN;Quantidade;Preços;;Custos").otherwise("Date,Time,Product,ISIN,Quantity,Price,,Transaction costs")
     qty = F.concat(F.when(F.col("type") == "sell", "-").otherwise(""), F.col("shares").cast("int").cast("string"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     line = F.array_join(F.array(F.date_format("date", "dd-MM-yyyy"), F.lit("10:00"), quoted(F.concat("symbol", F.lit(", Inc"))), _isin(v), qty, quoted(_number(F.col("total_amount"), odd)), F.col("currency"), quoted(F.concat(F.lit("-"), _number(F.col("seq"), odd)))), "\t")
     line = F.when(odd, F.replace(line, F.lit("\t"), F.lit(";"))).otherwise(F.replace(line, F.lit("\t"), F.lit(",")))
-    return _files(v.ledger.where(_TRADES), header, line)
+    return _files(v.ledger.where(rows), header, line, name)
 
 
-def app_files(v: Views):
+def app_files(v: Views, rows: str = "user_id % 4 = 2", name: str = "user-"):
     kind = F.when(F.col("type") == "buy", "BUY - MARKET").when(F.col("type") == "sell", "SELL - LIMIT").when(F.col("type") == "split", "STOCK SPLIT").when(F.col("type") == "dividend", "DIVIDEND").otherwise("CUSTODY FEE")
     money = lambda c: F.concat(F.lit('"$'), F.format_number(c, 2), F.lit('"'))
     price = F.when(F.col("type").isin("buy", "sell"), money(F.col("total_amount"))).otherwise("")
     line = F.concat_ws(",", F.concat(F.col("date").cast("string"), F.lit("T10:00:00Z")), F.substring_index("symbol", " ", 1), kind, F.col("shares").cast("int").cast("string"), price, money(F.col("total_amount")), F.lit("USD"))
-    return _files(v.ledger.where("user_id % 4 = 2"), F.lit("Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency"), line)
+    return _files(v.ledger.where(rows), F.lit("Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency"), line, name)
 
 
-def account_files(v: Views):
+def account_files(v: Views, rows: str = "user_id % 4 = 3 and type = 'dividend' and length(symbol) >= 6", name: str = "user-"):
     desc = F.when(F.col("seq") % 2 == 0, "Dividendo").otherwise("Imposto sobre Dividendo")
     amount = F.concat(F.when(F.col("seq") % 2 == 0, "").otherwise("-"), F.lit('"'), _number(F.col("total_amount"), F.lit(True)), F.lit('"'))
     line = F.concat_ws(",", F.lit("01-01-2020"), F.lit("10:00"), F.date_format("date", "dd-MM-yyyy"), F.lit("X"), _isin(v), desc, F.lit(""), F.col("currency"), F.regexp_replace(amount, '^-"', '"-'), F.lit("EUR"), F.lit('"1,00"'))
-    return _files(v.ledger.where("user_id % 4 = 3 and type = 'dividend' and length(symbol) >= 6"), F.lit("Data,Hora,Data Valor,Produto,ISIN,Descrição,T.,Mudança,,Saldo,"), line)
+    return _files(v.ledger.where(rows), F.lit("Data,Hora,Data Valor,Produto,ISIN,Descrição,T.,Mudança,,Saldo,"), line, name)
 
 
 def statements(v: Views):
@@ -141,6 +145,49 @@ def b15(v):
     return rows.select("broker", "kind").unionByName(flagged).groupBy("broker", "kind").agg(F.count("*").alias("n"))
 
 
+# The same over every ledger row; the queries above keep their SQL and so their part of the rows.
+
+_ALL_PAIRS = f"""rows_ AS (SELECT *, {_ISIN} AS identifier FROM v_ledger WHERE {_ALL_TRADES})"""
+
+
+def whole_files(v: Views):
+    """Three files by user, of trades, dividends and all the rest."""
+    return transaction_files(v, _ALL_TRADES, "trades-"), account_files(v, _ALL_DIVIDENDS, "dividends-"), app_files(v, _ALL_OTHER, "app-")
+
+
+@query("b10_parse_transactions_whole", oracle("SELECT 'trades-' || user_id AS file, identifier, CAST(date AS VARCHAR) AS date, type, shares, CAST(round(total_amount, 2) AS DOUBLE) AS price, CAST(seq AS DOUBLE) AS fees, currency, symbol || ', Inc' AS name FROM rows_", _ALL_PAIRS))
+def b10_whole(v):
+    return S.parse_transactions(whole_files(v)[0]).where("kind in ('trade', 'review')").select("file", "identifier", "date", "type", "shares", "price", "fees", "currency", "name")
+
+
+@query("b11_split_pairs_whole", oracle("""SELECT count(*) AS groups FROM (SELECT user_id, identifier, date FROM rows_ GROUP BY ALL HAVING count(DISTINCT type) = 2
+  AND max(CASE WHEN type = 'buy' THEN total_amount END) / min(CASE WHEN type = 'sell' THEN total_amount END) >= 3 OR max(CASE WHEN type = 'sell' THEN total_amount END) / min(CASE WHEN type = 'buy' THEN total_amount END) >= 3)""", _ALL_PAIRS))
+def b11_whole(v):
+    review = S.parse_transactions(whole_files(v)[0]).where("reason = 'possible_split'")
+    return review.select("file", "identifier", "date").distinct().agg(F.count("*").alias("groups"))
+
+
+@query("b12_parse_app_statement_whole", oracle(f"""SELECT 'app-' || user_id AS file, symbol AS identifier, CAST(date AS VARCHAR) AS date, type, CASE WHEN type IN ('buy', 'sell', 'split') THEN shares END AS shares, CASE WHEN type IN ('buy', 'sell') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS price,
+  CASE WHEN type IN ('dividend', 'fee') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS amount FROM v_ledger WHERE {_ALL_OTHER}"""))
+def b12_whole(v):
+    return S.parse_app_statement(whole_files(v)[2]).where("kind in ('trade', 'income')").select("file", "identifier", F.substring("date", 1, 10).alias("date"), "type", "shares", "price", "amount")
+
+
+@query("b13_parse_account_statement_whole", oracle(f"""SELECT 'dividends-' || user_id AS file, {_ISIN} AS identifier, CAST(date AS VARCHAR) AS date, CAST(sum(CASE WHEN seq % 2 = 0 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS amount,
+  CAST(sum(CASE WHEN seq % 2 = 1 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS tax FROM v_ledger WHERE {_ALL_DIVIDENDS} GROUP BY ALL"""))
+def b13_whole(v):
+    return S.parse_account_statement(whole_files(v)[1]).select("file", "identifier", "date", "amount", "tax")
+
+
+@query("b15_parse_statements_whole", oracle(f"""SELECT 'degiro' AS broker, 'trade' AS kind, count(*) AS n FROM v_ledger WHERE {_ALL_TRADES} UNION ALL SELECT 'revolut', CASE WHEN type IN ('buy', 'sell') THEN 'trade' ELSE 'income' END AS kind, count(*) FROM v_ledger WHERE {_ALL_OTHER} GROUP BY ALL
+UNION ALL SELECT 'degiro', 'income', count(DISTINCT (user_id, symbol, date)) FROM v_ledger WHERE {_ALL_DIVIDENDS}"""))
+def b15_whole(v):
+    trades, dividends, other = whole_files(v)
+    rows = S.parse_statements(trades.unionByName(dividends).unionByName(other))
+    rows = rows.withColumn("kind", F.when(F.col("reason") == "possible_split", F.array(F.lit("trade"), F.lit("trade"))).otherwise(F.array("kind")))
+    return rows.select("broker", F.explode("kind").alias("kind")).groupBy("broker", "kind").agg(F.count("*").alias("n"))
+
+
 _HELD = "held AS (SELECT user_id, symbol, sum(shares) AS shares, CAST(floor(max(price) * 100) AS DOUBLE) / 100 AS price FROM v_ledger WHERE type = 'buy' GROUP BY ALL)"
 
 
@@ -192,20 +239,28 @@ def b25(v):
     return docs.join(back, "doc_id").select("doc_id", F.col("back").eqNullSafe(F.col("text")).alias("whole"), "fits", F.length("back").cast("long").alias("n_chars"))
 
 
-def _asked(v: Views):
+def _asked(v: Views, users: str = "user_id % 5 = 1"):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("id")) - 1
-    return v.lots.where("user_id % 5 = 1").withColumn("n", n).select("id", "qty", "estimated_value", "user_id", F.concat_ws("-", "user_id", F.floor(F.col("n") / 3).cast("long")).alias("batch"), (F.col("n") % 3).cast("int").alias("idx"))
+    return v.lots.where(users).withColumn("n", n).select("id", "qty", "estimated_value", "user_id", F.concat_ws("-", "user_id", F.floor(F.col("n") / 3).cast("long")).alias("batch"), (F.col("n") % 3).cast("int").alias("idx"))
 
 
 @query("b26_b28_model_results", oracle("""SELECT id, CASE WHEN idx < 2 THEN qty * 1.5::DOUBLE END AS value, CASE WHEN idx = 2 THEN 'no result' END AS error FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY id) - 1) % 3 AS idx FROM v_lots WHERE user_id % 5 = 1)"""))
 def b27(v):
-    asked = _asked(v)
+    return _model_results(_asked(v))
+
+
+def _model_results(asked):
     item = F.concat(F.lit('{"value": '), (F.col("qty") * 1.5).cast("string"), F.lit(', "drink_window": None, "note": "x",}'))
     texts = asked.where("idx < 2").groupBy("batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", item.alias("j")))), lambda x: x["j"]), ",\n").alias("body"), F.count("*").alias("k"))
     texts = texts.select("batch", F.lit(3).alias("size"), F.when(F.col("k") == 1, F.concat(F.lit("Sure:\n"), "body")).otherwise(F.concat(F.lit("```json\n["), "body", F.lit(",]\n```"))).alias("text"))
     return S.pad_results(asked, S.parse_result_batch(texts)).select("id", "value", "error")
 
 
+@query("b26_b28_model_results_whole", oracle("""SELECT id, CASE WHEN idx < 2 THEN qty * 1.5::DOUBLE END AS value, CASE WHEN idx = 2 THEN 'no result' END AS error FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY id) - 1) % 3 AS idx FROM v_lots)"""))
+def b27_whole(v):
+    return _model_results(_asked(v, "true"))
+
+
 @query("b29_quotes_from_response", oracle("SELECT ticker AS symbol, price FROM v_quotes WHERE price > 0 AND id % 3 > 0"))
 def b29(v):
     good = F.concat(F.lit('[{"symbol": "'), F.lower("ticker"), F.lit('", "price": '), F.col("price").cast("string"), F.lit('}, {"symbol": "X", "price": "n/a"}]'))
