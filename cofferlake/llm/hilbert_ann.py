@@ -3,9 +3,12 @@
 Every curve has a random rotation to a few dimensions and a random shift; a vector's place on the curve is its Hilbert
 key. Largest inner product becomes nearness by one more coordinate that gives all rows the same norm. Per curve the
 rows are cut into blocks of equal size at quantiles of the keys (a tie-breaking hash in the low bits splits equal
-vectors), a query goes to its own block and to its neighbours within the window, and each block answers with its exact
+keys), a query goes to its own block and to its neighbours within the window, and each block answers with its exact
 best rows in double precision. The answers of all curves and blocks merge into the final ranking.
 
+Equal vectors are one place: it carries their k + 1 smallest ids, which is all that an answer can need of them, and the
+ranking expands it. Equal queries are searched together, by some 1000 at most, for k + 1 ids; each drops its own.
+
 Queries form blocks with rows, ``block_rows`` rows against ``block_queries`` queries at a time, so a task's memory is
 bounded. ``window`` is the share of all rows on either side of a query: recall depends on it, on the number of curves
 and on the data; vectors without any structure need a large share, clustered ones a small one.
@@ -76,36 +79,70 @@ def _keyed(size: int, longest: float, curves: int, as_query: bool, seed: int):
             else:
                 unit = x / longest
                 unit = np.column_stack([unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(axis=1)))])
-            tie = (tv.mix(batch.column("vec_id").to_numpy().astype(np.uint64)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
+            tie = (tv.mix(batch.column("lead").to_numpy().astype(np.uint64)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
             keys = []
             for turn, shift in zip(turns, shifts, strict=True):
                 place = (np.clip(unit @ turn / (2 * reach) + 0.5, 0, 1) + shift) / 2
                 keys.append(hilbert_keys(np.minimum(place * (1 << BITS), (1 << BITS) - 1), BITS) << TIE_BITS | tie)
             flat = np.column_stack(keys).ravel() if len(x) else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, curves, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vector"), lists], names=["vec_id", "vector", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("lead"), batch.column("ids"), batch.column("vector"), lists], names=["lead", "ids", "vector", "keys"])
 
     return run
 
 
+_HITS = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
+
+
+def _distinct(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` distinct ids by score and id, each with its best score."""
+    order = np.lexsort((ids, -scores))
+    first = np.sort(np.unique(ids[order], return_index=True)[1])[:k]
+    return ids[order][first], scores[order][first]
+
+
 def _answers(size: int, k: int):
+    """The ``k`` best distinct ids of a block for each query."""
+
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        ids, scores, of = [], [], queries.column("vec_id").to_pylist()
+        found, leads = [], queries.column("lead").to_pylist()
         q, x = (_matrix(t.column("vector").combine_chunks(), size) if t.num_rows else np.zeros((0, size)) for t in (queries, rows))
-        row_ids = rows.column("vec_id").to_numpy()
+        lists = rows.column("ids").combine_chunks()
+        count, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        ends = np.cumsum(count)
         for lo in range(0, len(q), 256):
-            near = q[lo : lo + 256] @ x.T
-            near[np.array(of[lo : lo + 256])[:, None] == row_ids[None, :]] = -np.inf
-            for i, line in enumerate(near):
-                least = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -np.inf
-                # A little below the k-th, since the product's last bits depend on the block.
-                at = np.flatnonzero(line >= least - 1e-9 * max(1.0, abs(least))) if least > -np.inf else np.flatnonzero(line > -np.inf)
-                exact = (x[at] * q[lo + i]).sum(axis=1)
-                best = np.lexsort((row_ids[at], -exact))[: 2 * k]
-                ids.append(row_ids[at][best])
-                scores.append(exact[best])
-        found = [[{"away": -s, "vec_id": int(i)} for i, s in zip(a, b, strict=True)] for a, b in zip(ids, scores, strict=True)]
-        return pa.Table.from_arrays([pa.array(of, pa.int64()), pa.array(found, pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())])))], names=["query_id", "found"])
+            for i, line in enumerate(q[lo : lo + 256] @ x.T):
+                ids, scores, take = np.zeros(0, np.int64), np.zeros(0), k
+                while len(line) and len(ids) < k:
+                    least = np.partition(line, len(line) - take)[len(line) - take] if len(line) > take else -np.inf
+                    # A little below the last one, since the product's last bits depend on the block.
+                    at = np.flatnonzero(line >= least - 1e-9 * max(1.0, abs(least))) if least > -np.inf else np.arange(len(line))
+                    exact, n = (x[at] * q[lo + i]).sum(axis=1), count[at]
+                    spots = np.repeat(ends[at] - np.cumsum(n), n) + np.arange(n.sum())
+                    ids, scores = _distinct(flat[spots], np.repeat(exact, n), k)
+                    if len(at) == len(line):
+                        break
+                    take *= 2  # ids that stand at several vectors
+                found.append([{"away": -s, "vec_id": int(v)} for v, s in zip(ids, scores, strict=True)])
+        return pa.Table.from_arrays([pa.array(leads, pa.int64()), pa.array(found, _HITS)], names=["lead", "found"])
+
+    return run
+
+
+def _ranked(k: int):
+    """Own hits left out, the first ``k`` distinct ids of all blocks for each id that asks."""
+
+    def run(batches):
+        for batch in batches:
+            out = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.float64)]
+            for members, found in zip(batch.column("ids"), batch.column("found"), strict=True):
+                hits = found.values
+                ids, scores = _distinct(hits.field("vec_id").to_numpy(), -hits.field("away").to_numpy(), k + 1)
+                for own in members.values.to_numpy():
+                    other = np.flatnonzero(ids != own)[:k]
+                    for column, values in zip(out, (np.full(len(other), own), np.arange(1, len(other) + 1, dtype=np.int32), ids[other], scores[other]), strict=True):
+                        column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "rank", "vec_id", "score"])
 
     return run
 
@@ -120,17 +157,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = 8
         return df.where(good)
 
     rows, asked = usable(vectors), usable(queries)
-    n, size = rows.count(), rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
+    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").collect()
     out_type = "query_id long, rank int, vec_id long, score double"
-    if not n:
+    if not sizes:
         return vectors.sparkSession.createDataFrame([], out_type)
-    size = size[0]["size"]
+    size, total = sizes[0]["size"], sizes[0]["count"]
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     rows, asked = rows.where(F.size("vector") == size), asked.where(F.size("vector") == size).dropDuplicates(["vec_id"])
     longest = rows.agg(F.max(norm)).first()[0]
-    schema = "vec_id long, vector array<double>, keys array<long>"
+    # By parts first, so that a vector with very many copies is no task's whole work.
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")
+    least = lambda ids: F.slice(F.array_sort(ids), 1, k + 1).alias("ids")
+    rows = rows.groupBy("vector", part(math.ceil(math.sqrt(total)))).agg(least(F.collect_set("vec_id")))
+    rows = rows.groupBy("vector").agg(least(F.array_distinct(F.flatten(F.collect_list("ids"))))).select(F.col("ids")[0].alias("lead"), "ids", "vector")
+    asked = asked.groupBy("vector", part(max(1, math.ceil(asked.count() / 1000)))).agg(F.collect_list("vec_id").alias("ids")).select(F.array_min("ids").alias("lead"), "ids", "vector")
+    schema = "lead long, ids array<long>, vector array<double>, keys array<long>"
     rows = materialise(rows.mapInArrow(_keyed(size, longest, curves, False, seed), schema), "keyed")
     asked = materialise(asked.mapInArrow(_keyed(size, longest, curves, True, seed), schema), "asked")
+    n = rows.count()
     blocks = max(20, math.ceil(n / block_rows)) if n > 1000 else 1
     side = math.ceil(window * blocks) if blocks > 1 else 0
     chunks = max(1, math.ceil(asked.count() * (2 * side + 1) / blocks / block_queries))
@@ -139,14 +183,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = 8
     block = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]).cast("array<double>"), lambda x: x < F.col("keys")[c])) if blocks > 1 else F.lit(0)
     spots = F.array(*[F.struct(F.lit(c).alias("curve"), block(c).alias("block")) for c in range(curves if blocks > 1 else 1)])
     group = lambda b: (F.col("spot.curve") * blocks + b).cast("long") * chunks + F.col("chunk")
-    rows = rows.select("vec_id", "vector", F.explode(spots).alias("spot")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    rows = rows.select(group(F.col("spot.block")).alias("group"), "vec_id", "vector")
-    asked = asked.select("vec_id", "vector", F.explode(spots).alias("spot"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"))
+    members = asked.select("lead", "ids")
+    rows = rows.select("ids", "vector", F.explode(spots).alias("spot")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    rows = rows.select(group(F.col("spot.block")).alias("group"), "ids", "vector")
+    asked = asked.select("lead", "vector", F.explode(spots).alias("spot"), F.pmod(F.xxhash64("lead"), F.lit(chunks)).alias("chunk"))
     low, high = F.greatest(F.col("spot.block") - side, F.lit(0)), F.least(F.col("spot.block") + side, F.lit(blocks - 1))
-    asked = asked.withColumn("near", F.explode(F.sequence(low, high))).select(group(F.col("near")).alias("group"), "vec_id", "vector")
-    answers = asked.groupBy("group").cogroup(rows.groupBy("group")).applyInArrow(_answers(size, k), "query_id long, found array<struct<away:double,vec_id:long>>")
-    best = answers.groupBy("query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, 4 * k).alias("found"))
-    # Rows that repeat an id leave only their best score.
-    first = F.filter("found", lambda x, i: ~F.exists(F.slice(F.col("found"), F.lit(1), i), lambda y: y["vec_id"] == x["vec_id"]))
-    best = best.select("query_id", F.posexplode(F.slice(first, 1, k)).alias("rank", "hit"))
-    return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.away")).alias("score"))
+    asked = asked.withColumn("near", F.explode(F.sequence(low, high))).select(group(F.col("near")).alias("group"), "lead", "vector")
+    answers = asked.groupBy("group").cogroup(rows.groupBy("group")).applyInArrow(_answers(size, k + 1), "lead long, found array<struct<away:double,vec_id:long>>")
+    best = answers.groupBy("lead").agg(F.flatten(F.collect_list("found")).alias("found")).join(members, "lead")
+    return best.select("ids", "found").mapInArrow(_ranked(k), out_type)

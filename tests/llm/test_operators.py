@@ -145,6 +145,36 @@ def test_nearest_recall(spark):
     assert hits / total >= 0.9
 
 
+def _recall(ids, data, queries, rows):
+    found, hits = {}, 0
+    for r in rows:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in queries:
+        score = np.round(data @ data[ids == q][0], 12)
+        score[ids == q] = -np.inf
+        assert len(set(found[q])) == len(found[q]) == min(20, len(ids) - 1)
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]].tolist()) & set(found[q]))
+    return hits / len(queries) / 20
+
+
+def test_nearest_of_many_copies(spark):
+    rng = np.random.default_rng(3)
+    ids, data = np.arange(1500), rng.normal(size=(1500, 16))
+    data[ids % 3 == 0] = data[0]
+    vectors = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, data)], "vec_id long, embedding array<double>")
+    asked = ids[ids % 30 == 0]
+    assert _recall(ids, data, asked, nearest(vectors, vectors.where("vec_id % 30 = 0")).collect()) == 1
+
+
+def test_nearest_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 30, x.tolist()) for i, x in enumerate(rng.normal(size=(3000, 4)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], vectors.schema)
+    found = nearest(vectors, asked).orderBy("rank").collect()
+    assert [r.rank for r in found] == list(range(1, 21)) and len({r.vec_id for r in found} - {0}) == 20
+
+
 def test_toxicity_is_held_out_accurate(spark, labels):
     rows = {r.doc_id: r for r in Q.op7_toxicity(spark, SF_DIR).collect()}
     assert len(rows) == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
