@@ -10,8 +10,8 @@ Equal vectors are one place: it carries their k + 1 smallest ids, which is all t
 ranking expands it. Equal queries are searched together, by some 1000 at most, for k + 1 ids; each drops its own.
 
 Queries form blocks with rows, ``block_rows`` rows against ``block_queries`` queries at a time, so a task's memory is
-bounded. ``window`` is the share of all rows on either side of a query: recall depends on it, on the number of curves
-and on the data; vectors without any structure need a large share, clustered ones a small one.
+bounded. ``window`` is the share of all rows on either side of a query, ``k + 1`` rows at least: recall depends on it,
+on the number of curves and on the data; vectors without any structure need a large share, clustered ones a small one.
 
 Cases: null vectors, zero vectors and those with null or non-finite components take no part, nor do rows with a null
 id or a length other than the most common one; a row never finds its own id; rows that repeat an id count once, with
@@ -175,13 +175,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, curves: int = 8
     rows = materialise(rows.mapInArrow(_keyed(size, longest, curves, False, seed), schema), "keyed")
     asked = materialise(asked.mapInArrow(_keyed(size, longest, curves, True, seed), schema), "asked")
     n = rows.count()
-    blocks = max(20, math.ceil(n / block_rows)) if n > 1000 else 1
-    side = math.ceil(window * blocks) if blocks > 1 else 0
+    blocks = max(20, math.ceil(n / block_rows))
+    side = math.ceil(max(window, min(1.0, (k + 1) / n)) * blocks)
     chunks = max(1, math.ceil(asked.count() * (2 * side + 1) / blocks / block_queries))
     places = [F.col("keys")[c].cast("double").alias(f"k{c}") for c in range(curves)]
-    cuts = rows.select(*places).approxQuantile([f"k{c}" for c in range(curves)], [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else [[]] * curves
-    block = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]).cast("array<double>"), lambda x: x < F.col("keys")[c])) if blocks > 1 else F.lit(0)
-    spots = F.array(*[F.struct(F.lit(c).alias("curve"), block(c).alias("block")) for c in range(curves if blocks > 1 else 1)])
+    cuts = rows.select(*places).approxQuantile([f"k{c}" for c in range(curves)], [i / blocks for i in range(1, blocks)], 0.1 / blocks)
+    block = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]).cast("array<double>"), lambda x: x < F.col("keys")[c]))
+    spots = F.array(*[F.struct(F.lit(c).alias("curve"), block(c).alias("block")) for c in range(curves)])
     group = lambda b: (F.col("spot.curve") * blocks + b).cast("long") * chunks + F.col("chunk")
     members = asked.select("lead", "ids")
     rows = rows.select("ids", "vector", F.explode(spots).alias("spot")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))

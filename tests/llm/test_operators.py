@@ -175,6 +175,31 @@ def test_nearest_of_repeated_ids(spark):
     assert [r.rank for r in found] == list(range(1, 21)) and len({r.vec_id for r in found} - {0}) == 20
 
 
+def _table(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    table = vectors.toPandas()
+    return vectors, table.vec_id.to_numpy(), np.array(table.embedding.tolist(), dtype=float)
+
+
+def test_nearest_recall_over_blocks(spark):
+    vectors, ids, data = _table(spark, "/root/testdata/sf0.1")
+    assert _recall(ids, data, ids[ids % 20 == 0], nearest(vectors, vectors.where("vec_id % 20 = 0")).collect()) >= 0.9
+
+
+def test_nearest_takes_curves_at_every_size(spark):
+    """One curve with a small window cannot find all, so small tables are not searched by brute force."""
+    vectors, ids, data = _table(spark, SF_DIR)
+    assert _recall(ids, data, ids[ids % 20 == 0], nearest(vectors, vectors.where("vec_id % 20 = 0"), curves=1, window=0.05).collect()) < 0.9
+
+
+def test_nearest_of_few_rows_are_all(spark):
+    ids, data = np.arange(12), np.random.default_rng(5).normal(size=(12, 3))
+    vectors = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, data)], "vec_id long, embedding array<double>")
+    assert nearest(vectors, vectors).count() == 12 * 11
+    assert nearest(vectors.where("vec_id < 0"), vectors).count() == 0
+    assert nearest(vectors, vectors.where("vec_id < 0")).count() == 0
+
+
 def test_toxicity_is_held_out_accurate(spark, labels):
     rows = {r.doc_id: r for r in Q.op7_toxicity(spark, SF_DIR).collect()}
     assert len(rows) == spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
