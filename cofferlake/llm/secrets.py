@@ -1,8 +1,7 @@
 """Secrets: exact patterns, and random strings found by character Markov models.
 
-Two first-order Markov models over the characters of tokens are trained from labelled samples that a bounded set of
-documents (``train_docs``, those whose id hashes lowest) gives: values of the exact patterns are random strings, all
-other tokens are ordinary identifiers. Transition counts are summed in Spark; only the table of at most 2 * 70 * 70
+Two first-order Markov models over the characters of tokens are trained from labelled samples that all documents
+give: values of the exact patterns are random strings, all other tokens are ordinary identifiers. Transition counts are summed in Spark; only the table of at most 2 * 70 * 70
 counts reaches the driver. A token is a secret if the log-likelihood ratio of the two models, in total and per
 character, is over fixed thresholds. Smoothing pulls the random model to a uniform one, so it works without samples.
 
@@ -21,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofferlake.llm.common import bounded_sample
-
 #: Kinds in the order in which spans of one start are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -71,11 +68,9 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(total[label, pair])], names=["label", "pair", "n"])
 
 
-def train_markov(docs: DataFrame, train_docs: int = 20_000, uniform: float = 40.0) -> np.ndarray:
+def train_markov(docs: DataFrame, uniform: float = 40.0) -> np.ndarray:
     """Log-likelihood ratio of each transition, random over ordinary."""
-    use = bounded_sample(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", train_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("text")
-    table = sample.mapInArrow(_counts, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
+    table = docs.select("text").mapInArrow(_counts, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
     count = np.zeros((2, SIZE, SIZE))
     for label, pair, n in table:
         count[label, pair // SIZE, pair % SIZE] = n
@@ -96,9 +91,9 @@ def random_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int]]) ->
     return out
 
 
-def secret_spans(docs: DataFrame, train_docs: int = 20_000) -> DataFrame:
+def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans (as text) and found (kind, start, end)."""
-    model = docs.sparkSession.sparkContext.broadcast(train_markov(docs, train_docs))
+    model = docs.sparkSession.sparkContext.broadcast(train_markov(docs))
 
     def scan(batches):
         ratio = model.value

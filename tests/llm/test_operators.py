@@ -15,7 +15,7 @@ from cofferlake.llm.mixing import mixture
 from cofferlake.llm.packing import packed_documents
 from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
-from cofferlake.llm.secrets import secret_spans
+from cofferlake.llm.secrets import SIZE, secret_spans, train_markov
 from cofferlake.llm.suffix_dedup import remove_repeats
 from cofferlake.llm.toxicity import toxicity_scores
 from cofferlake.llm.warc import round_trip
@@ -61,6 +61,17 @@ def test_secrets_base_spans(docs):
         assert rows[i].base_sha256 == _sha(",".join(f"{n}:{s}:{e}" for s, _, e, n in order))
 
 
+def test_secrets_model_counts_every_document(spark):
+    n, letter = 21_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789".index
+    ratio = train_markov(spark.range(n).selectExpr("if(id < 1000, null, id) AS doc_id", "'qz' AS text"))
+    count, prior = np.zeros((2, SIZE, SIZE)), np.full((2, SIZE, SIZE), 40 / SIZE)
+    q, z = letter("q") + 1, letter("z") + 1
+    count[0, 0, q] = count[0, q, z] = count[0, z, 0] = n
+    prior[0] *= 0.25
+    likely = np.log((count + prior) / (count + prior).sum(axis=2, keepdims=True))
+    assert np.allclose(ratio, likely[1] - likely[0], rtol=0, atol=1e-9)
+
+
 def test_personal_data_base_counts(docs):
     rows = {r.doc_id: r for r in personal_data(docs).collect()}
     assert len(rows) == len(TEXTS)
