@@ -67,11 +67,12 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def fit_noisy_or(words: np.ndarray, sentence: np.ndarray, bag: np.ndarray, label: np.ndarray, *, least: int = 4, least_z: float = 4.5, l2: float = 2e-5, rounds: int = 250) -> tuple[np.ndarray, float]:
+def fit_noisy_or(words: np.ndarray, sentence: np.ndarray, bag: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, *, least: int = 4, least_z: float = 4.5, l2: float = 2e-5, rounds: int = 250) -> tuple[np.ndarray, float]:
     """Weights by hashed word and the intercept of a sentence.
 
     A word counts if ``least`` documents hold it and its shares in the two classes differ by ``least_z`` standard
-    errors; rarer or evenly spread words would only let the model learn training documents by heart.
+    errors; rarer or evenly spread words would only let the model learn training documents by heart. ``weight`` tells
+    for how many documents each one stands.
     """
     doc, word = np.divmod(np.unique(bag[sentence] * (1 << BITS) + words), 1 << BITS)
     n1 = max(label.sum(), 1)
@@ -86,9 +87,9 @@ def fit_noisy_or(words: np.ndarray, sentence: np.ndarray, bag: np.ndarray, label
     feature, where = np.divmod(np.unique(index[words[hit]] * len(bag) + sentence[hit]), len(bag))
     n, k, m = len(label), len(known), len(bag)
     sizes = np.maximum(np.bincount(bag, minlength=n), 1)
-    b = float(np.log(max(label.mean(), 1e-3) / sizes.mean()))
+    weight = np.full(n, 1 / n) if weight is None else weight / weight.sum()
+    b = float(np.log(max(weight @ label, 1e-3) / (weight @ sizes)))
     w = np.zeros(k)
-    weight = np.full(n, 1 / n)
     mom, var, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(where, weights=w[feature], minlength=m)
@@ -115,7 +116,10 @@ def in_training(doc_id) -> F.Column:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 3000) -> tuple[np.ndarray, float] | None:
     labels = labels.where("toxic in (0, 1) and doc_id is not null").where(in_training("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    use = bounded_sample(labels.where("toxic = 1"), "doc_id", max_train // 2).unionByName(bounded_sample(labels.where("toxic = 0"), "doc_id", max_train - max_train // 2))
+    most = {1: max_train // 2, 0: max_train - max_train // 2}
+    use = bounded_sample(labels.where("toxic = 1"), "doc_id", most[1]).unionByName(bounded_sample(labels.where("toxic = 0"), "doc_id", most[0]))
+    # Each sampled document stands for its share of all training labels of its class.
+    stands_for = {c: max(1.0, n / most[c]) for c, n in labels.groupBy("toxic").count().collect()}
     rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_bags, "doc_id long, toxic int, words array<int>, sentences array<int>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     if rows["toxic"].nunique() < 2:
@@ -124,7 +128,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 3000) ->
     base = np.concatenate([[0], np.cumsum(counts)[:-1]])
     sentence = np.concatenate([s + o for s, o in zip(rows["sentences"], base, strict=True)])
     words = np.concatenate(list(rows["words"])).astype(np.int64)
-    return fit_noisy_or(words, sentence, np.repeat(np.arange(len(rows)), counts), rows["toxic"].to_numpy())
+    return fit_noisy_or(words, sentence, np.repeat(np.arange(len(rows)), counts), rows["toxic"].to_numpy(), rows["toxic"].map(stands_for).to_numpy())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000, keep: list[str] | None = None) -> DataFrame:
