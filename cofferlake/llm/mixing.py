@@ -6,8 +6,8 @@ each integer boundary that its interval crosses. Documents of one source are ord
 follow the target closely.
 
 The prefix sum is a rank times a constant, and ranks are made without putting a source in one task: documents fall
-into cells of (source, size class, bucket of ids), cells hold at most about ``cell_rows`` rows, and a running sum over
-the table of cells gives each cell its first rank. Everything is built from SQL expressions.
+into cells of (source, size class, range of size and id), cells hold about ``cell_rows`` rows at most, and a running
+sum over the table of cells gives each cell its first rank, so ranks are in order of size and id whatever the cells. Everything is built from SQL expressions.
 
 Cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated rows are
 sampled one by one; an empty table gives an empty result; a source of size 0 has target 0; further columns pass through
@@ -53,16 +53,20 @@ def sampled_copies(sized: DataFrame, seed: str = "mix", cell_rows: int = 50_000)
     """``sized`` (doc_id, source, size and any other columns) with source_size, target and copies."""
     kind = F.expr("length(bin(size)) * 16 + shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("long")
     sized = sized.withColumn("_kind", F.when(F.col("size") > 0, kind).otherwise(F.lit(0)))
-    cells = sized.groupBy("source", "_kind").agg(F.ceil(F.count("*") / cell_rows).cast("long").alias("_buckets"))
-    cells = cells.select(F.col("source").alias("_source"), F.col("_kind").alias("_k"), "_buckets")
+    # Ranges are cut at sampled rows, some 20 for each range.
+    key = F.struct("size", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+    sampled = F.pmod(F.xxhash64(F.lit(17), "size", "doc_id"), F.lit(cell_rows)) < 20
+    cells = sized.groupBy("source", "_kind").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_ranges"), F.array_sort(F.collect_list(F.when(sampled, key))).alias("_keys"))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_ranges") - 1, F.lit(1))), lambda i: F.get("_keys", F.floor(i * F.size("_keys") / F.col("_ranges")).cast("int")))
+    cells = cells.select(F.col("source").alias("_source"), F.col("_kind").alias("_k"), F.when(F.col("_ranges") > 1, cuts).alias("_cuts"))
     placed = sized.join(cells, sized["source"].eqNullSafe(cells["_source"]) & (sized["_kind"] == cells["_k"]))
-    placed = placed.withColumn("_bucket", F.coalesce(F.pmod(F.col("doc_id"), F.col("_buckets")), F.lit(0))).drop("_source", "_k", "_buckets")
+    placed = placed.withColumn("_bucket", F.coalesce(F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < key))), F.lit(0))).drop("_source", "_k", "_cuts")
     counts = placed.groupBy("source", "_kind", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_kind", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(F.col("source").alias("_source"), F.col("_kind").alias("_k"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     targets = source_targets(sized.select("source", "size")).withColumnRenamed("source", "_of")
     firsts = firsts.join(targets, firsts["_source"].eqNullSafe(targets["_of"])).drop("_of")
-    rank = F.row_number().over(Window.partitionBy("source", "_kind", "_bucket").orderBy("size", "doc_id")) - 1
+    rank = F.row_number().over(Window.partitionBy("source", "_kind", "_bucket").orderBy("size", F.col("doc_id").asc_nulls_last())) - 1
     out = placed.withColumn("_rank", rank)
     out = out.join(firsts, out["source"].eqNullSafe(firsts["_source"]) & (out["_kind"] == firsts["_k"]) & (out["_bucket"] == firsts["_b"]))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
