@@ -7,8 +7,8 @@ a gap or an underfull bin remains, the documents of all bins that are not tight
 partitions together with those of the other partitions, and are packed again, as long as that saves sequences.
 
 Token ids come from the vocabulary file of the `tokenizers` format; the merge work is done by `tiktoken` over the same
-ranks, because `tokenizers` itself takes about five times the CPU time. The first text of every Arrow batch is encoded
-with both, and a difference raises an error.
+ranks, because `tokenizers` itself takes about five times the CPU time. Texts that hold an added token of the file go
+to `tokenizers` as it is. The first text of every Arrow batch is encoded with both, and a difference raises an error.
 
 Cases: null text is empty, and an empty document is one piece that holds only the closing id; repeated rows (and equal
 or null doc_ids) are packed one by one; an empty table gives an empty result; further columns are ignored.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from functools import cache
 
@@ -52,7 +53,7 @@ def _byte_letters() -> dict[str, int]:
 
 @cache
 def encoders(path: str):
-    """The fast encoder and the file's own, once per Python worker."""
+    """The fast encoder, the file's own and a pattern of the file's added tokens, once per Python worker."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -61,22 +62,28 @@ def encoders(path: str):
         spec = json.load(f)
     letters, special = _byte_letters(), {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), own
+    added = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)", re.IGNORECASE)
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path), added
+
+
+def token_ids(text: str, path: str) -> np.ndarray:
+    """The ids that `tokenizers` gives."""
+    fast, own, added = encoders(path)
+    return np.array(own.encode(text).ids, np.uint32) if added.search(text) else fast.encode_to_numpy(text, disallowed_special=())
 
 
 def _tokenised(path: str | None):
     def run(batches):
-        fast, own = encoders(path or vocabulary_path())
+        file = path or vocabulary_path()
+        own = encoders(file)[1]
         task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             texts = batch.column("text")
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 text = texts[i].as_py() or ""
-                ids = fast.encode_to_numpy(text, disallowed_special=())
-                if i == 0 and own.encode(text, add_special_tokens=False).ids != ids.tolist():
+                ids = token_ids(text, file)
+                if i == 0 and own.encode(text).ids != ids.tolist():
                     raise ValueError(f"encoders differ on doc_id {doc_id}")
                 ids = np.append(ids.astype("<u4"), np.array([CLOSING_ID], "<u4"))
                 n = len(ids)
