@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where the files of materialised stages are.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder is made and set for the session.
+    Where the setting is absent, a session in one process (tests) gets a temporary folder; on a cluster it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cofferlake.shared.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cofferlake-")
         spark.conf.set("cofferlake.shared.dir", found)
     return found.rstrip("/")
@@ -35,7 +42,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _PATHS[read] = path
+    return read
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete the files of materialised stages whose results nothing will read again."""
+    for stage in stages:
+        jpath = stage.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(stage))
+        jpath.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def release(spark: SparkSession) -> None:

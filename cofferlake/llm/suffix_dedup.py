@@ -9,14 +9,17 @@ move into new groups just above their own, those pointed at more often higher; t
 with one Lyndon prefix. A second pass over the growing array emits each group's order along the same pointers. No
 renaming and no recursion.
 
-Spark finds what has to be sorted at all. Of each string of LENGTH bytes one 16-byte anchor is chosen by least hash, so
-equal strings have equal anchors, and about every 18th position is one. (1) Tasks deal the anchors' hashes over
-buckets, packed; a bucket answers with the anchors that documents share. (2) Exact copies of a document with a smaller id are
-settled at once; other documents that share anchors emit, for each such anchor, a key of the stretch of text whose
-strings chose it. (3) Equal stretches collapse to one with its least doc_id;
-an anchor with a single stretch is settled; the stretches of every other anchor form a suffix array, whose neighbours
-with LENGTH common bytes give each string's least doc_id. Anchors with more than ``SPLIT`` different stretches are
-split by string instead. (4) Removed starts return to the documents.
+Spark finds what has to be sorted at all. Documents lie in chunks of about ``CHUNK`` bytes, and all that travels is
+gathered by chunk first, so a passage that a third of all documents hold counts once in a chunk. Of each string of
+LENGTH bytes one anchor of ``GRAM`` bytes is chosen by least hash; equal strings have equal anchors. (1) Chunks deal
+the hashes of their anchors over buckets; a bucket answers each chunk with those that several documents hold. (2) For
+these anchors a chunk sends its different stretches, the text whose strings chose the anchor, each with its least
+doc_id. A bucket leaves out stretches none of whose strings occurs twice by hash; suffix arrays over the others, anchor
+by anchor, find equal strings as neighbours with LENGTH common bytes, and give each string's least doc_id. (3) Chunks
+remove what starts with a smaller doc_id. An anchor that more than ``SPLIT`` documents hold is hot: its strings are dealt
+one by one instead of in stretches, so no bucket grows with it.
+
+Exact copies of a document with a smaller doc_id are settled by their digest. They send nothing.
 
 Cases: null text is empty; a null doc_id is neither source nor target and nothing of it is removed; rows that repeat a
 doc_id never remove each other; texts under LENGTH bytes stay; an empty table gives an empty result; further columns
@@ -30,20 +33,25 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofferlake.llm import textvec as tv
-from cofferlake.llm.common import materialise, release
+from cofferlake.llm.common import discard, materialise, release
 
-LENGTH, GRAM = 50, 16
-#: Anchors in a bucket; different stretches of one anchor that are sorted together.
-PER_BUCKET, SPLIT = 200_000, 2_000
+LENGTH, GRAM = 50, 24
+#: Bytes of text in a chunk; anchors in a bucket; documents of an anchor whose stretches are sorted together.
+CHUNK, PER_BUCKET, SPLIT = 4 << 20, 200_000, 4_000
+#: Strings that can choose one anchor, and the longest stretch, rounded up to whole words of 8 bytes.
 _SPAN = LENGTH - GRAM + 1
-#: The bits of an anchor's hash that are dealt; the rest is compared later.
-_TOP = np.uint64((1 << 64) - (1 << 16))
-_PIECE = (1 << 20) - 4 * LENGTH
-_LOW = np.uint64((1 << 20) - 1)
+_WIDE = -(-(LENGTH + _SPAN - 1) // 8) * 8
+_PIECE = 1 << 17
+_PLACE = np.uint64(2 * _PIECE - 1)
+_LOW48 = np.uint64((1 << 48) - 1)
+_ODD = tv.mix(np.arange(1, _WIDE // 8 + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -158,185 +166,323 @@ def least_ids(stretches: list[bytes], ids: list[int], length: int = LENGTH) -> l
     return out
 
 
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, first start, number of starts): consecutive strings of LENGTH bytes with one anchor."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for lo in range(0, max(len(data) - LENGTH + 1, 0), _PIECE):
-        piece = data[lo : lo + _PIECE + LENGTH - 1]
-        n = len(piece) - LENGTH + 1
-        if n <= 0:
-            break
-        ends = np.arange(GRAM, len(piece) + 1)
-        with np.errstate(over="ignore"):
-            sums = tv._at(piece, tv.AS_WRITTEN, np.arange(len(piece) + 1))
-            h = tv.mix((sums[ends] - sums[ends - GRAM]) * tv._inverse_power(ends - GRAM))
-        least = h & ~_LOW | np.arange(len(h), dtype=np.uint64)
+def _folded(words: list[np.ndarray]) -> np.ndarray:
+    """64-bit hash of rows given word by word."""
+    with np.errstate(over="ignore"):
+        h = words[0] * _ODD[0]
+        for word, odd in zip(words[1:], _ODD[1:]):
+            h ^= h >> np.uint64(29)
+            h += word * odd
+        return tv.mix(h)
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first start, number of starts): consecutive strings of LENGTH bytes in live documents with one anchor."""
+    total = max(len(data) - LENGTH + 1, 0)
+    usable = np.zeros(total, bool)
+    for k in np.flatnonzero(live).tolist():
+        usable[offs[k] : max(offs[k + 1] - LENGTH + 1, offs[k])] = True
+    words = np.ndarray((max(len(data) - 7, 0),), "<u8", data.tobytes(), 0, (1,)) if total else None
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for lo in range(0, total, _PIECE):
+        hi = min(lo + _PIECE, total)
+        ok, grams = usable[lo:hi], hi - lo + _SPAN - 1
+        if not ok.any():
+            continue
+        h = _folded([words[lo + at : lo + at + grams] for at in range(0, GRAM, 8)])
+        least = h & ~_PLACE | np.arange(grams, dtype=np.uint64)
         width = 1
         while width * 2 <= _SPAN:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < _SPAN:
             least = np.minimum(least[: len(least) - (_SPAN - width)], least[_SPAN - width :])
-        at = (least[:n] & _LOW).astype(np.int64)
-        start = np.arange(lo, lo + n)
-        doc = tv.owner(offs, start)
-        inside = start + LENGTH <= offs[doc + 1]
-        start, at, doc = start[inside], at[inside], doc[inside]
-        if not len(start):
-            continue
-        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
+        at = (least & _PLACE).astype(np.int32)
+        other = at[1:] != at[:-1]
+        first = np.flatnonzero(ok & np.concatenate([[True], other | ~ok[:-1]]))
+        last = np.flatnonzero(ok & np.concatenate([other | ~ok[1:], [True]]))
         parts[0].append(h[at[first]])
-        parts[1].append(doc[first])
-        parts[2].append(start[first] - offs[doc[first]])
-        parts[3].append(np.diff(np.append(first, len(start))))
-    empty = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
-    return tuple(np.concatenate(p) if p else e for p, e in zip(parts, empty, strict=True))
+        parts[1].append(lo + first)
+        parts[2].append(last - first + 1)
+    return tuple(np.concatenate(p) for p in parts)
+
+
+def _rows(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] as rows of _WIDE bytes, filled up with zeros."""
+    padded = np.concatenate([data, np.zeros(_WIDE, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, _WIDE)[start] if len(start) else np.zeros((0, _WIDE), np.uint8)
+    return np.where(np.arange(_WIDE) < size[:, None], out, 0).astype(np.uint8)
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(rows).view("<u8")
+    return _folded([words[:, k] for k in range(words.shape[1])])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted columns."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(bucket: np.ndarray) -> list[tuple[int, int]]:
+    at = _starts(bucket)
+    return list(zip(at.tolist(), np.append(at[1:], len(bucket)).tolist()))
+
+
+def _chunked(batches):
+    """One row for each chunk: ids, ends, the compressed text, and the distinct digests with their least id."""
+    task, count = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for lo, hi, data, offs in tv.text_slices(batch.column("text"), CHUNK):
+            ids = batch.column("doc_id").slice(lo, hi - lo)
+            digests = [hashlib.sha256(data[a:b].data).digest() for a, b in zip(offs, offs[1:])]
+            least: dict[bytes, int] = {}
+            for d, i in zip(digests, ids.to_pylist()):
+                if i is not None:
+                    least[d] = min(i, least.get(d, i))
+            columns = [[(task << 32) + count], [ids.to_pylist()], [offs[1:].tolist()], [b"".join(digests)], [list(least)], [list(least.values())], [zstandard.ZstdCompressor(level=1).compress(data.tobytes())]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["chunk", "ids", "ends", "digests", "distinct", "least", "blob"])
+            count += 1
+
+
+_CHUNKED = "chunk long, ids array<long>, ends array<long>, digests binary, distinct array<binary>, least array<long>, blob binary"
+
+
+class _Chunk:
+    """The documents of a chunk row; ``first`` tells the least id of digests that other chunks also hold."""
+
+    def __init__(self, table: pa.Table, first: dict[bytes, int]):
+        row = {c: table.column(c)[0] for c in table.column_names}
+        self.number = row["chunk"].as_py()
+        ids = row["ids"].values
+        self.named = np.asarray(ids.is_valid())
+        self.ids = np.asarray(pc.fill_null(ids, 0))
+        self.offs = np.concatenate([[0], np.asarray(row["ends"].values)]).astype(np.int64)
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["blob"].as_py(), max_output_size=max(int(self.offs[-1]), 1)), np.uint8)
+        known = dict(zip(row["distinct"].as_py(), row["least"].as_py()))
+        known |= {d: min(i, known[d]) for d, i in first.items()}
+        digests = row["digests"].as_py()
+        least = np.array([known.get(digests[32 * k : 32 * k + 32], 0) for k in range(len(self.ids))], np.int64)
+        self.copy = self.named & (self.ids > least)
+
+
+def _column(table: pa.Table, name: str) -> list:
+    return table.column(name).to_pylist()
 
 
 def _dealt(buckets: int):
-    """Anchor hashes and doc_ids packed by bucket, one of each pair in a slice of text."""
-
-    def run(batches):
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
-            for lo, _, data, offs in tv.text_slices(batch.column("text")):
-                h, doc, _, _ = anchors(data, offs)
-                pair = np.unique(np.column_stack([h, doc.astype(np.uint64)]), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-                h, doc = pair[:, 0], ids[lo + pair[:, 1].astype(np.int64)]
-                bucket = (h >> np.uint64(44)).astype(np.int64) * buckets >> 20
-                order = np.lexsort((doc, bucket))
-                bucket, h, doc = bucket[order], h[order], doc[order]
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-                packed = []
-                for a, b in zip(cut, np.append(cut[1:], len(bucket))):
-                    packed.append(np.ascontiguousarray(h[a:b]).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() + np.diff(doc[a:b], prepend=0).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+    """Hashes of a chunk's anchors by bucket, six bytes each, and how many of its documents hold them."""
+
+    def run(chunks: pa.Table, copies: pa.Table) -> pa.Table:
+        chunk = _Chunk(chunks, dict(zip(_column(copies, "digest"), _column(copies, "first"))))
+        h, start, _ = anchors(chunk.data, chunk.offs, chunk.named & ~chunk.copy)
+        doc = tv.owner(chunk.offs, start)
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        h = h[_starts(h, doc)]
+        at = _starts(h)
+        docs = np.minimum(np.diff(np.append(at, len(h))), 65535).astype("<u2")
+        h = h[at]
+        bucket, packed = _bucket(h, buckets), []
+        for a, b in _cuts(bucket):
+            packed.append(np.ascontiguousarray(h[a:b]).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + docs[a:b].tobytes())
+        cut = _starts(bucket)
+        return pa.Table.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), chunk.number, np.int64)), pa.array(packed, pa.binary())], names=["bucket", "chunk", "packed"])
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """(doc_id, h) of the anchors in a bucket that several documents hold."""
-    hs, docs = [], []
-    for packed in table.column("packed").to_pylist():
-        n = len(packed) // 14
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, 2:] = np.frombuffer(packed, np.uint8, 6 * n).reshape(n, 6)
-        hs.append(wide.view(np.uint64).ravel())
-        docs.append(np.cumsum(np.frombuffer(packed, np.int64, n, 6 * n)))
-    h, doc = np.concatenate(hs), np.concatenate(docs)
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    end = np.append(begin[1:], len(h))
-    many = np.repeat(doc[begin] < doc[end - 1], end - begin)
-    return pa.Table.from_arrays([pa.array(doc[many]), pa.array(h[many].view(np.int64))], names=["doc_id", "h"])
-
-
-_FINISHED = {"doc_id": pa.int64(), "text_key": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
-_STRETCH = {"text": pa.binary(), "h": pa.int64(), "key": pa.binary(), "start": pa.int32(), "n": pa.int32()}
-_ROWS = "doc_id long, text_key long, n_bytes long, n_removed long, kept_sha256 string, text binary, h long, key binary, start int, n int"
-
-
-def _stretches(batches):
-    """Finished rows of copies and of documents that share no anchor; else the text, and a key of each shared stretch."""
-    kinds = _FINISHED | _STRETCH
-    for batch in batches:
-        ids, keys, copies, shared = (batch.column(c) for c in ("doc_id", "text_key", "is_copy", "hs"))
-        ids, keys, copies = ids.to_pylist(), keys.to_pylist(), copies.to_pylist()
-        for lo, hi, data, offs in tv.text_slices(batch.column("text")):
-            out = {k: [] for k in kinds}
-
-            def add(*values, out=out):
-                for column, value in zip(out.values(), values, strict=True):
-                    column.append(value)
-
-            open_ = []
-            for k in range(lo, hi):
-                text = data[offs[k - lo] : offs[k - lo + 1]].tobytes()
-                if copies[k] or not shared[k].is_valid:
-                    gone = copies[k] and len(text) >= LENGTH
-                    add(ids[k], keys[k], len(text), len(text) if gone else 0, hashlib.sha256(b"" if gone else text).hexdigest(), None, None, None, None, None)
-                else:
-                    add(ids[k], keys[k], len(text), None, None, text, None, None, None, None)
-                    open_.append(k)
-            if open_:
-                h, doc, start, n = anchors(data, offs)
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                for k in open_:
-                    a, b = cut[k - lo], cut[k - lo + 1]
-                    known = shared[k].values.to_numpy().view(np.uint64)
-                    for i in a + np.flatnonzero(np.isin(h[a:b] & _TOP, known)):
-                        at = offs[k - lo] + start[i]
-                        key = hashlib.blake2b(data[at : at + n[i] + LENGTH - 1].tobytes(), digest_size=16).digest()
-                        add(ids[k], keys[k], None, None, None, None, int(h[i].view(np.int64)), key, int(start[i]), int(n[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind) for k, kind in kinds.items()], names=list(kinds))
-
-
-def _sorted_blocks(table: pa.Table) -> pa.Table:
-    """Least doc_id of each string, for the stretches of each anchor in a bucket."""
-    order = np.argsort(table.column("h").to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    h = table.column("h").to_numpy()
-    stretches, ids, least = table.column("stretch").to_pylist(), table.column("first").to_pylist(), []
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    for a, b in zip(cut, np.append(cut[1:], len(h))):
-        least += least_ids(stretches[a:b], ids[a:b])
-    return pa.Table.from_arrays([table.column("h"), table.column("key"), pa.array(least, pa.list_(pa.int64()))], names=["h", "key", "least"])
-
-
-def _removed(batches):
-    for batch in batches:
-        found = {k: [] for k in ("n_removed", "n_spans", "kept_sha256")}
-        starts = batch.column("starts")
-        for k, text in enumerate(batch.column("text")):
-            data = np.frombuffer(text.as_py(), np.uint8)
-            step = np.zeros(len(data) + 1, np.int64)
-            if starts[k].is_valid:
-                at = starts[k].values.field("start").to_numpy()
-                np.add.at(step, at, 1)
-                np.add.at(step, at + starts[k].values.field("n").to_numpy() + LENGTH - 1, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            found["n_removed"].append(int(gone.sum()))
-            found["n_spans"].append(int((gone[1:] & ~gone[:-1]).sum() + (gone[:1].sum())))
-            found["kept_sha256"].append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(found["n_removed"], pa.int64()), pa.array(found["n_spans"], pa.int64()), pa.array(found["kept_sha256"], pa.string())], names=["doc_id", "n_bytes", *found])
+def _six(packed: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(packed, np.uint8, 6 * n).reshape(6, n).T
+    return wide.view("<u8").ravel()
+
+
+def _shared(split: int):
+    """For each chunk the anchors of a bucket that several documents hold, and which are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        packed = _column(table, "packed")
+        sizes = np.array([len(p) // 8 for p in packed])
+        h = np.concatenate([_six(p, n) for p, n in zip(packed, sizes)])
+        docs = np.concatenate([np.frombuffer(p, "<u2", n, 6 * n) for p, n in zip(packed, sizes)]).astype(np.int64)
+        distinct, where = np.unique(h, return_inverse=True)
+        total = np.bincount(where, weights=docs, minlength=len(distinct))[where]
+        ends = np.cumsum(sizes)
+        chunks, answers = [], []
+        for chunk, a, b in zip(_column(table, "chunk"), ends - sizes, ends):
+            mine = a + np.flatnonzero(total[a:b] > 1)
+            if len(mine):
+                chunks.append(chunk)
+                answers.append(np.ascontiguousarray(h[mine]).view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + (total[mine] > split).astype(np.uint8).tobytes())
+        return pa.Table.from_arrays([pa.array(chunks, pa.int64()), pa.array(answers, pa.binary())], names=["chunk", "shared"])
+
+    return run
+
+
+_REQUEST = {"bucket": pa.int64(), "chunk": pa.int64(), "h": pa.binary(), "n": pa.binary(), "first": pa.binary(), "text": pa.binary()}
+_OCCURRENCES = "copies binary, kinds binary, at binary, kind binary"
+
+
+def _requests(buckets: int):
+    """The stretches that a chunk asks about, by bucket, and in a row of its own where they occur."""
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        first = {d: i for d, i in zip(_column(answers, "digest"), _column(answers, "first")) if d is not None}
+        chunk = _Chunk(chunks, first)
+        packed = [p for p in _column(answers, "shared") if p is not None]
+        known = np.concatenate([np.zeros(0, np.uint64), *[_six(p, len(p) // 7) for p in packed]])
+        hot = np.concatenate([np.zeros(0, bool), *[np.frombuffer(p, np.uint8, len(p) // 7, len(p) // 7 * 6) > 0 for p in packed]])
+        order = np.argsort(known, kind="stable")
+        known, hot = known[order], hot[order]
+        h = start = n = np.zeros(0, np.int64)
+        if len(known):
+            h, start, n = anchors(chunk.data, chunk.offs, chunk.named & ~chunk.copy)
+            low = h & _LOW48
+            place = np.minimum(np.searchsorted(known, low), len(known) - 1)
+            asked = known[place] == low
+            h, start, n, hot = h[asked], start[asked], n[asked], hot[place[asked]]
+            # Strings of hot anchors one by one.
+            single = np.repeat(start[hot], n[hot]) + np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            h, start, n = np.concatenate([h[~hot], np.zeros(len(single), np.uint64)]), np.concatenate([start[~hot], single]), np.concatenate([n[~hot], np.ones(len(single), np.int64)])
+        rows = _rows(chunk.data, start, n + LENGTH - 1)
+        key = _row_hash(rows)
+        h = np.where(h == 0, key, h).astype(np.uint64)
+        ids = chunk.ids[tv.owner(chunk.offs, start)]
+        order = np.lexsort((ids, key, h))
+        h, key, start, n, ids, rows = h[order], key[order], start[order], n[order], ids[order], rows[order]
+        at = _starts(h, key)
+        kind = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+        out = {k: [] for k in [*_REQUEST, "copies", "kinds", "at", "kind"]}
+
+        def add(*values) -> None:
+            for column, value in zip(out.values(), values):
+                column.append(value)
+
+        sizes = n[at].astype(np.uint8)
+        add(-1, chunk.number, None, None, None, None, chunk.copy.tobytes(), sizes.tobytes(), start.astype("<i4").tobytes(), kind.astype("<i4").tobytes())
+        text = rows[at]
+        inside = np.arange(_WIDE) < (n[at] + LENGTH - 1)[:, None]
+        for a, b in _cuts(_bucket(h[at], buckets)):
+            part = slice(a, b)
+            bucket = int(_bucket(h[at[a] : at[a] + 1], buckets)[0])
+            add(bucket, chunk.number, h[at[part]].tobytes(), sizes[part].tobytes(), ids[at[part]].tobytes(), text[part][inside[part]].tobytes(), None, None, None, None)
+        return pa.Table.from_arrays([pa.array(v, _REQUEST.get(k, pa.binary())) for k, v in out.items()], names=list(out))
+
+    return run
+
+
+def _repeated(rows: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which stretches hold a string that occurs twice among those of its anchor, going by hashes."""
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(_SPAN):
+        have = np.flatnonzero(n > at)
+        if not len(have):
+            break
+        string = np.zeros((len(have), -(-LENGTH // 8) * 8), np.uint8)
+        string[:, :LENGTH] = rows[have, at : at + LENGTH]
+        keys.append(tv.mix(_row_hash(string) ^ h[have]))
+        owner.append(have)
+    _, where, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    out = np.zeros(len(n), bool)
+    out[np.concatenate(owner)[count[where] > 1]] = True
+    return out
+
+
+def _judged(table: pa.Table) -> pa.Table:
+    """For each chunk's request the least doc_id of every string of its stretches, in the order asked."""
+    join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in _column(table, c)])
+    h, n, first, text = join("h", "<u8"), join("n", np.uint8).astype(np.int64), join("first", "<i8"), join("text", np.uint8)
+    size = n + LENGTH - 1
+    rows = _rows(text, np.cumsum(size) - size, size)
+    key = _row_hash(rows)
+    order = np.lexsort((first, key, h))
+    at = _starts(h[order], key[order])
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
+    one = order[at]  # a row of each different stretch, with its least doc_id
+    rows, sizes, kinds_n, least_id, anchor = rows[one], size[one], n[one], first[one], h[one]
+    begin = np.cumsum(kinds_n) - kinds_n
+    least = np.repeat(least_id, kinds_n)
+    group = _starts(anchor)
+    several = np.repeat(np.diff(np.append(group, len(anchor))) > 1, np.diff(np.append(group, len(anchor))))
+    open_ = np.flatnonzero(several)
+    open_ = open_[_repeated(rows[open_], kinds_n[open_], anchor[open_])]
+    for a, b in _cuts(anchor[open_]):
+        these = open_[a:b]
+        found = least_ids([rows[i, : sizes[i]].tobytes() for i in these], least_id[these].tolist())
+        for i, values in zip(these, found):
+            least[begin[i] : begin[i] + kinds_n[i]] = values
+    answer = least[np.repeat(begin[kind], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    ends = np.cumsum([sum(x) for x in _column(table, "n")])
+    parts = [answer[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)]
+    return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), pa.array(parts, pa.binary())], names=["chunk", "bucket", "least"])
+
+
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _removed(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+    chunk = _Chunk(chunks, {})
+    own = answers.filter(pc.equal(answers.column("bucket"), -1))
+    copy, n, at, kind = (np.frombuffer(own.column(c)[0].as_py(), k) for c, k in (("copies", bool), ("kinds", np.uint8), ("at", "<i4"), ("kind", "<i4")))
+    judged = answers.filter(pc.not_equal(answers.column("bucket"), -1)).sort_by("bucket")
+    least = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, "<i8") for x in _column(judged, "least")]])
+    begin = np.cumsum(n.astype(np.int64)) - n
+    many = n[kind].astype(np.int64)
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    start = np.repeat(at.astype(np.int64), many) + step
+    ids = np.repeat(chunk.ids[tv.owner(chunk.offs, at.astype(np.int64))], many)
+    start = start[least[np.repeat(begin[kind], many) + step] < ids]
+    change = np.bincount(start, minlength=len(chunk.data) + 1)[: len(chunk.data) + 1] - np.bincount(start + LENGTH, minlength=len(chunk.data) + 1)[: len(chunk.data) + 1]
+    gone = np.cumsum(change[:-1]) > 0
+    for k in np.flatnonzero(copy & (np.diff(chunk.offs) >= LENGTH)).tolist():
+        gone[chunk.offs[k] : chunk.offs[k + 1]] = True
+    count = np.concatenate([[0], np.cumsum(gone)])
+    opens = gone & ~np.concatenate([[False], gone[:-1]])
+    inner = chunk.offs[:-1][chunk.offs[:-1] < len(gone)]
+    opens[inner] = gone[inner]
+    spans = np.concatenate([[0], np.cumsum(opens)])
+    digests = []
+    for a, b in zip(chunk.offs, chunk.offs[1:]):
+        part = chunk.data[a:b]
+        digests.append(hashlib.sha256((part[~gone[a:b]] if count[b] > count[a] else part).tobytes()).hexdigest())
+    return pa.Table.from_arrays(
+        [chunks.column("ids")[0].values, pa.array(np.diff(chunk.offs)), pa.array(count[chunk.offs[1:]] - count[chunk.offs[:-1]]), pa.array(spans[chunk.offs[1:]] - spans[chunk.offs[:-1]]), pa.array(digests, pa.string())],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    )
 
 
 def remove_repeats(docs: DataFrame, per_bucket: int = PER_BUCKET, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(1, min(1 << 20, math.ceil(size / 18 / per_bucket)))
-    dealt = docs.where("doc_id is not null").mapInArrow(_dealt(buckets), "bucket long, packed binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared, "doc_id long, h long").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    digests = keyed.where("doc_id is not null").select("doc_id", "text_key", F.unhex(F.sha2("text", 256)).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    copies = digests.join(firsts, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("text_key").alias("copy_keys"))
-    known = shared.join(copies, "doc_id", "full_outer")
-    keyed = keyed.join(known, "doc_id", "left").select("doc_id", "text_key", "text", "hs", F.coalesce(F.array_contains("copy_keys", F.col("text_key")), F.lit(False)).alias("is_copy"))
-    rows = materialise(keyed.mapInArrow(_stretches, _ROWS), "stretches")
-    release(docs.sparkSession)
-    stretches = rows.where("h is not null").select("doc_id", "text_key", "h", "key", "start", "n")
-    texts = rows.where("text is not null").select("doc_id", "text_key", "n_bytes", "text")
-    unique = materialise(stretches.groupBy("h", "key").agg(F.min(F.struct("doc_id", "text_key", "start", "n")).alias("at")).select("h", "key", F.col("at.doc_id").alias("first"), "at"), "unique")
-    sizes = unique.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = unique.join(sizes, "h").select("h", "key", "first", "kinds", F.col("at.doc_id").alias("doc_id"), F.col("at.text_key").alias("text_key"), "at.start", "at.n")
-    several = several.join(texts.drop("n_bytes"), ["doc_id", "text_key"]).withColumn("stretch", F.substring("text", F.col("start") + 1, F.col("n") + LENGTH - 1)).select("h", "key", "first", "kinds", "n", "stretch")
-    several = materialise(several, "several")
-    blocks = several.where(F.col("kinds") <= split).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(16 * buckets)))
-    small = blocks.select("bucket", "h", "key", "first", "stretch").groupBy("bucket").applyInArrow(_sorted_blocks, "h long, key binary, least array<long>")
-    strings = several.where(F.col("kinds") > split).select("h", "key", "first", F.posexplode(F.expr(f"transform(sequence(1, n), i -> substring(stretch, i, {LENGTH}))")).alias("at", "string"))
-    least = strings.groupBy("h", "string").agg(F.min("first").alias("least"))
-    large = strings.join(least, ["h", "string"]).groupBy("h", "key").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("l")).select("h", "key", F.col("l.least").alias("least"))
-    single = unique.join(sizes, "h", "left_anti").select("h", "key", F.array("first").alias("least"))
-    judged = materialise(single.unionByName(small).unionByName(large), "judged")
-    one = F.when(F.element_at("least", 1) < F.col("doc_id"), F.array(F.struct("start", "n"))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
-    each = F.filter(F.transform("least", lambda m, j: F.struct((F.col("start") + j).alias("start"), F.when(m < F.col("doc_id"), 1).alias("n"))), lambda s: s["n"].isNotNull())
-    hits = stretches.join(judged, ["h", "key"]).select("doc_id", "text_key", F.when(F.size("least") == F.col("n"), each).otherwise(one).alias("starts")).where(F.size("starts") > 0)
-    hits = hits.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    release(docs.sparkSession)
-    finished = rows.where("kept_sha256 is not null").select("doc_id", "n_bytes", "n_removed", F.when(F.col("n_removed") > 0, 1).otherwise(0).cast("long").alias("n_spans"), "kept_sha256")
-    affected = texts.join(hits, ["doc_id", "text_key"], "left")
-    return affected.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").unionByName(finished)
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    chunks = materialise(docs.mapInArrow(_chunked, _CHUNKED), "chunks")
+    size = chunks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    buckets = max(1, math.ceil(2 * size / (_SPAN + 1) / per_bucket))
+    entries = chunks.select("chunk", F.explode(F.arrays_zip("distinct", "least")).alias("e")).select("chunk", F.col("e.distinct").alias("digest"), "e.least")
+    firsts = entries.groupBy("digest").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = materialise(entries.join(firsts, "digest").where("least > first").select("chunk", "digest", "first"), "copies")
+    by_chunk = chunks.groupBy("chunk")
+    dealt = by_chunk.cogroup(copies.groupBy("chunk")).applyInArrow(_dealt(buckets), "bucket long, chunk long, packed binary")
+    shared = materialise(dealt.groupBy("bucket").applyInArrow(_shared(split), "chunk long, shared binary"), "shared")
+    release(spark)
+    answers = shared.unionByName(copies, allowMissingColumns=True)
+    asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_requests(buckets), f"bucket long, chunk long, h binary, n binary, first binary, text binary, {_OCCURRENCES}")
+    asked = materialise(asked, "requests")
+    discard(shared, copies)
+    release(spark)
+    requests = asked.where("bucket >= 0").select("bucket", "chunk", "h", "n", "first", "text")
+    judged = materialise(requests.groupBy("bucket").applyInArrow(_judged, "chunk long, bucket long, least binary"), "judged")
+    own = materialise(asked.where("bucket < 0").select("chunk", "bucket", "copies", "kinds", "at", "kind"), "own")
+    discard(asked)
+    release(spark)
+    return by_chunk.cogroup(own.unionByName(judged, allowMissingColumns=True).groupBy("chunk")).applyInArrow(_removed, _RESULT)
