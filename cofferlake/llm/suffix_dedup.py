@@ -201,7 +201,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, live: np.ndarray) -> tuple[np.nd
         other = at[1:] != at[:-1]
         first = np.flatnonzero(ok & np.concatenate([[True], other | ~ok[:-1]]))
         last = np.flatnonzero(ok & np.concatenate([other | ~ok[1:], [True]]))
-        parts[0].append(h[at[first]])
+        parts[0].append(tv.mix(h[at[first]]))  # least hashes lie near 0, buckets want even ones
         parts[1].append(lo + first)
         parts[2].append(last - first + 1)
     return tuple(np.concatenate(p) for p in parts)
@@ -247,7 +247,7 @@ def _chunked(batches):
             for d, i in zip(digests, ids.to_pylist()):
                 if i is not None:
                     least[d] = min(i, least.get(d, i))
-            columns = [[(task << 32) + count], [ids.to_pylist()], [offs[1:].tolist()], [b"".join(digests)], [list(least)], [list(least.values())], [zstandard.ZstdCompressor(level=1).compress(data.tobytes())]]
+            columns = [[(task << 32) + count], [ids.to_pylist()], [offs[1:].tolist()], [b"".join(digests)], [list(least)], [list(least.values())], [zstandard.ZstdCompressor(level=3).compress(data.tobytes())]]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["chunk", "ids", "ends", "digests", "distinct", "least", "blob"])
             count += 1
