@@ -5,11 +5,13 @@ the probability that any sentence is, the noisy-or 1 - prod(1 - p). Only documen
 the sentence scores then tell where the offence is.
 
 Training reads a bounded sample of labelled documents (``max_train``: those whose id hashes lowest, each class up to
-its share), so the model's cost does not grow with the corpus; scoring covers every whole text.
+its share), so the model's cost does not grow with the corpus; words are counted by class in Spark, and the driver gets
+only the few that tell the classes apart, with the sentences that hold them. Scoring covers every whole text.
 
-Cases: null and empty texts have no sentence and get the model's base probability for an empty bag, 0 clipped to a
-small positive number; repeated rows are scored one by one; a null label is no label; with labels of one class only,
-every score is 0; further columns are ignored. A null ``doc_id`` is scored and never trained on.
+Cases: null and empty texts have no sentence and score 0; repeated rows are scored one by one, and of rows that repeat
+a labelled doc_id the least text trains; a null label is no label; with labels of one class only, every score is 0. A
+null ``doc_id`` is scored and never trained on. Columns of ``docs`` named in ``keep`` pass through whatever their names
+(``renamed`` gives score, predicted and offending other names where they would clash); the others are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cofferlake.llm import textvec as tv
-from cofferlake.llm.common import bounded_sample
+from cofferlake.llm.common import bounded_sample, discard, materialise
 
 BITS = 18
 #: Bytes of the beginnings that count as features, so that unseen inflections of an insult are known by its stem.
@@ -67,47 +69,69 @@ def _softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def fit_noisy_or(words: np.ndarray, sentence: np.ndarray, bag: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None, *, least: int = 4, least_z: float = 4.5, l2: float = 2e-5, rounds: int = 250) -> tuple[np.ndarray, float]:
-    """Weights by hashed word and the intercept of a sentence.
+def known_words(bags: DataFrame, least: int = 4, least_z: float = 4.5) -> np.ndarray:
+    """Hashed words that tell the classes apart, counted in Spark over the bags (toxic, words).
 
     A word counts if ``least`` documents hold it and its shares in the two classes differ by ``least_z`` standard
-    errors; rarer or evenly spread words would only let the model learn training documents by heart. ``weight`` tells
-    for how many documents each one stands.
+    errors; rarer or evenly spread words would only let the model learn training documents by heart.
     """
-    doc, word = np.divmod(np.unique(bag[sentence] * (1 << BITS) + words), 1 << BITS)
-    n1 = max(label.sum(), 1)
-    n0 = max(len(label) - n1, 1)
-    in1, in_docs = np.bincount(word, weights=label[doc], minlength=1 << BITS), np.bincount(word, minlength=1 << BITS)
-    share = in_docs / len(label)
-    z = (in1 / n1 - (in_docs - in1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    known = np.flatnonzero((in_docs >= least) & (np.abs(z) >= least_z))
-    index = np.full(1 << BITS, -1)
-    index[known] = np.arange(len(known))
-    hit = index[words] >= 0
-    feature, where = np.divmod(np.unique(index[words[hit]] * len(bag) + sentence[hit]), len(bag))
-    n, k, m = len(label), len(known), len(bag)
-    sizes = np.maximum(np.bincount(bag, minlength=n), 1)
-    weight = np.full(n, 1 / n) if weight is None else weight / weight.sum()
+    n1, n = bags.agg(F.sum("toxic"), F.count("*")).first()
+    n1 = max(n1 or 0, 1)
+    n0 = max(n - n1, 1)
+    words = bags.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1"))
+    share = F.col("n") / n
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) * (1 / n1 + 1 / n0))
+    z = (F.col("n1") / n1 - (F.col("n") - F.col("n1")) / n0) / error
+    return np.array(sorted(r.word for r in words.where((F.col("n") >= least) & (F.abs(z) >= least_z)).select("word").collect()), dtype=np.int64)
+
+
+def _known_pairs(known: np.ndarray):
+    """Per bag the number of sentences, and the distinct pairs of a sentence and a known word that it holds."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, sentences, features = [], [], []
+            for words, bag in zip(batch.column("words"), batch.column("sentences"), strict=True):
+                words, bag = words.values.to_numpy().astype(np.int64), bag.values.to_numpy().astype(np.int64)
+                at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                hit = known[at] == words if len(known) else np.zeros(len(words), bool)
+                sentence, feature = np.divmod(np.unique(bag[hit] * max(len(known), 1) + at[hit]), max(len(known), 1))
+                sizes.append(int(bag[-1]) + 1 if len(bag) else 0)
+                sentences.append(sentence)
+                features.append(feature)
+            columns = [batch.column("doc_id"), batch.column("toxic"), pa.array(sizes, pa.int64()), pa.array(sentences, pa.list_(pa.int64())), pa.array(features, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "n_sentences", "sentences", "features"])
+
+    return run
+
+
+def fit_noisy_or(feature: np.ndarray, where: np.ndarray, bag: np.ndarray, plain: np.ndarray, label: np.ndarray, weight: np.ndarray, k: int, l2: float = 2e-5, rounds: int = 250) -> tuple[np.ndarray, float]:
+    """Weights of the ``k`` known words and the intercept of a sentence.
+
+    ``feature`` and ``where`` are the pairs of a word and a sentence, ``bag`` the document of each sentence with known
+    words, ``plain`` the number of a document's other sentences. ``weight`` tells for how many documents each stands.
+    """
+    n, m = len(label), len(bag)
+    sizes = np.maximum(np.bincount(bag, minlength=n) + plain, 1)
+    weight = weight / weight.sum()
     b = float(np.log(max(weight @ label, 1e-3) / (weight @ sizes)))
     w = np.zeros(k)
     mom, var, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, rounds + 1):
         z = b + np.bincount(where, weights=w[feature], minlength=m)
-        none = np.bincount(bag, weights=-_softplus(z), minlength=n)  # log of no toxic sentence
+        none = -np.bincount(bag, weights=_softplus(z), minlength=n) - plain * _softplus(b)  # log of no toxic sentence
         none = np.minimum(none, -1e-9)
         p = 1 / (1 + np.exp(-z))
         slope = np.where(label == 1, -np.exp(none) / -np.expm1(none), 1.0) * weight
         gz = slope[bag] * p
         gw = np.bincount(feature, weights=gz[where], minlength=k) + l2 * w
-        gb = gz.sum()
+        gb = gz.sum() + (slope * plain).sum() / (1 + np.exp(-b))
         mom, var = 0.9 * mom + 0.1 * gw, 0.999 * var + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.15 if t < rounds * 0.7 else 0.03
         w -= step * (mom / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.999**t)) + 1e-6)
         b -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
-    full = np.zeros(1 << BITS)
-    full[known] = w
-    return full, b
+    return w, b
 
 
 def in_training(doc_id) -> F.Column:
@@ -120,22 +144,34 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 3000) ->
     use = bounded_sample(labels.where("toxic = 1"), "doc_id", most[1]).unionByName(bounded_sample(labels.where("toxic = 0"), "doc_id", most[0]))
     # Each sampled document stands for its share of all training labels of its class.
     stands_for = {c: max(1.0, n / most[c]) for c, n in labels.groupBy("toxic").count().collect()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_bags, "doc_id long, toxic int, words array<int>, sentences array<int>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # Of rows that repeat a labelled doc_id the least text counts.
+    sample = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    bags = materialise(sample.mapInArrow(_bags, "doc_id long, toxic int, words array<int>, sentences array<int>"), "bags")
+    known = known_words(bags)
+    rows = bags.mapInArrow(_known_pairs(known), "doc_id long, toxic int, n_sentences long, sentences array<long>, features array<long>").toPandas().sort_values("doc_id")
+    discard(bags)
     if rows["toxic"].nunique() < 2:
         return None
-    counts = np.array([s[-1] + 1 if len(s) else 0 for s in rows["sentences"]])
-    base = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    sentence = np.concatenate([s + o for s, o in zip(rows["sentences"], base, strict=True)])
-    words = np.concatenate(list(rows["words"])).astype(np.int64)
-    return fit_noisy_or(words, sentence, np.repeat(np.arange(len(rows)), counts), rows["toxic"].to_numpy(), rows["toxic"].map(stands_for).to_numpy())
+    bag, where, begin = [], [], 0
+    for i, sentences in enumerate(rows["sentences"]):
+        distinct, place = np.unique(sentences, return_inverse=True)
+        bag.append(np.full(len(distinct), i))
+        where.append(begin + place)
+        begin += len(distinct)
+    bag, where = np.concatenate(bag).astype(np.int64), np.concatenate(where).astype(np.int64)
+    plain = rows["n_sentences"].to_numpy() - np.bincount(bag, minlength=len(rows))
+    w, b = fit_noisy_or(np.concatenate(list(rows["features"])).astype(np.int64), where, bag, plain, rows["toxic"].to_numpy(), rows["toxic"].map(stands_for).to_numpy(), len(known))
+    full = np.zeros(1 << BITS)
+    full[known] = w
+    return full, b
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000, keep: list[str] | None = None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000, keep: list[str] | None = None, renamed: dict[str, str] | None = None) -> DataFrame:
     """doc_id, score, predicted, and ``offending``: start and end byte and score of each sentence at or above one half.
 
-    ``keep`` names columns of ``docs`` to carry along (doc_id alone by default).
+    ``keep`` names columns of ``docs`` to carry along (doc_id alone by default), ``renamed`` other names of the results.
     """
+    named = {c: c for c in ("score", "offending", "predicted")} | (renamed or {})
     model = docs.sparkSession.sparkContext.broadcast(train_toxicity(docs, labels, max_train))
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
@@ -160,11 +196,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_train: int = 3000, k
                     here[d].append({"start": int(start[i] - offs[d]), "end": int(end[i] - offs[d]), "score": float(p[i])})
                 found += here
             value = np.clip(np.concatenate(total) if total else np.zeros(0), 0, 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(value), pa.array(found, spans)], names=[*keep, "score", "offending"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(value), pa.array(found, spans)], names=[*keep, named["score"], named["offending"]])
 
     keep = keep or ["doc_id"]
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select(*dict.fromkeys([*keep, "text"]))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in keep)
     keep = [f.name for f in docs.schema if f.name in keep]
-    out = docs.mapInArrow(score, kinds + "score double, offending array<struct<start:long,end:long,score:double>>")
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    out = docs.mapInArrow(score, kinds + f"`{named['score']}` double, `{named['offending']}` array<struct<start:long,end:long,score:double>>")
+    return out.withColumn(named["predicted"], (F.col(named["score"]) >= THRESHOLD).cast("int"))
