@@ -49,8 +49,11 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return sources.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def sampled_copies(sized: DataFrame, seed: str = "mix", cell_rows: int = 50_000) -> DataFrame:
-    """``sized`` (doc_id, source, size and any other columns) with source_size, target and copies."""
+def sampled_copies(sized: DataFrame, seed: str = "mix", cell_rows: int = 50_000, tie: tuple[str, ...] = ()) -> DataFrame:
+    """``sized`` (doc_id, source, size and any other columns) with source_size, target and copies.
+
+    Rows of equal size and doc_id are ordered by ``tie``. Column names that begin with an underscore are taken.
+    """
     kind = F.expr("length(bin(size)) * 16 + shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("long")
     sized = sized.withColumn("_kind", F.when(F.col("size") > 0, kind).otherwise(F.lit(0)))
     # Ranges are cut at sampled rows, some 20 for each range.
@@ -66,7 +69,7 @@ def sampled_copies(sized: DataFrame, seed: str = "mix", cell_rows: int = 50_000)
     firsts = counts.select(F.col("source").alias("_source"), F.col("_kind").alias("_k"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     targets = source_targets(sized.select("source", "size")).withColumnRenamed("source", "_of")
     firsts = firsts.join(targets, firsts["_source"].eqNullSafe(targets["_of"])).drop("_of")
-    rank = F.row_number().over(Window.partitionBy("source", "_kind", "_bucket").orderBy("size", F.col("doc_id").asc_nulls_last())) - 1
+    rank = F.row_number().over(Window.partitionBy("source", "_kind", "_bucket").orderBy("size", F.col("doc_id").asc_nulls_last(), *tie)) - 1
     out = placed.withColumn("_rank", rank)
     out = out.join(firsts, out["source"].eqNullSafe(firsts["_source"]) & (out["_kind"] == firsts["_k"]) & (out["_bucket"] == firsts["_b"]))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
@@ -87,9 +90,11 @@ def mixture(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The documents themselves, each as often as the mixture takes it."""
-    out = sampled_copies(docs.withColumn("size", word_count()), seed).where("copies > 0 and size > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The documents themselves, each as often as the mixture takes it; columns may have any names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long"), "source", word_count().alias("size"), F.xxhash64("text").alias("tie"), row.alias("row"))
+    out = sampled_copies(rows, seed, tie=("tie",)).where("copies > 0 and size > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The same result in DuckDB's SQL.
