@@ -33,6 +33,8 @@ from cofferlake.llm.common import materialise, scratch_path
 
 #: Bytes of records in one archive, size of a dictionary, bytes of records that train it.
 ROTATE, DICTIONARY, TRAINING = 24 << 20, 16 << 10, 1 << 20
+#: Repeated payloads whose table (some 60 bytes a row) may be broadcast.
+SMALL = 200_000
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
 _ZSTD = b"\x28\xb5\x2f\xfd"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -139,8 +141,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("digest"))
     repeated = pages.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    # Only ids travel for the look-up of payloads that repeat; unique payloads stay where they were read.
-    rows = pages.join(repeated, "digest", "left")
+    repeated = materialise(repeated, "repeated")
+    # A counted small table goes to the pages. A larger one makes them travel by digest; Spark splits hot digests then.
+    small = repeated.limit(SMALL + 1).count() <= SMALL
+    rows = pages.join(F.broadcast(repeated) if small else repeated, "digest", "left")
     is_response = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "html", "first", is_response.alias("is_response"))
     return materialise(rows.mapInArrow(_writer(folder.rstrip("/"), date), "path string, records long"), "archives")
