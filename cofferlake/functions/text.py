@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Latin letters that carry one of these combining marks, and the letters below; worked out by Unicode decomposition.
+_MARKED = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1}
+_MARKED = {c: d[0] for c, d in _MARKED.items() if all("\u0300" <= m <= "\u036f" for m in d[1:])}
+_ACCENTED, _PLAIN = "".join(_MARKED), "".join(_MARKED.values())
+
+
+#: Characters that count as blank around a cell.
+BLANKS = " \t\n\r\v\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def stripped(x: Column) -> Column:
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def no_accents(x: Column) -> Column:
-    return F.translate(x, _ACCENTED, _PLAIN)
+    """Latin letters without their marks, whether one character or a letter with combining marks."""
+    return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), "[\u0300-\u036f]", "")
 
 
 def normalize_name(x: Column) -> Column:
@@ -61,20 +73,17 @@ def parse_signed_number(x: Column) -> Column:
 
 
 def parse_number_holdings(x: Column) -> Column:
-    """Number in a holdings file: a lone comma is decimal, a dot before exactly three digits marks thousands.
+    """Number in a holdings file, without currency signs, blanks and the letters c, h, k, r.
 
-    Currency signs and the letters c, h, k, r go; of what remains the leading number counts ('3M' is 3).
+    Dots before groups of three digits mark thousands and the comma after them decimals; a lone comma before one or two
+    digits is decimal as well; all other commas go. Parentheses are a minus. Of what remains the leading number counts
+    ('3M' is 3), so letters in front ('CHF 12.5' leaves 'F12.5') give null.
     """
-    kept = F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"(?i)[€$£¥chkr\s'\"]", "")
-    dot, comma = F.instr(F.reverse(kept), "."), F.instr(F.reverse(kept), ",")
-    european = F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = (
-        F.when((dot > 0) & (comma > 0), F.when(comma < dot, european).otherwise(F.replace(kept, F.lit(","), F.lit(""))))
-        .when(comma > 0, european)
-        .when(kept.rlike(r"^-?[0-9]{1,3}(?:\.[0-9]{3})+$"), F.replace(kept, F.lit("."), F.lit("")))
-        .otherwise(kept)
-    )
-    return F.nullif(F.regexp_extract(number, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0), F.lit("")).try_cast("double")
+    kept = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?i)[€$£¥chkr\s\p{Z}\uFEFF]", "")
+    kept = F.regexp_replace(kept, r"^\((.+)\)$", "-$1")
+    grouped, decimal = kept.rlike(r"^[0-9]{1,3}(?:\.[0-9]{3})*(?:,[0-9]+)?$"), kept.rlike(r"^[0-9]+,[0-9]{1,2}$")
+    plain = F.when(grouped, F.translate(kept, ",.", ".")).when(decimal, F.translate(kept, ",", ".")).otherwise(F.translate(kept, ",", ""))
+    return F.nullif(F.regexp_extract(plain, r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0), F.lit("")).try_cast("double")
 
 
 #: Signs and codes of currencies in the order in which they are looked for.

@@ -8,13 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cofferlake.functions.text import clean_model_json, csv_separator, currency_of_text, is_isin, norm_header, normalize_date, parse_number_broker, parse_number_holdings, parse_signed_number
-
-WIDTH = 40
-_CELLS = ", ".join(f"c{i} string" for i in range(WIDTH))
+from cofferlake.functions.text import clean_model_json, csv_separator, currency_of_text, is_isin, norm_header, normalize_date, parse_number_broker, parse_number_holdings, parse_signed_number, stripped
 
 #: Names of columns in statements, as ``norm_header`` writes them.
 TRANSACTION_COLUMNS = {
@@ -90,10 +87,14 @@ def detect_broker(text: Column) -> Column:
 
 
 def split_csv(line: Column, separator: Column) -> Column:
-    """Cells of one line, trimmed; quoted fields may hold separators and doubled quotes."""
-    fields = lambda p: F.array(*[F.trim(p[f"c{i}"]) for i in range(WIDTH)])
-    cells = {s: F.get(F.transform(F.array(F.from_csv(line, _CELLS, {"sep": s, "escape": '"'})), fields), F.lit(0)) for s in (",", ";", "\t")}
-    return F.when(separator == ";", cells[";"]).when(separator == "\t", cells["\t"]).otherwise(cells[","])
+    """Cells of one line, trimmed, however many; quotes open and close anywhere, and doubled ones stand for one.
+
+    A quote that never closes runs to the end of the line. No part of the pattern backtracks.
+    """
+    closed = F.concat(line, F.when(F.regexp_count(line, F.lit('"')) % 2 == 1, '"').otherwise(""), separator)
+    cells = F.regexp_extract_all(closed, F.concat(F.lit('((?:"(?:[^"]++|"")*+"|[^"'), separator, F.lit(']++)*+)'), separator), F.lit(1))
+    plain = lambda c: stripped(F.replace(F.regexp_replace(c, '"((?:[^"]++|"")*+)"', "$1"), F.lit('""'), F.lit('"')))
+    return F.transform(cells, lambda c: F.when(c.contains('"'), plain(c)).otherwise(stripped(c)))
 
 
 def find_col(header: Column, names: tuple[str, ...]) -> Column:
@@ -242,8 +243,10 @@ def parse_statements(files: DataFrame) -> DataFrame:
 
 def import_report(events: DataFrame, sample: int = 12) -> DataFrame:
     """Rows by file and kind, with the first lines of each."""
-    line = F.struct("line_no", "identifier")
-    return events.groupBy("file", "kind").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(line)), 1, sample).alias("first"))
+    line, first = F.struct("line_no", "identifier"), Window.partitionBy("file", "kind").orderBy("line_no", "identifier")
+    shown = events.select("file", "kind", "line_no", "identifier", F.row_number().over(first).alias("_n")).where(F.col("_n") <= sample)
+    shown = shown.groupBy("file", "kind").agg(F.array_sort(F.collect_list(line)).alias("first"))
+    return events.groupBy("file", "kind").agg(F.count("*").alias("n")).join(shown, ["file", "kind"])
 
 
 # Holdings files -------------------------------------------------------------------------------------------------
@@ -255,7 +258,7 @@ def holdings_separator(text: Column) -> Column:
 
 
 def _cells_of(line: Column, separator: Column) -> Column:
-    return F.transform(F.split(line, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), F.lit(-1)), F.trim)
+    return F.transform(F.split(line, F.concat(F.lit("\\Q"), separator, F.lit("\\E")), F.lit(-1)), stripped)
 
 
 def holdings_columns(header: Column) -> Column:

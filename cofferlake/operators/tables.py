@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cofferlake.operators.ledger import rebuild_positions
+from cofferlake.sources.shared import delete_path
+
 #: Allowed types.
 TRANSACTION_TYPES = ("buy", "sell", "dividend", "fee", "split", "isin_change")
 MOVEMENT_TYPES = ("buy", "sell", "dividend", "split", "transfer", "adjustment", "valuation_update")
@@ -63,30 +66,49 @@ def write_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
 
 def replace_user_rows(spark: SparkSession, path: str, rows: DataFrame, users: DataFrame, buckets: int = BUCKETS) -> None:
-    """All rows of ``users`` become ``rows``; only the buckets of those users are written anew. Twice gives the same."""
+    """All rows of ``users`` become ``rows``; only the buckets of those users are written anew. Twice gives the same.
+
+    The new buckets are written beside the table first and replace the old ones from there, so a run that breaks off
+    can be repeated; buckets that nobody is left in go at the end.
+    """
     stored = spark.read.parquet(path)
     touched = with_bucket(users.select("user_id").distinct(), buckets)
     kept = stored.join(F.broadcast(touched.select("user_bucket").distinct()), "user_bucket", "left_semi").join(touched.select("user_id"), "user_id", "left_anti")
     new = kept.unionByName(with_bucket(rows, buckets), allowMissingColumns=True)
-    new = new.repartition("user_bucket").checkpoint()  # what is read is overwritten
+    staged = f"{path.rstrip('/')}-staged"
+    new.repartition("user_bucket").write.mode("overwrite").parquet(staged)
+    new = spark.read.schema(new.schema).parquet(staged)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
+    emptied = touched.select("user_bucket").distinct().join(new, "user_bucket", "left_anti")
+    for row in emptied.collect():  # at most as many as there are buckets
+        delete_path(spark, f"{path.rstrip('/')}/user_bucket={row.user_bucket}")
+    delete_path(spark, staged)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def upsert_assets(assets: DataFrame, rows: DataFrame) -> DataFrame:
-    """On equal tickers the new row wins; isin, source and pricing_ticker only where it has them; null tickers drop out."""
-    sticky = ("isin", "source", "pricing_ticker")
-    new = rows.where("ticker is not null").dropDuplicates(["ticker"])
-    new = new.select(F.col("ticker"), *[F.col(c).alias(f"_{c}") for c in rows.columns if c != "ticker"], F.lit(True).alias("_new"))
-    out = assets.join(new, "ticker", "full_outer")
+def upsert_assets(assets: DataFrame, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """On equal tickers (upper case) the new row wins; rows without a ticker drop out.
+
+    isin, source and pricing_ticker change only where a new row has them. Of several new rows of a ticker the last by
+    the columns ``order`` counts, or the greatest where no order is given.
+    """
+    sticky = [c for c in ("isin", "source", "pricing_ticker") if c in rows.columns]
+    plain = [c for c in rows.columns if c not in ("ticker", *sticky)]
+    last = F.struct(*(order or [*plain, *sticky, "ticker"]))
+    new = rows.where(F.coalesce("ticker", F.lit("")) != "").groupBy(F.upper("ticker").alias("_ticker")).agg(
+        F.max_by(F.struct(F.lit(True).alias("new"), *plain), last).alias("_row"), *[F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", last)).alias(f"_{c}") for c in sticky]
+    )
+    out = assets.withColumn("ticker", F.upper("ticker")).join(new, F.col("ticker") == F.col("_ticker"), "full_outer")
 
     def column(c: str) -> Column:
-        if c == "ticker" or f"_{c}" not in new.columns:
-            return F.col(c)
-        return F.coalesce(f"_{c}", c).alias(c) if c in sticky else F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+        if c == "ticker":
+            return F.coalesce("_ticker", c).alias(c)
+        if c in sticky:
+            return F.coalesce(f"_{c}", c).alias(c)
+        return F.when(F.col("_row.new"), F.col(f"_row.{c}")).otherwise(F.col(c)).alias(c) if c in plain else F.col(c)
 
     return out.select(*[column(c) for c in assets.columns])
 
@@ -100,7 +122,7 @@ def price_history_rows(run: DataFrame, assets: DataFrame, now: Column) -> DataFr
 def wine_history(wines: DataFrame, valuations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(history rows, wines with the latest known drink window)."""
     history = valuations.select("wine_id", "user_id", "price", "drink_window", "fetched_at")
-    latest = valuations.where("drink_window is not null").groupBy("wine_id").agg(F.max_by("drink_window", "fetched_at").alias("_w"))
+    latest = valuations.where("drink_window is not null").groupBy("wine_id").agg(F.max_by("drink_window", F.struct("fetched_at", "drink_window")).alias("_w"))
     return history, wines.join(latest, "wine_id", "left").withColumn("drink_window", F.coalesce("_w", "drink_window")).drop("_w")
 
 
@@ -121,11 +143,26 @@ def delete_position(symbols: DataFrame, positions: DataFrame, ledger: DataFrame,
 
 
 def delete_ledger_rows(ledger: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Each tombstone (user_id, symbol, date, type) takes the first row that fits, once."""
-    key = ["user_id", "symbol", "date", "type"]
-    want = tombstones.groupBy(*key).agg(F.count("*").alias("_want"))
-    rows = ledger.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).join(want, key, "left")
-    return rows.where(F.col("_n") > F.coalesce("_want", F.lit(0))).drop("_n", "_want")
+    """The ledger without one row for each tombstone (user_id, symbol, timestamp, date, type).
+
+    A tombstone takes the first row of its timestamp; those without a timestamp, or beyond the rows that have it, take
+    the first of the rows then left with their date and type; those that fit nothing do nothing.
+    """
+    who, exact, loose = ["user_id", "symbol"], ["user_id", "symbol", "timestamp"], ["user_id", "symbol", "date", "type"]
+    marked = lambda rows, key, n: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("seq"))).join(n, key, "left")
+    wanted = tombstones.select(*who, F.nullif("timestamp", F.lit("")).alias("timestamp"), "date", "type")
+    timed = wanted.where("timestamp is not null")
+    rows = marked(ledger, exact, timed.groupBy(*exact).agg(F.count("*").alias("_want"))).where(F.col("_n") > F.coalesce("_want", F.lit(0))).drop("_n", "_want")
+    have = ledger.groupBy(*exact).agg(F.count("*").alias("_have"))
+    spare = timed.withColumn("_n", F.row_number().over(Window.partitionBy(*exact).orderBy("date", "type"))).join(have, exact, "left").where(F.col("_n") > F.coalesce("_have", F.lit(0)))
+    rest = wanted.where("timestamp is null").select(*loose).unionByName(spare.select(*loose)).groupBy(*loose).agg(F.count("*").alias("_want"))
+    return marked(rows, loose, rest).where(F.col("_n") > F.coalesce("_want", F.lit(0))).drop("_n", "_want").select(*ledger.columns)
+
+
+def delete_and_rebuild(ledger: DataFrame, tombstones: DataFrame, positions: DataFrame, assets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ledger without the deleted rows, positions derived anew from it)."""
+    left = delete_ledger_rows(ledger, tombstones)
+    return left, rebuild_positions(left, positions, assets)
 
 
 EXPORT = ("name", "winery", "vintage", "region", "appellation", "varietal", "country", "type", "bottle_size", "qty", "purchase_price", "purchase_date", "estimated_value", "drink_window", "storage", "notes", "last_valued_at")

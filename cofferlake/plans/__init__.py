@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from cofferlake.plans import cellar, imports, portfolio  # noqa: F401
+    from cofferlake.plans import cellar, imports, portfolio, stored, streams  # noqa: F401

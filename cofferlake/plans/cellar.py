@@ -107,25 +107,18 @@ def f10(v):
     return C.sort_lots(cellar(v), "value").select("id", F.row_number().over(Window.partitionBy("user_id").orderBy(value.desc_nulls_last(), "id")).alias("place"))
 
 
-@query("f11_normalize_name", oracle("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(substr(text, 1, 80)), '[’‘`´]', '''', 'g'), '\\s+', ' ', 'g'))) AS name FROM documents WHERE lang = 'fr'"))
+@query("f11_normalize_name", oracle("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[’‘`´]', '\'\'', 'g'), '\\s+', ' ', 'g'))) AS name FROM documents"))
 def f11(v):
-    return v.table("documents").where("lang = 'fr'").select("doc_id", normalize_name(F.substring("text", 1, 80)).alias("name"))
-
-
-@query("f11_normalize_name_whole", oracle("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[’‘`´]', '''', 'g'), '\\s+', ' ', 'g'))) AS name FROM documents"))
-def f11_whole(v):
     return v.table("documents").select("doc_id", normalize_name(F.col("text")).alias("name"))
 
 
-def _scans(v: Views, edit: bool, users: str = "user_id % 10 = 3"):
+def _scans(v: Views, edit: bool):
     name = F.concat(F.substring("name", 1, 2), F.lit("q"), F.expr("substring(name, 4)")) if edit else F.upper("name")
-    picked = cellar(v).where(users).select("user_id", "name", "winery", "vintage", "wine_id").distinct()
+    picked = cellar(v).select("user_id", "name", "winery", "vintage", "wine_id").distinct()
     return picked.select("user_id", F.concat_ws("-", "user_id", "wine_id").alias("scan_id"), name.alias("name"), F.when(F.col("wine_id") % 2 == 0, F.col("vintage")).alias("vintage"), F.when(F.col("wine_id") % 3 == 0, F.col("winery")).alias("winery"))
 
 
-_SCANS = "scans AS (SELECT DISTINCT user_id, user_id || '-' || wine_id AS scan_id, {n} AS name, CASE WHEN wine_id % 2 = 0 THEN vintage END AS vintage, CASE WHEN wine_id % 3 = 0 THEN winery END AS winery FROM cellar WHERE user_id % 10 = 3)"
-#: Scans of every user.
-_ALL_SCANS = _SCANS.removesuffix(" WHERE user_id % 10 = 3)") + ")"
+_SCANS = "scans AS (SELECT DISTINCT user_id, user_id || '-' || wine_id AS scan_id, {n} AS name, CASE WHEN wine_id % 2 = 0 THEN vintage END AS vintage, CASE WHEN wine_id % 3 = 0 THEN winery END AS winery FROM cellar)"
 
 
 @query("f12_match_scans", oracle("SELECT a.user_id, a.scan_id, b.id FROM scans a JOIN cellar b ON a.user_id = b.user_id AND lower(a.name) = lower(b.name) AND (a.vintage IS NULL OR b.vintage IS NULL OR a.vintage = b.vintage) AND (a.winery IS NULL OR b.winery IS NULL OR a.winery = b.winery)", _JOINED, _SCANS.format(n="upper(name)")))
@@ -146,24 +139,6 @@ def f13(v):
     return C.fuzzy_match_scans(_scans(v, True), cellar(v))
 
 
-@query("f12_match_scans_whole", oracle("SELECT a.user_id, a.scan_id, b.id FROM scans a JOIN cellar b ON a.user_id = b.user_id AND lower(a.name) = lower(b.name) AND (a.vintage IS NULL OR b.vintage IS NULL OR a.vintage = b.vintage) AND (a.winery IS NULL OR b.winery IS NULL OR a.winery = b.winery)", _JOINED, _ALL_SCANS.format(n="upper(name)")))
-def f12_whole(v):
-    return C.match_scans(_scans(v, False, "true"), cellar(v))
-
-
-@query(
-    "f13_fuzzy_match_scans_whole",
-    oracle(
-        """SELECT user_id, scan_id, name, distance, row_number() OVER (PARTITION BY user_id, scan_id ORDER BY distance, name) AS rank FROM (
-SELECT DISTINCT a.user_id, scan_id, lower(b.name) AS name, levenshtein(lower(a.name), lower(b.name)) AS distance, least(length(a.name), length(b.name)) AS n FROM scans a JOIN cellar b ON a.user_id = b.user_id)
-WHERE distance > 0 AND distance <= greatest(2, floor(n * 0.15))""",
-        _JOINED, _ALL_SCANS.format(n="substr(name, 1, 2) || 'q' || substr(name, 4)"),
-    ),
-)
-def f13_whole(v):
-    return C.fuzzy_match_scans(_scans(v, True, "true"), cellar(v))
-
-
 @query("f14_drink", oracle("SELECT id, qty - CASE WHEN wine_id % 4 = 0 THEN 20 ELSE 0 END AS qty, qty - CASE WHEN wine_id % 4 = 0 THEN 20 ELSE 0 END <= 0 AS removed FROM v_lots"))
 def f14(v):
     events = v.lots.where("wine_id % 4 = 0").select("id", F.explode(F.array(F.lit(15), F.lit(5))).alias("n"))

@@ -13,11 +13,10 @@ from cofferlake.plans.registry import query
 from cofferlake.plans.views import Views, oracle
 
 _ISIN = "concat('US', lpad(CAST(user_id AS string), 4, '0'), upper(substr(symbol, 1, 6)))"
-_TRADES = "user_id % 4 < 2 AND type IN ('buy', 'sell') AND length(symbol) >= 6"
-#: Every ledger row in one kind of statement; what neither of the first two holds is in the files of the app.
-_ALL_TRADES = "user_id % 4 <> 2 AND type IN ('buy', 'sell') AND length(symbol) >= 6"
-_ALL_DIVIDENDS = "user_id % 4 <> 2 AND type = 'dividend' AND length(symbol) >= 6"
-_ALL_OTHER = f"NOT ({_ALL_TRADES}) AND NOT ({_ALL_DIVIDENDS})"
+#: Every ledger row is in one kind of statement; what neither of the first two holds is in the files of the app.
+_TRADES = "user_id % 4 <> 2 AND type IN ('buy', 'sell') AND length(symbol) >= 6"
+_DIVIDENDS = "user_id % 4 <> 2 AND type = 'dividend' AND length(symbol) >= 6"
+_OTHER = f"NOT ({_TRADES}) AND NOT ({_DIVIDENDS})"
 
 
 def _number(x, european):
@@ -36,7 +35,7 @@ def _files(rows, header, line, name="user-"):
     return parts.select(F.concat(F.lit(name), F.col("user_id").cast("string")).alias("file"), F.concat_ws("\r\n", "h", F.array_join(F.col("l.line"), "\r\n"), F.lit("")).alias("value"))
 
 
-def transaction_files(v: Views, rows: str = _TRADES, name: str = "user-"):
+def transaction_files(v: Views, rows: str = _TRADES, name: str = "trades-"):
     odd = F.col("user_id") % 2 == 1
     header = F.when(odd, "Data;Hora;Produto;ISIN;Quantidade;Preços;;Custos").otherwise("Date,Time,Product,ISIN,Quantity,Price,,Transaction costs")
     qty = F.concat(F.when(F.col("type") == "sell", "-").otherwise(""), F.col("shares").cast("int").cast("string"))
@@ -46,7 +45,7 @@ def transaction_files(v: Views, rows: str = _TRADES, name: str = "user-"):
     return _files(v.ledger.where(rows), header, line, name)
 
 
-def app_files(v: Views, rows: str = "user_id % 4 = 2", name: str = "user-"):
+def app_files(v: Views, rows: str = _OTHER, name: str = "app-"):
     kind = F.when(F.col("type") == "buy", "BUY - MARKET").when(F.col("type") == "sell", "SELL - LIMIT").when(F.col("type") == "split", "STOCK SPLIT").when(F.col("type") == "dividend", "DIVIDEND").otherwise("CUSTODY FEE")
     money = lambda c: F.concat(F.lit('"$'), F.format_number(c, 2), F.lit('"'))
     price = F.when(F.col("type").isin("buy", "sell"), money(F.col("total_amount"))).otherwise("")
@@ -54,7 +53,7 @@ def app_files(v: Views, rows: str = "user_id % 4 = 2", name: str = "user-"):
     return _files(v.ledger.where(rows), F.lit("Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency"), line, name)
 
 
-def account_files(v: Views, rows: str = "user_id % 4 = 3 and type = 'dividend' and length(symbol) >= 6", name: str = "user-"):
+def account_files(v: Views, rows: str = _DIVIDENDS, name: str = "dividends-"):
     desc = F.when(F.col("seq") % 2 == 0, "Dividendo").otherwise("Imposto sobre Dividendo")
     amount = F.concat(F.when(F.col("seq") % 2 == 0, "").otherwise("-"), F.lit('"'), _number(F.col("total_amount"), F.lit(True)), F.lit('"'))
     line = F.concat_ws(",", F.lit("01-01-2020"), F.lit("10:00"), F.date_format("date", "dd-MM-yyyy"), F.lit("X"), _isin(v), desc, F.lit(""), F.col("currency"), F.regexp_replace(amount, '^-"', '"-'), F.lit("EUR"), F.lit('"1,00"'))
@@ -62,17 +61,18 @@ def account_files(v: Views, rows: str = "user_id % 4 = 3 and type = 'dividend' a
 
 
 def statements(v: Views):
+    """Up to three files for each user, and one of no known kind."""
     other = v.spark.range(1).select(F.lit("junk").alias("file"), F.lit("hello\nworld").alias("value"))
     return transaction_files(v).unionByName(app_files(v)).unionByName(account_files(v)).unionByName(other)
 
 
-@query("b1_b2_detect", oracle("SELECT CASE user_id % 4 WHEN 2 THEN 'revolut' ELSE 'degiro' END AS broker, CASE WHEN user_id % 4 = 1 THEN ';' ELSE ',' END AS sep, count(DISTINCT user_id) AS n FROM v_ledger WHERE (" + _TRADES + ") OR user_id % 4 = 2 GROUP BY ALL"))
+@query("b1_b2_detect", oracle(f"""SELECT 'degiro' AS broker, CASE WHEN user_id % 2 = 1 THEN ';' ELSE ',' END AS sep, count(DISTINCT user_id) AS n FROM v_ledger WHERE {_TRADES} GROUP BY ALL
+UNION ALL SELECT 'revolut', ',', count(DISTINCT user_id) FROM v_ledger WHERE {_OTHER} UNION ALL SELECT 'degiro_account', ',', count(DISTINCT user_id) FROM v_ledger WHERE {_DIVIDENDS} UNION ALL SELECT NULL, ',', 1"""))
 def b1(v):
-    files = transaction_files(v).unionByName(app_files(v))
-    return files.groupBy(S.detect_broker(F.col("value")).alias("broker"), T.csv_separator(F.substring_index("value", "\r\n", 1)).alias("sep")).agg(F.count("*").alias("n"))
+    return statements(v).groupBy(S.detect_broker(F.col("value")).alias("broker"), T.csv_separator(F.substring_index("value", "\r\n", 1)).alias("sep")).agg(F.count("*").alias("n"))
 
 
-@query("b3_b4_columns", oracle("SELECT 'user-' || user_id AS file, 3 AS at_isin, 4 AS at_qty, 5 AS at_price, 7 AS at_fees, count(*) AS n FROM v_ledger WHERE " + _TRADES + " GROUP BY user_id"))
+@query("b3_b4_columns", oracle("SELECT 'trades-' || user_id AS file, 3 AS at_isin, 4 AS at_qty, 5 AS at_price, 7 AS at_fees, count(*) AS n FROM v_ledger WHERE " + _TRADES + " GROUP BY user_id"))
 def b3(v):
     rows = S.statement_rows(transaction_files(v), S.TRANSACTION_COLUMNS)
     return rows.groupBy("file", "at_isin", "at_qty", "at_price", "at_fees").agg(F.count("*").alias("n"))
@@ -101,29 +101,35 @@ def b9(v):
     return v.instruments.select("ticker", T.is_isin(F.lower("isin")).alias("isin"), T.is_isin(F.col("ticker")).alias("is_ticker"))
 
 
-_PAIRS = f"""rows_ AS (SELECT *, {_ISIN} AS identifier, row_number() OVER (PARTITION BY user_id ORDER BY symbol, seq) AS rn FROM v_ledger WHERE {_TRADES})"""
+#: Lines of the transaction files, and by instrument and day the greedy pairs of a buy and a sell of very different price.
+_PAIRS = f"""rows_ AS (SELECT *, {_ISIN} AS identifier, CAST(round(total_amount, 2) AS DOUBLE) AS paid, row_number() OVER (PARTITION BY user_id ORDER BY symbol, seq) AS rn FROM v_ledger WHERE {_TRADES}),
+buys AS (SELECT *, row_number() OVER (PARTITION BY user_id, identifier, date ORDER BY rn) AS bn FROM rows_ WHERE type = 'buy'),
+sells AS (SELECT user_id, identifier, date, list({{'rn': rn, 'paid': paid}} ORDER BY rn) AS sells FROM rows_ WHERE type = 'sell' GROUP BY ALL),
+steps AS (SELECT user_id, identifier, date, sells, 0::BIGINT AS k, []::BIGINT[] AS pair, 0::BIGINT AS buy FROM sells
+  UNION ALL SELECT s.user_id, s.identifier, s.date, list_filter(s.sells, lambda x: x.rn IS DISTINCT FROM list_filter(s.sells, lambda y: greatest(b.paid, y.paid) / least(b.paid, y.paid) >= 3)[1].rn), b.bn,
+    [list_filter(s.sells, lambda y: greatest(b.paid, y.paid) / least(b.paid, y.paid) >= 3)[1].rn], b.rn
+  FROM steps s JOIN buys b ON b.user_id = s.user_id AND b.identifier = s.identifier AND b.date = s.date AND b.bn = s.k + 1),
+paired AS (SELECT user_id, identifier, date, buy, pair[1] AS sell FROM steps WHERE k > 0 AND pair[1] IS NOT NULL)"""
 
 
-@query("b10_parse_transactions", oracle("SELECT 'user-' || user_id AS file, identifier, CAST(date AS VARCHAR) AS date, type, shares, CAST(round(total_amount, 2) AS DOUBLE) AS price, CAST(seq AS DOUBLE) AS fees, currency, symbol || ', Inc' AS name FROM rows_", _PAIRS))
+@query("b10_parse_transactions", oracle("SELECT 'trades-' || r.user_id AS file, r.identifier, CAST(r.date AS VARCHAR) AS date, type, shares, paid AS price, CAST(seq AS DOUBLE) AS fees, currency, symbol || ', Inc' AS name FROM rows_ r WHERE NOT EXISTS (SELECT 1 FROM paired p WHERE p.user_id = r.user_id AND p.sell = r.rn)", _PAIRS))
 def b10(v):
     return S.parse_transactions(transaction_files(v)).where("kind in ('trade', 'review')").select("file", "identifier", "date", "type", "shares", "price", "fees", "currency", "name")
 
 
-@query("b11_split_pairs", oracle("""SELECT count(*) AS groups FROM (SELECT user_id, identifier, date FROM rows_ GROUP BY ALL HAVING count(DISTINCT type) = 2
-  AND max(CASE WHEN type = 'buy' THEN total_amount END) / min(CASE WHEN type = 'sell' THEN total_amount END) >= 3 OR max(CASE WHEN type = 'sell' THEN total_amount END) / min(CASE WHEN type = 'buy' THEN total_amount END) >= 3)""", _PAIRS))
+@query("b11_split_pairs", oracle("SELECT 'trades-' || p.user_id AS file, p.identifier, CAST(p.date AS VARCHAR) AS date, b.shares / s.shares AS ratio FROM paired p JOIN rows_ b ON b.user_id = p.user_id AND b.rn = p.buy JOIN rows_ s ON s.user_id = p.user_id AND s.rn = p.sell", _PAIRS))
 def b11(v):
-    review = S.parse_transactions(transaction_files(v)).where("reason = 'possible_split'")
-    return review.select("file", "identifier", "date").distinct().agg(F.count("*").alias("groups"))
+    return S.parse_transactions(transaction_files(v)).where("reason = 'possible_split'").select("file", "identifier", "date", "ratio")
 
 
-@query("b12_parse_app_statement", oracle("""SELECT 'user-' || user_id AS file, symbol AS identifier, CAST(date AS VARCHAR) AS date, type, CASE WHEN type IN ('buy', 'sell', 'split') THEN shares END AS shares, CASE WHEN type IN ('buy', 'sell') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS price,
-  CASE WHEN type IN ('dividend', 'fee') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS amount FROM v_ledger WHERE user_id % 4 = 2"""))
+@query("b12_parse_app_statement", oracle(f"""SELECT 'app-' || user_id AS file, symbol AS identifier, CAST(date AS VARCHAR) AS date, type, CASE WHEN type IN ('buy', 'sell', 'split') THEN shares END AS shares, CASE WHEN type IN ('buy', 'sell') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS price,
+  CASE WHEN type IN ('dividend', 'fee') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS amount FROM v_ledger WHERE {_OTHER}"""))
 def b12(v):
     return S.parse_app_statement(app_files(v)).where("kind in ('trade', 'income')").select("file", "identifier", F.substring("date", 1, 10).alias("date"), "type", "shares", "price", "amount")
 
 
-@query("b13_parse_account_statement", oracle(f"""SELECT 'user-' || user_id AS file, {_ISIN} AS identifier, CAST(date AS VARCHAR) AS date, CAST(sum(CASE WHEN seq % 2 = 0 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS amount,
-  CAST(sum(CASE WHEN seq % 2 = 1 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS tax FROM v_ledger WHERE user_id % 4 = 3 AND type = 'dividend' AND length(symbol) >= 6 GROUP BY ALL"""))
+@query("b13_parse_account_statement", oracle(f"""SELECT 'dividends-' || user_id AS file, {_ISIN} AS identifier, CAST(date AS VARCHAR) AS date, CAST(sum(CASE WHEN seq % 2 = 0 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS amount,
+  CAST(sum(CASE WHEN seq % 2 = 1 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS tax FROM v_ledger WHERE {_DIVIDENDS} GROUP BY ALL"""))
 def b13(v):
     return S.parse_account_statement(account_files(v)).select("file", "identifier", "date", "amount", "tax")
 
@@ -136,54 +142,10 @@ def b14(v):
     return out.select("file", "line_no", (F.col("kind") == "trade").alias("ok"), F.when(F.col("kind") == "trade", F.col("price")).alias("price"))
 
 
-@query("b15_parse_statements", oracle(f"""SELECT 'degiro' AS broker, 'trade' AS kind, count(*) AS n FROM v_ledger WHERE {_TRADES} UNION ALL SELECT 'revolut', 'trade', count(*) FROM v_ledger WHERE user_id % 4 = 2 AND type IN ('buy', 'sell')
-UNION ALL SELECT 'revolut', 'income', count(*) FROM v_ledger WHERE user_id % 4 = 2 AND type NOT IN ('buy', 'sell') UNION ALL SELECT NULL, 'error', 1
-UNION ALL SELECT 'degiro', 'income', count(DISTINCT (user_id, symbol, date)) FROM v_ledger WHERE user_id % 4 = 3 AND type = 'dividend' AND length(symbol) >= 6"""))
+@query("b15_parse_statements", oracle(f"""SELECT 'degiro' AS broker, 'trade' AS kind, count(*) AS n FROM v_ledger WHERE {_TRADES} UNION ALL SELECT 'revolut', CASE WHEN type IN ('buy', 'sell') THEN 'trade' ELSE 'income' END AS kind, count(*) FROM v_ledger WHERE {_OTHER} GROUP BY ALL
+UNION ALL SELECT NULL, 'error', 1 UNION ALL SELECT 'degiro', 'income', count(DISTINCT (user_id, symbol, date)) FROM v_ledger WHERE {_DIVIDENDS}"""))
 def b15(v):
-    rows = S.parse_statements(statements(v)).withColumn("kind", F.when(F.col("reason") == "possible_split", "trade").otherwise(F.col("kind")))
-    flagged = S.parse_statements(statements(v)).where("reason = 'possible_split'").select("broker", F.lit("trade").alias("kind"))
-    return rows.select("broker", "kind").unionByName(flagged).groupBy("broker", "kind").agg(F.count("*").alias("n"))
-
-
-# The same over every ledger row; the queries above keep their SQL and so their part of the rows.
-
-_ALL_PAIRS = f"""rows_ AS (SELECT *, {_ISIN} AS identifier FROM v_ledger WHERE {_ALL_TRADES})"""
-
-
-def whole_files(v: Views):
-    """Three files by user, of trades, dividends and all the rest."""
-    return transaction_files(v, _ALL_TRADES, "trades-"), account_files(v, _ALL_DIVIDENDS, "dividends-"), app_files(v, _ALL_OTHER, "app-")
-
-
-@query("b10_parse_transactions_whole", oracle("SELECT 'trades-' || user_id AS file, identifier, CAST(date AS VARCHAR) AS date, type, shares, CAST(round(total_amount, 2) AS DOUBLE) AS price, CAST(seq AS DOUBLE) AS fees, currency, symbol || ', Inc' AS name FROM rows_", _ALL_PAIRS))
-def b10_whole(v):
-    return S.parse_transactions(whole_files(v)[0]).where("kind in ('trade', 'review')").select("file", "identifier", "date", "type", "shares", "price", "fees", "currency", "name")
-
-
-@query("b11_split_pairs_whole", oracle("""SELECT count(*) AS groups FROM (SELECT user_id, identifier, date FROM rows_ GROUP BY ALL HAVING count(DISTINCT type) = 2
-  AND max(CASE WHEN type = 'buy' THEN total_amount END) / min(CASE WHEN type = 'sell' THEN total_amount END) >= 3 OR max(CASE WHEN type = 'sell' THEN total_amount END) / min(CASE WHEN type = 'buy' THEN total_amount END) >= 3)""", _ALL_PAIRS))
-def b11_whole(v):
-    review = S.parse_transactions(whole_files(v)[0]).where("reason = 'possible_split'")
-    return review.select("file", "identifier", "date").distinct().agg(F.count("*").alias("groups"))
-
-
-@query("b12_parse_app_statement_whole", oracle(f"""SELECT 'app-' || user_id AS file, symbol AS identifier, CAST(date AS VARCHAR) AS date, type, CASE WHEN type IN ('buy', 'sell', 'split') THEN shares END AS shares, CASE WHEN type IN ('buy', 'sell') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS price,
-  CASE WHEN type IN ('dividend', 'fee') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS amount FROM v_ledger WHERE {_ALL_OTHER}"""))
-def b12_whole(v):
-    return S.parse_app_statement(whole_files(v)[2]).where("kind in ('trade', 'income')").select("file", "identifier", F.substring("date", 1, 10).alias("date"), "type", "shares", "price", "amount")
-
-
-@query("b13_parse_account_statement_whole", oracle(f"""SELECT 'dividends-' || user_id AS file, {_ISIN} AS identifier, CAST(date AS VARCHAR) AS date, CAST(sum(CASE WHEN seq % 2 = 0 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS amount,
-  CAST(sum(CASE WHEN seq % 2 = 1 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS tax FROM v_ledger WHERE {_ALL_DIVIDENDS} GROUP BY ALL"""))
-def b13_whole(v):
-    return S.parse_account_statement(whole_files(v)[1]).select("file", "identifier", "date", "amount", "tax")
-
-
-@query("b15_parse_statements_whole", oracle(f"""SELECT 'degiro' AS broker, 'trade' AS kind, count(*) AS n FROM v_ledger WHERE {_ALL_TRADES} UNION ALL SELECT 'revolut', CASE WHEN type IN ('buy', 'sell') THEN 'trade' ELSE 'income' END AS kind, count(*) FROM v_ledger WHERE {_ALL_OTHER} GROUP BY ALL
-UNION ALL SELECT 'degiro', 'income', count(DISTINCT (user_id, symbol, date)) FROM v_ledger WHERE {_ALL_DIVIDENDS}"""))
-def b15_whole(v):
-    trades, dividends, other = whole_files(v)
-    rows = S.parse_statements(trades.unionByName(dividends).unionByName(other))
+    rows = S.parse_statements(statements(v))
     rows = rows.withColumn("kind", F.when(F.col("reason") == "possible_split", F.array(F.lit("trade"), F.lit("trade"))).otherwise(F.array("kind")))
     return rows.select("broker", F.explode("kind").alias("kind")).groupBy("broker", "kind").agg(F.count("*").alias("n"))
 
@@ -226,7 +188,7 @@ def b23(v):
     return S.fill_missing_cost(positions, prices)
 
 
-@query("b24_import_report", oracle("SELECT 'user-' || user_id AS file, CASE WHEN type IN ('buy', 'sell') THEN 'trade' ELSE 'income' END AS kind, count(*) AS n, CAST(least(count(*), 12) AS BIGINT) AS shown FROM v_ledger WHERE user_id % 4 = 2 GROUP BY ALL"))
+@query("b24_import_report", oracle(f"SELECT 'app-' || user_id AS file, CASE WHEN type IN ('buy', 'sell') THEN 'trade' ELSE 'income' END AS kind, count(*) AS n, CAST(least(count(*), 12) AS BIGINT) AS shown FROM v_ledger WHERE {_OTHER} GROUP BY ALL"))
 def b24(v):
     return S.import_report(S.parse_app_statement(app_files(v))).select("file", "kind", "n", F.size("first").cast("long").alias("shown"))
 
@@ -239,12 +201,12 @@ def b25(v):
     return docs.join(back, "doc_id").select("doc_id", F.col("back").eqNullSafe(F.col("text")).alias("whole"), "fits", F.length("back").cast("long").alias("n_chars"))
 
 
-def _asked(v: Views, users: str = "user_id % 5 = 1"):
+def _asked(v: Views):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("id")) - 1
-    return v.lots.where(users).withColumn("n", n).select("id", "qty", "estimated_value", "user_id", F.concat_ws("-", "user_id", F.floor(F.col("n") / 3).cast("long")).alias("batch"), (F.col("n") % 3).cast("int").alias("idx"))
+    return v.lots.withColumn("n", n).select("id", "qty", "estimated_value", "user_id", F.concat_ws("-", "user_id", F.floor(F.col("n") / 3).cast("long")).alias("batch"), (F.col("n") % 3).cast("int").alias("idx"))
 
 
-@query("b26_b28_model_results", oracle("""SELECT id, CASE WHEN idx < 2 THEN qty * 1.5::DOUBLE END AS value, CASE WHEN idx = 2 THEN 'no result' END AS error FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY id) - 1) % 3 AS idx FROM v_lots WHERE user_id % 5 = 1)"""))
+@query("b26_b28_model_results", oracle("""SELECT id, CASE WHEN idx < 2 THEN qty * 1.5::DOUBLE END AS value, CASE WHEN idx = 2 THEN 'no result' END AS error FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY id) - 1) % 3 AS idx FROM v_lots)"""))
 def b27(v):
     return _model_results(_asked(v))
 
@@ -256,11 +218,6 @@ def _model_results(asked):
     return S.pad_results(asked, S.parse_result_batch(texts)).select("id", "value", "error")
 
 
-@query("b26_b28_model_results_whole", oracle("""SELECT id, CASE WHEN idx < 2 THEN qty * 1.5::DOUBLE END AS value, CASE WHEN idx = 2 THEN 'no result' END AS error FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY id) - 1) % 3 AS idx FROM v_lots)"""))
-def b27_whole(v):
-    return _model_results(_asked(v, "true"))
-
-
 @query("b29_quotes_from_response", oracle("SELECT ticker AS symbol, price FROM v_quotes WHERE price > 0 AND id % 3 > 0"))
 def b29(v):
     good = F.concat(F.lit('[{"symbol": "'), F.lower("ticker"), F.lit('", "price": '), F.col("price").cast("string"), F.lit('}, {"symbol": "X", "price": "n/a"}]'))
@@ -272,7 +229,7 @@ def b30(v):
     return v.wines.agg(F.count("*").alias("n"), F.count_if(T.valid_text(F.coalesce("region", F.lit("  ")))).alias("valid"))
 
 
-@query("b19_holdings_numbers", oracle("SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS k, CASE l_linenumber WHEN 1 THEN 1.234 WHEN 2 THEN 1234 WHEN 3 THEN 3 WHEN 4 THEN 1234.56 WHEN 5 THEN 1234.56 WHEN 6 THEN NULL ELSE 12.5 END::DOUBLE AS x FROM lineitem"))
+@query("b19_holdings_numbers", oracle("SELECT DISTINCT CAST(l_linenumber AS INTEGER) AS k, CASE l_linenumber WHEN 1 THEN 1.234 WHEN 2 THEN 1234 WHEN 3 THEN 3 WHEN 4 THEN 1234.56 WHEN 5 THEN 1234.56 WHEN 6 THEN NULL WHEN 7 THEN NULL END::DOUBLE AS x FROM lineitem"))
 def b19(v):
     texts = F.element_at(F.array(*[F.lit(t) for t in ("1,234", "1.234", "3M", "1.234,56 €", "$1,234.56", "n/a", "CHF 12.5")]), F.col("l_linenumber"))
     return v.table("lineitem").select(F.col("l_linenumber").alias("k"), T.parse_number_holdings(texts).alias("x")).distinct()
@@ -300,7 +257,8 @@ def _assets(v: Views):
 
 
 _LAST = "mx AS (SELECT max(key) AS mx FROM v_instruments)"
-_RESOLVED = """resolved AS (SELECT key, isin AS identifier, CASE WHEN key % 5 = 0 THEN key WHEN key % 2 = 0 THEN key WHEN key + 1 <= mx THEN key + 1 END AS found FROM v_instruments, mx)"""
+#: Of the candidates key and key + 2 of an even key the one held comes first, then one that the assets know.
+_RESOLVED = """resolved AS (SELECT key, isin AS identifier, CASE WHEN key % 5 = 0 THEN key WHEN key % 2 = 1 THEN CASE WHEN key + 1 <= mx THEN key + 1 END WHEN key % 7 = 0 OR key + 2 > mx THEN key WHEN (key + 2) % 7 = 0 OR (key + 2) % 5 = 0 THEN key + 2 ELSE key END AS found FROM v_instruments, mx)"""
 
 
 @query("c1_lookup_isin", oracle("SELECT isin AS identifier, CASE WHEN key % 5 = 0 THEN ticker END AS ticker FROM v_instruments"))
@@ -310,7 +268,8 @@ def c1(v):
 
 @query("c2_c3_resolve_identifiers", oracle("SELECT identifier, i.ticker FROM resolved r JOIN v_instruments i ON i.key = r.found", _LAST, _RESOLVED))
 def c3(v):
-    held = v.spark.createDataFrame([], "user_id long, symbol string")
+    # Users hold the instruments of every seventh key, for their own identifiers and for those two keys below.
+    held = v.instruments.where("key % 7 = 0").select(F.explode(F.array(F.col("key") % 50, F.pmod(F.col("key") - 2, F.lit(50)))).alias("user_id"), F.col("ticker").alias("symbol"))
     return R.resolve_identifiers(_ids(v), _assets(v), candidates(v), held).select("identifier", "ticker")
 
 
@@ -346,7 +305,7 @@ def c9(v):
     return v.instruments.select("ticker", F.size(alternative_symbols(F.col("ticker"), F.lit("x"))).cast("long").alias("n"))
 
 
-@query("c10_first_priced_alternative", oracle("SELECT ticker AS symbol, 'T' || key || '.DE' AS tried, key * 1.0::DOUBLE AS price FROM v_instruments WHERE key % 8 IN (0, 1, 2, 4, 5, 6, 7)"))
+@query("c10_first_priced_alternative", oracle("SELECT ticker AS symbol, 'T' || key || '.DE' AS tried, key * 1.0::DOUBLE AS price FROM v_instruments WHERE key % 8 IN (0, 1, 2, 4, 5, 6, 7) AND key > 0"))
 def c10(v):
     quotes = v.instruments.select(F.explode(F.array(F.struct(F.concat(F.lit("T"), "key", F.lit(".L")).alias("symbol"), F.lit(1.0).alias("price")), F.struct(F.concat(F.lit("T"), "key", F.lit(".DE")).alias("symbol"), F.col("key").cast("double").alias("price")))).alias("q"), "key").where("key % 8 <> 3").select("q.*")
     return R.first_priced_alternative(v.instruments.select(F.col("ticker").alias("symbol"), F.lit("").alias("name")), quotes.where("price >= 0 and symbol like '%.DE' or symbol like 'none'"))

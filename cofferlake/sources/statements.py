@@ -13,4 +13,4 @@ def statement_source(spark: SparkSession, path: str) -> DataFrame:
 
 def statement_stream(spark: SparkSession, path: str) -> DataFrame:
     """The same for files that land in ``path``."""
-    return spark.readStream.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.readStream.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
