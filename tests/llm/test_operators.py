@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -15,7 +17,7 @@ from cofferlake.llm.mixing import mixture
 from cofferlake.llm.packing import packed_documents
 from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
-from cofferlake.llm.secrets import SIZE, secret_spans, train_markov
+from cofferlake.llm.secrets import library_names, random_spans, secret_spans, train_markov, transition_counts
 from cofferlake.llm.suffix_dedup import remove_repeats
 from cofferlake.llm.toxicity import toxicity_scores
 from cofferlake.llm.warc import round_trip
@@ -62,14 +64,35 @@ def test_secrets_base_spans(docs):
 
 
 def test_secrets_model_counts_every_document(spark):
-    n, letter = 21_000, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789".index
-    ratio = train_markov(spark.range(n).selectExpr("if(id < 1000, null, id) AS doc_id", "'qz' AS text"))
-    count, prior = np.zeros((2, SIZE, SIZE)), np.full((2, SIZE, SIZE), 40 / SIZE)
-    q, z = letter("q") + 1, letter("z") + 1
-    count[0, 0, q] = count[0, q, z] = count[0, z, 0] = n
-    prior[0] *= 0.25
-    likely = np.log((count + prior) / (count + prior).sum(axis=2, keepdims=True))
-    assert np.allclose(ratio, likely[1] - likely[0], rtol=0, atol=1e-9)
+    n = 21_000
+    ordinary, random = transition_counts(spark.range(n).selectExpr("if(id < 1000, null, id) AS doc_id", "'qz' AS text"))
+    letters, classes = ordinary[: 26 * 26].reshape(26, 26), ordinary[26 * 26 :].reshape(5, 5)
+    assert letters[16, 25] == classes[0, 1] == classes[1, 1] == classes[1, 0] == n
+    assert letters.sum() == n and classes.sum() == 3 * n and random.sum() == random[26 * 26] == classes[0, 0] + random.sum()
+
+
+def test_secrets_model_tells_random_from_ordinary(spark):
+    """Neither the identifiers nor the random strings are in the samples that the model is trained on."""
+    ratio, least = model = train_markov(spark.read.parquet(f"{SF_DIR}/documents.parquet"))
+    ordinary = """getUserAccountByIdentifier MAX_RETRY_COUNT_EXCEEDED_ERROR com/example/service/AccountRepository ABCDEFGHIJKLMNOPQRSTUVWXYZ calculate_monthly_average
+    customerBillingAddressLine2 spark/sql/shuffle/partitions DEFAULT_BUFFER_SIZE_BYTES this-is-a-long-article-title 4111111111111111 2024-01-01-10-30-00 thanonontioninerhei
+    internationalization is_password_confirmed readOnlyTransactionManager /usr/local/share/dictionary xxxxxxxxxxxxxxxxxxxxxxxx ====================""".split()
+    assert [t for t in ordinary if random_spans(t, model, [])] == []
+    rng = random.Random(7)
+    for letters, size, share in ((string.ascii_letters + string.digits, 24, 0.99), (string.ascii_letters + string.digits + "+/", 32, 0.99), (string.digits + "abcdef", 20, 0.9), (string.ascii_uppercase + string.digits, 20, 0.9), (string.ascii_lowercase + string.digits, 32, 0.97)):
+        tokens = ["".join(rng.choices(letters, k=size)).strip("+/") for _ in range(400)]
+        assert sum(bool(random_spans(t, model, [])) for t in tokens) >= share * 400, letters
+    held = [t for t in library_names()[1] if len(t) >= 16]
+    assert sum(bool(random_spans(t, model, [])) for t in held) <= 0.01 * len(held)
+
+
+def test_secrets_added_spans(spark):
+    token = "Zx81kQpL0vTn4RwY7uBc"
+    texts = [f"see {token} or {token}, not token={token}", "token=" + "ab12" * 5000 + f" {token}" * 300, f"{token}\u00e9 {token}", None]
+    rows = {r.doc_id: r for r in secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows[0].spans == "random:4:24,random:28:48,assign:54:80" and rows[0].n_random == 2
+    assert rows[1].n_random == 300 and rows[1].n_assign == 1
+    assert rows[2].spans == "random:22:42" and rows[3].spans == ""
 
 
 def test_personal_data_base_counts(docs):
