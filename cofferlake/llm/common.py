@@ -3,38 +3,17 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
+import threading
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cofferlake.sources.shared import delete_path, scratch_path
+
 #: Where the files of materialised stages are.
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a session in one process (tests) gets a temporary folder; on a cluster it is an error.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("cofferlake.shared.dir", "")
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="cofferlake-")
-        spark.conf.set("cofferlake.shared.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; its content goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/cofferlake/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+_LOCAL = threading.local()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -44,14 +23,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     _PATHS[read] = path
+    _written().append(path)
     return read
 
 
+def stages_so_far() -> int:
+    """How many stages this thread has materialised."""
+    return len(_written())
+
+
+def discard_since(spark: SparkSession, start: int, *keep: DataFrame) -> None:
+    """Delete what this thread has materialised from ``start`` on, but for the stages to ``keep``."""
+    kept = {_PATHS[stage] for stage in keep}
+    for path in _written()[start:]:
+        if path not in kept:
+            delete_path(spark, path)
+
+
 def discard(*stages: DataFrame) -> None:
     """Delete the files of materialised stages whose results nothing will read again."""
     for stage in stages:
-        jpath = stage.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(stage))
-        jpath.getFileSystem(stage.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
+        delete_path(stage.sparkSession, _PATHS.pop(stage))
+
+
+def _written() -> list[str]:
+    if not hasattr(_LOCAL, "paths"):
+        _LOCAL.paths = []
+    return _LOCAL.paths
 
 
 def release(spark: SparkSession) -> None:

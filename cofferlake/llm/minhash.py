@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofferlake.llm import textvec as tv
-from cofferlake.llm.common import materialise
+from cofferlake.llm.common import discard_since, materialise, stages_so_far
 
 _EMPTY = np.uint64((1 << 64) - 1)
 
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     The default banding fits thresholds of 85 and more; at 80, a pair just at the threshold is missed with 6e-5.
     """
+    start = stages_so_far()
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketched = materialise(docs.mapInArrow(_sketched(width, bands, rows_per_band), "doc_id long, n_shingles long, set_key binary, buckets array<long>"), "sketches")
     linkable = sketched.where("doc_id is not null and n_shingles > 0")
@@ -247,12 +248,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     bucketed = nodes.select("node", "size", F.explode("buckets").alias("bucket"))
     shared = bucketed.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
+    shared = materialise(shared, "shared")  # a plain side of the join, so that Spark can split a bucket with very many nodes
     members = materialise(bucketed.join(shared, "bucket").select("bucket", "first", "node", "size"), "buckets")
     keys = nodes.select("node", "rep", "size", "set_key")
     labels = components_in_buckets(members, docs, keys, width, percent)
     least = labels.join(keys, "node").groupBy("label").agg(F.min("rep").alias("component"))
     linked = labels.join(least, "label").join(keys, "node").select("set_key", "component")
-    found = keys.select("set_key", "rep").join(linked, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    found = materialise(keys.select("set_key", "rep").join(linked, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "found")
+    discard_since(docs.sparkSession, start, sketched, found)
     single = sketched.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = linkable.select("doc_id", "n_shingles", "set_key").join(found, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return grouped.unionByName(single).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
