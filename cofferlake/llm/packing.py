@@ -21,6 +21,7 @@ import math
 import re
 import zlib
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -76,7 +77,7 @@ def _tokenised(path: str | None):
     def run(batches):
         file = path or vocabulary_path()
         own = encoders(file)[1]
-        task, count = TaskContext.get().partitionId(), 0
+        task, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             texts = batch.column("text")
@@ -92,8 +93,8 @@ def _tokenised(path: str | None):
                     for name, value in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
                         out[name].append(value)
             n = len(out["doc_id"])
-            uid = np.arange(count, count + n, dtype=np.int64) + (task << 40)
-            count += n
+            uid = np.arange(done, done + n, dtype=np.int64) + (task << 40)
+            done += n
             kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
             yield pa.RecordBatch.from_arrays([pa.array(uid), *(pa.array(out[k], kind) for k, kind in kinds.items())], names=["uid", *kinds])
 
@@ -110,11 +111,18 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     Thresholds: lengths over capacity - e count as a full bin, lengths under e as nothing, the rest as they are.
     Rounding: (k + 1) * length / capacity is rounded down and divided by k, except where it is whole.
     """
-    if not len(lengths):
+    distinct, number = np.unique(lengths, return_counts=True)
+    return lower_bound_of(dict(zip(distinct.tolist(), number.tolist())), capacity)
+
+
+def lower_bound_of(lengths: dict[int, int], capacity: int = CAPACITY) -> int:
+    """The same from how often each length occurs."""
+    times = np.zeros(capacity + 1, np.int64)
+    times[list(lengths)] = list(lengths.values())
+    if not times.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
-    mass, number = np.concatenate([[0], np.cumsum(count * size)]), np.concatenate([[0], np.cumsum(count)])
+    mass, number = np.concatenate([[0], np.cumsum(times * size)]), np.concatenate([[0], np.cumsum(times)])
     e = np.arange(0, capacity // 2 + 1)
     top = capacity - e + 1  # first length that counts as a full bin
     threshold = (number[-1] - number[top]) * capacity + mass[top] - mass[np.minimum(e, top)]
@@ -122,7 +130,7 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     for k in range(1, 32):
         scaled = (k + 1) * size
         value = np.where(scaled % capacity == 0, k * size, scaled // capacity * capacity)
-        best = max(best, -(-int((value * count).sum()) // (k * capacity)))
+        best = max(best, -(-int((value * times).sum()) // (k * capacity)))
     return best
 
 
@@ -167,14 +175,15 @@ def _packed(turn: int, capacity: int):
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = 40_000, turns: int = 4, loose: int = 16) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = 40_000, loose: int = 16) -> DataFrame:
     """Pieces with sequence_id, offset, free space of the sequence, and whether its partition's count is proven least.
 
     ``per_task`` pieces go to a task. A bin is tight if at most ``loose`` of its tokens are free; the bins of certified
-    partitions stay as they are, except those so empty that others can take them up.
+    partitions stay as they are, except those so empty that others can take them up. The exchange ends when it leaves no
+    fewer loose bins than before, or when one task has packed all that was left.
     """
     done, waiting, before = [], pieces, None
-    for turn in range(turns):
+    for turn in count():
         n = waiting.count()
         if not n:
             break
@@ -184,7 +193,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = 40_000, tu
         stays = (F.col("free") <= loose) | (F.col("certified") & (F.col("free") < capacity // 4))
         left = packed.where(~stays)
         loose_bins = left.agg(F.count_distinct("sequence_id")).first()[0]
-        if turn == turns - 1 or (before is not None and loose_bins >= before) or not loose_bins or tasks == 1:
+        if (before is not None and loose_bins >= before) or not loose_bins or tasks == 1:
             done.append(packed)
             break
         done.append(packed.where(stays))
@@ -197,6 +206,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = 40_000, tu
     return out
 
 
+def packing_gap(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """(sequences used, sequences that any packing of the same pieces needs at least)."""
+    lengths = packed.groupBy("length").count().collect()  # one row for each length up to the capacity
+    used = packed.where("offset = 0").count()
+    return used, lower_bound_of({r["length"]: r["count"] for r in lengths}, capacity)
+
+
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     pieces = materialise(tokenised_pieces(docs, path), "pieces")
     return pack(pieces).drop("uid")
