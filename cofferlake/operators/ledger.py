@@ -63,11 +63,12 @@ def _ordered_moves(ledger: DataFrame, *columns: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*columns)))
 
 
-def positions_from_ledger(ledger: DataFrame) -> DataFrame:
+def positions_from_ledger(ledger: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
     """Average-cost positions by user and symbol, folded over each group's moves in order of date and seq.
 
     Buys add cost and fee; sells realise proceeds less fee less average cost; oversold positions go to zero and are
-    flagged; splits multiply by a plausible ratio, else add shares; dividends and fees only add up.
+    flagged; splits multiply by a plausible ratio, else add shares; dividends and fees only add up. ``also`` names further
+    aggregates of the same groups, so that the ledger is shuffled once for all. One group's moves are one task's work.
     """
     names = ("sh", "cost", "realized", "dividends", "tax", "fees")
     zero = F.struct(*[F.lit(0.0).alias(n) for n in names], F.lit(False).alias("review"))
@@ -89,11 +90,13 @@ def positions_from_ledger(ledger: DataFrame) -> DataFrame:
             (a["review"] | ((kind == "sell") & (left < -NOTHING))).alias("review"),
         )
 
-    folded = ledger.groupBy("user_id", "symbol").agg(_ordered_moves(ledger, *_MOVE).alias("moves")).select("user_id", "symbol", F.aggregate("moves", zero, step).alias("p"))
+    grouped = ledger.groupBy("user_id", "symbol").agg(_ordered_moves(ledger, *_MOVE).alias("moves"), *also)
+    more = [c for c in grouped.columns if c not in ("user_id", "symbol", "moves")]
+    folded = grouped.select("user_id", "symbol", F.aggregate("moves", zero, step).alias("p"), *more)
     sh = F.col("p.sh")
     return folded.select(
         "user_id", "symbol", F.when(sh < NOTHING, 0.0).otherwise(sh).alias("shares"), F.when(sh > NOTHING, F.col("p.cost") / sh).otherwise(0.0).alias("avg_price"),
-        F.col("p.realized").alias("realized_pnl"), F.col("p.dividends").alias("dividends"), F.col("p.tax").alias("tax_withheld"), F.col("p.fees").alias("fees_paid"), F.col("p.review").alias("needs_review"),
+        F.col("p.realized").alias("realized_pnl"), F.col("p.dividends").alias("dividends"), F.col("p.tax").alias("tax_withheld"), F.col("p.fees").alias("fees_paid"), F.col("p.review").alias("needs_review"), *more,
     )
 
 
@@ -102,10 +105,8 @@ def rebuild_positions(ledger: DataFrame, positions: DataFrame, assets: DataFrame
 
     positions: user_id, symbol, name, platform, asset_type, shares, avg_price. assets: ticker, name, asset_type.
     """
-    computed = positions_from_ledger(ledger).where(F.col("symbol") != CASH)
+    computed = positions_from_ledger(ledger, (F.max_by("broker", F.struct("date", "seq")).alias("broker"),)).where(F.col("symbol") != CASH)
     worth = (F.col("shares") > 0) | (F.col("dividends") != 0) | (F.col("realized_pnl") != 0) | (F.col("fees_paid") != 0)
-    last = ledger.groupBy("user_id", "symbol").agg(F.max_by("broker", F.struct("date", "seq")).alias("broker"))
-    computed = computed.join(last, ["user_id", "symbol"])
     old = positions.select("user_id", "symbol", *[F.col(c).alias(f"old_{c}") for c in ("name", "platform", "asset_type", "shares", "avg_price")], F.lit(True).alias("stored"))
     meta = assets.select(F.col("ticker").alias("symbol"), F.col("name").alias("meta_name"), F.col("asset_type").alias("meta_type")).dropDuplicates(["symbol"])
     out = computed.withColumn("worth", worth).join(old, ["user_id", "symbol"], "full_outer").join(meta, "symbol", "left").where(F.col("stored") | F.col("worth"))

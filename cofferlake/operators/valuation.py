@@ -61,18 +61,32 @@ def portfolio_totals(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return _totals(rows, cost, F.when(priced, F.col("shares") * F.col("price")).otherwise(cost), priced)
 
 
-def portfolio_totals_base(positions: DataFrame, ledger: DataFrame, prices: DataFrame, fx: DataFrame, split_adjusted: bool = False) -> DataFrame:
+def rated(ledger: DataFrame, fx: DataFrame) -> DataFrame:
+    """Ledger rows with ``r``, their own rate to base or else the current one."""
+    return with_rate(ledger, fx).withColumn("r", F.coalesce("exchange_rate", "fx_rate"))
+
+
+def buy_flows() -> tuple[Column, ...]:
+    """Aggregates of rated ledger rows by user and symbol: paid in base currency, shares bought, currency."""
+    buy = F.col("type") == "buy"
+    return (
+        exact_sum(F.when(buy, F.col("total_amount") * F.col("r")).otherwise(0.0)).alias("paid"),
+        exact_sum(F.when(buy, F.col("shares")).otherwise(0.0)).alias("bought"),
+        F.max("currency").alias("currency"),
+    )
+
+
+def portfolio_totals_base(positions: DataFrame, ledger: DataFrame | None, prices: DataFrame, fx: DataFrame, split_adjusted: bool = False) -> DataFrame:
     """Per user totals in base currency of active positions.
 
     Invested is the sum of buys at their historic rates times held / bought shares; positions without a ledger use the
-    current rate. ``split_adjusted`` bounds that ratio by 1, which splits otherwise exceed.
+    current rate. ``split_adjusted`` bounds that ratio by 1, which splits otherwise exceed. Without a ledger the positions
+    carry ``buy_flows`` themselves.
     """
-    moves = with_rate(ledger, fx).withColumn("r", F.coalesce("exchange_rate", "fx_rate"))
-    buy = F.col("type") == "buy"
-    bought = moves.groupBy("user_id", "symbol").agg(
-        exact_sum(F.when(buy, F.col("total_amount") * F.col("r")).otherwise(0.0)).alias("paid"), exact_sum(F.when(buy, F.col("shares")).otherwise(0.0)).alias("bought"), F.max("currency").alias("currency")
-    )
-    rows = with_rate(positions.where("shares > 0").join(bought, ["user_id", "symbol"], "left").join(prices.select("symbol", "price"), "symbol", "left"), fx)
+    held = positions.where("shares > 0")
+    if ledger is not None:
+        held = held.join(rated(ledger, fx).groupBy("user_id", "symbol").agg(*buy_flows()), ["user_id", "symbol"], "left")
+    rows = with_rate(held.join(prices.select("symbol", "price"), "symbol", "left"), fx)
     ratio = F.when(F.col("bought") > 0, F.col("shares") / F.col("bought")).otherwise(1.0)
     ratio = F.least(ratio, F.lit(1.0)) if split_adjusted else ratio
     cost, priced = F.col("shares") * F.col("avg_price"), F.coalesce(F.col("price") != 0, F.lit(False))
@@ -104,7 +118,7 @@ def filtered_label(valued: DataFrame, sector: str | None) -> DataFrame:
     return counts.withColumn("label", F.format_string("%d of %d positions", "shown", "total"))
 
 
-def portfolio_snapshot(positions: DataFrame, ledger: DataFrame, prices: DataFrame, fx: DataFrame, as_of: Column) -> DataFrame:
+def portfolio_snapshot(positions: DataFrame, ledger: DataFrame | None, prices: DataFrame, fx: DataFrame, as_of: Column) -> DataFrame:
     """One row per user: base totals, active positions, and how many prices are known at all."""
     totals = portfolio_totals_base(positions, ledger, prices, fx)
     known = prices.agg(F.count("*").alias("prices_available"))
@@ -152,9 +166,11 @@ def significant_movers(moved: DataFrame, least: float = 0.1, k: int = 6) -> Data
 def price_run_summary(run: DataFrame, sample: int = 12) -> DataFrame:
     """By run_id: priced and failed symbols, distinct errors, and the first unpriced symbols."""
     ok = F.coalesce(F.col("price") > 0, F.lit(False))
-    return run.groupBy("run_id").agg(
-        F.count_if(ok).alias("priced"), F.count_if(~ok).alias("failed"), F.array_sort(F.collect_set(F.when(~ok, F.col("error")))).alias("errors"), F.slice(F.array_sort(F.collect_list(F.when(~ok, F.col("symbol")))), 1, sample).alias("unpriced")
-    )
+    first = F.row_number().over(Window.partitionBy("run_id").orderBy("symbol"))
+    failed = run.where(~ok & F.col("symbol").isNotNull()).select("run_id", "symbol", first.alias("_n")).where(F.col("_n") <= sample)
+    failed = failed.groupBy("run_id").agg(F.array_sort(F.collect_list("symbol")).alias("unpriced"))
+    sums = run.groupBy("run_id").agg(F.count_if(ok).alias("priced"), F.count_if(~ok).alias("failed"), F.array_sort(F.collect_set(F.when(~ok, F.col("error")))).alias("errors"))
+    return sums.join(failed, "run_id", "left").withColumn("unpriced", F.coalesce("unpriced", F.array().cast("array<string>")))
 
 
 def price_records(run: DataFrame, assets: DataFrame) -> DataFrame:

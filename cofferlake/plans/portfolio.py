@@ -25,6 +25,11 @@ def positions(v: Views):
     return L.positions_from_ledger(v.ledger)
 
 
+def with_flows(v: Views):
+    """Positions and what was paid for them, from one pass over the ledger."""
+    return L.positions_from_ledger(E.rated(v.ledger, v.fx), E.buy_flows())
+
+
 def gains(v: Views):
     return E.position_gain(positions(v), v.prices)
 
@@ -248,7 +253,7 @@ totals AS ({_TOTALS.format(i=s('CASE WHEN paid IS NOT NULL THEN paid * CASE WHEN
 
 @query("e7_portfolio_totals_base", oracle(_WITH_GAIN, *_PP, _BASE))
 def e7(v):
-    return E.portfolio_totals_base(positions(v), v.ledger, v.prices, v.fx)
+    return E.portfolio_totals_base(with_flows(v), None, v.prices, v.fx)
 
 
 _TOTAL = "CAST(sum(CAST(market_value AS DECIMAL(28,6))) OVER (PARTITION BY user_id) AS DOUBLE)"
@@ -288,7 +293,7 @@ def e11(v):
 
 @query("e12_portfolio_snapshot", oracle(f"SELECT user_id, TIMESTAMP '{AS_OF}' AS timestamp, invested AS total_invested, market_value AS total_market_value, positions AS position_count, (SELECT count(*) FROM prices) AS prices_available FROM totals", *_PP, _BASE))
 def e12(v):
-    return E.portfolio_snapshot(positions(v), v.ledger, v.prices, v.fx, now())
+    return E.portfolio_snapshot(with_flows(v), None, v.prices, v.fx, now())
 
 
 _SNAPS = "snaps AS (SELECT user_id, date_trunc('month', date) AS timestamp, {i} AS total_invested, {m} AS total_market_value FROM v_ledger GROUP BY ALL)".format(i=s("total_amount"), m=s("shares * 1000"))
