@@ -68,8 +68,12 @@ def parse_number_broker(x: Column) -> Column:
 
 def parse_signed_number(x: Column) -> Column:
     """The magnitude that ``parse_number_broker`` finds, negative after a leading minus or in parentheses."""
-    value, text = parse_number_broker(x), F.trim(F.coalesce(x, F.lit("")))
-    return F.when(text.rlike(r"^[-−]|^\(.*\)$"), -F.abs(value)).otherwise(F.abs(value))
+    return signed(parse_number_broker(x), x)
+
+
+def signed(value: Column, text: Column) -> Column:
+    """The magnitude of ``value`` with the sign that its text shows."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))).rlike(r"^[-−]|^\(.*\)$"), -F.abs(value)).otherwise(F.abs(value))
 
 
 def parse_number_holdings(x: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cofferlake.functions.text import clean_model_json, csv_separator, currency_of_text, is_isin, norm_header, normalize_date, parse_number_broker, parse_number_holdings, parse_signed_number, stripped
+from cofferlake.functions.text import clean_model_json, csv_separator, currency_of_text, is_isin, norm_header, normalize_date, parse_number_broker, parse_number_holdings, parse_signed_number, signed, stripped
 
 #: Names of columns in statements, as ``norm_header`` writes them.
 TRANSACTION_COLUMNS = {
@@ -71,6 +71,12 @@ def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def _numbers(*columns: str) -> dict[str, Column]:
+    """``n_<column>``: the broker's numbers of some text columns, by one expression over all of them."""
+    found = F.transform(F.array(*[F.col(c) for c in columns]), parse_number_broker)
+    return {f"n_{c}": F.get(found, F.lit(i)) for i, c in enumerate(columns)}
+
+
 def normalize_asset_type(x: Column) -> Column:
     low = F.lower(F.trim(x))
     known = reduce(lambda c, kind: c.when(low.isin(*ASSET_TYPES[kind]), kind), list(ASSET_TYPES)[1:], F.when(low.isin(*ASSET_TYPES["Stock"]), "Stock"))
@@ -103,13 +109,20 @@ def find_col(header: Column, names: tuple[str, ...]) -> Column:
     return F.nullif(F.array_position(hit, F.lit(True)), F.lit(0)).cast("int") - 1
 
 
-def statement_rows(files: DataFrame, columns: dict[str, tuple[str, ...]]) -> DataFrame:
-    """file, line_no, cells and the position of each named column (``at_<name>``); blank lines are dropped."""
+def _complete(need: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"at_{n}").isNotNull() for n in need], F.lit(True))
+
+
+def statement_rows(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[str, ...] = ()) -> DataFrame:
+    """file, line_no, cells and the position of each named column (``at_<name>``); blank lines are dropped.
+
+    A file that lacks one of the columns ``need`` is one row without cells.
+    """
     lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
     rows = files.select("file", lines.alias("lines")).where(F.size("lines") > 0)
     rows = evaluated(rows.withColumn("header_line", F.element_at("lines", 1)["line"]), separator=csv_separator(F.col("header_line")))
     rows = evaluated(evaluated(rows, header=split_csv(F.col("header_line"), F.col("separator"))), **{f"at_{k}": find_col(F.col("header"), v) for k, v in columns.items()})
-    rows = rows.select("file", "separator", *[f"at_{k}" for k in columns], F.explode_outer(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("l"))
+    rows = rows.select("file", "separator", *[f"at_{k}" for k in columns], F.explode_outer(F.when(_complete(need), F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))))).alias("l"))
     rows = evaluated(rows, cells=split_csv(F.col("l.line"), F.col("separator")))
     return rows.select("file", *[f"at_{k}" for k in columns], F.col("l.line_no").alias("line_no"), "cells")
 
@@ -129,8 +142,7 @@ def _event(rows: DataFrame, broker: str, **values: Column) -> DataFrame:
 
 def _picked(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[str, ...], beside: str | None = None) -> DataFrame:
     """The named cells as columns, ``beside`` right of one of them, and whether the needed columns exist."""
-    rows = statement_rows(files, columns)
-    complete = reduce(lambda a, b: a & b, [F.col(f"at_{n}").isNotNull() for n in need])
+    rows, complete = statement_rows(files, columns, need), _complete(need)
     cells = {c: _cell(c) for c in columns} | ({"beside": _cell(beside, 1)} if beside else {})
     return evaluated(rows.where(F.col("line_no").isNotNull() | ~complete), complete=complete, **cells).select("file", "line_no", "complete", *cells)
 
@@ -138,17 +150,16 @@ def _picked(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[s
 def parse_transactions(files: DataFrame) -> DataFrame:
     """Transactions export: the quantity's sign is the side, the price's currency stands right of the price."""
     r = _picked(files, TRANSACTION_COLUMNS, ("isin", "qty", "price"), "price")
-    r = evaluated(r, ident=F.upper(F.trim(F.coalesce("isin", F.lit("")))), n_qty=parse_signed_number(F.col("qty")), n_price=parse_number_broker(F.col("price")), n_fees=F.abs(F.coalesce(parse_number_broker(F.col("fees")), F.lit(0.0))), day=normalize_date(F.col("date")))
-    ident, qty, price = F.col("ident"), F.col("n_qty"), F.col("n_price")
+    r = evaluated(r, ident=F.upper(F.trim(F.coalesce("isin", F.lit("")))), day=normalize_date(F.col("date")), **_numbers("qty", "price", "fees"))
+    ident, qty, price = F.col("ident"), signed(F.col("n_qty"), F.col("qty")), F.col("n_price")
     kind = F.when(~F.col("complete"), "error").when((ident == "") | qty.isNull() | (qty == 0), "skipped").when(price.isNull() | (price <= 0), "review").otherwise("trade")
     r = evaluated(r, kind=kind)
     out = _event(
         r, "degiro", kind=F.col("kind"), type=F.when(qty < 0, "sell").otherwise("buy"), date=F.col("day"), identifier=ident, is_isin=is_isin(ident), price=price,
-        shares=F.when(F.col("kind") == "review", qty).otherwise(F.abs(qty)), fees=F.col("n_fees"), currency=currency_of_text(F.coalesce(F.nullif("beside", F.lit("")), "price"), F.lit("EUR")), name=F.coalesce("product", F.lit("")),
+        shares=F.when(F.col("kind") == "review", qty).otherwise(F.abs(qty)), fees=F.abs(F.coalesce("n_fees", F.lit(0.0))), currency=currency_of_text(F.coalesce(F.nullif("beside", F.lit("")), "price"), F.lit("EUR")), name=F.coalesce("product", F.lit("")),
         reason=F.when(F.col("kind") == "review", "corporate_action").when(F.col("kind") == "error", "ISIN, quantity or price column is missing"),
     )
-    errors = out.where("kind = 'error'").dropDuplicates(["file"])
-    return detect_split_pairs(out.where("kind <> 'error'")).unionByName(errors.withColumn("ratio", F.lit(None).cast("double")))
+    return detect_split_pairs(out)
 
 
 def detect_split_pairs(events: DataFrame, least: float = 3.0) -> DataFrame:
@@ -156,10 +167,12 @@ def detect_split_pairs(events: DataFrame, least: float = 3.0) -> DataFrame:
 
     Greedy in order of lines: each buy takes the first sell that fits and is free.
     """
-    move = F.struct("line_no", "price", "shares")
-    groups = events.where("kind = 'trade'").groupBy("file", "identifier", "date").agg(
-        F.array_sort(F.collect_list(F.when(F.col("type") == "buy", move))).alias("buys"), F.array_sort(F.collect_list(F.when(F.col("type") == "sell", move))).alias("sells")
-    ).where((F.size("buys") > 0) & (F.size("sells") > 0))
+    trade = F.col("kind") == "trade"
+    rest = [c for c in events.columns if c not in ("file", "identifier", "date")]
+    # Each other row is a group of its own, so only trades of one instrument and day share an array.
+    groups = events.groupBy("file", "identifier", "date", F.when(~trade, F.col("line_no")).alias("_alone")).agg(F.array_sort(F.collect_list(F.struct("line_no", *[c for c in rest if c != "line_no"]))).alias("rows"))
+    side = lambda kind: F.filter("rows", lambda x: (x["kind"] == "trade") & (x["type"] == kind))
+    groups = evaluated(groups, buys=side("buy"), sells=side("sell"))
 
     def step(pairs: Column, b: Column) -> Column:
         fits = F.filter("sells", lambda x: (F.least(b["price"], x["price"]) > 0) & (F.greatest(b["price"], x["price"]) / F.least(b["price"], x["price"]) >= least) & ~F.exists(pairs, lambda p: p["sell"] == x["line_no"]))
@@ -167,22 +180,22 @@ def detect_split_pairs(events: DataFrame, least: float = 3.0) -> DataFrame:
         return F.when(F.size(fits) > 0, F.concat(pairs, F.array(pair(F.element_at(fits, 1))))).otherwise(pairs)
 
     start = F.array().cast("array<struct<buy:bigint,sell:bigint,ratio:double>>")
-    pairs = groups.select("file", F.explode(F.aggregate("buys", start, step)).alias("p")).select("file", "p.*")
-    lines = pairs.select("file", F.explode(F.array("buy", "sell")).alias("line_no"))
-    kept = events.join(lines, ["file", "line_no"], "left_anti").withColumn("ratio", F.lit(None).cast("double"))
-    flagged = events.join(pairs.select("file", F.col("buy").alias("line_no"), "ratio"), ["file", "line_no"]).withColumn("kind", F.lit("review")).withColumn("reason", F.lit("possible_split"))
-    return kept.unionByName(flagged)
+    groups = evaluated(groups, pairs=F.when((F.size("buys") > 0) & (F.size("sells") > 0), F.aggregate("buys", start, step)).otherwise(start))
+    rows = groups.select("file", "identifier", "date", "pairs", F.explode("rows").alias("r")).select("file", "identifier", "date", "pairs", "r.*")
+    rows = evaluated(rows, pair=F.get(F.filter("pairs", lambda p: p["buy"] == F.col("line_no")), F.lit(0)), sold=F.exists("pairs", lambda p: p["sell"] == F.col("line_no"))).where(~F.coalesce("sold", F.lit(False)))
+    paired = F.col("pair").isNotNull()
+    out = rows.withColumn("kind", F.when(paired, "review").otherwise(F.col("kind"))).withColumn("reason", F.when(paired, "possible_split").otherwise(F.col("reason")))
+    return out.withColumn("ratio", F.col("pair.ratio")).select(*events.columns, "ratio")
 
 
 def parse_app_statement(files: DataFrame) -> DataFrame:
     """App broker's statement: trades, splits as share changes, dividends, fees; other movements are skipped."""
     r = _picked(files, APP_COLUMNS, ("ticker", "type", "qty"))
-    numbers = {"n_qty": parse_number_broker(F.col("qty")), "n_total": parse_number_broker(F.col("total")), "n_delta": parse_signed_number(F.col("qty")), "n_price": parse_number_broker(F.col("price")), "n_tax": F.abs(F.coalesce(parse_number_broker(F.col("tax")), F.lit(0.0)))}
-    r = evaluated(r, kind_text=F.upper(F.coalesce("type", F.lit(""))), ident=F.upper(F.trim(F.coalesce("ticker", F.lit("")))), day=normalize_date(F.col("date")), money=currency_of_text(F.coalesce("currency", "price", "total"), F.lit("USD")), **numbers)
+    r = evaluated(r, kind_text=F.upper(F.coalesce("type", F.lit(""))), ident=F.upper(F.trim(F.coalesce("ticker", F.lit("")))), day=normalize_date(F.col("date")), money=currency_of_text(F.coalesce("currency", "price", "total"), F.lit("USD")), **_numbers("qty", "total", "price", "tax"))
     kind_text, ident, complete = F.col("kind_text"), F.col("ident"), F.col("complete")
     trade, split = kind_text.rlike("^(?:BUY|SELL)"), kind_text.contains("STOCK SPLIT")
     dividend, fee = kind_text.rlike("^DIVIDEND") & ~kind_text.contains("TAX"), kind_text.rlike("FEE|CUSTODY")
-    qty, total, delta = F.col("n_qty"), F.col("n_total"), F.col("n_delta")
+    qty, total, delta = F.col("n_qty"), F.col("n_total"), signed(F.col("n_qty"), F.col("qty"))
     price = F.when(F.col("n_price") > 0, F.col("n_price")).when((total > 0) & (qty > 0), total / qty)
     r = evaluated(r, n_amount=F.abs(F.coalesce("n_total", F.lit(0.0))), paid=price)
     amount, price = F.col("n_amount"), F.col("paid")
@@ -200,10 +213,9 @@ def parse_app_statement(files: DataFrame) -> DataFrame:
     out = _event(
         r, "revolut", kind=kind, type=kind_name, date=F.col("day"), identifier=F.when(fee & ~named, "CASH").otherwise(ident), is_isin=F.when(fee, False).otherwise(is_isin(ident)),
         shares=F.when(trade, qty).when(split, delta), price=F.when(trade, price), amount=F.when(dividend, amount).when(fee, F.when(kind_text.rlike("REVERSAL|REFUND"), -amount).otherwise(amount)),
-        tax=F.when(dividend, F.col("n_tax")), fees=F.when(trade, 0.0), currency=F.col("money"), name=F.lit(""), reason=reason,
+        tax=F.when(dividend, F.abs(F.coalesce("n_tax", F.lit(0.0)))), fees=F.when(trade, 0.0), currency=F.col("money"), name=F.lit(""), reason=reason,
     )
-    whole = out.where(F.col("reason").contains("column is missing")).dropDuplicates(["file"])
-    return out.where(~F.coalesce(F.col("reason").contains("column is missing"), F.lit(False))).unionByName(whole).withColumn("ratio", F.lit(None).cast("double"))
+    return out.withColumn("ratio", F.lit(None).cast("double"))
 
 
 def parse_account_statement(files: DataFrame) -> DataFrame:
@@ -225,8 +237,7 @@ def normalize_trades(rows: DataFrame, broker: str = "generic") -> DataFrame:
     """Loose rows (file, line_no and text columns identifier, side, shares, price, total, fees, currency, date, name)."""
     side = F.lower(F.coalesce("side", F.lit("")))
     side = F.when(side.contains("sell"), "sell").when(side.contains("buy"), "buy")
-    numbers = {f"n_{c}": parse_number_broker(F.col(c)) for c in ("shares", "price", "total", "fees")}
-    rows = evaluated(rows, **numbers, ident=F.upper(F.trim(F.coalesce("identifier", F.lit("")))), way=side)
+    rows = evaluated(rows, **_numbers("shares", "price", "total", "fees"), ident=F.upper(F.trim(F.coalesce("identifier", F.lit("")))), way=side)
     ident, side, shares = F.col("ident"), F.col("way"), F.col("n_shares")
     price = F.when(F.col("n_price") > 0, F.col("n_price")).when((F.col("n_total") > 0) & (shares > 0), F.col("n_total") / shares)
     ok = (ident != "") & side.isNotNull() & F.coalesce(shares > 0, F.lit(False)) & price.isNotNull()
