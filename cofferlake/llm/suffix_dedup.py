@@ -369,12 +369,12 @@ def _requests(buckets: int):
 
         sizes = n[at].astype(np.uint8)
         add(-1, chunk.number, None, None, None, None, chunk.copy.tobytes(), sizes.tobytes(), start.astype("<i4").tobytes(), kind.astype("<i4").tobytes())
-        text = rows[at]
+        text, packer = rows[at], zstandard.ZstdCompressor(level=3)
         inside = np.arange(_WIDE) < (n[at] + LENGTH - 1)[:, None]
         for a, b in _cuts(_bucket(h[at], buckets)):
             part = slice(a, b)
             bucket = int(_bucket(h[at[a] : at[a] + 1], buckets)[0])
-            add(bucket, chunk.number, h[at[part]].tobytes(), sizes[part].tobytes(), ids[at[part]].tobytes(), text[part][inside[part]].tobytes(), None, None, None, None)
+            add(bucket, chunk.number, h[at[part]].tobytes(), sizes[part].tobytes(), ids[at[part]].tobytes(), packer.compress(text[part][inside[part]].tobytes()), None, None, None, None)
         return pa.Table.from_arrays([pa.array(v, _REQUEST.get(k, pa.binary())) for k, v in out.items()], names=list(out))
 
     return run
@@ -400,7 +400,9 @@ def _repeated(rows: np.ndarray, n: np.ndarray, h: np.ndarray) -> np.ndarray:
 def _judged(table: pa.Table) -> pa.Table:
     """For each chunk's request the least doc_id of every string of its stretches, in the order asked."""
     join = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in _column(table, c)])
-    h, n, first, text = join("h", "<u8"), join("n", np.uint8).astype(np.int64), join("first", "<i8"), join("text", np.uint8)
+    h, n, first = join("h", "<u8"), join("n", np.uint8).astype(np.int64), join("first", "<i8")
+    opener = zstandard.ZstdDecompressor()
+    text = np.frombuffer(b"".join(map(opener.decompress, _column(table, "text"))), np.uint8)
     size = n + LENGTH - 1
     rows = _rows(text, np.cumsum(size) - size, size)
     key = _row_hash(rows)
