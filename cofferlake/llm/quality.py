@@ -2,7 +2,8 @@
 
 ``quality_scores(docs, labels)`` learns logistic regression over hashed words and character trigrams from labelled
 rows, calibrates it on rows that training left out, and scores every whole text in Arrow batches against fixed
-thresholds. Training reads a bounded sample: ``max_train`` labelled documents, those whose id hashes lowest.
+thresholds. Training reads a bounded sample: ``max_train`` labelled documents, those whose id hashes lowest; each sends
+the driver its distinct features, some 6000 at most.
 
 Cases: null or empty text has no words, so it fails the base rule and is not kept; repeated rows are scored one by
 one; rows without a label or with a null label only take part in scoring; without usable labels of both classes the
@@ -27,19 +28,30 @@ N_FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
 
 _SYMBOL = tv.byte_class(b"#*$%&|<>")
 _SPACE_SHAPE = np.where(tv.SPACE, 32, np.arange(256)).astype(np.uint32)
+_ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+def characters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character, its UTF-8 bytes (all white space is a blank), and how many each document has."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    chars, size = _SPACE_SHAPE[data[lead]], np.diff(np.append(lead, len(data)))
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(size > k)
+        chars[longer] |= data[lead[longer] + k].astype(np.uint32) << np.uint32(8 * k)
+    return chars, np.diff(np.searchsorted(lead, offs))
+
+
 def hashed_features(data: np.ndarray, offs: np.ndarray, words: np.ndarray, owners: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(feature, document) of every word and of every trigram of bytes within a document."""
+    """(feature, document) of every word and of every trigram of characters within a document."""
     word = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     out = [(word, owners)]
-    if len(data) >= 3:
-        shape = _SPACE_SHAPE[data]
-        gram = shape[:-2] + (shape[1:-1] << np.uint32(8)) + (shape[2:] << np.uint32(16))
-        gram = (gram * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
-        doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    chars, per_doc = characters(data, offs)
+    if len(chars) >= 3:
+        gram = chars[:-2] * _ODD[0] + chars[1:-1] * _ODD[1] + chars[2:] * _ODD[2]
+        gram = (gram ^ gram >> np.uint32(15)) * _ODD[0] >> np.uint32(32 - GRAM_BITS)
+        doc = np.repeat(np.arange(len(offs) - 1), per_doc)
         same = doc[2:] == doc[:-2]
         out.append((gram[same].astype(np.int64) + (1 << WORD_BITS), doc[2:][same]))
     return out
@@ -124,8 +136,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, ro
 def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -> dict | None:
     """Weights, intercept and Platt calibration; None if the labels do not hold both classes."""
     use = bounded_sample(labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")), "doc_id", max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").mapInArrow(_training_rows, "doc_id long, quality int, feature array<int>, share array<float>").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    # Of rows that repeat a labelled doc_id the least text counts.
+    sample = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = sample.mapInArrow(_training_rows, "doc_id long, quality int, feature array<int>, share array<float>").toPandas()
+    rows = rows.sort_values("doc_id", kind="stable")
     if rows["quality"].nunique() < 2:
         return None
     x = np.zeros((len(rows), N_FEATURES), np.float32)
