@@ -12,7 +12,8 @@ overlap no base span are added to the base spans, which stay as they are.
 
 Cases: null and empty texts have no spans (``spans`` is empty, ``base_sha256`` that of the empty string); repeated rows
 are treated one by one; a null ``doc_id`` keeps its row; an empty table gives an empty result; further columns are
-ignored. Long runs of digits or letters are one match that fails validation.
+ignored. Long runs of digits or letters are one match that fails validation. Of loose spans that overlap each other all
+are listed.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from cofferlake.llm.common import materialise
 
 #: Kinds in the order in which spans are listed; the first four are the base patterns.
-KINDS = ("email", "ip", "card", "phone", "masked_email", "number")
+KINDS = ("email", "ip", "card", "phone", "masked_email", "number", "bank", "name", "address")
 N_BASE = 4
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -34,14 +35,21 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "masked_email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[\[({{](?i:at)[\])}}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({{](?i:dot)[\])}}])\x20?[A-Za-z0-9-]++)++",
+    "bank": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "name": r"(?<![\p{L}])(?:Mrs?|Ms|Dr|Prof|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Señora?|Sra?)\.?\x20(?:\p{Lu}\.\x20)?\p{Lu}[\p{L}'-]++(?:\x20\p{Lu}[\p{L}'-]++)?",
+    "address": r"(?<![\p{L}0-9])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{L}++\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)(?![\p{L}])|[0-9]{1,4},?\x20(?:rue|avenue|boulevard|place|chemin|quai)(?:\x20[\p{L}'-]++){1,4}|\p{Lu}\p{Ll}{2,30}?(?:straße|strasse|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?(?![\p{L}0-9])|(?:Calle|Avenida|Plaza|Paseo)(?:\x20[\p{L}]++){1,4},?\x20[0-9]{1,4})",
     "number": r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,4}(?![0-9A-Za-z])",
 }
-_CUES = r"(?i)(?:\btel|phone|mobil|\bcall|\bfax|e-?mail|contact|\bcard|\bvisa|account|\bip\b|\bhost|\bssn|whatsapp|reach me)"
+_CUES = r"(?i)(?:\biban|\bbank|konto|cuenta|compte|address|adresse|anschrift|direcci|lives? at|\bname\b|\bdear\b|\btel|phone|mobil|\bcall|\bfax|e-?mail|contact|\bcard|\bvisa|account|\bip\b|\bhost|\bssn|whatsapp|reach me)"
 _NOT_CUES = r"(?i)(?:version|licen[sc]e|\bpage|isbn|chapter|section|\bdoi|copyright|[$€£]\s*$)"
 _DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$"
 _AREAS = r"^[+(]*(?:1[ ().-]*)?(?:20[1-9]|21[2-9]|30[1-9]|31[02-9]|40[1-9]|41[02-9]|50[1-9]|51[02-9]|60[1-9]|61[02-9]|70[1-8]|71[2-9]|80[1-8]|81[02-9]|90[1-9]|91[02-9])"
 _BYTES = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 _SHAPES = r"^(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[0-9]{4}[ -]){3}[0-9]{4})$"
+#: Countries of bank numbers with the length of theirs; given names; capitals and postcodes' looks beside an address.
+_BANKS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
+_NAMES = r"\b(?:James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Anna|Maria|Peter|Paul|Hans|Klaus|Jürgen|Ursula|Monika|Pierre|Jean|Jacques|Marie|Claire|Sophie|José|Juan|Carlos|Carmen|Lucía|Ana|Miguel|Laura|Daniel|Martin|Lukas|Emma|Olivia|Liam|Noah)\b"
+_PLACES = r"(?:\b[0-9]{5}\b|\b[A-Z]{1,2}[0-9]{1,2}\b|London|Paris|Berlin|Madrid|Wien|Zürich|Apt|Suite|Floor)"
 LABELERS = ("shape", "gazetteer", "context", "valid", "alone")
 EM_ROUNDS = 25
 
@@ -57,7 +65,7 @@ def _hits(kind: str) -> Column:
         lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("match"), F.length(x["m"]).cast("long").alias("size"), F.length(x["before"]).cast("long").alias("gap"), F.right(x["before"], F.lit(24)).alias("pre"), F.left(x["after"], F.lit(12)).alias("post")),
     )
     none = F.array().cast("array<struct<kind:string,i:int,match:string,size:bigint,gap:bigint,pre:string,post:string>>")
-    needs = {"email": text.contains("@"), "phone": text.contains("+") & text.rlike("[0-9]"), "masked_email": text.rlike(r"(?i)[\[({]at[\])}]")}.get(kind, text.rlike("[0-9]"))
+    needs = {"email": text.contains("@"), "phone": text.contains("+") & text.rlike("[0-9]"), "masked_email": text.rlike(r"(?i)[\[({]at[\])}]"), "name": F.lit(True)}.get(kind, text.rlike("[0-9]"))
     return F.when(needs, rows).otherwise(none)
 
 
@@ -73,6 +81,14 @@ def luhn(digits: Column) -> Column:
     return reduce(lambda x, y: x + y, parts) % 10 == 0
 
 
+def bank_checks(number: Column) -> Column:
+    """Remainder 1 by 97, with the first four characters last and letters as 10 to 35."""
+    digits = F.concat(F.substr(number, F.lit(5)), F.left(number, F.lit(4)))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    step = lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97
+    return F.coalesce(F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(0), step) == 1, F.lit(False))
+
+
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, hits): one row per document with a row number; all matches with start, end and ``valid``."""
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -89,6 +105,7 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("kind") == "card", F.when(n.between(13, 19), luhn(digits)).otherwise(F.lit(False)))
         .when(F.col("kind") == "phone", n.between(9, 15))
         .when(F.col("kind") == "number", n.between(7, 15))
+        .when(F.col("kind") == "bank", bank_checks(F.replace(F.col("match"), F.lit(" "), F.lit(""))))
         .otherwise(F.lit(True))
     )
     kind_no = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
@@ -99,8 +116,16 @@ def votes(hits: DataFrame) -> DataFrame:
     """The labelers' votes as an array in the order of LABELERS."""
     vote = lambda yes, no=None: F.when(yes, 1).when(no, 0).otherwise(-1) if no is not None else F.when(yes, 1).otherwise(-1)
     match, kind, mail = F.col("match"), F.col("kind"), F.col("kind").isin("email", "masked_email")
-    shape = F.when(kind != "number", 1).when(match.rlike(_SHAPES), 1).otherwise(0)
-    named = F.when(mail, match.rlike(_DOMAINS) | match.rlike(r"(?i)dot[\])}]\s?(?:com|org|net|edu)$")).otherwise(match.rlike(_AREAS))
+    letters = F.replace(match, F.lit(" "), F.lit(""))
+    length = F.get(F.array(*[F.lit(n) for n in _BANKS.values()]), F.array_position(F.array(*[F.lit(c) for c in _BANKS]), F.left(letters, F.lit(2))).cast("int") - 1)
+    shape = (
+        F.when(kind == "number", match.rlike(_SHAPES).cast("int")).when(kind == "bank", F.coalesce(F.length(letters) == length, F.lit(False)).cast("int"))
+        .when(kind == "name", match.rlike(r"\x20\p{Lu}[\p{L}.'-]*\x20\p{Lu}").cast("int")).otherwise(1)
+    )
+    named = (
+        F.when(mail, match.rlike(_DOMAINS) | match.rlike(r"(?i)dot[\])}]\s?(?:com|org|net|edu)$")).when(kind == "bank", length.isNotNull())
+        .when(kind == "name", match.rlike(_NAMES)).when(kind == "address", F.col("post").rlike(_PLACES)).otherwise(match.rlike(_AREAS))
+    )
     alone = F.col("pre").rlike(r"(?:^|[\s:;,(\[<'\"=])$") & F.col("post").rlike(r"^(?:$|[\s:;,.)\]>'\"!?])")
     array = F.array(shape, vote(named), vote(F.col("pre").rlike(_CUES), F.col("pre").rlike(_NOT_CUES)), F.col("valid").cast("int"), alone.cast("int"))
     return hits.withColumn("votes", array)
