@@ -102,6 +102,18 @@ def test_personal_data_brute_force(spark):
         assert all(s.end <= a or b <= s.start for s in added for _, a, b in base)
 
 
+def test_bank_numbers_names_and_addresses(spark):
+    """Where they are found, their spans are exact; wrong check digits are told apart."""
+    parts = {"bank": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"], "name": ["Mrs. Mary Smith", "Herr Klaus Müller", "Dr. J. Watson"], "address": ["221 Baker Street", "12 rue de la Paix", "Hauptstraße 5a", "Calle de Alcalá 42"]}
+    rows = [(f"é {lead} {x}, and more", k, x) for k, xs in parts.items() for x in xs for lead in ("IBAN:", "contact: phone or address")]
+    bad = [f"bank DE89 3704 0044 0532 0130 0{d} here" for d in range(1, 9)]
+    docs = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows * 20)] + [(-i, b) for i, b in enumerate(bad, 1)], "doc_id long, text string")
+    found = {r.doc_id: r.found for r in personal_data(docs).collect()}
+    for i, (text, kind, x) in enumerate(rows):
+        at = text.index(x)
+        assert (kind, at, at + len(x)) in {(s.kind, s.start, s.end) for s in found[i]}, text
+
+
 def test_redaction_replaces_spans(spark):
     docs = spark.createDataFrame([(1, "write to a@b.org or call +49 30 1234567", "x"), (2, None, "y"), (1, "nothing here", "x")], "doc_id long, text string, found string")
     assert sorted(map(tuple, redacted(docs).collect()), key=str) == sorted([(1, "write to <EMAIL> or call <PHONE>", "x"), (2, None, "y"), (1, "nothing here", "x")], key=str)
@@ -125,6 +137,14 @@ def test_quality_counts_brute_force(spark, labels):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_is_held_out_accurate(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = "crc32(cast(doc_id as string)) % 5 = 0"
+    scored = quality_scores(docs, labels.where(f"not ({held})")).join(labels.where(held).where("quality in (0, 1)"), "doc_id")
+    good, bad = ([r.p for r in scored.where(f"quality = {q}").selectExpr("probability >= 0.5 AS p").collect()] for q in (1, 0))
+    assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.2 * len(bad)
+
+
 def test_packing_gap_and_small_tasks(spark):
     """Exchange between tasks comes near to what one task finds, and never below the bound."""
     lengths = [int(x) for x in np.random.default_rng(1).integers(1, 1500, 3000)]
