@@ -14,17 +14,24 @@ EXCHANGES = (
 )
 #: Currency by exchange; all others are USD.
 CURRENCIES = {
-    "EUR": ("Euronext Paris", "Frankfurt (XETRA)", "Euronext Amsterdam", "Milan (Borsa)", "Madrid", "Brussels", "Helsinki"), "GBP": ("London (LSE)",), "CHF": ("Swiss (SIX)",), "SEK": ("Stockholm",),
-    "NOK": ("Oslo",), "DKK": ("Copenhagen",), "CAD": ("Toronto (TSX)",), "HKD": ("Hong Kong",), "JPY": ("Tokyo",),
-}
-#: Suffix that price feeds use, and other spellings of it.
+    "Euronext Paris": "EUR", "Frankfurt (XETRA)": "EUR", "Euronext Amsterdam": "EUR", "Milan (Borsa)": "EUR", "Madrid": "EUR", "Brussels": "EUR",
+    "Helsinki": "EUR", "London (LSE)": "GBP", "Swiss (SIX)": "CHF", "Stockholm": "SEK", "Oslo": "NOK", "Copenhagen": "DKK", "Toronto (TSX)": "CAD",
+    "Hong Kong": "HKD", "Tokyo": "JPY",
+}
+#: Suffixes in files and the ones that price feeds use.
 SUFFIXES = {
-    "DE": ("FRK", "FRA", "ETR", "GER", "GF", "GY"), "AS": ("AMS", "AEX"), "PA": ("PAR", "EPA", "FP"), "MC": ("MCE", "MAD", "BME"), "MI": ("MIL", "BIT", "MTA"), "LS": ("LIS", "ELI", "EL"),
-    "BR": ("BRU", "EBR"), "SW": ("SWX", "EBS", "VTX", "SIX"), "L": ("LON", "LSE"), "CO": ("CPH",), "ST": ("STO",), "HE": ("HEL",), "OL": ("OSL",), "VI": ("VIE",), "IC": ("ICE",),
-}
+    "FRK": "DE", "FRA": "DE", "ETR": "DE", "GER": "DE", "GF": "DE", "GY": "DE", "AMS": "AS", "AEX": "AS", "PAR": "PA", "EPA": "PA", "FP": "PA",
+    "MCE": "MC", "MAD": "MC", "BME": "MC", "MIL": "MI", "BIT": "MI", "MTA": "MI", "LIS": "LS", "ELI": "LS", "EL": "LS", "BRU": "BR", "EBR": "BR",
+    "SWX": "SW", "EBS": "SW", "VTX": "SW", "SIX": "SW", "LON": "L", "LSE": "L", "CPH": "CO", "STO": "ST", "HEL": "HE", "OSL": "OL", "VIE": "VI",
+    "ICE": "IC",
+}
 EUROPEAN = ("DE", "PA", "AS", "MI", "MC", "SW", "L", "BR", "LS", "CO", "ST", "HE", "OL")
 
 
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in table.values()]), F.array_position(F.array(*[F.lit(k) for k in table]), key).cast("int") - 1)
+
+
 def detect_exchange(ticker: Column) -> Column:
     first, *rest = EXCHANGES
     found = reduce(lambda c, x: c.when(ticker.contains(x[0]), x[1]), rest, F.when(ticker.contains(first[0]), first[1]))
@@ -32,17 +39,14 @@ def detect_exchange(ticker: Column) -> Column:
 
 
 def exchange_currency(exchange: Column) -> Column:
-    pairs = list(CURRENCIES.items())
-    found = reduce(lambda c, x: c.when(exchange.isin(*x[1]), x[0]), pairs[1:], F.when(exchange.isin(*pairs[0][1]), pairs[0][0]))
-    return F.coalesce(found, F.lit("USD"))
+    return F.coalesce(_looked_up(exchange, CURRENCIES), F.lit("USD"))
 
 
 def pricing_symbol(symbol: Column) -> Column:
     """Upper-case ticker with the suffix that price feeds use."""
     s = F.upper(symbol)
     suffix, base = F.substring_index(s, ".", -1), F.regexp_replace(s, r"\.[^.]*$", "")
-    pairs = list(SUFFIXES.items())
-    mapped = reduce(lambda c, x: c.when(suffix.isin(*x[1]), x[0]), pairs[1:], F.when(suffix.isin(*pairs[0][1]), pairs[0][0]))
+    mapped = _looked_up(suffix, SUFFIXES)
     return F.when(s.contains(".") & mapped.isNotNull(), F.concat_ws(".", base, mapped)).otherwise(s)
 
 
