@@ -37,6 +37,11 @@ def docs(spark):
     return spark.createDataFrame([(*row, *["x"] * n) for row in TEXTS], f"doc_id long, text string, source string, {CLASHING}").repartition(3)
 
 
+@pytest.fixture(scope="module")
+def short(docs):
+    return docs.where("doc_id <> 4 or doc_id is null")
+
+
 @pytest.fixture(scope="module")
 def labels(spark):
     return spark.read.parquet(f"{SF_DIR}/labels.parquet")
@@ -52,15 +57,15 @@ def test_one_row_for_each_document(docs, labels):
     assert whole.count() == len(TEXTS)
 
 
-def test_repeated_and_null_ids_of_near_duplicates(docs):
-    rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect()]
+def test_repeated_and_null_ids_of_near_duplicates(short):
+    rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(short).collect()]
     assert all(kept and component is None for i, _, component, kept in rows if i is None)
     assert {(i, c, k) for i, _, c, k in rows if i in (1, 5, 6)} == {(1, 1, True), (5, 5, True), (6, 5, False)}
 
 
-def test_repeats_under_one_id_stay(docs):
+def test_repeats_under_one_id_stay(short):
     rows = {}
-    for r in remove_repeats(docs).collect():
+    for r in remove_repeats(short).collect():
         rows.setdefault(r.doc_id, []).append((r.n_bytes, r.n_removed))
     assert [x[1] for x in rows[1]] == [0, 0, 0] and all(x[1] == 0 for x in rows[None])
     assert rows[5] == [(54, 0)] and rows[6] == [(54, 54)]
@@ -71,11 +76,11 @@ def test_long_text_is_read_to_its_end(docs):
     assert row.n_email == 400_000 and row.spans.endswith(f":{len(LONG)}")
 
 
-def test_stages_return_the_columns_of_their_documents(spark, docs):
+def test_stages_return_the_columns_of_their_documents(spark, short):
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs.where("doc_id <> 4 or doc_id is null"), SF_DIR)
-        assert out.columns == docs.columns, name
-        assert out.count() > 0 and stage(spark, docs.where("doc_id < 0"), SF_DIR).count() == 0, name
+        out = stage(spark, short, SF_DIR)
+        assert out.columns == short.columns, name
+        assert out.count() > 0 and stage(spark, short.where("doc_id < 0"), SF_DIR).count() == 0, name
 
 
 def _base_personal(text):
