@@ -119,8 +119,11 @@ def _windows(size: int, k: int, window: int):
         ready = asked if last else asked[before[asked] + window <= len(rows)]
         x = code[rows].astype(np.float32) * scale[rows, None]
         out = []
-        for lo in range(0, len(ready), 64):
-            q = ready[lo : lo + 64]
+        spots, lo = before[ready], 0
+        while lo < len(ready):
+            # Queries close together share their rows: half a window more than each one's own.
+            hi = int(np.searchsorted(spots, spots[lo] + window // 2, "right"))
+            q, lo = ready[lo:hi], hi
             a, b = max(before[q[0]] - window, 0), min(before[q[-1]] + window, len(rows))
             step = max(1, PRODUCTS // max(b - a, 1))
             for at in range(0, len(q), step):
