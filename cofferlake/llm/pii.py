@@ -46,6 +46,9 @@ _DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$"
 _AREAS = r"^[+(]*(?:1[ ().-]*)?(?:20[1-9]|21[2-9]|30[1-9]|31[02-9]|40[1-9]|41[02-9]|50[1-9]|51[02-9]|60[1-9]|61[02-9]|70[1-8]|71[2-9]|80[1-8]|81[02-9]|90[1-9]|91[02-9])"
 _BYTES = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 _SHAPES = r"^(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|(?:[0-9]{4}[ -]){3}[0-9]{4})$"
+#: What a text must hold for names and addresses to be looked for; every match of their patterns holds one of these.
+_TITLES = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor", "Sr")
+_STREETS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Square", "rue ", "avenue ", "boulevard ", "place ", "chemin ", "quai ", "straße", "strasse", "weg ", "platz ", "allee ", "gasse ", "Calle ", "Avenida ", "Plaza ", "Paseo ")
 #: Countries of bank numbers with the length of theirs; given names; capitals and postcodes' looks beside an address.
 _BANKS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
 _NAMES = r"\b(?:James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Anna|Maria|Peter|Paul|Hans|Klaus|Jürgen|Ursula|Monika|Pierre|Jean|Jacques|Marie|Claire|Sophie|José|Juan|Carlos|Carmen|Lucía|Ana|Miguel|Laura|Daniel|Martin|Lukas|Emma|Olivia|Liam|Noah)\b"
@@ -65,7 +68,8 @@ def _hits(kind: str) -> Column:
         lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("match"), F.length(x["m"]).cast("long").alias("size"), F.length(x["before"]).cast("long").alias("gap"), F.right(x["before"], F.lit(24)).alias("pre"), F.left(x["after"], F.lit(12)).alias("post")),
     )
     none = F.array().cast("array<struct<kind:string,i:int,match:string,size:bigint,gap:bigint,pre:string,post:string>>")
-    needs = {"email": text.contains("@"), "phone": text.contains("+") & text.rlike("[0-9]"), "masked_email": text.rlike(r"(?i)[\[({]at[\])}]"), "name": F.lit(True)}.get(kind, text.rlike("[0-9]"))
+    holds = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    needs = {"bank": text.rlike("[A-Z]{2}[0-9]{2}"), "name": holds(*_TITLES), "address": text.rlike("[0-9]") & holds(*_STREETS), "email": text.contains("@"), "phone": text.contains("+") & text.rlike("[0-9]"), "masked_email": text.rlike(r"(?i)[\[({]at[\])}]")}.get(kind, text.rlike("[0-9]"))
     return F.when(needs, rows).otherwise(none)
 
 
