@@ -9,6 +9,7 @@ from cofferlake.llm.common import table
 from cofferlake.llm.hilbert_ann import nearest
 from cofferlake.llm.minhash import near_duplicates
 from cofferlake.llm.mixing import MIXTURE_SQL, mixture
+from cofferlake.llm.oracle import NEAR_SQL, REPEATS_SQL, WARC_SQL
 from cofferlake.llm.packing import packed_documents
 from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
@@ -61,4 +62,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_suffix": op3_suffix, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op6_hilbert": op6_hilbert, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL, "op3_suffix": REPEATS_SQL, "op4_warc": WARC_SQL, "op5_minhash": NEAR_SQL}
