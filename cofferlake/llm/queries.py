@@ -9,14 +9,17 @@ from cofferlake.llm.common import table
 from cofferlake.llm.hilbert_ann import nearest
 from cofferlake.llm.minhash import near_duplicates
 from cofferlake.llm.mixing import MIXTURE_SQL, mixture
-from cofferlake.llm.oracle import NEAR_SQL, REPEATS_SQL, WARC_SQL
+from cofferlake.llm.oracle import NEAR_SQL, REPAIR_SQL, REPEATS_SQL, SHARDS_SQL, WARC_SQL
 from cofferlake.llm.packing import packed_documents
 from cofferlake.llm.pii import personal_data
 from cofferlake.llm.quality import quality_scores
+from cofferlake.llm.repair import conversation_repairs, damaged
 from cofferlake.llm.secrets import secret_spans
+from cofferlake.llm.sharding import sharded
 from cofferlake.llm.suffix_dedup import remove_repeats
 from cofferlake.llm.toxicity import in_training, toxicity_scores
 from cofferlake.llm.warc import round_trip
+from cofferlake.llm.whitening import whitened
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +64,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_suffix": op3_suffix, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op6_hilbert": op6_hilbert, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL, "op3_suffix": REPEATS_SQL, "op4_warc": WARC_SQL, "op5_minhash": NEAR_SQL}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repairs(damaged(rows), rows)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op3_suffix": op3_suffix, "op4_warc": op4_warc, "op5_minhash": op5_minhash, "op6_hilbert": op6_hilbert, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_quality": op9_quality, "op10_packing": op10_packing, "op11_sharding": op11_sharding, "op12_repair": op12_repair, "op13_whitening": op13_whitening}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXTURE_SQL, "op3_suffix": REPEATS_SQL, "op4_warc": WARC_SQL, "op5_minhash": NEAR_SQL, "op11_sharding": SHARDS_SQL, "op12_repair": REPAIR_SQL}
