@@ -219,6 +219,28 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return _folded([words[:, k] for k in range(words.shape[1])])
 
 
+def _stretch_hash(rows: np.ndarray, n: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return tv.mix(_row_hash(rows) + n.astype(np.uint64) * _ODD[0])
+
+
+def _grouped(rows: np.ndarray, n: np.ndarray, key: np.ndarray, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by anchor, stretch and id; where another stretch begins in it), ``key`` being the hash of each stretch.
+
+    Stretches are told apart by their bytes and their length, as those that end in zero bytes fill up to equal rows.
+    """
+    order = np.lexsort((ids, key, h))
+    for _ in range(2):
+        same = (h[order[1:]] == h[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+        other = (n[order[1:]] != n[order[:-1]]) | (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+        if not (same & other).any():
+            break
+        words = np.ascontiguousarray(rows).view("<u8")  # two stretches with one hash
+        order = np.lexsort((ids, n, *words.T, key, h))
+    at = np.flatnonzero(np.concatenate([[True], ~same | other])) if len(h) else np.zeros(0, np.int64)
+    return order, at
+
+
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination begins in sorted columns."""
     n = len(columns[0])
@@ -351,15 +373,14 @@ def _requests(buckets: int):
             asked = known[place] == low
             h, start, n, hot = h[asked], start[asked], n[asked], hot[place[asked]]
             # Strings of hot anchors one by one.
-            single = np.repeat(start[hot], n[hot]) + np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
-            h, start, n = np.concatenate([h[~hot], np.zeros(len(single), np.uint64)]), np.concatenate([start[~hot], single]), np.concatenate([n[~hot], np.ones(len(single), np.int64)])
+            strings = np.repeat(start[hot], n[hot]) + np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            h, start, n = np.concatenate([h[~hot], np.zeros(len(strings), np.uint64)]), np.concatenate([start[~hot], strings]), np.concatenate([n[~hot], np.ones(len(strings), np.int64)])
         rows = _rows(chunk.data, start, n + LENGTH - 1)
-        key = _row_hash(rows)
-        h = np.where(h == 0, key, h).astype(np.uint64)
         ids = chunk.ids[tv.owner(chunk.offs, start)]
-        order = np.lexsort((ids, key, h))
-        h, key, start, n, ids, rows = h[order], key[order], start[order], n[order], ids[order], rows[order]
-        at = _starts(h, key)
+        key = _stretch_hash(rows, n)
+        h = np.where(h == 0, key, h).astype(np.uint64)  # strings of hot anchors are anchors of their own
+        order, at = _grouped(rows, n, key, h, ids)
+        h, start, n, ids, rows = h[order], start[order], n[order], ids[order], rows[order]
         kind = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
         out = {k: [] for k in [*_REQUEST, "copies", "kinds", "at", "kind"]}
 
@@ -405,9 +426,7 @@ def _judged(table: pa.Table) -> pa.Table:
     text = np.frombuffer(b"".join(map(opener.decompress, _column(table, "text"))), np.uint8)
     size = n + LENGTH - 1
     rows = _rows(text, np.cumsum(size) - size, size)
-    key = _row_hash(rows)
-    order = np.lexsort((first, key, h))
-    at = _starts(h[order], key[order])
+    order, at = _grouped(rows, n, _stretch_hash(rows, n), h, first)
     kind = np.empty(len(h), np.int64)
     kind[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
     one = order[at]  # a row of each different stretch, with its least doc_id
@@ -442,9 +461,11 @@ def _removed(chunks: pa.Table, answers: pa.Table) -> pa.Table:
     many = n[kind].astype(np.int64)
     step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     start = np.repeat(at.astype(np.int64), many) + step
-    ids = np.repeat(chunk.ids[tv.owner(chunk.offs, at.astype(np.int64))], many)
-    start = start[least[np.repeat(begin[kind], many) + step] < ids]
-    change = np.bincount(start, minlength=len(chunk.data) + 1)[: len(chunk.data) + 1] - np.bincount(start + LENGTH, minlength=len(chunk.data) + 1)[: len(chunk.data) + 1]
+    doc = np.repeat(tv.owner(chunk.offs, at.astype(np.int64)), many)
+    earlier = least[np.repeat(begin[kind], many) + step] < chunk.ids[doc]
+    start, doc = start[earlier], doc[earlier]
+    stop = np.minimum(start + LENGTH, chunk.offs[doc + 1])
+    change = np.bincount(start, minlength=len(chunk.data) + 1) - np.bincount(stop, minlength=len(chunk.data) + 1)
     gone = np.cumsum(change[:-1]) > 0
     for k in np.flatnonzero(copy & (np.diff(chunk.offs) >= LENGTH)).tolist():
         gone[chunk.offs[k] : chunk.offs[k + 1]] = True
