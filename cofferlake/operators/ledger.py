@@ -6,10 +6,12 @@ rows), shares, price, total_amount, fee, tax, ratio, currency and exchange_rate.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofferlake.functions.money import exact_sum
+from cofferlake.sources.shared import stored
 
 #: Held quantities closer to zero than this count as none; split ratios above the largest are taken as corrupt.
 NOTHING, LARGEST_RATIO = 1e-9, 1000
@@ -56,46 +58,159 @@ def ledger_rows(events: DataFrame, fx: DataFrame) -> DataFrame:
     )
 
 
-_MOVE = ("date", "seq", "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
+#: Groups of more moves are folded in blocks of about so many, over several tasks.
+HOT_MOVES, BLOCK_MOVES = 100_000, 20_000
+_GROUP = ("user_id", "symbol")
+_BUY, _SELL, _TIMES, _PLUS, _DIVIDEND, _FEE, _NONE = range(7)
+_TOTALS = ("sh", "cost", "realized", "dividends", "tax", "fees")
 
 
 def _ordered_moves(ledger: DataFrame, *columns: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(*columns)))
 
 
-def positions_from_ledger(ledger: DataFrame, also: tuple[Column, ...] = ()) -> DataFrame:
-    """Average-cost positions by user and symbol, folded over each group's moves in order of date and seq.
+def _as_moves(ledger: DataFrame) -> DataFrame:
+    """``ledger`` with what each row does: _k, its kind; _x, shares or a factor; _y, cost, proceeds or income; _z, fee or tax."""
+    num = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    kind, q, p, fee, amount, ratio = F.col("type"), num("shares"), num("price"), num("fee"), num("total_amount"), F.col("ratio")
+    times = (ratio > 0) & (ratio <= LARGEST_RATIO)
+    split = kind.isin("split", "isin_change")
+    code = F.when(kind == "buy", _BUY).when(kind == "sell", _SELL).when(split, F.when(times, _TIMES).otherwise(_PLUS)).when(kind == "dividend", _DIVIDEND).when(kind == "fee", _FEE).otherwise(_NONE)
+    return ledger.withColumns({
+        "_k": code, "_x": F.when(split & times, ratio).otherwise(q), "_y": F.when(kind == "buy", q * p + fee).when(kind == "sell", p * q - fee).otherwise(amount),
+        "_z": F.when(kind == "dividend", num("tax")).when(kind == "fee", amount).otherwise(fee),
+    })
 
-    Buys add cost and fee; sells realise proceeds less fee less average cost; oversold positions go to zero and are
-    flagged; splits multiply by a plausible ratio, else add shares; dividends and fees only add up. ``also`` names further
-    aggregates of the same groups, so that the ledger is shuffled once for all. One group's moves are one task's work.
+
+def _shares_after(sh: Column, m: Column) -> Column:
+    left = sh - m["_x"]
+    return F.when(m["_k"].isin(_BUY, _PLUS), sh + m["_x"]).when(m["_k"] == _SELL, F.when(left < NOTHING, 0.0).otherwise(left)).when(m["_k"] == _TIMES, sh * m["_x"]).otherwise(sh)
+
+
+def _income_after(a: Column, m: Column) -> list[Column]:
+    return [
+        F.when(m["_k"] == _DIVIDEND, a["dividends"] + m["_y"]).otherwise(a["dividends"]).alias("dividends"),
+        F.when(m["_k"] == _DIVIDEND, a["tax"] + m["_z"]).otherwise(a["tax"]).alias("tax"),
+        F.when(m["_k"].isin(_BUY, _SELL, _FEE), a["fees"] + m["_z"]).otherwise(a["fees"]).alias("fees"),
+        (a["review"] | ((m["_k"] == _SELL) & (a["sh"] - m["_x"] < -NOTHING))).alias("review"),
+    ]
+
+
+def _folded(moves: Column) -> Column:
+    """Shares, cost, realised gain and income after a group's moves."""
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in _TOTALS], F.lit(False).alias("review"))
+
+    def step(a: Column, m: Column) -> Column:
+        sold = F.when(a["sh"] > 0, a["cost"] / a["sh"]).otherwise(0.0) * m["_x"]
+        return F.struct(
+            _shares_after(a["sh"], m).alias("sh"),
+            F.when(m["_k"] == _BUY, a["cost"] + m["_y"]).when(m["_k"] == _SELL, F.when(a["sh"] - m["_x"] < NOTHING, 0.0).otherwise(a["cost"] - sold)).otherwise(a["cost"]).alias("cost"),
+            F.when(m["_k"] == _SELL, a["realized"] + (m["_y"] - sold)).otherwise(a["realized"]).alias("realized"),
+            *_income_after(a, m),
+        )
+
+    return F.aggregate(moves, zero, step)
+
+
+def _shares_shape(moves: Column) -> Column:
+    """Shares after a block as a function of those before it: the greater of ``c`` and ``a * sh + b``.
+
+    ``c`` is what the moves behind the last possible clamp leave; a block that cannot clamp has none.
     """
-    names = ("sh", "cost", "realized", "dividends", "tax", "fees")
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in names], F.lit(False).alias("review"))
-    num = lambda x: F.coalesce(x, F.lit(0.0))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("c"))
+
+    def step(s: Column, m: Column) -> Column:
+        times, change = F.when(m["_k"] == _TIMES, m["_x"]).otherwise(1.0), F.when(m["_k"].isin(_BUY, _PLUS), m["_x"]).when(m["_k"] == _SELL, -m["_x"]).otherwise(0.0)
+        return F.struct((s["a"] * times).alias("a"), (s["b"] * times + change).alias("b"), _shares_after(s["c"], m).alias("c"))
+
+    return F.aggregate(moves, start, step)
+
+
+def _block_effect(moves: Column, sh: Column) -> Column:
+    """What a block does, given the shares before it: cost becomes ``keep * cost + cost_more``, the realised gain grows by ``take * cost + gain``."""
+    start = F.struct(sh.alias("sh"), F.lit(1.0).alias("keep"), *[F.lit(0.0).alias(n) for n in ("cost_more", "take", "gain", "dividends", "tax", "fees")], F.lit(False).alias("review"))
 
     def step(a: Column, m: Column) -> Column:
-        kind, q, p, fee, amount = m["type"], num(m["shares"]), num(m["price"]), num(m["fee"]), num(m["total_amount"])
-        avg = F.when(a["sh"] > 0, a["cost"] / a["sh"]).otherwise(0.0)
-        left = a["sh"] - q
-        sold_out = left < NOTHING
-        split = F.when((m["ratio"] > 0) & (m["ratio"] <= LARGEST_RATIO), a["sh"] * m["ratio"]).otherwise(a["sh"] + q)
+        sell, sold_out = m["_k"] == _SELL, a["sh"] - m["_x"] < NOTHING
+        sold = lambda c: F.when(a["sh"] > 0, a[c] / a["sh"]).otherwise(0.0) * m["_x"]
+        left = lambda c: F.when(sold_out, 0.0).otherwise(a[c] - sold(c))
         return F.struct(
-            F.when(kind == "buy", a["sh"] + q).when(kind == "sell", F.when(sold_out, 0.0).otherwise(left)).when(kind.isin("split", "isin_change"), split).otherwise(a["sh"]).alias("sh"),
-            F.when(kind == "buy", a["cost"] + (q * p + fee)).when(kind == "sell", F.when(sold_out, 0.0).otherwise(a["cost"] - avg * q)).otherwise(a["cost"]).alias("cost"),
-            F.when(kind == "sell", a["realized"] + ((p * q - fee) - avg * q)).otherwise(a["realized"]).alias("realized"),
-            F.when(kind == "dividend", a["dividends"] + amount).otherwise(a["dividends"]).alias("dividends"),
-            F.when(kind == "dividend", a["tax"] + num(m["tax"])).otherwise(a["tax"]).alias("tax"),
-            F.when(kind.isin("buy", "sell"), a["fees"] + fee).when(kind == "fee", a["fees"] + amount).otherwise(a["fees"]).alias("fees"),
-            (a["review"] | ((kind == "sell") & (left < -NOTHING))).alias("review"),
+            _shares_after(a["sh"], m).alias("sh"),
+            F.when(sell, left("keep")).otherwise(a["keep"]).alias("keep"),
+            F.when(m["_k"] == _BUY, a["cost_more"] + m["_y"]).when(sell, left("cost_more")).otherwise(a["cost_more"]).alias("cost_more"),
+            F.when(sell, a["take"] - sold("keep")).otherwise(a["take"]).alias("take"),
+            F.when(sell, a["gain"] + (m["_y"] - sold("cost_more"))).otherwise(a["gain"]).alias("gain"),
+            *_income_after(a, m),
         )
 
-    grouped = ledger.groupBy("user_id", "symbol").agg(_ordered_moves(ledger, *_MOVE).alias("moves"), *also)
-    more = [c for c in grouped.columns if c not in ("user_id", "symbol", "moves")]
-    folded = grouped.select("user_id", "symbol", F.aggregate("moves", zero, step).alias("p"), *more)
+    return F.aggregate(moves, start, step)
+
+
+def _shares_before(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Shares before each block of a group."""
+    blocks, sh, before = blocks.sort_values("_block"), 0.0, []
+    for a, b, c in zip(blocks["a"], blocks["b"], blocks["c"]):
+        before.append(sh)
+        sh = max(c, a * sh + b)
+    return blocks[[*_GROUP, "_block"]].assign(before=before)
+
+
+def _over_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
+    """A group's totals from the effects of its blocks."""
+    blocks, cost, realized = blocks.sort_values("_block"), 0.0, 0.0
+    for keep, more, take, gain in zip(blocks["keep"], blocks["cost_more"], blocks["take"], blocks["gain"]):
+        realized, cost = realized + (take * cost + gain), keep * cost + more
+    last = blocks.iloc[-1:]
+    return last[[*_GROUP, "sh"]].assign(cost=cost, realized=realized, dividends=blocks["dividends"].sum(), tax=blocks["tax"].sum(), fees=blocks["fees"].sum(), review=bool(blocks["review"].any()))
+
+
+def _same_group(a: DataFrame, b: DataFrame) -> Column:
+    return a["user_id"].eqNullSafe(b["user_id"]) & a["symbol"].eqNullSafe(b["symbol"])
+
+
+def _hot_positions(moves: DataFrame, rows: int, block: int) -> DataFrame:
+    """``_folded`` for groups of many moves (``rows`` in all): ranges of a group's order are blocks of several tasks.
+
+    Blocks are written down once, as ranges need not fall alike when they are drawn again. What a group's blocks are
+    joined by is a few numbers for each.
+    """
+    ranged = moves.repartitionByRange(max(1, -(-rows // block)), *_GROUP, "date", "seq").withColumn("_block", F.spark_partition_id())
+    blocks = stored(ranged.groupBy(*_GROUP, "_block").agg(_ordered_moves(ranged, "date", "seq", "_k", "_x", "_y", "_z").alias("moves")), "ledger-blocks")
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+    key = ", ".join(f"{c} {kinds[c]}" for c in _GROUP)
+    before = blocks.select(*_GROUP, "_block", _shares_shape(F.col("moves")).alias("s")).select(*_GROUP, "_block", "s.*")
+    before = before.groupBy(*_GROUP).applyInPandas(_shares_before, f"{key}, _block int, before double").withColumnRenamed("_block", "_of")
+    effects = blocks.join(before, _same_group(blocks, before) & (blocks["_block"] == before["_of"])).select(*[blocks[c] for c in _GROUP], "_block", _block_effect(F.col("moves"), F.col("before")).alias("e"))
+    totals = effects.select(*_GROUP, "_block", "e.*").groupBy(*_GROUP).applyInPandas(_over_blocks, f"{key}, {', '.join(f'{n} double' for n in _TOTALS)}, review boolean")
+    return totals.select(*_GROUP, F.struct(*_TOTALS, "review").alias("p"))
+
+
+def positions_from_ledger(ledger: DataFrame, also: tuple[Column, ...] = (), hot: int = HOT_MOVES, block: int = BLOCK_MOVES) -> DataFrame:
+    """Average-cost positions by user and symbol, folded over each group's moves in order of date and seq.
+
+    Buys add cost and fee; sells realise proceeds less fee less average cost; oversold positions go to zero and are
+    flagged; splits multiply by a plausible ratio, else add shares; dividends and fees only add up. ``also`` names further
+    aggregates of the same groups, so that the ledger is shuffled once for all. A group of more than ``hot`` moves is folded
+    in blocks of about ``block`` moves: what a block does to shares is a function of two straight lines, so the shares
+    before every block follow from a few numbers of each; given these, what it does to cost and gain is linear.
+    """
+    moves = _as_moves(ledger)
+    counts = ledger.groupBy(*_GROUP).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    many = counts.agg(F.sum("_n")).first()[0]
+    plain = moves if many is None else moves.join(counts, _same_group(moves, counts), "left_anti")
+    grouped = plain.groupBy(*_GROUP).agg(_ordered_moves(plain, "date", "seq", "_k", "_x", "_y", "_z").alias("moves"), *also)
+    more = [c for c in grouped.columns if c not in (*_GROUP, "moves")]
+    folded = grouped.select(*_GROUP, _folded(F.col("moves")).alias("p"), *more)
+    if many is not None:
+        long = moves.join(counts, _same_group(moves, counts), "left_semi")
+        totals = _hot_positions(long, many, block)
+        if also:
+            beside = long.groupBy(*[F.col(c).alias(f"_{c}") for c in _GROUP]).agg(*also)
+            totals = totals.join(beside, totals["user_id"].eqNullSafe(beside["_user_id"]) & totals["symbol"].eqNullSafe(beside["_symbol"]))
+        folded = folded.unionByName(totals.select(*_GROUP, "p", *more))
     sh = F.col("p.sh")
     return folded.select(
-        "user_id", "symbol", F.when(sh < NOTHING, 0.0).otherwise(sh).alias("shares"), F.when(sh > NOTHING, F.col("p.cost") / sh).otherwise(0.0).alias("avg_price"),
+        *_GROUP, F.when(sh < NOTHING, 0.0).otherwise(sh).alias("shares"), F.when(sh > NOTHING, F.col("p.cost") / sh).otherwise(0.0).alias("avg_price"),
         F.col("p.realized").alias("realized_pnl"), F.col("p.dividends").alias("dividends"), F.col("p.tax").alias("tax_withheld"), F.col("p.fees").alias("fees_paid"), F.col("p.review").alias("needs_review"), *more,
     )
 
@@ -105,10 +220,11 @@ def rebuild_positions(ledger: DataFrame, positions: DataFrame, assets: DataFrame
 
     positions: user_id, symbol, name, platform, asset_type, shares, avg_price. assets: ticker, name, asset_type.
     """
-    computed = positions_from_ledger(ledger, (F.max_by("broker", F.struct("date", "seq")).alias("broker"),)).where(F.col("symbol") != CASH)
+    computed = positions_from_ledger(ledger, (F.max_by("broker", F.struct("date", "seq", "broker")).alias("broker"),)).where(F.col("symbol") != CASH)
     worth = (F.col("shares") > 0) | (F.col("dividends") != 0) | (F.col("realized_pnl") != 0) | (F.col("fees_paid") != 0)
     old = positions.select("user_id", "symbol", *[F.col(c).alias(f"old_{c}") for c in ("name", "platform", "asset_type", "shares", "avg_price")], F.lit(True).alias("stored"))
-    meta = assets.select(F.col("ticker").alias("symbol"), F.col("name").alias("meta_name"), F.col("asset_type").alias("meta_type")).dropDuplicates(["symbol"])
+    one = F.min(F.struct("name", "asset_type"))  # of several rows of a ticker the first by name and type
+    meta = assets.groupBy(F.col("ticker").alias("symbol")).agg(one.alias("m")).select("symbol", F.col("m.name").alias("meta_name"), F.col("m.asset_type").alias("meta_type"))
     out = computed.withColumn("worth", worth).join(old, ["user_id", "symbol"], "full_outer").join(meta, "symbol", "left").where(F.col("stored") | F.col("worth"))
     return out.select(
         "user_id", "symbol", F.coalesce("old_name", "meta_name", "symbol").alias("name"), F.coalesce("old_platform", "broker", F.lit("Imported")).alias("platform"),
