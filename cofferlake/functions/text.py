@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters that carry one of these combining marks, and the letters below; worked out by Unicode decomposition.
-_MARKED = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(unicodedata.normalize("NFD", chr(c))) > 1}
-_MARKED = {c: d[0] for c, d in _MARKED.items() if all("\u0300" <= m <= "\u036f" for m in d[1:])}
-_ACCENTED, _PLAIN = "".join(_MARKED), "".join(_MARKED.values())
+def _marked() -> dict[str, str]:
+    """Each character whose decomposition holds combining marks (U+0300 to U+036F), and what is left without them."""
+    split = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, sys.maxunicode + 1) if unicodedata.decomposition(chr(c))}
+    bare = {c: "".join(m for m in d if not "\u0300" <= m <= "\u036f") for c, d in split.items()}
+    return {c: b for c, b in bare.items() if b != split[c]}
+
+
+_MARKED = _marked()
+_ACCENTED, _PLAIN = "".join(c for c, b in _MARKED.items() if len(b) == 1), "".join(b for b in _MARKED.values() if len(b) == 1)
 
 
 #: Characters that count as blank around a cell.
 BLANKS = " \t\n\r\v\f\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def stripped(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 
 
 def no_accents(x: Column) -> Column:
-    """Latin letters without their marks, whether one character or a letter with combining marks."""
+    """Letters of any script without their combining marks, whether one character or several."""
     return F.regexp_replace(F.translate(x, _ACCENTED, _PLAIN), "[\u0300-\u036f]", "")
 
 
@@ -48,22 +60,24 @@ def valid_text(x: Column) -> Column:
 
 def parse_number_broker(x: Column) -> Column:
     """Number in a broker's notation; the last separator is the decimal one, a lone comma unless three digits follow."""
+
+    def parsed(kept: Column, plain: Column) -> Column:
+        dot, comma = F.instr(F.reverse(plain), "."), F.instr(F.reverse(plain), ",")
+        n_dots, n_commas = (F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit(""))) for c in ".,")
+        european = F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        english = F.replace(plain, F.lit(","), F.lit(""))
+        number = (
+            F.when((dot > 0) & (comma > 0), F.when(comma < dot, european).otherwise(english))
+            .when((n_commas == 1) & ~plain.rlike(r",[0-9]{3}$"), european)
+            .when(comma > 0, english)
+            .when(n_dots > 1, F.replace(plain, F.lit("."), F.lit("")))
+            .otherwise(plain)
+        )
+        negative = kept.rlike(r"^\(.*\)$") | kept.rlike("^[-−]")
+        return number.try_cast("double") * F.when(negative, -1.0).otherwise(1.0)
+
     kept = F.regexp_replace(F.coalesce(x, F.lit("")), r"[^0-9.,()\-−]", "")
-    negative = kept.rlike(r"^\(.*\)$") | kept.rlike("^[-−]")
-    plain = F.regexp_replace(kept, r"[()\-−]", "")
-    dot, comma = F.instr(F.reverse(plain), "."), F.instr(F.reverse(plain), ",")
-    n_dots, n_commas = F.length(plain) - F.length(F.replace(plain, F.lit("."), F.lit(""))), F.length(plain) - F.length(F.replace(plain, F.lit(","), F.lit("")))
-    european = F.replace(F.replace(plain, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    english = F.replace(plain, F.lit(","), F.lit(""))
-    number = (
-        F.when((dot > 0) & (comma > 0), F.when(comma < dot, european).otherwise(english))
-        .when((n_commas == 1) & ~plain.rlike(r",[0-9]{3}$"), european)
-        .when(comma > 0, english)
-        .when(n_dots > 1, F.replace(plain, F.lit("."), F.lit("")))
-        .otherwise(plain)
-    )
-    value = number.try_cast("double")
-    return F.when(negative, -value).otherwise(value)
+    return let(kept, lambda k: let(F.regexp_replace(k, r"[()\-−]", ""), lambda p: parsed(k, p)))
 
 
 def parse_signed_number(x: Column) -> Column:
