@@ -1,17 +1,22 @@
 """Statement files, holdings files and model responses as rows, for many files at once.
 
-A file is one row (file, value). Its lines carry the header with them, fields are picked by the header's column
-positions, and a ``kind`` column says what a line became: trade, income, review, skipped or error.
+Statements come as lines (file, line_no, line), as ``sources.statements`` reads them, so that one large file is the work
+of several tasks: what its header says is found once a file and joined to its lines. A text that is a cell of a table
+(file, value) is taken apart in its row. Fields are picked by the header's column positions, and a ``kind`` column says
+what a line became: trade, income, review, skipped or error.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofferlake.functions.text import clean_model_json, csv_separator, currency_of_text, is_isin, norm_header, normalize_date, parse_number_broker, parse_number_holdings, parse_signed_number, signed, stripped
+from cofferlake.sources.shared import stored
 
 #: Names of columns in statements, as ``norm_header`` writes them.
 TRANSACTION_COLUMNS = {
@@ -113,18 +118,39 @@ def _complete(need: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"at_{n}").isNotNull() for n in need], F.lit(True))
 
 
-def statement_rows(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[str, ...] = ()) -> DataFrame:
+def file_heads(files: DataFrame) -> DataFrame:
+    """For each file: ``opening``, its first three lines, and its first line that is not blank with that line's number."""
+    if "value" in files.columns:
+        lines = F.transform(F.split(F.coalesce("value", F.lit("")), "\r?\n"), lambda x, i: F.struct((i + 1).cast("long").alias("header_no"), x.alias("header_line")))
+        heads = files.select("file", lines.alias("l")).withColumn("h", F.get(F.filter("l", lambda x: F.trim(x["header_line"]) != ""), F.lit(0)))
+        return heads.select("file", F.array_join(F.transform(F.slice("l", 1, 3), lambda x: x["header_line"]), "\n").alias("opening"), "h.header_no", "h.header_line")
+    first = files.groupBy("file").agg(F.min(F.when(F.trim("line") != "", F.col("line_no"))).alias("header_no"))
+    few = files.join(first, "file").where("line_no <= 3 or line_no = header_no")
+    heads = few.groupBy("file", "header_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    text = lambda test: F.transform(F.filter("l", test), lambda x: x["line"])
+    return heads.select("file", F.array_join(text(lambda x: x["line_no"] <= 3), "\n").alias("opening"), "header_no", F.get(text(lambda x: x["line_no"] == F.col("header_no")), F.lit(0)).alias("header_line"))
+
+
+def file_lines(files: DataFrame) -> DataFrame:
+    """(file, line_no, line) of whole texts (file, value)."""
+    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("_n", "line")).select("file", (F.col("_n") + 1).cast("long").alias("line_no"), "line")
+
+
+def statement_rows(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[str, ...] = (), heads: DataFrame | None = None) -> DataFrame:
     """file, line_no, cells and the position of each named column (``at_<name>``); blank lines are dropped.
 
-    A file that lacks one of the columns ``need`` is one row without cells.
+    A file that lacks one of the columns ``need`` is one row without line_no and cells. ``heads`` may hold the files' heads
+    if they are known; files without one are left out.
     """
-    lines = F.filter(F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
-    rows = files.select("file", lines.alias("lines")).where(F.size("lines") > 0)
-    rows = evaluated(rows.withColumn("header_line", F.element_at("lines", 1)["line"]), separator=csv_separator(F.col("header_line")))
-    rows = evaluated(evaluated(rows, header=split_csv(F.col("header_line"), F.col("separator"))), **{f"at_{k}": find_col(F.col("header"), v) for k, v in columns.items()})
-    rows = rows.select("file", "separator", *[f"at_{k}" for k in columns], F.explode_outer(F.when(_complete(need), F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))))).alias("l"))
-    rows = evaluated(rows, cells=split_csv(F.col("l.line"), F.col("separator")))
-    return rows.select("file", *[f"at_{k}" for k in columns], F.col("l.line_no").alias("line_no"), "cells")
+    heads = (file_heads(files) if heads is None else heads).where("header_line is not null").select("file", "header_no", "header_line")
+    heads = evaluated(heads, separator=csv_separator(F.col("header_line")))
+    heads = evaluated(evaluated(heads, header=split_csv(F.col("header_line"), F.col("separator"))), **{f"at_{k}": find_col(F.col("header"), v) for k, v in columns.items()})
+    heads = heads.select("file", "header_no", "separator", _complete(need).alias("complete"), *[f"at_{k}" for k in columns])
+    lines = file_lines(files) if "value" in files.columns else files.select("file", "line_no", "line")
+    # A file without the columns is told by its header line, which is there in any case.
+    rows = lines.join(heads, "file").where((F.col("complete") & (F.col("line_no") > F.col("header_no")) & (F.trim("line") != "")) | (~F.col("complete") & (F.col("line_no") == F.col("header_no"))))
+    rows = evaluated(rows, cells=F.when(F.col("complete"), split_csv(F.col("line"), F.col("separator"))))
+    return rows.select("file", *[f"at_{k}" for k in columns], F.when(F.col("complete"), F.col("line_no")).alias("line_no"), "cells")
 
 
 def _cell(name: str, shift: int = 0) -> Column:
@@ -140,16 +166,16 @@ def _event(rows: DataFrame, broker: str, **values: Column) -> DataFrame:
     return rows.select("file", F.col("line_no").cast("long").alias("line_no"), F.lit(broker).alias("broker"), *[c.alias(k) for k, c in cols.items()]).select(*EVENT)
 
 
-def _picked(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[str, ...], beside: str | None = None) -> DataFrame:
+def _picked(files: DataFrame, columns: dict[str, tuple[str, ...]], need: tuple[str, ...], beside: str | None = None, heads: DataFrame | None = None) -> DataFrame:
     """The named cells as columns, ``beside`` right of one of them, and whether the needed columns exist."""
-    rows, complete = statement_rows(files, columns, need), _complete(need)
+    rows = statement_rows(files, columns, need, heads)
     cells = {c: _cell(c) for c in columns} | ({"beside": _cell(beside, 1)} if beside else {})
-    return evaluated(rows.where(F.col("line_no").isNotNull() | ~complete), complete=complete, **cells).select("file", "line_no", "complete", *cells)
+    return evaluated(rows, complete=_complete(need), **cells).select("file", "line_no", "complete", *cells)
 
 
-def parse_transactions(files: DataFrame) -> DataFrame:
+def parse_transactions(files: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Transactions export: the quantity's sign is the side, the price's currency stands right of the price."""
-    r = _picked(files, TRANSACTION_COLUMNS, ("isin", "qty", "price"), "price")
+    r = _picked(files, TRANSACTION_COLUMNS, ("isin", "qty", "price"), "price", heads)
     r = evaluated(r, ident=F.upper(F.trim(F.coalesce("isin", F.lit("")))), day=normalize_date(F.col("date")), **_numbers("qty", "price", "fees"))
     ident, qty, price = F.col("ident"), signed(F.col("n_qty"), F.col("qty")), F.col("n_price")
     kind = F.when(~F.col("complete"), "error").when((ident == "") | qty.isNull() | (qty == 0), "skipped").when(price.isNull() | (price <= 0), "review").otherwise("trade")
@@ -162,35 +188,109 @@ def parse_transactions(files: DataFrame) -> DataFrame:
     return detect_split_pairs(out)
 
 
+def first_fits(buys: np.ndarray, sells: np.ndarray, least: float) -> list[int]:
+    """For each price in ``buys``, in order, the place of the first free price in ``sells`` that differs ``least`` times, else -1.
+
+    Trees over the places of free sells hold the greatest and the least price of each range, so a search walks down once.
+    """
+    size = 1 << max(len(sells) - 1, 0).bit_length()
+    usable = sells > 0
+    high, low = np.full(2 * size, -np.inf), np.full(2 * size, np.inf)
+    high[size : size + len(sells)], low[size : size + len(sells)] = np.where(usable, sells, -np.inf), np.where(usable, sells, np.inf)
+    for k in range(size - 1, 0, -1):
+        high[k], low[k] = max(high[2 * k], high[2 * k + 1]), min(low[2 * k], low[2 * k + 1])
+    out = []
+    for price in buys.tolist():
+        fits = lambda k: high[k] / price >= least or price / low[k] >= least  # noqa: E731, B023
+        if not price > 0 or not fits(1):
+            out.append(-1)
+            continue
+        k = 1
+        while k < size:
+            k = 2 * k if fits(2 * k) else 2 * k + 1
+        out.append(k - size)
+        high[k], low[k] = -np.inf, np.inf
+        while k > 1:
+            k //= 2
+            high[k], low[k] = max(high[2 * k], high[2 * k + 1]), min(low[2 * k], low[2 * k + 1])
+    return out
+
+
+def _pairs_in_order(least: float, names: list[str]):
+    """Over rows in order of group and line: pairs of a group become the buy's row, reviewed; other rows pass."""
+    group = ("file", "identifier", "date", "_alone")
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(len(table) - 1, 0), bool)
+        for c in group:
+            codes = table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1)
+            codes = np.asarray(codes)
+            new |= codes[1:] != codes[:-1]
+        return np.flatnonzero(np.concatenate([[True], new])) if len(table) else np.zeros(0, np.int64)
+
+    def settled(table: pa.Table) -> pa.RecordBatch | None:
+        at = starts(table)
+        kind, side = table.column("kind").to_pylist(), np.asarray(table.column("type").to_pylist(), object)
+        trade = np.array([k == "trade" for k in kind], bool)
+        buys, sells = trade & (side == "buy"), trade & (side == "sell")
+        ratio, sold = [None] * len(table), np.zeros(len(table), bool)
+        many = (np.add.reduceat(buys, at, dtype=np.int64) > 0) & (np.add.reduceat(sells, at, dtype=np.int64) > 0) if len(at) else []
+        if np.any(many):
+            price, shares = (np.asarray(table.column(c).combine_chunks().fill_null(0.0)) for c in ("price", "shares"))
+            ends = np.append(at[1:], len(table))
+            for g in np.flatnonzero(many):
+                b, s = (at[g] + np.flatnonzero(x[at[g] : ends[g]]) for x in (buys, sells))
+                for i, k in zip(b.tolist(), first_fits(price[b], price[s], least)):
+                    if k >= 0:
+                        ratio[i], sold[s[k]] = float(shares[i]) / float(shares[s[k]]) if shares[s[k]] else None, True
+                        kind[i] = "review"
+        reason = table.column("reason").to_pylist()
+        reason = ["possible_split" if t and k == "review" else r for t, k, r in zip(trade, kind, reason)]
+        changed = {"kind": pa.array(kind, pa.string()), "reason": pa.array(reason, pa.string())}
+        out = pa.Table.from_arrays([changed.get(c, table.column(c)) for c in names] + [pa.array(ratio, pa.float64())], names=[*names, "ratio"])
+        return out.filter(pa.array(~sold)).combine_chunks()
+
+    def run(batches):
+        held: list[pa.Table] = []
+        key = lambda t, k: tuple(t.column(c)[k].as_py() for c in group)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            at = starts(table)
+            if held and key(held[-1], len(held[-1]) - 1) == key(table, 0):
+                cut = int(at[1]) if len(at) > 1 else len(table)
+                held.append(table.slice(0, cut))
+                table = table.slice(cut)
+                if not len(table):
+                    continue
+                at = at[1:] - cut
+            if held:
+                yield from settled(pa.concat_tables(held)).to_batches()
+            # The last group may go on in the next batch.
+            yield from settled(table.slice(0, int(at[-1]))).to_batches()
+            held = [table.slice(int(at[-1]))]
+        if held:
+            yield from settled(pa.concat_tables(held)).to_batches()
+
+    return run
+
+
 def detect_split_pairs(events: DataFrame, least: float = 3.0) -> DataFrame:
     """Buys and sells of one instrument and day whose prices differ ``least`` times become one reviewed split.
 
-    Greedy in order of lines: each buy takes the first sell that fits and is free.
+    Greedy in order of lines: each buy takes the first sell that fits and is free. The trades of one file, instrument and
+    day are sorted together in a task; every other row is a group of its own.
     """
-    trade = F.col("kind") == "trade"
-    rest = [c for c in events.columns if c not in ("file", "identifier", "date")]
-    # Each other row is a group of its own, so only trades of one instrument and day share an array.
-    groups = events.groupBy("file", "identifier", "date", F.when(~trade, F.col("line_no")).alias("_alone")).agg(F.array_sort(F.collect_list(F.struct("line_no", *[c for c in rest if c != "line_no"]))).alias("rows"))
-    side = lambda kind: F.filter("rows", lambda x: (x["kind"] == "trade") & (x["type"] == kind))
-    groups = evaluated(groups, buys=side("buy"), sells=side("sell"))
-
-    def step(pairs: Column, b: Column) -> Column:
-        fits = F.filter("sells", lambda x: (F.least(b["price"], x["price"]) > 0) & (F.greatest(b["price"], x["price"]) / F.least(b["price"], x["price"]) >= least) & ~F.exists(pairs, lambda p: p["sell"] == x["line_no"]))
-        pair = lambda x: F.struct(b["line_no"].alias("buy"), x["line_no"].alias("sell"), (b["shares"] / x["shares"]).alias("ratio"))
-        return F.when(F.size(fits) > 0, F.concat(pairs, F.array(pair(F.element_at(fits, 1))))).otherwise(pairs)
-
-    start = F.array().cast("array<struct<buy:bigint,sell:bigint,ratio:double>>")
-    groups = evaluated(groups, pairs=F.when((F.size("buys") > 0) & (F.size("sells") > 0), F.aggregate("buys", start, step)).otherwise(start))
-    rows = groups.select("file", "identifier", "date", "pairs", F.explode("rows").alias("r")).select("file", "identifier", "date", "pairs", "r.*")
-    rows = evaluated(rows, pair=F.get(F.filter("pairs", lambda p: p["buy"] == F.col("line_no")), F.lit(0)), sold=F.exists("pairs", lambda p: p["sell"] == F.col("line_no"))).where(~F.coalesce("sold", F.lit(False)))
-    paired = F.col("pair").isNotNull()
-    out = rows.withColumn("kind", F.when(paired, "review").otherwise(F.col("kind"))).withColumn("reason", F.when(paired, "possible_split").otherwise(F.col("reason")))
-    return out.withColumn("ratio", F.col("pair.ratio")).select(*events.columns, "ratio")
-
-
-def parse_app_statement(files: DataFrame) -> DataFrame:
+    rows = events.withColumn("_alone", F.when(F.col("kind") != "trade", F.col("line_no")))
+    rows = rows.repartition("file", "identifier", "date", "_alone").sortWithinPartitions("file", "identifier", "date", "_alone", "line_no")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    return rows.mapInArrow(_pairs_in_order(least, events.columns), f"{schema}, ratio double")
+
+
+def parse_app_statement(files: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """App broker's statement: trades, splits as share changes, dividends, fees; other movements are skipped."""
-    r = _picked(files, APP_COLUMNS, ("ticker", "type", "qty"))
+    r = _picked(files, APP_COLUMNS, ("ticker", "type", "qty"), heads=heads)
     r = evaluated(r, kind_text=F.upper(F.coalesce("type", F.lit(""))), ident=F.upper(F.trim(F.coalesce("ticker", F.lit("")))), day=normalize_date(F.col("date")), money=currency_of_text(F.coalesce("currency", "price", "total"), F.lit("USD")), **_numbers("qty", "total", "price", "tax"))
     kind_text, ident, complete = F.col("kind_text"), F.col("ident"), F.col("complete")
     trade, split = kind_text.rlike("^(?:BUY|SELL)"), kind_text.contains("STOCK SPLIT")
@@ -218,9 +318,9 @@ def parse_app_statement(files: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.lit(None).cast("double"))
 
 
-def parse_account_statement(files: DataFrame) -> DataFrame:
+def parse_account_statement(files: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Account statement: dividends and withheld tax, netted by instrument and value date; reversals cancel."""
-    r = _picked(files, ACCOUNT_COLUMNS, ("isin", "desc", "change"), "change").where("complete and line_no is not null")
+    r = _picked(files, ACCOUNT_COLUMNS, ("isin", "desc", "change"), "change", heads).where("complete and line_no is not null")
     desc, ident = F.lower(F.trim(F.coalesce("desc", F.lit("")))), F.upper(F.trim(F.coalesce("isin", F.lit(""))))
     r = evaluated(r, text=desc, identifier=ident, amount=parse_signed_number(F.col("beside")), day=normalize_date(F.coalesce("value_date", "date")), money=currency_of_text(F.col("change"), F.lit("EUR")))
     gross, tax, amount = F.col("text").isin("dividendo", "dividend"), F.col("text").rlike("^imposto sobre dividendo") | F.col("text").contains("dividend tax"), F.col("amount")
@@ -246,10 +346,11 @@ def normalize_trades(rows: DataFrame, broker: str = "generic") -> DataFrame:
 
 def parse_statements(files: DataFrame) -> DataFrame:
     """All files by their detected broker; files of no known broker become one error row each."""
-    files = files.withColumn("_broker", detect_broker(F.col("value")))
-    of = lambda b: files.where(F.col("_broker") == b)
-    unknown = _event(files.where("_broker is null").withColumn("line_no", F.lit(0)), "", kind=F.lit("error"), reason=F.lit("unknown format")).withColumn("broker", F.lit(None).cast("string")).withColumn("ratio", F.lit(None).cast("double"))
-    return parse_transactions(of("degiro")).unionByName(parse_app_statement(of("revolut"))).unionByName(parse_account_statement(of("degiro_account"))).unionByName(unknown)
+    heads = file_heads(files).withColumn("broker", detect_broker(F.col("opening")))
+    heads = heads if "value" in files.columns else stored(heads, "heads")
+    of = lambda b: heads.where(F.col("broker") == b)
+    unknown = _event(heads.where("broker is null").withColumn("line_no", F.lit(0)), "", kind=F.lit("error"), reason=F.lit("unknown format")).withColumn("broker", F.lit(None).cast("string")).withColumn("ratio", F.lit(None).cast("double"))
+    return parse_transactions(files, of("degiro")).unionByName(parse_app_statement(files, of("revolut"))).unionByName(parse_account_statement(files, of("degiro_account"))).unionByName(unknown)
 
 
 def import_report(events: DataFrame, sample: int = 12) -> DataFrame:

@@ -29,52 +29,69 @@ def _isin(v):
     return F.concat(F.lit("US"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.upper(F.substring("symbol", 1, 6)))
 
 
+def _named(name: str):
+    return F.concat(F.lit(name), F.col("user_id").cast("string")).alias("file")
+
+
+def _lines(rows, header, line, name):
+    """Lines of one file by user: header, then lines in order of symbol, seq."""
+    place = (F.row_number().over(Window.partitionBy("user_id").orderBy("symbol", "seq")) + 1).cast("long").alias("line_no")
+    heads = rows.select("user_id").distinct().select(_named(name), F.lit(1).cast("long").alias("line_no"), header.alias("line"))
+    return heads.unionByName(rows.select(_named(name), place, line.alias("line")))
+
+
 def _files(rows, header, line, name="user-"):
-    """One file by user: header and lines in order of seq, symbol."""
-    parts = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("symbol", "seq", line.alias("line")))).alias("l"), F.first(header).alias("h"))
-    return parts.select(F.concat(F.lit(name), F.col("user_id").cast("string")).alias("file"), F.concat_ws("\r\n", "h", F.array_join(F.col("l.line"), "\r\n"), F.lit("")).alias("value"))
+    """The same as whole texts (file, value)."""
+    lines = _lines(rows, header, line, name).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return lines.select("file", F.concat(F.array_join(F.col("l.line"), "\r\n"), F.lit("\r\n")).alias("value"))
 
 
-def transaction_files(v: Views, rows: str = _TRADES, name: str = "trades-"):
+def transaction_lines(v: Views, rows: str = _TRADES, name: str = "trades-"):
     odd = F.col("user_id") % 2 == 1
     header = F.when(odd, "Data;Hora;Produto;ISIN;Quantidade;Preços;;Custos").otherwise("Date,Time,Product,ISIN,Quantity,Price,,Transaction costs")
     qty = F.concat(F.when(F.col("type") == "sell", "-").otherwise(""), F.col("shares").cast("int").cast("string"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     line = F.array_join(F.array(F.date_format("date", "dd-MM-yyyy"), F.lit("10:00"), quoted(F.concat("symbol", F.lit(", Inc"))), _isin(v), qty, quoted(_number(F.col("total_amount"), odd)), F.col("currency"), quoted(F.concat(F.lit("-"), _number(F.col("seq"), odd)))), "\t")
     line = F.when(odd, F.replace(line, F.lit("\t"), F.lit(";"))).otherwise(F.replace(line, F.lit("\t"), F.lit(",")))
-    return _files(v.ledger.where(rows), header, line, name)
+    return _lines(v.ledger.where(rows), header, line, name)
 
 
-def app_files(v: Views, rows: str = _OTHER, name: str = "app-"):
+def app_lines(v: Views, rows: str = _OTHER, name: str = "app-"):
     kind = F.when(F.col("type") == "buy", "BUY - MARKET").when(F.col("type") == "sell", "SELL - LIMIT").when(F.col("type") == "split", "STOCK SPLIT").when(F.col("type") == "dividend", "DIVIDEND").otherwise("CUSTODY FEE")
     money = lambda c: F.concat(F.lit('"$'), F.format_number(c, 2), F.lit('"'))
     price = F.when(F.col("type").isin("buy", "sell"), money(F.col("total_amount"))).otherwise("")
     line = F.concat_ws(",", F.concat(F.col("date").cast("string"), F.lit("T10:00:00Z")), F.substring_index("symbol", " ", 1), kind, F.col("shares").cast("int").cast("string"), price, money(F.col("total_amount")), F.lit("USD"))
-    return _files(v.ledger.where(rows), F.lit("Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency"), line, name)
+    return _lines(v.ledger.where(rows), F.lit("Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency"), line, name)
 
 
-def account_files(v: Views, rows: str = _DIVIDENDS, name: str = "dividends-"):
+def account_lines(v: Views, rows: str = _DIVIDENDS, name: str = "dividends-"):
     desc = F.when(F.col("seq") % 2 == 0, "Dividendo").otherwise("Imposto sobre Dividendo")
     amount = F.concat(F.when(F.col("seq") % 2 == 0, "").otherwise("-"), F.lit('"'), _number(F.col("total_amount"), F.lit(True)), F.lit('"'))
     line = F.concat_ws(",", F.lit("01-01-2020"), F.lit("10:00"), F.date_format("date", "dd-MM-yyyy"), F.lit("X"), _isin(v), desc, F.lit(""), F.col("currency"), F.regexp_replace(amount, '^-"', '"-'), F.lit("EUR"), F.lit('"1,00"'))
-    return _files(v.ledger.where(rows), F.lit("Data,Hora,Data Valor,Produto,ISIN,Descrição,T.,Mudança,,Saldo,"), line, name)
+    return _lines(v.ledger.where(rows), F.lit("Data,Hora,Data Valor,Produto,ISIN,Descrição,T.,Mudança,,Saldo,"), line, name)
 
 
 def statements(v: Views):
-    """Up to three files for each user, and one of no known kind."""
-    other = v.spark.range(1).select(F.lit("junk").alias("file"), F.lit("hello\nworld").alias("value"))
-    return transaction_files(v).unionByName(app_files(v)).unionByName(account_files(v)).unionByName(other)
+    """Lines of up to three files for each user, and of one of no known kind."""
+    other = v.spark.range(1, 3).select(F.lit("junk").alias("file"), F.col("id").alias("line_no"), F.when(F.col("id") == 1, "hello").otherwise("world").alias("line"))
+    return transaction_lines(v).unionByName(app_lines(v)).unionByName(account_lines(v)).unionByName(other)
+
+
+def write_statements(v: Views, path: str) -> None:
+    """The statements as text files below ``path``, a folder ``file=...`` for each."""
+    statements(v).repartition(8, "file").sortWithinPartitions("file", "line_no").select("file", F.concat("line", F.lit("\r")).alias("line")).write.partitionBy("file").text(path)
 
 
 @query("b1_b2_detect", oracle(f"""SELECT 'degiro' AS broker, CASE WHEN user_id % 2 = 1 THEN ';' ELSE ',' END AS sep, count(DISTINCT user_id) AS n FROM v_ledger WHERE {_TRADES} GROUP BY ALL
 UNION ALL SELECT 'revolut', ',', count(DISTINCT user_id) FROM v_ledger WHERE {_OTHER} UNION ALL SELECT 'degiro_account', ',', count(DISTINCT user_id) FROM v_ledger WHERE {_DIVIDENDS} UNION ALL SELECT NULL, ',', 1"""))
 def b1(v):
-    return statements(v).groupBy(S.detect_broker(F.col("value")).alias("broker"), T.csv_separator(F.substring_index("value", "\r\n", 1)).alias("sep")).agg(F.count("*").alias("n"))
+    heads = S.file_heads(statements(v))
+    return heads.groupBy(S.detect_broker(F.col("opening")).alias("broker"), T.csv_separator(F.col("header_line")).alias("sep")).agg(F.count("*").alias("n"))
 
 
 @query("b3_b4_columns", oracle("SELECT 'trades-' || user_id AS file, 3 AS at_isin, 4 AS at_qty, 5 AS at_price, 7 AS at_fees, count(*) AS n FROM v_ledger WHERE " + _TRADES + " GROUP BY user_id"))
 def b3(v):
-    rows = S.statement_rows(transaction_files(v), S.TRANSACTION_COLUMNS)
+    rows = S.statement_rows(transaction_lines(v), S.TRANSACTION_COLUMNS)
     return rows.groupBy("file", "at_isin", "at_qty", "at_price", "at_fees").agg(F.count("*").alias("n"))
 
 
@@ -114,24 +131,24 @@ paired AS (SELECT user_id, identifier, date, buy, pair[1] AS sell FROM steps WHE
 
 @query("b10_parse_transactions", oracle("SELECT 'trades-' || r.user_id AS file, r.identifier, CAST(r.date AS VARCHAR) AS date, type, shares, paid AS price, CAST(seq AS DOUBLE) AS fees, currency, symbol || ', Inc' AS name FROM rows_ r WHERE NOT EXISTS (SELECT 1 FROM paired p WHERE p.user_id = r.user_id AND p.sell = r.rn)", _PAIRS))
 def b10(v):
-    return S.parse_transactions(transaction_files(v)).where("kind in ('trade', 'review')").select("file", "identifier", "date", "type", "shares", "price", "fees", "currency", "name")
+    return S.parse_transactions(transaction_lines(v)).where("kind in ('trade', 'review')").select("file", "identifier", "date", "type", "shares", "price", "fees", "currency", "name")
 
 
 @query("b11_split_pairs", oracle("SELECT 'trades-' || p.user_id AS file, p.identifier, CAST(p.date AS VARCHAR) AS date, b.shares / s.shares AS ratio FROM paired p JOIN rows_ b ON b.user_id = p.user_id AND b.rn = p.buy JOIN rows_ s ON s.user_id = p.user_id AND s.rn = p.sell", _PAIRS))
 def b11(v):
-    return S.parse_transactions(transaction_files(v)).where("reason = 'possible_split'").select("file", "identifier", "date", "ratio")
+    return S.parse_transactions(transaction_lines(v)).where("reason = 'possible_split'").select("file", "identifier", "date", "ratio")
 
 
 @query("b12_parse_app_statement", oracle(f"""SELECT 'app-' || user_id AS file, symbol AS identifier, CAST(date AS VARCHAR) AS date, type, CASE WHEN type IN ('buy', 'sell', 'split') THEN shares END AS shares, CASE WHEN type IN ('buy', 'sell') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS price,
   CASE WHEN type IN ('dividend', 'fee') THEN CAST(round(total_amount, 2) AS DOUBLE) END AS amount FROM v_ledger WHERE {_OTHER}"""))
 def b12(v):
-    return S.parse_app_statement(app_files(v)).where("kind in ('trade', 'income')").select("file", "identifier", F.substring("date", 1, 10).alias("date"), "type", "shares", "price", "amount")
+    return S.parse_app_statement(app_lines(v)).where("kind in ('trade', 'income')").select("file", "identifier", F.substring("date", 1, 10).alias("date"), "type", "shares", "price", "amount")
 
 
 @query("b13_parse_account_statement", oracle(f"""SELECT 'dividends-' || user_id AS file, {_ISIN} AS identifier, CAST(date AS VARCHAR) AS date, CAST(sum(CASE WHEN seq % 2 = 0 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS amount,
   CAST(sum(CASE WHEN seq % 2 = 1 THEN CAST(total_amount AS DECIMAL(28,2)) ELSE 0 END) AS DOUBLE) AS tax FROM v_ledger WHERE {_DIVIDENDS} GROUP BY ALL"""))
 def b13(v):
-    return S.parse_account_statement(account_files(v)).select("file", "identifier", "date", "amount", "tax")
+    return S.parse_account_statement(account_lines(v)).select("file", "identifier", "date", "amount", "tax")
 
 
 @query("b14_normalize_trades", oracle("SELECT symbol || '-' || user_id AS file, seq AS line_no, type IN ('buy', 'sell') AND seq % 7 > 0 AS ok, CASE WHEN type IN ('buy', 'sell') AND seq % 7 > 0 THEN CAST(CAST(total_amount AS DECIMAL(28,2)) AS DOUBLE) / shares END AS price FROM v_ledger"))
@@ -190,7 +207,7 @@ def b23(v):
 
 @query("b24_import_report", oracle(f"SELECT 'app-' || user_id AS file, CASE WHEN type IN ('buy', 'sell') THEN 'trade' ELSE 'income' END AS kind, count(*) AS n, CAST(least(count(*), 12) AS BIGINT) AS shown FROM v_ledger WHERE {_OTHER} GROUP BY ALL"))
 def b24(v):
-    return S.import_report(S.parse_app_statement(app_files(v))).select("file", "kind", "n", F.size("first").cast("long").alias("shown"))
+    return S.import_report(S.parse_app_statement(app_lines(v))).select("file", "kind", "n", F.size("first").cast("long").alias("shown"))
 
 
 @query("b25_chunk_lines", "SELECT doc_id, true AS whole, true AS fits, length(text) AS n_chars FROM documents")
@@ -291,8 +308,10 @@ def c5(v):
 
 @query("c6_collect_unresolved", oracle("SELECT isin AS identifier, name, 2 AS n FROM v_instruments WHERE key % 5 > 0"))
 def c6(v):
-    items = v.instruments.where("key % 5 > 0").select((F.col("key") % 50).alias("user_id"), F.col("isin").alias("identifier"), F.lit(None).cast("string").alias("symbol"), F.lit("b").alias("broker"), F.explode(F.array(F.struct(F.lit(1).alias("line_no"), F.col("name").alias("name")), F.struct(F.lit(2).alias("line_no"), F.lit("later").alias("name")))).alias("x")).select("*", "x.line_no", "x.name")
-    return R.collect_unresolved(items).select("identifier", "name", "n")
+    """Every instrument twice, a fifth of them resolved already, and its ticker as an identifier that is no ISIN."""
+    lines = F.array(F.struct(F.lit(1).alias("line_no"), F.col("name").alias("name")), F.struct(F.lit(2).alias("line_no"), F.lit("later").alias("name")))
+    names = v.instruments.select((F.col("key") % 50).alias("user_id"), F.explode(F.array("isin", "ticker")).alias("identifier"), F.when(F.col("key") % 5 == 0, F.col("ticker")).alias("symbol"), F.lit("b").alias("broker"), F.explode(lines).alias("x"))
+    return R.collect_unresolved(names.select("*", "x.line_no", "x.name")).select("identifier", "name", "n")
 
 
 @query("c8_pricing_symbol", oracle("SELECT ticker, replace(ticker, '.FRK', '.DE') AS priced FROM v_instruments"))
@@ -300,9 +319,24 @@ def c8(v):
     return v.instruments.select("ticker", pricing_symbol(F.lower("ticker")).alias("priced"))
 
 
-@query("c9_alternative_symbols", oracle("SELECT ticker, CAST(CASE key % 8 WHEN 0 THEN 13 WHEN 4 THEN 14 WHEN 6 THEN 14 WHEN 7 THEN 14 ELSE 13 END AS BIGINT) AS n FROM v_instruments"))
+#: Instruments whose names hold a keyword (of 20 kinds of name, 16 do), some behind or before a legal form.
+_C9_NAMES = "CASE WHEN key % 3 = 0 THEN concat(kw, ' SA ', name) WHEN key % 3 = 1 THEN concat(name, ' ', kw) ELSE concat('The ', kw, ' NV') END"
+_C9_WORDS = """words AS (SELECT * FROM (VALUES (0, 'Cellnex', ['CLNX', 'CLNX.MC']), (1, 'COVESTRO', ['1COV.DE', 'COV.DE']), (2, 'Prosus', ['PRX.AS', 'PROSUS']), (3, 'Adyen', ['ADYEN.AS', 'ADYEY']), (4, 'Just Eat', ['JET.L', 'TKWY.AS']), (5, 'Moncler', ['MONC.MI', 'MONRF']),
+  (6, 'Sartorius', ['SRT.DE', 'SRT3.DE']), (7, 'Nestle', ['NESN.SW', 'NSRGY']), (8, 'Roche', ['ROG.SW', 'RHHBY']), (9, 'Novartis', ['NOVN.SW', 'NVS']), (10, 'ASML', ['ASML.AS', 'ASML']), (11, 'Lvmh', ['MC.PA', 'LVMUY']), (12, 'Hermes', ['RMS.PA', 'HESAY']),
+  (13, 'Schneider', ['SU.PA', 'SBGSF']), (14, 'TotalEnergies', ['TTE.PA', 'TTE']), (15, 'Airbus and Roche', ['ROG.SW', 'RHHBY']), (16, 'AT&T', []), (17, 'Ünal', []), (18, 'x', []), (19, 'Roc he', [])) t(k, kw, smart)),
+named AS (SELECT ticker, CASE WHEN key % 4 = 1 THEN replace(ticker, '.', '.B.') ELSE ticker END AS symbol, """ + _C9_NAMES.replace("concat(name", "concat(i.name").replace("', name", "', i.name") + """ AS name, smart FROM v_instruments i JOIN words ON k = key % 20),
+first AS (SELECT *, string_split(trim(regexp_split_to_array(name, '(?i)\\s+(SA|NV|AG|SE|PLC|INC|CORP|LTD|SPA|ASA|OYJ)')[1]), ' ')[1] AS word, string_split(symbol, '.')[1] AS base, string_split(symbol, '.')[-1] AS suffix FROM named),
+tried AS (SELECT ticker, CASE WHEN contains(symbol, '.')
+    THEN (CASE WHEN suffix = 'FRK' THEN [regexp_replace(symbol, 'FRK$', 'DE')] ELSE [] END) || list_transform(['DE', 'PA', 'AS', 'MI', 'MC', 'SW', 'L', 'BR', 'LS', 'CO', 'ST', 'HE', 'OL'], lambda x: base || '.' || x) || [base]
+    ELSE list_transform(['PA', 'L', 'DE', 'MC', 'SW', 'AS', 'MI', 'BR', 'HE', 'ST', 'OL', 'CO'], lambda x: symbol || '.' || x) END || smart || CASE WHEN length(word) BETWEEN 3 AND 6 THEN [upper(word)] ELSE [] END AS l FROM first)"""
+
+
+@query("c9_alternative_symbols", oracle("SELECT ticker, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS tried FROM tried", _C9_WORDS, views=("v_instruments",)))
 def c9(v):
-    return v.instruments.select("ticker", F.size(alternative_symbols(F.col("ticker"), F.lit("x"))).cast("long").alias("n"))
+    words = ("Cellnex", "COVESTRO", "Prosus", "Adyen", "Just Eat", "Moncler", "Sartorius", "Nestle", "Roche", "Novartis", "ASML", "Lvmh", "Hermes", "Schneider", "TotalEnergies", "Airbus and Roche", "AT&T", "Ünal", "x", "Roc he")
+    rows = v.instruments.withColumn("kw", F.get(F.array(*[F.lit(w) for w in words]), (F.col("key") % 20).cast("int")))
+    rows = rows.withColumn("symbol", F.when(F.col("key") % 4 == 1, F.replace("ticker", F.lit("."), F.lit(".B."))).otherwise(F.col("ticker")))
+    return rows.select("ticker", F.array_join(alternative_symbols(F.col("symbol"), F.expr(_C9_NAMES)), " ").alias("tried"))
 
 
 @query("c10_first_priced_alternative", oracle("SELECT ticker AS symbol, 'T' || key || '.DE' AS tried, key * 1.0::DOUBLE AS price FROM v_instruments WHERE key % 8 IN (0, 1, 2, 4, 5, 6, 7) AND key > 0"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cofferlake.operators import tables as A
-from cofferlake.plans.imports import transaction_files
+from cofferlake.plans.imports import _DIVIDENDS, _TRADES, write_statements
 from cofferlake.plans.portfolio import AS_OF, now, positions
 from cofferlake.plans.registry import query
 from cofferlake.plans.views import POSITIONS_SQL, Views, oracle
 from cofferlake.sources.shared import scratch_path
-from cofferlake.sources.statements import statement_source
+from cofferlake.sources.statements import statement_lines
 
 _OWN = "user_id IN (SELECT c_custkey FROM customer)"
 
@@ -185,9 +185,12 @@ def a20(v):
     return A.ledger_row_defaults(rows.withColumn("day", date)).select("user_id", "symbol", "seq", "day", "shares", "price", "total_amount")
 
 
-@query("a22_statement_source", oracle("SELECT 'trades-' || user_id AS file, count(*) + 1 AS lines FROM v_ledger WHERE user_id % 4 <> 2 AND type IN ('buy', 'sell') AND length(symbol) >= 6 GROUP BY user_id"))
+@query(
+    "a22_statement_source",
+    oracle(f"""SELECT file, count(*) + 1 AS lines FROM (SELECT CASE WHEN {_TRADES} THEN 'trades-' WHEN {_DIVIDENDS} THEN 'dividends-' ELSE 'app-' END || user_id AS file FROM v_ledger) GROUP BY file UNION ALL SELECT 'junk', 2"""),
+)
 def a22(v):
     path = scratch_path(v.spark, "statements")
-    transaction_files(v).repartition(8, "file").write.partitionBy("file").text(path)
-    read = statement_source(v.spark, path)
-    return read.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.regexp_count("value", F.lit("\r\n")).cast("long").alias("lines"))
+    write_statements(v, path)
+    read = statement_lines(v.spark, path)
+    return read.groupBy(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file")).agg(F.max("line_no").alias("lines"))

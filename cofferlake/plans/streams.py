@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cofferlake.plans.imports import statements
+from cofferlake.plans.imports import write_statements
 from cofferlake.plans.registry import query
 from cofferlake.plans.views import POSITIONS_SQL, PRICES_SQL, Views, oracle
 from cofferlake.sources.shared import scratch_path
@@ -81,7 +81,7 @@ def g5(v: Views):
 def g6(v: Views):
     """Rows of all files that land; a possible split is one row that stands for two lines."""
     landing, out = scratch_path(v.spark, "landing"), scratch_path(v.spark, "parsed")
-    statements(v).repartition(8, "file").write.partitionBy("file").text(landing)
+    write_statements(v, landing)
     J.finished(statement_stream(v.spark, landing), "statements", J.statements_into(out))
     rows = v.spark.read.parquet(out).withColumn("lines", F.when(F.col("reason") == "possible_split", 2).otherwise(1))
     return rows.groupBy(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file")).agg(F.sum("lines").alias("n"))

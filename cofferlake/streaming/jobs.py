@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from cofferlake.operators.ledger import LARGEST_RATIO, NOTHING
 from cofferlake.operators.statements import parse_statements
 from cofferlake.sources.shared import delete_path, scratch_path
+from cofferlake.sources.statements import numbered
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUNNING = "user_id long, symbol string, seq long, rejected boolean, shares double, avg_price double, realized_pnl double, dividends double, tax_withheld double, fees_paid double, needs_review boolean"
@@ -135,10 +136,10 @@ def periodic_snapshots(ticks: DataFrame, width: str = "1 day", delay: str = "1 h
 
 
 def statements_into(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the parsed rows of statement files (file, value), a folder for each micro-batch."""
+    """For ``foreachBatch``: the parsed rows of statement files (``statement_stream``), a folder for each micro-batch."""
 
     def parse(batch: DataFrame, number: int) -> None:
-        parse_statements(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        parse_statements(numbered(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return parse
 

@@ -1,11 +1,16 @@
 """Writes, deletes and statements in odd cases."""
 
+import random
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from cofferlake.operators import statements as S
 from cofferlake.operators import tables as A
 from cofferlake.operators.ledger import positions_from_ledger
 from cofferlake.sources.shared import scratch_path
+from cofferlake.sources.statements import statement_lines
 
 
 def test_replacing_empties_buckets(spark):
@@ -77,6 +82,50 @@ def test_statements_of_odd_files(spark):
     assert ratios[2] == ratios[5] == 2.0
 
 
+def test_large_files_are_read_by_several_tasks(spark):
+    """Lines of split files have the numbers and give the events that whole files do."""
+    head = "Date,Time,Product,ISIN,Quantity,Price,,Transaction costs"
+    path = scratch_path(spark, "large")
+    texts = [f"\n \n{head}" + "".join(f"\r\n02-01-2024,10:00,\"Name {'x' * (i % 40)}, Inc\",US{i % 500:010d},{i % 7 - 3},{1 + i % 90}.50,USD,-0.50" for i in range(12_000)), f"{head}\n03-01-2024,10:00,N,US0378331005,1,2,EUR,0\n", "no\nheader\n\nat all", " \n"]
+    for k, text in enumerate(texts):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(f"{path}/file={k}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        lines = statement_lines(spark, path)
+        assert lines.rdd.getNumPartitions() > 4
+        events = S.parse_statements(lines)
+        found = sorted(map(str, events.withColumn("file", F.regexp_extract("file", "file=([^/]+)/", 1)).collect()))
+        numbers = [r.line_no for r in lines.where("file like '%file=0/%'").orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "file string, value string")
+    assert found == sorted(map(str, S.parse_statements(whole).collect())) and len(found) > 5_000
+    assert numbers == list(range(1, 12_004))
+
+
+def test_split_pairs_of_one_busy_day(spark):
+    """The first free sell that fits, by the plain rule for every group, and ten thousand trades of a day in seconds."""
+    chance = random.Random(2)
+    schema = "file string, line_no long, kind string, type string, identifier string, date string, price double, shares double, reason string"
+    rows = [("f", i, "trade" if chance.random() < 0.9 else "skipped", chance.choice(["buy", "sell"]), chance.choice("ABC"), chance.choice(["1", None]), chance.choice([0.0, 1.0, 2.0, 3.0, 9.0, 20.0, 61.0]), float(chance.randint(1, 9)), None) for i in range(600)]
+    wanted, sold = {}, set()
+    for r in rows:
+        if r[2] == "trade" and r[3] == "buy":
+            for x in rows:
+                if x[2] == "trade" and x[3] == "sell" and x[1] not in sold and (x[4], x[5]) == (r[4], r[5]) and min(r[6], x[6]) > 0 and max(r[6], x[6]) / min(r[6], x[6]) >= 3:
+                    sold.add(x[1])
+                    wanted[r[1]] = r[7] / x[7]
+                    break
+    found = {r.line_no: r for r in S.detect_split_pairs(spark.createDataFrame(rows, schema).repartition(4)).collect()}
+    assert found.keys() == {r[1] for r in rows} - sold and {k: r.ratio for k, r in found.items() if r.ratio is not None} == wanted
+    assert all((r.kind, r.reason) == ("review", "possible_split") for k, r in found.items() if k in wanted)
+    prices = np.random.default_rng(1).uniform(1, 50, (2, 5_000))
+    begun = time.monotonic()
+    fits = S.first_fits(prices[0], prices[1], 3.0)
+    assert time.monotonic() - begun < 20 and len({k for k in fits if k >= 0}) == sum(k >= 0 for k in fits) > 1_000
+
+
 def test_report_shows_the_first_lines(spark):
     events = spark.range(30).select(F.lit("f").alias("file"), (F.col("id") % 2).cast("string").alias("kind"), (30 - F.col("id")).alias("line_no"), F.lit("x").alias("identifier"))
     rows = {r.kind: r for r in S.import_report(events).collect()}
