@@ -91,12 +91,17 @@ def facet_filter(lots: DataFrame, selections: dict[str, list]) -> DataFrame:
 
 
 def facet_counts(lots: DataFrame, selections: dict[str, list], dimensions: tuple[str, ...]) -> DataFrame:
-    """Lots by dimension and value under the filters of all other dimensions, in one pass."""
-    rows = []
-    for d in dimensions:
-        others = reduce(lambda a, b: a & b, [_fits(selections, o) for o in dimensions if o != d], F.lit(True))
-        rows.append(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"), others.alias("ok")))
-    stacked = lots.select("user_id", F.explode(F.array(*rows)).alias("r")).where("r.ok and r.value is not null")
+    """Lots by dimension and value under the filters of all other dimensions, in one pass.
+
+    A lot that fits everywhere counts in each dimension, one that fails one filter in that dimension alone; all others are
+    dropped before anything is spread.
+    """
+    chosen = [d for d in dimensions if selections.get(d)]
+    fails = {d: F.when(_fits(selections, d), 0).otherwise(1) for d in chosen}
+    failed = reduce(lambda a, b: a + b, fails.values(), F.lit(0))
+    near = lots.where(failed <= 1).withColumn("_failed", failed)
+    rows = [F.when((F.col("_failed") == fails.get(d, F.lit(0))) & F.col(d).isNotNull(), F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))) for d in dimensions]
+    stacked = near.select("user_id", F.explode(F.array_compact(F.array(*rows))).alias("r"))
     return stacked.groupBy("user_id", "r.dimension", "r.value").agg(F.count("*").alias("n"))
 
 
@@ -108,29 +113,65 @@ def sort_lots(lots: DataFrame, mode: str = "newest") -> DataFrame:
 
 def match_scans(scans: DataFrame, cellar: DataFrame) -> DataFrame:
     """Scans and lots of one user with equal normalised names; vintage and winery count only where both are known."""
-    a = scans.withColumn("key", normalize_name(F.col("name"))).alias("a")
-    b = cellar.withColumn("key", normalize_name(F.col("name"))).alias("b")
-    agree = lambda c: F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() | (F.lower(F.col(f"a.{c}").cast("string")) == F.lower(F.col(f"b.{c}").cast("string")))
-    on = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key")) & agree("vintage") & agree("winery")
+    known = lambda c: F.nullif(normalize_name(F.col(c)), F.lit(""))
+    keyed = lambda df: df.withColumns({"key": known("name"), "maker": known("winery")})
+    a, b = keyed(scans).alias("a"), keyed(cellar).alias("b")
+    agree = lambda c: F.col(f"a.{c}").isNull() | F.col(f"b.{c}").isNull() | (F.col(f"a.{c}").cast("string") == F.col(f"b.{c}").cast("string"))
+    on = (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.key") == F.col("b.key")) & agree("vintage") & agree("maker")
     return a.join(b, on).select(F.col("a.user_id").alias("user_id"), F.col("a.scan_id").alias("scan_id"), F.col("b.id").alias("id"))
 
 
-def fuzzy_match_scans(scans: DataFrame, cellar: DataFrame) -> DataFrame:
+#: Users with more names than this are searched by pieces of names instead of name by name.
+MANY_NAMES = 2_000
+
+
+def _allowed(n: Column) -> Column:
+    """The edit distance that names of ``n`` characters may have."""
+    return F.greatest(F.lit(2), F.floor(n * 0.15).cast("int"))
+
+
+def _shortened(x: Column, most: int = 2) -> Column:
+    """What is left of a name of up to four characters without up to ``most`` of them."""
+    left = lambda mask: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.when(F.getbit(mask, i - 1) == 0, F.substr(x, i, F.lit(1))).otherwise("")), "")
+    masks = F.filter(F.sequence(F.lit(0), F.pow(F.lit(2), F.length(x)).cast("int") - 1), lambda mask: F.bit_count(mask) <= most)
+    return F.array_distinct(F.transform(masks, left))
+
+
+def pairs_by_pieces(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct (user_id, x, y) of names x of ``a`` and y of ``b`` that can be near, found by parts that they share.
+
+    Of k + 1 pieces of x (k the distance allowed) at least one stands unchanged in a near y, shifted by at most k. Names of
+    fewer than k + 1 characters have no such pieces: what is left of them and of a near y without up to k characters meets.
+    """
+    a = a.select("user_id", "x").distinct().withColumns({"n": F.length("x"), "k": _allowed(F.length("x"))})
+    long = a.where("n > k").withColumn("size", F.floor(F.col("n") / (F.col("k") + 1)).cast("int"))
+    pieces = long.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select("user_id", "x", "n", "k", "size", (F.col("i") * F.col("size")).alias("at"))
+    pieces = pieces.withColumn("piece", F.substr("x", F.col("at") + 1, F.col("size"))).withColumn("spot", F.explode(F.sequence(F.greatest(F.col("at") - F.col("k"), F.lit(0)), F.col("at") + F.col("k"))))
+    grams = b.join(long.select("user_id", "size").distinct(), "user_id").where("length(y) >= size")
+    grams = grams.withColumn("spot", F.explode(F.sequence(F.lit(0), F.length("y") - F.col("size")))).withColumn("piece", F.substr("y", F.col("spot") + 1, F.col("size")))
+    met = pieces.join(grams, ["user_id", "size", "spot", "piece"]).where(F.abs(F.length("y") - F.col("n")) <= F.col("k")).select("user_id", "x", "y")
+    short_a = a.where("n <= k").select("user_id", "x", F.explode(_shortened(F.col("x"))).alias("left"))
+    short_b = b.where("length(y) <= 4").select("user_id", "y", F.explode(_shortened(F.col("y"))).alias("left"))
+    return met.unionByName(short_a.join(short_b, ["user_id", "left"]).select("user_id", "x", "y")).distinct()
+
+
+def fuzzy_match_scans(scans: DataFrame, cellar: DataFrame, many: int = MANY_NAMES) -> DataFrame:
     """Near names: edit distance over 0 and at most max(2, 15 % of the shorter name), nearest first.
 
-    Lots of a user are blocked by pieces: of k + 1 pieces of the scan's name (k the distance allowed) at least one
-    stands unchanged in a near name, shifted by at most k, so equal pieces bring all near pairs together.
+    Names of a user are compared one by one where the user's lots have at most ``many``, so a scan costs no more than that;
+    the others are found by ``pairs_by_pieces``.
     """
-    allowed = lambda n: F.greatest(F.lit(2), F.floor(n * 0.15).cast("int"))
-    a = scans.select("user_id", "scan_id", normalize_name(F.col("name")).alias("x")).distinct().withColumn("k", allowed(F.length("x")))
-    b = cellar.select("user_id", normalize_name(F.col("name")).alias("y")).distinct()
-    size = F.greatest(F.floor(F.length("x") / (F.col("k") + 1)).cast("int"), F.lit(1))
-    pieces = a.withColumn("size", size).select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")).select("user_id", "scan_id", "x", "k", "size", (F.col("i") * F.col("size")).alias("at"))
-    pieces = pieces.withColumn("piece", F.substring("x", F.col("at") + 1, F.col("size"))).withColumn("spot", F.explode(F.sequence(F.greatest(F.col("at") - F.col("k"), F.lit(0)), F.col("at") + F.col("k"))))
-    sizes = pieces.select("user_id", "size").distinct()
-    grams = b.join(sizes, "user_id").withColumn("spot", F.explode(F.sequence(F.lit(0), F.greatest(F.length("y") - F.col("size"), F.lit(0))))).withColumn("piece", F.substring("y", F.col("spot") + 1, F.col("size")))
-    pairs = pieces.join(grams, ["user_id", "size", "spot", "piece"]).select("user_id", "scan_id", "x", "y").distinct()
-    near = pairs.withColumn("distance", F.levenshtein("x", "y")).where((F.col("distance") > 0) & (F.col("distance") <= allowed(F.least(F.length("x"), F.length("y")))))
+    a = scans.select("user_id", "scan_id", normalize_name(F.col("name")).alias("x")).where("x <> ''").distinct()
+    b = cellar.where("name <> ''").select("user_id", normalize_name(F.col("name")).alias("y")).distinct()
+    counts = b.groupBy("user_id").agg(F.count("*").alias("_n"))
+    few, busy = counts.where(F.col("_n") <= many).select("user_id"), counts.where(F.col("_n") > many).select("user_id")
+    short = F.least(F.length("x"), F.length("y"))
+    close = (F.abs(F.length("x") - F.length("y")) <= _allowed(short)) & (F.col("x") != F.col("y"))
+    plain = a.join(b.join(few, "user_id", "left_semi"), "user_id").where(close)
+    searched = a.join(busy, "user_id", "left_semi")
+    found = pairs_by_pieces(searched, b.join(busy, "user_id", "left_semi")).where(close)
+    pairs = plain.select("user_id", "scan_id", "x", "y").unionByName(searched.join(found, ["user_id", "x"]).select("user_id", "scan_id", "x", "y"))
+    near = pairs.withColumn("distance", F.levenshtein("x", "y")).where(F.col("distance") <= _allowed(short))
     order = Window.partitionBy("user_id", "scan_id").orderBy("distance", "y")
     return near.withColumn("rank", F.row_number().over(order)).select("user_id", "scan_id", F.col("y").alias("name"), "distance", "rank")
 
@@ -166,18 +207,38 @@ def existing_holdings(wanted: DataFrame, cellar: DataFrame) -> DataFrame:
     return exact.unionByName(missed.join(b, rest("m", "bm")).select("want_id", "id", F.lit("normalised").alias("how")))
 
 
+_CATALOGUE = ("name", "winery", "vintage", "region", "appellation", "varietal", "country", "alcohol", "type", "drink_window")
+
+
 def resolve_catalogue(lots: DataFrame, wines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lots with wine_id, new catalogue rows): found by name, winery and vintage, else made with an id of that key."""
+    """(lots with wine_id, new catalogue rows): found by name, winery and vintage, else made with an id of that key.
+
+    A new row takes what the first of its lots, by spelling, says of the wine.
+    """
     key = lambda: [F.lower(F.trim("name")), F.lower(F.trim("winery")), F.col("vintage")]
     new_id = F.sha2(F.concat_ws("\u0001", *[F.coalesce(k.cast("string"), F.lit("\u0002")) for k in key()]), 256)
     known = wines.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(key())]).agg(F.min("wine_id").cast("string").alias("found"))
     rows = lots.withColumns({f"c{i}": k for i, k in enumerate(key())})
     rows = rows.join(known, reduce(lambda a, b: a & b, [F.col(f"c{i}").eqNullSafe(F.col(f"k{i}")) for i in range(3)]), "left")
     rows = rows.withColumn("wine_id", F.coalesce("found", new_id))
-    fresh = rows.where("found is null").dropDuplicates(["wine_id"]).select("wine_id", "name", "winery", "vintage")
+    said = F.struct(*[c for c in _CATALOGUE if c in lots.columns])
+    fresh = rows.where("found is null").groupBy("wine_id").agg(F.min(said).alias("w")).select("wine_id", "w.*")
     return rows.drop("c0", "c1", "c2", "k0", "k1", "k2", "found"), fresh
 
 
+def catalogue_updates(lots: DataFrame, wines: DataFrame) -> DataFrame:
+    """Rows of ``wines`` that the latest of their lots (wine_id, created_at, id) change: drink_window and type, nothing else.
+
+    A lot without a value erases none.
+    """
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("created_at", "id"))).alias(f"new_{c}")
+    said = lots.groupBy(F.col("wine_id").cast("string").alias("_id")).agg(latest("drink_window"), latest("type"))
+    rows = wines.join(said, wines["wine_id"].cast("string") == F.col("_id"))
+    changed = reduce(lambda a, b: a | b, [F.col(f"new_{c}").isNotNull() & ~F.col(f"new_{c}").eqNullSafe(F.col(c)) for c in ("drink_window", "type")])
+    values = {c: F.coalesce(f"new_{c}", c) for c in ("drink_window", "type")}
+    return rows.where(changed).withColumns(values).select(*wines.columns)
+
+
 def merge_duplicate_lots(lots: DataFrame) -> DataFrame:
     """One lot by user and wine: the oldest, all bottles, the price weighted by priced bottles, the latest valuation."""
     age = F.struct("created_at", "id")

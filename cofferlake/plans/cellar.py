@@ -178,6 +178,16 @@ def f18(v):
     return lots.select("id", F.when(F.length("wine_id") == 64, "new").otherwise(F.col("wine_id")).alias("wine_id"))
 
 
+@query(
+    "f18_catalogue_updates",
+    oracle("""SELECT w.wine_id, w.name, coalesce(d, w.drink_window) AS drink_window, coalesce(t, w.type) AS type FROM v_wines w JOIN (SELECT wine_id, arg_max(d, (created_at, id)) FILTER (d IS NOT NULL) AS d, arg_max(t, (created_at, id)) FILTER (t IS NOT NULL) AS t
+FROM (SELECT *, CASE WHEN qty % 3 = 0 THEN 'until ' || qty END AS d, CASE WHEN qty % 2 = 0 THEN 'Red' END AS t FROM v_lots) GROUP BY wine_id) l USING (wine_id) WHERE d <> coalesce(w.drink_window, '') OR t <> w.type"""),
+)
+def f18_updates(v):
+    said = {"drink_window": F.when(F.col("qty") % 3 == 0, F.concat(F.lit("until "), "qty")), "type": F.when(F.col("qty") % 2 == 0, "Red")}
+    return C.catalogue_updates(v.lots.withColumns(said), v.wines).select("wine_id", "name", "drink_window", "type")
+
+
 @query(
     "f19_merge_duplicate_lots",
     oracle(f"""SELECT user_id, wine_id, arg_min(id, (created_at, id)) AS id, CAST(sum(qty) AS BIGINT) AS qty, CASE WHEN sum(CASE WHEN purchase_price IS NOT NULL THEN qty ELSE 0 END) > 0 THEN {s('CASE WHEN purchase_price IS NOT NULL THEN purchase_price * qty ELSE 0 END')} / sum(CASE WHEN purchase_price IS NOT NULL THEN qty ELSE 0 END) END AS purchase_price,
