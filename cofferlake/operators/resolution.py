@@ -6,7 +6,7 @@ Look-ups in outside services are input tables here: candidates (isin, tier, ordi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cofferlake.functions.instruments import alternative_symbols, detect_exchange, exchange_currency, pricing_symbol
@@ -157,6 +157,34 @@ def search_assets(assets: DataFrame, query: str, most: int = 8) -> DataFrame:
     return hits.withColumn("place", order).orderBy("place", "ticker").limit(most)
 
 
+def name_postings(assets: DataFrame, most: int = 3) -> DataFrame:
+    """(gram, ticker): the distinct strings of 1 to ``most`` characters in each asset's ticker and name, in lower case."""
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    texts = assets.where("ticker is not null").select("ticker", F.explode(F.array(F.lower("ticker"), F.lower("name"))).alias("t")).where("t <> ''")
+    rows = texts.select("ticker", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in range(1, most + 1)])))).alias("gram"))
+    return rows.distinct()
+
+
+def search_many(assets: DataFrame, postings: DataFrame, queries: DataFrame, most: int = 8, longest: int = 3) -> DataFrame:
+    """(query, rank, ticker): for each query the first assets whose name or ticker holds it, as ``search_assets`` orders them.
+
+    A query is looked up by the rarest of its strings of ``longest`` characters (itself, if it is shorter), and what that
+    finds is compared whole, so that no query meets all assets. Blank queries find nothing.
+    """
+    asked = queries.select("query", F.lower(F.trim("query")).alias("_q")).where("_q <> ''").distinct()
+    size = F.least(F.length("_q"), F.lit(longest))
+    parts = asked.withColumn("gram", F.explode(F.transform(F.sequence(F.lit(1), F.length("_q") - size + 1), lambda i: F.substr("_q", i, size))))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("_n"))
+    # A part that no asset holds settles a query: its count is missing and comes first.
+    rarest = parts.join(counts, "gram", "left").groupBy("query", "_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "gram")).alias("r")).where("r._n > 0").select("query", "_q", F.col("r.gram").alias("gram"))
+    found = rarest.join(postings, "gram").select("query", "_q", "ticker").join(assets.select("ticker", "name"), "ticker")
+    ticker = F.lower("ticker")
+    hits = found.where(F.contains(ticker, F.col("_q")) | F.coalesce(F.contains(F.lower("name"), F.col("_q")), F.lit(False)))
+    place = F.when(ticker == F.col("_q"), 0).when(F.startswith(ticker, F.col("_q")), 1).otherwise(2)
+    ranked = hits.select("query", "ticker", F.row_number().over(Window.partitionBy("query").orderBy(place, "ticker")).alias("rank"))
+    return ranked.where(F.col("rank") <= most).select("query", "rank", "ticker")
+
+
 def priceable(positions: DataFrame) -> DataFrame:
     """Distinct symbols worth asking a price for: tracked ones that are no bare ISIN."""
     return positions.where(~F.coalesce("untracked", F.lit(False)) & ~is_isin(F.col("symbol"))).select("symbol").distinct()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cofferlake.operators.ledger import rebuild_positions
-from cofferlake.sources.shared import delete_path
+from cofferlake.sources.shared import delete_path, exists, move_path, read_text, write_text
 
 #: Allowed types.
 TRANSACTION_TYPES = ("buy", "sell", "dividend", "fee", "split", "isin_change")
@@ -68,21 +71,45 @@ def write_table(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 def replace_user_rows(spark: SparkSession, path: str, rows: DataFrame, users: DataFrame, buckets: int = BUCKETS) -> None:
     """All rows of ``users`` become ``rows``; only the buckets of those users are written anew. Twice gives the same.
 
-    The new buckets are written beside the table first and replace the old ones from there, so a run that breaks off
-    can be repeated; buckets that nobody is left in go at the end.
+    The new buckets are written to a folder of their own. Then a marker beside the table names that folder and its buckets;
+    from there on the replacement is decided, and whoever finds the marker first moves what is not moved yet. A run that
+    breaks off before that leaves the table as it was. One writer at a time; readers in between may see some buckets new.
     """
+    finish_replacement(spark, path)
     stored = spark.read.parquet(path)
     touched = with_bucket(users.select("user_id").distinct(), buckets)
-    kept = stored.join(F.broadcast(touched.select("user_bucket").distinct()), "user_bucket", "left_semi").join(touched.select("user_id"), "user_id", "left_anti")
-    new = kept.unionByName(with_bucket(rows, buckets), allowMissingColumns=True)
-    staged = f"{path.rstrip('/')}-staged"
-    new.repartition("user_bucket").write.mode("overwrite").parquet(staged)
-    new = spark.read.schema(new.schema).parquet(staged)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("user_bucket").parquet(path)
-    emptied = touched.select("user_bucket").distinct().join(new, "user_bucket", "left_anti")
-    for row in emptied.collect():  # at most as many as there are buckets
-        delete_path(spark, f"{path.rstrip('/')}/user_bucket={row.user_bucket}")
-    delete_path(spark, staged)
+    numbers = sorted(r.user_bucket for r in touched.select("user_bucket").distinct().collect())  # at most as many as there are buckets
+    kept = stored.where(F.col("user_bucket").isin(numbers)).join(touched.select("user_id"), "user_id", "left_anti")
+    # Users whose rows are new may live in buckets that ``users`` does not name.
+    added = with_bucket(rows, buckets)
+    others = [r.user_bucket for r in added.where(~F.col("user_bucket").isin(numbers)).select("user_bucket").distinct().collect()]
+    new = kept.unionByName(stored.where(F.col("user_bucket").isin(others))).unionByName(added, allowMissingColumns=True)
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    new.repartition("user_bucket").write.partitionBy("user_bucket").parquet(staged)
+    filled = [b for b in sorted({*numbers, *others}) if exists(spark, f"{staged}/user_bucket={b}")]
+    write_text(spark, _marker(path), json.dumps({"staged": staged, "filled": filled, "emptied": [b for b in numbers if b not in filled]}))
+    finish_replacement(spark, path)
+
+
+def _marker(path: str) -> str:
+    return f"{path.rstrip('/')}-replacing"
+
+
+def finish_replacement(spark: SparkSession, path: str) -> None:
+    """Finish a replacement of rows that was decided; without one nothing happens."""
+    if not exists(spark, _marker(path)):
+        return
+    decided = json.loads(read_text(spark, _marker(path)))
+    for b in decided["filled"]:
+        new = f"{decided['staged']}/user_bucket={b}"
+        if exists(spark, new):  # else it has been moved
+            delete_path(spark, f"{path.rstrip('/')}/user_bucket={b}")
+            move_path(spark, new, f"{path.rstrip('/')}/user_bucket={b}")
+    for b in decided["emptied"]:
+        delete_path(spark, f"{path.rstrip('/')}/user_bucket={b}")
+    delete_path(spark, _marker(path))
+    delete_path(spark, decided["staged"])
+    spark.catalog.refreshByPath(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

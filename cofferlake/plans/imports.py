@@ -414,6 +414,17 @@ def c22(v):
     return R.search_assets(v.instruments, "T11").select("ticker")
 
 
+@query(
+    "c22_search_many",
+    oracle("""SELECT query, rank, ticker FROM (SELECT query, ticker, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN lower(ticker) = q THEN 0 WHEN starts_with(lower(ticker), q) THEN 1 ELSE 2 END, ticker) AS rank
+FROM (SELECT DISTINCT query, lower(trim(query)) AS q FROM (SELECT substr(name, 3, 1 + key % 7) AS query FROM v_instruments UNION ALL SELECT substr(ticker, 1, 1 + key % 4) FROM v_instruments) WHERE trim(query) <> '') JOIN v_instruments ON contains(lower(ticker), q) OR contains(lower(name), q)) WHERE rank <= 8"""),
+)
+def c22_many(v):
+    """Parts of all names and tickers, looked up at once."""
+    queries = v.instruments.select(F.explode(F.array(F.expr("substr(name, 3, 1 + key % 7)"), F.expr("substr(ticker, 1, 1 + key % 4)"))).alias("query"))
+    return R.search_many(v.instruments, R.name_postings(v.instruments), queries)
+
+
 @query("c23_priceable", oracle("SELECT ticker AS symbol FROM v_instruments WHERE key % 4 > 0"))
 def c23(v):
     untracked = v.instruments.select(F.col("ticker").alias("symbol"), (F.col("key") % 4 == 0).alias("untracked"))

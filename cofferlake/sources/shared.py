@@ -47,3 +47,34 @@ def file_system(spark: SparkSession, path: str):
 def delete_path(spark: SparkSession, path: str) -> None:
     store, jpath = file_system(spark, path)
     store.delete(jpath, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, jpath = file_system(spark, path)
+    return store.exists(jpath)
+
+
+def move_path(spark: SparkSession, path: str, target: str) -> None:
+    store, jpath = file_system(spark, path)
+    if not store.rename(jpath, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{path} could not be moved to {target}")
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """A small file that appears whole: written beside its place and moved there."""
+    if not overwrite and exists(spark, path):
+        raise FileExistsError(path)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    store, jpath = file_system(spark, beside)
+    out = store.create(jpath, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    delete_path(spark, path)
+    move_path(spark, beside, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return "\n".join(r.value for r in spark.read.text(path).collect())

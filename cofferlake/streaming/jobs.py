@@ -7,6 +7,7 @@ writes under its own number, so a micro-batch that runs twice leaves the same.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,11 +17,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cofferlake.operators.ledger import LARGEST_RATIO, NOTHING
 from cofferlake.operators.statements import parse_statements
-from cofferlake.sources.shared import delete_path, scratch_path
+from cofferlake.sources.shared import delete_path, exists, read_text, scratch_path, stored, write_text
 from cofferlake.sources.statements import numbered
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-RUNNING = "user_id long, symbol string, seq long, rejected boolean, shares double, avg_price double, realized_pnl double, dividends double, tax_withheld double, fees_paid double, needs_review boolean"
+RUNNING = "user_id long, symbol string, seq long, rejected boolean, reason string, shares double, avg_price double, realized_pnl double, dividends double, tax_withheld double, fees_paid double, needs_review boolean"
+_RUNNING_COLUMNS = [c.split()[0] for c in RUNNING.split(", ")]
+_WAITING = ("at", "seq", "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
+TOO_LATE, _NEVER = "came after a later move was folded", -(1 << 62)
 MOVED = "ticker string, id long, price double, previous double, change_pct double"
 
 
@@ -29,50 +33,76 @@ def with_rocksdb(spark: SparkSession) -> None:
 
 
 class _Positions(StatefulProcessor):
-    """Average-cost position of one user and symbol; the rules are those of ``positions_from_ledger``."""
+    """Average-cost position of one user and symbol; the rules are those of ``positions_from_ledger``.
+
+    Moves wait in state until the watermark has passed them and are folded then, in order of date and seq.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "day string, seq long, sh double, cost double, realized double, dividends double, tax double, fees double, review boolean")
+        self.handle = handle
+        self.state = handle.getValueState("position", "at long, seq long, sh double, cost double, realized double, dividends double, tax double, fees double, review boolean")
+        self.waiting = handle.getListState("waiting", "at long, seq long, type string, shares double, price double, total_amount double, fee double, tax double, ratio double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        day, last, sh, cost, realized, dividends, tax, fees, review = self.state.get() if self.state.exists() else ("", -1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
-        moves = pd.concat(list(rows), ignore_index=True).sort_values(["date", "seq"])
-        number = lambda x: 0.0 if pd.isna(x) else float(x)
+        at, last = self.state.get()[:2] if self.state.exists() else (_NEVER, _NEVER)
+        moves = pd.concat(list(rows), ignore_index=True)
+        late = (moves["at"] < at) | ((moves["at"] == at) & (moves["seq"] <= last))
+        if late.any():
+            yield pd.DataFrame({"user_id": key[0], "symbol": key[1], "seq": moves.loc[late, "seq"], "rejected": True, "reason": TOO_LATE}).reindex(columns=_RUNNING_COLUMNS)
+        moves = moves[~late].astype(object).where(moves.notna(), None)
+        if len(moves):
+            self.waiting.appendList([tuple(r) for r in zip(*(moves[c] for c in _WAITING))])
+            for day in set(moves["at"]):
+                self.handle.registerTimer(int(day) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda m: m[:2])
+        due = [m for m in waiting if m[0] < until]
+        if not due:
+            return
+        if len(due) < len(waiting):
+            self.waiting.put(waiting[len(due) :])
+        else:
+            self.waiting.clear()
+        at, last, sh, cost, realized, dividends, tax, fees, review = self.state.get() if self.state.exists() else (_NEVER, _NEVER, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
         out = []
-        for m in moves.itertuples(index=False):
-            late = (m.date, m.seq) <= (day, last)
-            if not late:
-                day, last = m.date, int(m.seq)
-                q, p, fee, amount = number(m.shares), number(m.price), number(m.fee), number(m.total_amount)
-                if m.type == "buy":
-                    sh, cost, fees = sh + q, cost + (q * p + fee), fees + fee
-                elif m.type == "sell":
-                    avg = cost / sh if sh > 0 else 0.0
-                    realized, fees, left = realized + ((p * q - fee) - avg * q), fees + fee, sh - q
-                    review = review or left < -NOTHING
-                    sh, cost = (0.0, 0.0) if left < NOTHING else (left, cost - avg * q)
-                elif m.type in ("split", "isin_change"):
-                    ratio = number(m.ratio)
-                    sh = sh * ratio if 0 < ratio <= LARGEST_RATIO else sh + q
-                elif m.type == "dividend":
-                    dividends, tax = dividends + amount, tax + number(m.tax)
-                elif m.type == "fee":
-                    fees = fees + amount
-            out.append((key[0], key[1], int(m.seq), late, 0.0 if sh < NOTHING else sh, cost / sh if sh > NOTHING else 0.0, realized, dividends, tax, fees, review))
-        self.state.update((day, last, sh, cost, realized, dividends, tax, fees, review))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in RUNNING.split(", ")])
+        for at, last, kind, q, p, amount, fee, withheld, ratio in due:
+            q, p, amount, fee, withheld, ratio = (x or 0.0 for x in (q, p, amount, fee, withheld, ratio))
+            if kind == "buy":
+                sh, cost, fees = sh + q, cost + (q * p + fee), fees + fee
+            elif kind == "sell":
+                avg = cost / sh if sh > 0 else 0.0
+                realized, fees, left = realized + ((p * q - fee) - avg * q), fees + fee, sh - q
+                review = review or left < -NOTHING
+                sh, cost = (0.0, 0.0) if left < NOTHING else (left, cost - avg * q)
+            elif kind in ("split", "isin_change"):
+                sh = sh * ratio if 0 < ratio <= LARGEST_RATIO else sh + q
+            elif kind == "dividend":
+                dividends, tax = dividends + amount, tax + withheld
+            elif kind == "fee":
+                fees = fees + amount
+            out.append((key[0], key[1], last, False, None, 0.0 if sh < NOTHING else sh, cost / sh if sh > NOTHING else 0.0, realized, dividends, tax, fees, review))
+        self.state.update((at, last, sh, cost, realized, dividends, tax, fees, review))
+        yield pd.DataFrame(out, columns=_RUNNING_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def running_positions(moves: DataFrame) -> DataFrame:
-    """After each move (a stream of ledger rows) its position; moves before the last one known are ``rejected``.
+def running_positions(moves: DataFrame, delay: str = "7 days") -> DataFrame:
+    """After each move (a stream of ledger rows) its position, once no move before it can come any more.
 
-    The row with the greatest date and seq of a user and symbol is the position of the batch form.
+    Moves wait until the latest date seen is ``delay`` past theirs, so those that come out of order by less are folded in
+    order. One that comes still later is folded too if it follows all that its position holds; else it is ``rejected``,
+    with a reason, and changes nothing. The row with the greatest date and seq of a user and symbol is the position of the
+    batch form without the rejected moves.
     """
-    moves = moves.select(F.col("user_id").cast("long"), "symbol", F.col("date").cast("string").alias("date"), F.col("seq").cast("long"), "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
-    return moves.groupBy("user_id", "symbol").transformWithStateInPandas(_Positions(), RUNNING, "append", "None")
+    day = F.col("date").cast("date")
+    moves = moves.withColumn("_time", day.cast("timestamp")).withWatermark("_time", delay)
+    # A copy without the watermark's mark: Spark would drop late rows unseen where the marked column goes on.
+    moves = moves.select(F.col("user_id").cast("long"), "symbol", (F.unix_date(day).cast("long") * 86_400_000).alias("at"), F.col("seq").cast("long"), "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
+    return moves.groupBy("user_id", "symbol").transformWithStateInPandas(_Positions(), RUNNING, "append", "EventTime")
 
 
 class _Movers(StatefulProcessor):
@@ -108,18 +138,53 @@ def live_movers(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("ticker").transformWithStateInPandas(_Movers(), MOVED, "append", "None")
 
 
-def latest_prices_into(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the latest price by symbol, a table below ``path`` for each micro-batch."""
+#: Rows of a table of latest prices.
+PRICES = "symbol string, price double, fetched_at timestamp, id long"
+BUCKETS = 64
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path}/versions/{number:09d}"
+
+
+def _bucket_paths(spark: SparkSession, path: str, number: int) -> dict[int, str]:
+    """The folder of each bucket in version ``number``; none, where there is no such version."""
+    if number < 0 or not exists(spark, _version(path, number)):
+        return {}
+    return {int(k): v for k, v in json.loads(read_text(spark, _version(path, number))).items()}
+
+
+def latest_prices_table(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The prices as micro-batch ``number`` left them; a reader sees all of it or none."""
+    found = _bucket_paths(spark, path, number)
+    return spark.read.schema(PRICES).parquet(*found.values()) if found else spark.createDataFrame([], PRICES)
+
+
+def latest_prices_into(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the latest price by symbol, in buckets of symbols below ``path``.
+
+    A micro-batch writes only the buckets that its symbols are in, and then, in one small file, which folder holds each
+    bucket from now on. One that runs twice writes the same; folders that the last two versions do not name are deleted.
+    """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(F.col("ticker").alias("symbol"), "price", "fetched_at", "id")
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/{number - 1:09d}"))
-        latest = rows.groupBy("symbol").agg(F.max_by(F.struct("price", "fetched_at", "id"), F.struct("fetched_at", "id")).alias("r")).select("symbol", "r.*")
-        latest.write.mode("overwrite").parquet(f"{path}/{number:09d}")
-        if number > 1:
-            delete_path(spark, f"{path}/{number - 2:09d}")
+        before = _bucket_paths(spark, path, number - 1)
+        rows = batch.select(F.col("ticker").alias("symbol"), "price", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "id")
+        latest = lambda df: df.groupBy("symbol").agg(F.max_by(F.struct("price", "fetched_at", "id"), F.struct("fetched_at", "id")).alias("r")).select("symbol", "r.*")
+        bucket = F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int")
+        rows = stored(latest(rows), "latest-batch")
+        touched = sorted(r.b for r in rows.select(bucket.alias("b")).distinct().collect())  # at most as many as there are buckets
+        old = [before[b] for b in touched if b in before]
+        if old:
+            rows = latest(rows.unionByName(spark.read.schema(PRICES).parquet(*old)))
+        data = f"{path}/data/{number:09d}"
+        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        now = before | {b: f"{data}/bucket={b}" for b in touched}
+        write_text(spark, _version(path, number), json.dumps(now), overwrite=True)
+        for b, folder in _bucket_paths(spark, path, number - 2).items():
+            if folder not in (before.get(b), now.get(b)):
+                delete_path(spark, folder)
 
     return upsert
 
@@ -144,14 +209,17 @@ def statements_into(path: str) -> Callable[[DataFrame, int], None]:
     return parse
 
 
-def finished(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None) -> str | None:
-    """Run a stream until its source is used up; rows go to ``each`` micro-batch's function, else to the folder returned."""
-    spark, path = stream.sparkSession, None
-    writer = stream.writeStream.option("checkpointLocation", scratch_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
+def finished(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None, path: str | None = None) -> str | None:
+    """Run a stream until its source is used up; rows go to ``each`` micro-batch's function, else to the folder returned.
+
+    With a ``checkpoint`` and ``path`` of an earlier run it goes on where that one ended.
+    """
+    spark = stream.sparkSession
+    writer = stream.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
     if each is not None:
         query = writer.foreachBatch(each).start()
     else:
-        path = scratch_path(spark, name)
+        path = path or scratch_path(spark, name)
         query = writer.format("parquet").outputMode("append").start(path)
     query.awaitTermination()
     return path

@@ -4,15 +4,46 @@ import random
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cofferlake.operators import statements as S
 from cofferlake.operators import tables as A
 from cofferlake.operators.ledger import positions_from_ledger
-from cofferlake.sources.shared import scratch_path
+from cofferlake.sources.shared import exists, scratch_path
 from cofferlake.sources.statements import statement_lines
 
 
+def test_a_replacement_that_breaks_off_is_finished(spark, monkeypatch):
+    """Stops before the marker leave the old table; stops behind it are made good by the next call, whatever it replaces."""
+    rows = spark.createDataFrame([(i, "old") for i in range(200)], "user_id long, symbol string")
+    users, new = rows.where("user_id % 3 = 0").select("user_id"), rows.where("user_id % 6 = 0").withColumn("symbol", F.lit("new"))
+    wanted = sorted([(i, "old") for i in range(200) if i % 3] + [(i, "new") for i in range(200) if i % 6 == 0])
+    now = lambda path: sorted((r.user_id, r.symbol) for r in spark.read.parquet(path).collect())
+    for stop in ("write_text", "delete_path", "move_path"):
+        path = scratch_path(spark, "stops")
+        A.write_table(rows, path)
+        real, calls = getattr(A, stop), []
+
+        def broken(*args, real=real, calls=calls, **more):
+            calls.append(args)
+            if len(calls) == 3 or stop == "write_text":
+                raise RuntimeError("stopped")
+            return real(*args, **more)
+
+        with monkeypatch.context() as m:
+            m.setattr(A, stop, broken)
+            with pytest.raises(RuntimeError):
+                A.replace_user_rows(spark, path, new, users)
+        if stop == "write_text":
+            assert now(path) == [(i, "old") for i in range(200)]
+        else:
+            A.finish_replacement(spark, path)
+            assert now(path) == wanted
+        A.replace_user_rows(spark, path, new, users)
+        assert now(path) == wanted and not exists(spark, f"{path}-replacing")
+
+
 def test_replacing_empties_buckets(spark):
     path = scratch_path(spark, "rows")
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "user_id long, symbol string")
