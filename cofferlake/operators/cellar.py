@@ -130,6 +130,12 @@ def _allowed(n: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(n * 0.15).cast("int"))
 
 
+def _letters(x: Column) -> Column:
+    """A set of 64 bits that holds the characters of a text by their codes."""
+    codes = F.transform(F.split(x, ""), lambda c: F.ascii(c) % 64)
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
+
+
 def _shortened(x: Column, most: int = 2) -> Column:
     """What is left of a name of up to four characters without up to ``most`` of them."""
     left = lambda mask: F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.when(F.getbit(mask, i - 1) == 0, F.substr(x, i, F.lit(1))).otherwise("")), "")
@@ -161,17 +167,21 @@ def fuzzy_match_scans(scans: DataFrame, cellar: DataFrame, many: int = MANY_NAME
     Names of a user are compared one by one where the user's lots have at most ``many``, so a scan costs no more than that;
     the others are found by ``pairs_by_pieces``.
     """
-    a = scans.select("user_id", "scan_id", normalize_name(F.col("name")).alias("x")).where("x <> ''").distinct()
-    b = cellar.where("name <> ''").select("user_id", normalize_name(F.col("name")).alias("y")).distinct()
-    counts = b.groupBy("user_id").agg(F.count("*").alias("_n"))
-    few, busy = counts.where(F.col("_n") <= many).select("user_id"), counts.where(F.col("_n") > many).select("user_id")
+    a = scans.select("user_id", "scan_id", normalize_name(F.col("name")).alias("x")).where("x <> ''").withColumn("_x", _letters(F.col("x")))
+    named = cellar.where("name <> ''").select("user_id", "name").distinct()
+    b = named.select("user_id", normalize_name(F.col("name")).alias("y")).withColumn("_y", _letters(F.col("y")))
+    busy = named.groupBy("user_id").agg(F.count("*").alias("_n")).where(F.col("_n") > many).select("user_id")
+    any_busy = not busy.isEmpty()
     short = F.least(F.length("x"), F.length("y"))
+    # An edit takes one letter away and brings one in at most.
     close = (F.abs(F.length("x") - F.length("y")) <= _allowed(short)) & (F.col("x") != F.col("y"))
-    plain = a.join(b.join(few, "user_id", "left_semi"), "user_id").where(close)
-    searched = a.join(busy, "user_id", "left_semi")
-    found = pairs_by_pieces(searched, b.join(busy, "user_id", "left_semi")).where(close)
-    pairs = plain.select("user_id", "scan_id", "x", "y").unionByName(searched.join(found, ["user_id", "x"]).select("user_id", "scan_id", "x", "y"))
-    near = pairs.withColumn("distance", F.levenshtein("x", "y")).where(F.col("distance") <= _allowed(short))
+    similar = [F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q)))) <= _allowed(short) for p, q in (("_x", "_y"), ("_y", "_x"))]
+    pairs = a.join(b.join(busy, "user_id", "left_anti") if any_busy else b, "user_id").where(close & similar[0] & similar[1]).select("user_id", "scan_id", "x", "y")
+    if any_busy:
+        searched = a.join(busy, "user_id", "left_semi")
+        found = pairs_by_pieces(searched, b.join(busy, "user_id", "left_semi").select("user_id", "y").distinct()).where(close)
+        pairs = pairs.unionByName(searched.join(found, ["user_id", "x"]).select("user_id", "scan_id", "x", "y"))
+    near = pairs.withColumn("distance", F.levenshtein("x", "y")).where(F.col("distance") <= _allowed(short)).distinct()
     order = Window.partitionBy("user_id", "scan_id").orderBy("distance", "y")
     return near.withColumn("rank", F.row_number().over(order)).select("user_id", "scan_id", F.col("y").alias("name"), "distance", "rank")
 
