@@ -5,9 +5,10 @@ expected copies are prefix-summed within the source, one random offset is added,
 each integer boundary that its interval crosses. Documents of one source are ordered by size, so the words taken
 follow the target closely.
 
-The prefix sum is a rank times a constant, and ranks are made without putting a source in one task: documents fall
-into cells of (source, size class, range of size and id), cells hold about ``cell_rows`` rows at most, and a running
-sum over the table of cells gives each cell its first rank, so ranks are in order of size and id whatever the cells. Everything is built from SQL expressions.
+The prefix sum is a rank times a constant, and ranks are made without putting a source in one task: rows are dealt over
+tasks by ranges of (source, size, id, place in the input), sorted there and written down with their place, and a running
+sum over the counts of each source in each range gives its first rank. The last column cuts ranges within equal rows too, so
+no source, size or id has to fit in a task. Everything is built from SQL expressions.
 
 Cases: null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated rows are
 sampled one by one; an empty table gives an empty result; a source of size 0 has target 0; further columns pass through
@@ -49,34 +50,28 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return sources.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def sampled_copies(sized: DataFrame, seed: str = "mix", cell_rows: int = 50_000, tie: tuple[str, ...] = ()) -> DataFrame:
+def sampled_copies(sized: DataFrame, seed: str = "mix", cell_rows: int | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
     """``sized`` (doc_id, source, size and any other columns) with source_size, target and copies.
 
-    Rows of equal size and doc_id are ordered by ``tie``. Column names that begin with an underscore are taken.
+    Rows of equal size and doc_id are ordered by ``tie``. Ranges hold about ``cell_rows`` rows, or as many as the session's
+    shuffle partitions make of them. Column names that begin with an underscore are taken.
     """
-    kind = F.expr("length(bin(size)) * 16 + shiftright(size, greatest(length(bin(size)) - 4, 0))").cast("long")
-    sized = sized.withColumn("_kind", F.when(F.col("size") > 0, kind).otherwise(F.lit(0)))
-    # Ranges are cut at sampled rows, some 20 for each range.
-    key = F.struct("size", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
-    sampled = F.pmod(F.xxhash64(F.lit(17), "size", "doc_id"), F.lit(cell_rows)) < 20
-    cells = sized.groupBy("source", "_kind").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("_ranges"), F.array_sort(F.collect_list(F.when(sampled, key))).alias("_keys"))
-    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_ranges") - 1, F.lit(1))), lambda i: F.get("_keys", F.floor(i * F.size("_keys") / F.col("_ranges")).cast("int")))
-    cells = cells.select(F.col("source").alias("_source"), F.col("_kind").alias("_k"), F.when(F.col("_ranges") > 1, cuts).alias("_cuts"))
-    placed = sized.join(cells, sized["source"].eqNullSafe(cells["_source"]) & (sized["_kind"] == cells["_k"]))
-    placed = placed.withColumn("_bucket", F.coalesce(F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c < key))), F.lit(0))).drop("_source", "_k", "_cuts")
-    counts = placed.groupBy("source", "_kind", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("source").orderBy("_kind", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(F.col("source").alias("_source"), F.col("_kind").alias("_k"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    targets = source_targets(sized.select("source", "size")).withColumnRenamed("source", "_of")
+    order = ["source", "size", F.col("doc_id").asc_nulls_last(), *tie, "_place"]
+    ranges = [] if cell_rows is None else [max(1, -(-sized.count() // cell_rows))]
+    ranged = sized.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(*ranges, *order).sortWithinPartitions(*order).drop("_place")
+    ranged = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))  # the places of a task's rows follow each other
+    counts = ranged.groupBy("source", "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(F.col("source").alias("_source"), F.col("_range").alias("_r"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_first"))
+    targets = source_targets(ranged.select("source", "size")).withColumnRenamed("source", "_of")
     firsts = firsts.join(targets, firsts["_source"].eqNullSafe(targets["_of"])).drop("_of")
-    rank = F.row_number().over(Window.partitionBy("source", "_kind", "_bucket").orderBy("size", F.col("doc_id").asc_nulls_last(), *tie)) - 1
-    out = placed.withColumn("_rank", rank)
-    out = out.join(firsts, out["source"].eqNullSafe(firsts["_source"]) & (out["_kind"] == firsts["_k"]) & (out["_bucket"] == firsts["_b"]))
+    out = ranged.join(firsts, ranged["source"].eqNullSafe(firsts["_source"]) & (ranged["_range"] == firsts["_r"]))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    at = F.col("_first") + F.col("_rank")
+    at = F.col("_first") + F.col("_at")
     copies = F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)
-    return out.withColumn("copies", copies.cast("long")).drop("_kind", "_bucket", "_rank", "_source", "_k", "_b", "_first")
+    return out.withColumn("copies", copies.cast("long")).drop("_at", "_range", "_source", "_r", "_first")
 
 
 def sized(docs: DataFrame) -> DataFrame:

@@ -19,3 +19,17 @@ def test_ranks_follow_size_and_id_in_cells_of_any_size(spark, cell_rows):
         # In order of size and id, a document gets one more copy exactly where the running sum crosses a whole number.
         offset = next(o for o in (k / 4000 for k in range(4000)) if all(int((n + 1) * rate + o) - int(n * rate + o) == c for n, c in enumerate(copies)))
         assert 0 <= offset < 1
+
+
+def test_a_third_of_the_rows_may_be_equal(spark):
+    """Equal rows are cut like others: with null ids, one id or one row, whatever the ranges."""
+    rows = [(None, "hot", 10)] * 400 + [(7, "hot", 10)] * 300 + [(i, "cold", i % 50) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(5)
+    totals = []
+    for cell_rows in (20, 1_000):
+        out = sampled_copies(docs, cell_rows=cell_rows).collect()
+        assert len(out) == 1_000
+        taken = {s: sum(r.copies * r.size for r in out if r.source == s) for s in ("hot", "cold")}
+        assert all(abs(taken[r.source] - r.target) <= 50 for r in out) and max(r.copies for r in out) <= 2
+        totals.append(sorted((r.source, r.doc_id is None, r.size, r.copies) for r in out))
+    assert totals[0] == totals[1]
