@@ -223,7 +223,7 @@ def rebuild_positions(ledger: DataFrame, positions: DataFrame, assets: DataFrame
     computed = positions_from_ledger(ledger, (F.max_by("broker", F.struct("date", "seq", "broker")).alias("broker"),)).where(F.col("symbol") != CASH)
     worth = (F.col("shares") > 0) | (F.col("dividends") != 0) | (F.col("realized_pnl") != 0) | (F.col("fees_paid") != 0)
     old = positions.select("user_id", "symbol", *[F.col(c).alias(f"old_{c}") for c in ("name", "platform", "asset_type", "shares", "avg_price")], F.lit(True).alias("stored"))
-    one = F.min(F.struct("name", "asset_type"))  # of several rows of a ticker the first by name and type
+    one = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", "asset_type"))  # of several rows of a ticker the first by name and type
     meta = assets.groupBy(F.col("ticker").alias("symbol")).agg(one.alias("m")).select("symbol", F.col("m.name").alias("meta_name"), F.col("m.asset_type").alias("meta_type"))
     out = computed.withColumn("worth", worth).join(old, ["user_id", "symbol"], "full_outer").join(meta, "symbol", "left").where(F.col("stored") | F.col("worth"))
     return out.select(

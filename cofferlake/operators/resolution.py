@@ -120,8 +120,9 @@ def with_sector(df: DataFrame, assets: DataFrame, static: DataFrame, symbol: str
 
 
 def asset_record(positions: DataFrame, assets: DataFrame, static: DataFrame) -> DataFrame:
-    """Reference rows of held symbols: upper-case ticker, exchange, currency, sector, type."""
-    rows = positions.select(F.upper("symbol").alias("ticker"), "name", F.coalesce("asset_type", F.lit("Stock")).alias("asset_type")).dropDuplicates(["ticker"])
+    """Reference rows of held symbols: upper-case ticker, exchange, currency, sector, type; of several positions the first by name and type."""
+    first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", F.coalesce("asset_type", F.lit("Stock")).alias("asset_type"))).alias("p")
+    rows = positions.groupBy(F.upper("symbol").alias("ticker")).agg(first).select("ticker", "p.name", "p.asset_type")
     exchange = detect_exchange(F.col("ticker"))
     return with_sector(rows, assets, static, "ticker").withColumn("stock_exchange", exchange).withColumn("currency", exchange_currency(exchange))
 

@@ -163,14 +163,21 @@ def significant_movers(moved: DataFrame, least: float = 0.1, k: int = 6) -> Data
     return moved.where(F.abs("change_pct") >= least).orderBy(F.abs("change_pct").desc(), "symbol").limit(k)
 
 
-def price_run_summary(run: DataFrame, sample: int = 12) -> DataFrame:
-    """By run_id: priced and failed symbols, distinct errors, and the first unpriced symbols."""
+def price_run_summary(run: DataFrame, sample: int = 12, errors: int = 50) -> DataFrame:
+    """By run_id: priced and failed symbols, the first distinct errors and how many there are, and the first unpriced symbols."""
     ok = F.coalesce(F.col("price") > 0, F.lit(False))
-    first = F.row_number().over(Window.partitionBy("run_id").orderBy("symbol"))
-    failed = run.where(~ok & F.col("symbol").isNotNull()).select("run_id", "symbol", first.alias("_n")).where(F.col("_n") <= sample)
-    failed = failed.groupBy("run_id").agg(F.array_sort(F.collect_list("symbol")).alias("unpriced"))
-    sums = run.groupBy("run_id").agg(F.count_if(ok).alias("priced"), F.count_if(~ok).alias("failed"), F.array_sort(F.collect_set(F.when(~ok, F.col("error")))).alias("errors"))
-    return sums.join(failed, "run_id", "left").withColumn("unpriced", F.coalesce("unpriced", F.array().cast("array<string>")))
+
+    def firsts(rows: DataFrame, column: str, most: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("run_id").orderBy(column))
+        return rows.withColumn("_n", place).where(F.col("_n") <= most).groupBy(F.col("run_id").alias("_run")).agg(F.array_sort(F.collect_list(column)).alias(f"first_{column}"))
+
+    failed = run.where(~ok)
+    wrong = failed.where("error is not null").select("run_id", "error").distinct()
+    sums = run.groupBy("run_id").agg(F.count_if(ok).alias("priced"), F.count_if(~ok).alias("failed"))
+    for more in (firsts(failed.where("symbol is not null").select("run_id", "symbol"), "symbol", sample), firsts(wrong, "error", errors), wrong.groupBy(F.col("run_id").alias("_run")).agg(F.count("*").alias("_errors"))):
+        sums = sums.join(more, sums["run_id"].eqNullSafe(more["_run"]), "left").drop("_run")
+    none = F.array().cast("array<string>")
+    return sums.select("run_id", "priced", "failed", F.coalesce("first_error", none).alias("errors"), F.coalesce("_errors", F.lit(0)).alias("n_errors"), F.coalesce("first_symbol", none).alias("unpriced"))
 
 
 def price_records(run: DataFrame, assets: DataFrame) -> DataFrame:
