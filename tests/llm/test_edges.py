@@ -257,3 +257,14 @@ def test_pipeline_stage_by_stage(spark, labels):
     assert packed.where("piece = 0").count() == mixed.count() and packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 2048").count() == 0
     run = corpus_pipeline.run(spark, SF_DIR)
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in run.collect()) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packed.collect())
+
+
+def test_a_query_id_with_two_vectors_asks_with_the_least(spark):
+    data = np.random.default_rng(3).standard_normal((60, 4))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    both = [(100, data[5].tolist()), (100, (-data[5]).tolist())]
+    least = min(both, key=lambda r: r[1])[1]
+    wanted = [int(i) for i in np.argsort(-(data @ np.array(least)), kind="stable")[:3]]
+    for order in (both, both[::-1]):
+        rows = nearest(vectors, spark.createDataFrame(order, vectors.schema).repartition(2), k=3).orderBy("rank").collect()
+        assert [r.vec_id for r in rows] == wanted
