@@ -66,7 +66,7 @@ _TOTALS = ("sh", "cost", "realized", "dividends", "tax", "fees")
 
 
 def _ordered_moves(ledger: DataFrame, *columns: str) -> Column:
-    return F.array_sort(F.collect_list(F.struct(*columns)))
+    return F.sort_array(F.collect_list(F.struct(*columns)))
 
 
 def _as_moves(ledger: DataFrame) -> DataFrame:

@@ -11,18 +11,18 @@ _LINES = "{lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {part
 
 VIEWS = {
     "v_ledger": f"""
-SELECT o.o_custkey AS user_id, p.p_type AS symbol,
-  CASE WHEN l.l_linenumber = 7 THEN 'dividend' WHEN l.l_linenumber = 6 THEN 'split'
-       WHEN l.l_linenumber = 5 AND l.l_returnflag = 'N' THEN 'fee' WHEN l.l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
-  CAST(l.l_shipdate AS date) AS date,
-  CAST(row_number() OVER (PARTITION BY o.o_custkey, p.p_type ORDER BY l.l_shipdate, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity) AS bigint) AS seq,
-  l.l_orderkey AS order_key, l.l_quantity AS shares, l.l_extendedprice / l.l_quantity AS price, l.l_extendedprice AS total_amount,
-  l.l_extendedprice * l.l_tax AS fee, l.l_extendedprice * l.l_tax AS tax,
-  CASE WHEN l.l_linenumber = 6 AND l.l_orderkey % 2 = 0 THEN CAST(2.0 AS double) END AS ratio,
-  CASE o.o_custkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE 'CHF' END AS currency,
-  CASE WHEN l.l_linenumber % 2 = 0 THEN CAST(0.9 AS double) END AS exchange_rate,
-  CASE l.l_suppkey % 3 WHEN 0 THEN 'degiro' WHEN 1 THEN 'revolut' ELSE 'other' END AS broker
-FROM {_LINES}""",
+SELECT user_id, symbol,
+  CASE WHEN l_linenumber = 7 THEN 'dividend' WHEN l_linenumber = 6 THEN 'split'
+       WHEN l_linenumber = 5 AND l_returnflag = 'N' THEN 'fee' WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS type,
+  CAST(l_shipdate AS date) AS date,
+  CAST(row_number() OVER (PARTITION BY user_id, symbol ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS bigint) AS seq,
+  l_orderkey AS order_key, l_quantity AS shares, l_extendedprice / l_quantity AS price, l_extendedprice AS total_amount,
+  l_extendedprice * l_tax AS fee, l_extendedprice * l_tax AS tax,
+  CASE WHEN l_linenumber = 6 AND l_orderkey % 2 = 0 THEN CAST(2.0 AS double) END AS ratio,
+  CASE user_id % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE 'CHF' END AS currency,
+  CASE WHEN l_linenumber % 2 = 0 THEN CAST(0.9 AS double) END AS exchange_rate,
+  CASE l_suppkey % 3 WHEN 0 THEN 'degiro' WHEN 1 THEN 'revolut' ELSE 'other' END AS broker
+FROM (SELECT o.o_custkey AS user_id, p.p_type AS symbol, l.* FROM {_LINES})""",
     "v_quotes": """
 SELECT event_id AS id, ts AS fetched_at, value AS price,
   CASE user_id % 7 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LARGE' WHEN 3 THEN 'SMALL' WHEN 4 THEN 'STANDARD' WHEN 5 THEN 'PROMO' ELSE 'UNKNOWN' END AS ticker,
