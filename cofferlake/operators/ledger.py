@@ -7,6 +7,7 @@ rows), shares, price, total_amount, fee, tax, ratio, currency and exchange_rate.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,30 +235,81 @@ def rebuild_positions(ledger: DataFrame, positions: DataFrame, assets: DataFrame
     )
 
 
-def apply_orders(orders: DataFrame) -> DataFrame:
-    """Positions after a sequence of orders (user_id, symbol, date, seq, action add/buy/sell, shares, total_amount).
+_ORDER = ("date", "seq", "action", "shares", "total_amount")
+_HELD = ("shares", "avg_price", "realized_pnl", "known", "rejected")
 
-    Orders that do not fit (adding to an active position, buying or selling what was never added, selling more than
-    held) are rejected and counted; selling leaves the average price; no fees.
-    """
-    zero = F.struct(F.lit(0.0).alias("sh"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("realized"), F.lit(False).alias("known"), F.lit(0).alias("rejected"))
+
+def _folded_orders(orders: Column) -> Column:
+    """Shares, average price, realised gain, whether ever added, and rejected orders after a group's orders."""
+    zero = F.struct(F.lit(0.0).alias("shares"), F.lit(0.0).alias("avg_price"), F.lit(0.0).alias("realized_pnl"), F.lit(False).alias("known"), F.lit(0).cast("long").alias("rejected"))
 
     def step(a: Column, m: Column) -> Column:
-        price = m["total_amount"] / m["shares"]
+        price = F.try_divide(m["total_amount"], m["shares"])
         add, buy, sell = m["action"] == "add", m["action"] == "buy", m["action"] == "sell"
-        ok = (add & (a["sh"] <= 0)) | (buy & a["known"]) | (sell & a["known"] & (m["shares"] <= a["sh"]))
-        bought = a["sh"] + m["shares"]
+        fits = (add & (a["shares"] <= 0)) | (buy & a["known"]) | (sell & a["known"] & (m["shares"] <= a["shares"]))
+        ok = F.coalesce(fits & (m["shares"] > 0) & m["total_amount"].isNotNull(), F.lit(False))
+        bought = a["shares"] + m["shares"]
         return F.struct(
-            F.when(~ok, a["sh"]).when(add, m["shares"]).when(buy, bought).otherwise(a["sh"] - m["shares"]).alias("sh"),
-            F.when(~ok | sell, a["avg"]).when(add, price).otherwise((a["sh"] * a["avg"] + m["shares"] * price) / bought).alias("avg"),
-            F.when(ok & sell, a["realized"] + (price - a["avg"]) * m["shares"]).otherwise(a["realized"]).alias("realized"),
+            F.when(~ok, a["shares"]).when(add, m["shares"]).when(buy, bought).otherwise(a["shares"] - m["shares"]).alias("shares"),
+            F.when(~ok | sell, a["avg_price"]).when(add, price).otherwise(F.try_divide(a["shares"] * a["avg_price"] + m["shares"] * price, bought)).alias("avg_price"),
+            F.when(ok & sell, a["realized_pnl"] + (price - a["avg_price"]) * m["shares"]).otherwise(a["realized_pnl"]).alias("realized_pnl"),
             (a["known"] | (ok & add)).alias("known"),
             (a["rejected"] + F.when(ok, 0).otherwise(1)).alias("rejected"),
         )
 
-    moves = _ordered_moves(orders, "date", "seq", "action", "shares", "total_amount")
-    folded = orders.groupBy("user_id", "symbol").agg(moves.alias("m")).select("user_id", "symbol", F.aggregate("m", zero, step).alias("p"))
-    return folded.select("user_id", "symbol", F.col("p.sh").alias("shares"), F.col("p.avg").alias("avg_price"), F.col("p.realized").alias("realized_pnl"), F.col("p.known").alias("known"), F.col("p.rejected").cast("long").alias("rejected"))
+    return F.aggregate(orders, zero, step)
+
+
+def _streamed_orders(batches):
+    """``_folded_orders`` of rows that come group by group, in order: no more than a batch is held."""
+    group, state = None, None
+    for batch in batches:
+        out = []
+        for *key, action, q, amount in zip(*(batch.column(c).to_pylist() for c in (*_GROUP, "action", "shares", "total_amount"))):
+            if state is None or key != group:
+                if state is not None:
+                    out.append((*group, *state))
+                group, state = key, (0.0, 0.0, 0.0, False, 0)
+            sh, avg, realized, known, rejected = state
+            whole = q is not None and q > 0 and amount is not None
+            if whole and action == "add" and sh <= 0:
+                state = q, amount / q, realized, True, rejected
+            elif whole and action == "buy" and known:
+                state = sh + q, (sh * avg + q * (amount / q)) / (sh + q), realized, known, rejected
+            elif whole and action == "sell" and known and q <= sh:
+                state = sh - q, avg, realized + (amount / q - avg) * q, known, rejected
+            else:
+                state = sh, avg, realized, known, rejected + 1
+        if out:
+            yield _positions_batch(out, batch.schema)
+    if state is not None:
+        yield _positions_batch([(*group, *state)], batch.schema)
+
+
+def _positions_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    kinds = [*(schema.field(c).type for c in _GROUP), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=[*_GROUP, *_HELD])
+
+
+def apply_orders(orders: DataFrame, hot: int = HOT_MOVES) -> DataFrame:
+    """Positions after a sequence of orders (user_id, symbol, date, seq, action add/buy/sell, shares, total_amount).
+
+    Orders that do not fit (adding to an active position, buying or selling what was never added, selling more than
+    held) and orders without an amount or positive shares are rejected and counted; selling leaves the average price; no
+    fees. Whether an order fits depends on all before it, so a group's orders are taken one by one; a group of more than
+    ``hot`` orders is sorted over disk and read as a stream, so that no task holds it.
+    """
+    moves = orders.select(*_GROUP, "date", "seq", "action", F.col("shares").cast("double").alias("shares"), F.col("total_amount").cast("double").alias("total_amount"))
+    counts = orders.groupBy(*_GROUP).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    any_hot = not counts.isEmpty()
+    plain = moves.join(counts, _same_group(moves, counts), "left_anti") if any_hot else moves
+    out = plain.groupBy(*_GROUP).agg(_ordered_moves(plain, *_ORDER).alias("m")).select(*_GROUP, _folded_orders(F.col("m")).alias("p")).select(*_GROUP, "p.*")
+    if any_hot:
+        long = moves.join(counts, _same_group(moves, counts), "left_semi").repartition(*_GROUP).sortWithinPartitions(*_GROUP, *_ORDER)
+        kinds = {f.name: f.dataType.simpleString() for f in moves.schema}
+        key = ", ".join(f"{c} {kinds[c]}" for c in _GROUP)
+        out = out.unionByName(long.mapInArrow(_streamed_orders, f"{key}, shares double, avg_price double, realized_pnl double, known boolean, rejected long"))
+    return out.select(*_GROUP, *_HELD)
 
 
 def remove_positions(positions: DataFrame, removed: DataFrame) -> DataFrame:
