@@ -251,17 +251,16 @@ def catalogue_updates(lots: DataFrame, wines: DataFrame) -> DataFrame:
 
 def merge_duplicate_lots(lots: DataFrame) -> DataFrame:
     """One lot by user and wine: the oldest, all bottles, the price weighted by priced bottles, the latest valuation."""
-    age = F.struct("created_at", "id")
     price = F.col("purchase_price").isNotNull()
     weighed = exact_sum(F.when(price, F.col("purchase_price") * F.col("qty")).otherwise(0.0))
     priced = F.sum(F.when(price, F.col("qty")).otherwise(0))
     valued = F.col("last_valued_at").isNotNull()
     merged = lots.groupBy("user_id", "wine_id").agg(
-        F.min_by("id", age).alias("id"), F.sum("qty").cast("long").alias("qty"), F.when(priced > 0, weighed / priced).alias("purchase_price"),
-        F.max_by("estimated_value", F.when(valued, F.struct("last_valued_at", "id"))).alias("latest"), F.min_by("estimated_value", age).alias("oldest"),
-        F.max("last_valued_at").alias("last_valued_at"), F.min("created_at").alias("created_at"), F.count("*").alias("merged"),
+        F.min(F.struct("created_at", "id", "estimated_value")).alias("oldest"), F.max(F.when(valued, F.struct("last_valued_at", "id", "estimated_value"))).alias("latest"),
+        F.sum("qty").cast("long").alias("qty"), F.when(priced > 0, weighed / priced).alias("purchase_price"), F.min("created_at").alias("created_at"), F.count("*").alias("merged"),
     )
-    return merged.withColumn("estimated_value", F.coalesce("latest", "oldest")).drop("latest", "oldest")
+    value = F.coalesce("latest.estimated_value", "oldest.estimated_value").alias("estimated_value")
+    return merged.select("user_id", "wine_id", "oldest.id", "qty", "purchase_price", "latest.last_valued_at", "created_at", "merged", value)
 
 
 def apply_valuations(lots: DataFrame, results: DataFrame) -> DataFrame:
