@@ -36,3 +36,24 @@ def statement_source(spark: SparkSession, path: str) -> DataFrame:
 def statement_stream(spark: SparkSession, path: str) -> DataFrame:
     """Lines (file, block, line) of files that land in ``path``; a micro-batch numbers them."""
     return _read(spark.readStream, path)
+
+
+def _unbundled(lines: DataFrame) -> DataFrame:
+    """The statements' own lines of bundles: what stands before the first tab of a line names its statement.
+
+    The lines of a statement follow each other in one bundle, so its part of a block is numbered like that of a file.
+    """
+    return lines.select(F.substring_index("line", "\t", 1).alias("file"), "block", F.expr("substr(line, instr(line, '\t') + 1)").alias("line"))
+
+
+def bundled_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of all bundles below ``path``.
+
+    A small statement costs a store as much as a large file does; so very many are landed in bundles.
+    """
+    return numbered(_unbundled(_read(spark.read, path)))
+
+
+def bundled_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (file, block, line) of bundles that land in ``path``; a micro-batch numbers them."""
+    return _unbundled(_read(spark.readStream, path))
