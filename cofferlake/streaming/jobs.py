@@ -204,7 +204,7 @@ def statements_into(path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: the parsed rows of statement files (``statement_stream``), a folder for each micro-batch."""
 
     def parse(batch: DataFrame, number: int) -> None:
-        parse_statements(numbered(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        parse_statements(stored(numbered(batch), "lines")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return parse
 
