@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,8 +24,12 @@ from cofferlake.sources.statements import numbered
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUNNING = "user_id long, symbol string, seq long, rejected boolean, reason string, shares double, avg_price double, realized_pnl double, dividends double, tax_withheld double, fees_paid double, needs_review boolean"
 _RUNNING_COLUMNS = [c.split()[0] for c in RUNNING.split(", ")]
-_WAITING = ("at", "seq", "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
+_AMOUNTS = ["shares", "price", "total_amount", "fee", "tax", "ratio"]
+_ORDER = ["user", "symbol", "at", "seq"]
+_WAITING = [*_ORDER, "type", *_AMOUNTS]
+_POSITION = [*_ORDER, "sh", "cost", "realized", "dividends", "tax", "fees", "review"]
 TOO_LATE, _NEVER = "came after a later move was folded", -(1 << 62)
+_NOTHING_HELD = (_NEVER, _NEVER, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
 MOVED = "ticker string, id long, price double, previous double, change_pct double"
 
 
@@ -32,43 +37,71 @@ def with_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _whole(users: pd.Series) -> pd.Series:
+    """User ids, which travel as text so that a null among them makes no other one a fraction, as numbers."""
+    return pd.Series([None if u is None else int(u) for u in users], index=users.index, dtype=object)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream, the value of a state variable."""
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
 class _Positions(StatefulProcessor):
-    """Average-cost position of one user and symbol; the rules are those of ``positions_from_ledger``.
+    """Average-cost positions of a bucket of users and symbols; the rules are those of ``positions_from_ledger``.
 
-    Moves wait in state until the watermark has passed them and are folded then, in order of date and seq.
+    Moves wait in state until the watermark has passed them and are folded then, in order of date and seq. What a bucket
+    holds is read and written at once, as a call to the state store for each user and symbol costs far more than its fold.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("position", "at long, seq long, sh double, cost double, realized double, dividends double, tax double, fees double, review boolean")
-        self.waiting = handle.getListState("waiting", "at long, seq long, type string, shares double, price double, total_amount double, fee double, tax double, ratio double")
+        self.state = handle.getValueState("positions", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def _positions(self) -> dict[tuple, tuple]:
+        if not self.state.exists():
+            return {}
+        rows = _unpacked(self.state.get()[0])
+        return {r[:2]: r[2:] for r in zip(*(rows[c].tolist() for c in _POSITION))}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, last = self.state.get()[:2] if self.state.exists() else (_NEVER, _NEVER)
-        moves = pd.concat(list(rows), ignore_index=True)
-        late = (moves["at"] < at) | ((moves["at"] == at) & (moves["seq"] <= last))
-        if late.any():
-            yield pd.DataFrame({"user_id": key[0], "symbol": key[1], "seq": moves.loc[late, "seq"], "rejected": True, "reason": TOO_LATE}).reindex(columns=_RUNNING_COLUMNS)
-        moves = moves[~late].astype(object).where(moves.notna(), None)
+        moves, held = pd.concat(list(rows), ignore_index=True), self._positions()
+        moves = moves.assign(**{c: moves[c].astype(float).fillna(0.0) for c in _AMOUNTS})
+        if held:
+            late = [(at, seq) <= held.get((user, symbol), (_NEVER, _NEVER))[:2] for user, symbol, at, seq in zip(*(moves[c].tolist() for c in _ORDER))]
+            late = pd.Series(late, dtype=bool)
+            if late.any():
+                lost = moves[late]
+                yield pd.DataFrame({"user_id": _whole(lost["user"]), "symbol": lost["symbol"], "seq": lost["seq"], "rejected": True, "reason": TOO_LATE}).reindex(columns=_RUNNING_COLUMNS)
+            moves = moves[~late]
         if len(moves):
-            self.waiting.appendList([tuple(r) for r in zip(*(moves[c] for c in _WAITING))])
-            for day in set(moves["at"]):
-                self.handle.registerTimer(int(day) + 1)
+            self.waiting.appendValue((_packed(moves[_WAITING]),))
+            self.handle.registerTimer(int(moves["at"].min(skipna=False)) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get() if self.waiting.exists() else [], key=lambda m: m[:2])
-        due = [m for m in waiting if m[0] < until]
-        if not due:
+        if not self.waiting.exists():
+            return
+        until, waiting = timerValues.getCurrentWatermarkInMs(), pd.concat([_unpacked(r[0]) for r in self.waiting.get()], ignore_index=True)
+        due = waiting["at"] < until
+        if not due.any():
             return
-        if len(due) < len(waiting):
-            self.waiting.put(waiting[len(due) :])
+        rest = waiting[~due]
+        if len(rest):
+            self.waiting.put([(_packed(rest),)])
+            self.handle.registerTimer(int(rest["at"].min()) + 1)
         else:
             self.waiting.clear()
-        at, last, sh, cost, realized, dividends, tax, fees, review = self.state.get() if self.state.exists() else (_NEVER, _NEVER, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, False)
-        out = []
-        for at, last, kind, q, p, amount, fee, withheld, ratio in due:
-            q, p, amount, fee, withheld, ratio = (x or 0.0 for x in (q, p, amount, fee, withheld, ratio))
+        held, out = self._positions(), []
+        for user, symbol, at, last, kind, q, p, amount, fee, withheld, ratio in zip(*(c.tolist() for _, c in waiting[due].sort_values(["at", "seq"], kind="stable")[_WAITING].items())):
+            _, _, sh, cost, realized, dividends, tax, fees, review = held.get((user, symbol), _NOTHING_HELD)
             if kind == "buy":
                 sh, cost, fees = sh + q, cost + (q * p + fee), fees + fee
             elif kind == "sell":
@@ -82,27 +115,30 @@ class _Positions(StatefulProcessor):
                 dividends, tax = dividends + amount, tax + withheld
             elif kind == "fee":
                 fees = fees + amount
-            out.append((key[0], key[1], last, False, None, 0.0 if sh < NOTHING else sh, cost / sh if sh > NOTHING else 0.0, realized, dividends, tax, fees, review))
-        self.state.update((at, last, sh, cost, realized, dividends, tax, fees, review))
-        yield pd.DataFrame(out, columns=_RUNNING_COLUMNS)
+            held[user, symbol] = (at, last, sh, cost, realized, dividends, tax, fees, review)
+            out.append((user, symbol, last, False, None, 0.0 if sh < NOTHING else sh, cost / sh if sh > NOTHING else 0.0, realized, dividends, tax, fees, review))
+        self.state.update((_packed(pd.DataFrame([k + p for k, p in held.items()], columns=_POSITION)),))
+        found = pd.DataFrame(out, columns=_RUNNING_COLUMNS)
+        yield found.assign(user_id=_whole(found["user_id"]))
 
     def close(self) -> None:
         pass
 
 
-def running_positions(moves: DataFrame, delay: str = "7 days") -> DataFrame:
+def running_positions(moves: DataFrame, delay: str = "7 days", buckets: int = 1024) -> DataFrame:
     """After each move (a stream of ledger rows) its position, once no move before it can come any more.
 
     Moves wait until the latest date seen is ``delay`` past theirs, so those that come out of order by less are folded in
     order. One that comes still later is folded too if it follows all that its position holds; else it is ``rejected``,
     with a reason, and changes nothing. The row with the greatest date and seq of a user and symbol is the position of the
-    batch form without the rejected moves.
+    batch form without the rejected moves. A bucket of users and symbols is in one task's memory; ``buckets`` of them share
+    the state, and a checkpoint goes on with as many as it began with.
     """
     day = F.col("date").cast("date")
     moves = moves.withColumn("_time", day.cast("timestamp")).withWatermark("_time", delay)
     # A copy without the watermark's mark: Spark would drop late rows unseen where the marked column goes on.
-    moves = moves.select(F.col("user_id").cast("long"), "symbol", (F.unix_date(day).cast("long") * 86_400_000).alias("at"), F.col("seq").cast("long"), "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
-    return moves.groupBy("user_id", "symbol").transformWithStateInPandas(_Positions(), RUNNING, "append", "EventTime")
+    moves = moves.select(F.pmod(F.xxhash64(F.col("user_id").cast("long"), "symbol"), F.lit(buckets)).cast("int").alias("bucket"), F.col("user_id").cast("long").cast("string").alias("user"), "symbol", (F.unix_date(day).cast("long") * 86_400_000).alias("at"), F.col("seq").cast("long"), "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
+    return moves.groupBy("bucket").transformWithStateInPandas(_Positions(), RUNNING, "append", "EventTime")
 
 
 class _Movers(StatefulProcessor):

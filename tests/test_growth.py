@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from cofferlake.operators import statements as S
 from cofferlake.plans import imports
+from cofferlake.plans.streams import as_stream
 from cofferlake.plans.views import Views
 from cofferlake.sources.shared import file_system, scratch_path
 from cofferlake.sources.statements import bundled_lines
+from cofferlake.streaming import jobs as J
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -35,3 +37,37 @@ def test_bundles_are_read_by_several_tasks(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == sorted((f"s{i // 3_000}", i % 3_000 + 1, f"line\t{i}") for i in range(20_000))
+
+
+def test_statements_read_the_ledger_once(spark):
+    """Headers come with the first line of a file: one scan of the trades for all kinds of statement."""
+    plan = imports.statements(Views(spark, SF_DIR))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_numbers_are_worked_out_once(spark):
+    """Each parsed column is in the plan for itself, and a report needs its events once."""
+    rows = spark.createDataFrame([("1", "2")], "a string, b string")
+    out = S.evaluated(rows, **S._numbers("a", "b"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("[^0-9.,()") == 2 and out.first().n_b == 2.0
+    events = spark.range(40).select(F.lit("f").alias("file"), F.lit("trade").alias("kind"), F.col("id").alias("line_no"), F.lit("x").alias("identifier"))
+    small = S.import_report(events, sample=5, rows=7)
+    assert small._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    row = small.first()
+    assert row.n == 40 and [x.line_no for x in row["first"]] == [0, 1, 2, 3, 4]
+
+
+def test_users_share_buckets_of_state(spark):
+    """Positions of all users are the same with few buckets of state as one by one, null users and large ids included."""
+    J.with_rocksdb(spark)
+    user = F.when(F.col("id") % 41 > 0, (F.lit(1 << 60) + F.col("id") % 41).cast("long"))
+    moves = spark.range(400).select(user.alias("user_id"), (F.col("id") % 3).cast("string").alias("symbol"), F.expr("date_add(DATE '2024-01-01', cast(id % 90 as int))").alias("date"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 4 == 0, "sell").otherwise("buy").alias("type"), F.col("id").cast("double").alias("shares"), F.lit(2.0).alias("price"), F.lit(1.0).alias("total_amount"), F.lit(0.5).alias("fee"), F.lit(None).cast("double").alias("tax"), F.lit(None).cast("double").alias("ratio"))
+    end = moves.limit(1).withColumn("user_id", F.lit(-1).cast("long")).withColumn("date", F.lit("2100-01-01").cast("date"))
+    rows = moves.withColumn("part", F.lit(0)).unionByName(end.withColumn("part", F.lit(1)))
+    out = spark.read.schema(J.RUNNING).parquet(J.finished(J.running_positions(as_stream(rows, "shared", ["part = 0", "part = 1"]).drop("part"), buckets=2), "shared-out")).where("user_id is null or user_id >= 0")
+    found = {(r.user_id, r.symbol): r for r in sorted(out.collect(), key=lambda r: r.shares is None) if not r.rejected}
+    assert out.count() == 400 and found.keys() == {(r.user_id, r.symbol) for r in moves.select("user_id", "symbol").distinct().collect()}
+    last = out.groupBy("user_id", "symbol").agg(F.sum("fees_paid").alias("x"), F.max("fees_paid").alias("fees")).collect()
+    wanted = {(r.user_id, r.symbol): r.n * 0.5 for r in moves.groupBy("user_id", "symbol").agg(F.count("*").alias("n")).collect()}
+    assert {(r.user_id, r.symbol): r.fees for r in last} == wanted
