@@ -71,3 +71,26 @@ def test_users_share_buckets_of_state(spark):
     last = out.groupBy("user_id", "symbol").agg(F.sum("fees_paid").alias("x"), F.max("fees_paid").alias("fees")).collect()
     wanted = {(r.user_id, r.symbol): r.n * 0.5 for r in moves.groupBy("user_id", "symbol").agg(F.count("*").alias("n")).collect()}
     assert {(r.user_id, r.symbol): r.fees for r in last} == wanted
+
+
+def test_statements_meet_their_headers_once(spark):
+    """The parsers of all brokers read what one join left, not the files once each."""
+    files = spark.range(60).select(F.lit("app").alias("file"), (F.col("id") + 1).alias("line_no"), F.when(F.col("id") == 0, "Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency").otherwise('2024-01-02,A,BUY - MARKET,2,"$1,000.50","$2,001.00",USD').alias("line"))
+    out = S.parse_statements(files)
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.broker, r.kind, r.date, r.price) for r in out.collect()} == {("revolut", "trade", "2024-01-02", 1000.5)} and out.count() == 59
+
+
+def test_number_patterns_stay_in_latin(spark):
+    """A class with a character beyond Latin-1 takes Java ten times as long for every number; the sign still counts."""
+    rows = spark.createDataFrame([(x,) for x in ("−1.234,5", "(12)", "1,234", "1,23", "", None, "$1,234.50", "1.234.567", "-")], "x string")
+    out = rows.select(S.parse_number_broker(F.col("x")).alias("n"))
+    assert "−]" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.n for r in out.collect()] == [-1234.5, -12.0, 1234.0, 1.23, None, None, 1234.5, 1234567.0, None]
+
+
+def test_cells_without_odd_quotes_need_no_pattern(spark):
+    """Quoted separators, blanks inside and around quotes, doubled and open quotes."""
+    lines = {'a," b, c ",d': ["a", "b, c", "d"], 'x""y,"p""q",': ["xy", 'p"q', ""], '"open,1': ["open,1"], " a ,b c,": ["a", "b c", ""], 'p"q,r"s,t': ["pq,rs", "t"], "": [""], " a,b": ["a", "b"]}
+    rows = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert [r.c for r in rows.select(S.split_csv(F.col("x"), F.lit(",")).alias("c")).collect()] == list(lines.values())
