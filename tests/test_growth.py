@@ -94,3 +94,11 @@ def test_cells_without_odd_quotes_need_no_pattern(spark):
     lines = {'a," b, c ",d': ["a", "b, c", "d"], 'x""y,"p""q",': ["xy", 'p"q', ""], '"open,1': ["open,1"], " a ,b c,": ["a", "b c", ""], 'p"q,r"s,t': ["pq,rs", "t"], "": [""], " a,b": ["a", "b"]}
     rows = spark.createDataFrame([(x,) for x in lines], "x string")
     assert [r.c for r in rows.select(S.split_csv(F.col("x"), F.lit(",")).alias("c")).collect()] == list(lines.values())
+
+
+def test_lines_are_worked_out_once(spark):
+    """Lines of one kind of statement do not go back to the ledger for their headers and again for what is below."""
+    v = Views(spark, SF_DIR)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for lines in (imports.transaction_lines(v), imports.app_lines(v), imports.account_lines(v)):
+        assert "l_extendedprice" not in plan(lines) and lines.count() > 0
