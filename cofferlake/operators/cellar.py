@@ -207,14 +207,25 @@ def cellar_history(snapshots: DataFrame, chart: int = 20, log: int = 10) -> Data
 
 
 def existing_holdings(wanted: DataFrame, cellar: DataFrame) -> DataFrame:
-    """Lots of the same wine, case aside and null equal to null; names that miss are tried normalised."""
-    low = lambda c: F.lower(F.trim(c))
-    a = wanted.select("user_id", "want_id", low("name").alias("n"), normalize_name(F.col("name")).alias("m"), low("winery").alias("w"), "vintage")
-    b = cellar.select(F.col("user_id").alias("u"), "id", low("name").alias("bn"), normalize_name(F.col("name")).alias("bm"), low("winery").alias("bw"), F.col("vintage").alias("bv"))
-    rest = lambda left, right: (F.col("user_id") == F.col("u")) & (F.col(left) == F.col(right)) & F.col("w").eqNullSafe(F.col("bw")) & F.col("vintage").eqNullSafe(F.col("bv"))
-    exact = a.join(b, rest("n", "bn")).select("want_id", "id", F.lit("exact").alias("how"))
-    missed = a.join(exact.select("want_id").distinct(), "want_id", "left_anti")
-    return exact.unionByName(missed.join(b, rest("m", "bm")).select("want_id", "id", F.lit("normalised").alias("how")))
+    """Lots of the same wine, case aside and null equal to null; names that miss are tried normalised.
+
+    Names that are equal but for case are equal when normalised too, so one join finds both. It carries a name's own
+    spelling only where normalising changed it.
+    """
+
+    def keyed(df: DataFrame, label: str, ident: str) -> DataFrame:
+        rows = df.select("user_id", F.col(ident).alias(label), F.lower(F.trim("name")).alias("n"), F.lower(F.trim("winery")).alias("w"), F.col("vintage").alias("v"))
+        rows = rows.withColumn("m", normalize_name(F.col("n")))
+        return rows.withColumn("n", F.nullif("n", "m"))
+
+    a, b = keyed(wanted, "want_id", "want_id").alias("a"), keyed(cellar, "id", "id").alias("b")
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("user_id", "m")] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("w", "v")]
+    # Made by inline, ``same`` stays behind the join: both readings below have one plan up to here, whose shuffles are reused.
+    same = F.coalesce("a.n", "a.m") == F.coalesce("b.n", "b.m")
+    met = a.join(b, reduce(lambda x, y: x & y, on)).select(F.inline(F.array(F.struct("want_id", "id", same.alias("same")))))
+    exact, near = met.where("same").drop("same"), met.where("not same").drop("same")
+    missed = near.join(exact.select("want_id").distinct(), "want_id", "left_anti")
+    return exact.withColumn("how", F.lit("exact")).unionByName(missed.withColumn("how", F.lit("normalised")))
 
 
 _CATALOGUE = ("name", "winery", "vintage", "region", "appellation", "varietal", "country", "alcohol", "type", "drink_window")
