@@ -161,9 +161,11 @@ def search_assets(assets: DataFrame, query: str, most: int = 8) -> DataFrame:
 def name_postings(assets: DataFrame, most: int = 3) -> DataFrame:
     """(gram, ticker): the distinct strings of 1 to ``most`` characters in each asset's ticker and name, in lower case."""
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
-    texts = assets.where("ticker is not null").select("ticker", F.explode(F.array(F.lower("ticker"), F.lower("name"))).alias("t")).where("t <> ''")
-    rows = texts.select("ticker", F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("t"), n) for n in range(1, most + 1)])))).alias("gram"))
-    return rows.distinct()
+    # Names are brought together by ticker, not their strings, of which a name has a hundred.
+    named = assets.where("ticker is not null").groupBy("ticker").agg(F.collect_set(F.lower("name")).alias("names"))
+    texts = F.filter(F.concat(F.array(F.lower("ticker")), F.col("names")), lambda t: t != "")
+    found = F.transform(texts, lambda t: F.flatten(F.array(*[grams(t, n) for n in range(1, most + 1)])))
+    return named.select("ticker", F.explode(F.array_distinct(F.flatten(found))).alias("gram"))
 
 
 def search_many(assets: DataFrame, postings: DataFrame, queries: DataFrame, most: int = 8, longest: int = 3) -> DataFrame:
@@ -178,11 +180,15 @@ def search_many(assets: DataFrame, postings: DataFrame, queries: DataFrame, most
     counts = postings.groupBy("gram").agg(F.count("*").alias("_n"))
     # A part that no asset holds settles a query: its count is missing and comes first.
     rarest = parts.join(counts, "gram", "left").groupBy("query", "_q").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "gram")).alias("r")).where("r._n > 0").select("query", "_q", F.col("r.gram").alias("gram"))
-    found = rarest.join(postings, "gram").select("query", "_q", "ticker").join(assets.select("ticker", "name"), "ticker")
+    found = rarest.join(postings, "gram").select("query", "_q", "ticker")
     ticker = F.lower("ticker")
-    hits = found.where(F.contains(ticker, F.col("_q")) | F.coalesce(F.contains(F.lower("name"), F.col("_q")), F.lit(False)))
     place = F.when(ticker == F.col("_q"), 0).when(F.startswith(ticker, F.col("_q")), 1).otherwise(2)
-    ranked = hits.select("query", "ticker", F.row_number().over(Window.partitionBy("query").orderBy(place, "ticker")).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(place, "ticker"))
+    # What a short query finds holds it, so only the first of these are compared.
+    short = F.length("_q") <= longest
+    found = found.where(short).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank").unionByName(found.where(~short))
+    hits = found.join(assets.select("ticker", "name"), "ticker").where(F.contains(ticker, F.col("_q")) | F.coalesce(F.contains(F.lower("name"), F.col("_q")), F.lit(False)))
+    ranked = hits.select("query", "ticker", rank.alias("rank"))
     return ranked.where(F.col("rank") <= most).select("query", "rank", "ticker")
 
 
