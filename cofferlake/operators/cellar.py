@@ -130,10 +130,13 @@ def _allowed(n: Column) -> Column:
     return F.greatest(F.lit(2), F.floor(n * 0.15).cast("int"))
 
 
+#: Characters that a name has or has not; the others do not count when names are told apart at a glance.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 '-.&,"
+
+
 def _letters(x: Column) -> Column:
-    """A set of 64 bits that holds the characters of a text by their codes."""
-    codes = F.transform(F.split(x, ""), lambda c: F.ascii(c) % 64)
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), c)))
+    """A set of bits that says which of ``LETTERS`` a text holds."""
+    return reduce(lambda bits, b: bits.bitwiseOR(b), [F.when(F.contains(x, F.lit(c)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(LETTERS)])
 
 
 def _shortened(x: Column, most: int = 2) -> Column:
@@ -167,19 +170,22 @@ def fuzzy_match_scans(scans: DataFrame, cellar: DataFrame, many: int = MANY_NAME
     Names of a user are compared one by one where the user's lots have at most ``many``, so a scan costs no more than that;
     the others are found by ``pairs_by_pieces``.
     """
-    a = scans.select("user_id", "scan_id", normalize_name(F.col("name")).alias("x")).where("x <> ''").withColumn("_x", _letters(F.col("x")))
+    a = scans.select("user_id", "scan_id", F.inline(F.array(F.struct(normalize_name(F.col("name")).alias("x"))))).where("x <> ''").withColumn("_x", _letters(F.col("x")))
     named = cellar.where("name <> ''").select("user_id", "name").distinct()
-    b = named.select("user_id", normalize_name(F.col("name")).alias("y")).withColumn("_y", _letters(F.col("y")))
+    b = named.select("user_id", F.inline(F.array(F.struct(normalize_name(F.col("name")).alias("y"))))).withColumn("_y", _letters(F.col("y")))
     busy = named.groupBy("user_id").agg(F.count("*").alias("_n")).where(F.col("_n") > many).select("user_id")
-    any_busy = not busy.isEmpty()
+    # Names are told apart for this only if some user has as many lots.
+    any_busy = not cellar.groupBy("user_id").agg(F.count("*").alias("_n")).where(F.col("_n") > many).isEmpty() and not busy.isEmpty()
     short = F.least(F.length("x"), F.length("y"))
-    # An edit takes one letter away and brings one in at most.
-    close = (F.abs(F.length("x") - F.length("y")) <= _allowed(short)) & (F.col("x") != F.col("y"))
-    similar = [F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q)))) <= _allowed(short) for p, q in (("_x", "_y"), ("_y", "_x"))]
-    pairs = a.join(b.join(busy, "user_id", "left_anti") if any_busy else b, "user_id").where(close & similar[0] & similar[1]).select("user_id", "scan_id", "x", "y")
+    # An edit takes one letter away and brings one in at most. Each pair is looked at, so lengths come with the names.
+    allowed = _allowed(F.least("_xn", "_yn"))
+    similar = [F.bit_count(F.col(p).bitwiseAND(F.bitwise_not(F.col(q)))) <= allowed for p, q in (("_x", "_y"), ("_y", "_x"))]
+    a, b = a.withColumn("_xn", F.length("x")), b.withColumn("_yn", F.length("y"))
+    met = a.join(b.join(busy, "user_id", "left_anti") if any_busy else b, "user_id").where((F.abs(F.col("_xn") - F.col("_yn")) <= allowed) & similar[0] & similar[1] & (F.col("x") != F.col("y")))
+    pairs = met.select("user_id", "scan_id", "x", "y")
     if any_busy:
         searched = a.join(busy, "user_id", "left_semi")
-        found = pairs_by_pieces(searched, b.join(busy, "user_id", "left_semi").select("user_id", "y").distinct()).where(close)
+        found = pairs_by_pieces(searched, b.join(busy, "user_id", "left_semi").select("user_id", "y").distinct()).where((F.abs(F.length("x") - F.length("y")) <= _allowed(short)) & (F.col("x") != F.col("y")))
         pairs = pairs.unionByName(searched.join(found, ["user_id", "x"]).select("user_id", "scan_id", "x", "y"))
     near = pairs.withColumn("distance", F.levenshtein("x", "y")).where(F.col("distance") <= _allowed(short)).distinct()
     order = Window.partitionBy("user_id", "scan_id").orderBy("distance", "y")
