@@ -35,12 +35,19 @@ def cellar_totals(lots: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFr
 
 
 def group_by_dimension(lots: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """Bottles, value and share by every dimension at once: dimension, value, bottles, estimated, share."""
+    """Bottles, value and share by every dimension at once: dimension, value, bottles, estimated, share.
+
+    Rows are dealt by user and dimension and sorted there, which can go over disk; sums are read off the sorted rows, so that
+    no task keeps a table of its groups, of which there are nearly as many as rows.
+    """
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("Unknown")).alias("value")) for d in dimensions]))
-    rows = lot_gains(lots).select("user_id", "qty", "estimated", pairs.alias("d")).select("user_id", "qty", "estimated", "d.*")
-    sums = rows.groupBy("user_id", "dimension", "value").agg(F.sum(F.coalesce("qty", F.lit(0))).cast("long").alias("bottles"), exact_sum(F.col("estimated")).alias("estimated"))
+    rows = lot_gains(lots).select("user_id", F.coalesce("qty", F.lit(0)).alias("qty"), "estimated", pairs.alias("d")).select("user_id", "qty", "estimated", "d.*").repartition("user_id", "dimension")
+    group = Window.partitionBy("user_id", "dimension", "value").orderBy("value")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    estimated = F.coalesce(F.sum(F.col("estimated").cast("decimal(28,6)")).over(whole).cast("double"), F.lit(0.0))
+    sums = rows.select("user_id", "dimension", "value", F.sum("qty").over(whole).cast("long").alias("bottles"), estimated.alias("estimated"), F.row_number().over(group).alias("_n"))
     total = F.sum(F.col("estimated").cast("decimal(28,6)")).over(Window.partitionBy("user_id", "dimension")).cast("double")
-    return sums.withColumn("share", percent(F.col("estimated"), total))
+    return sums.where("_n = 1").drop("_n").withColumn("share", percent(F.col("estimated"), total))
 
 
 def validate_lots(lots: DataFrame, year: int) -> DataFrame:
