@@ -24,7 +24,7 @@ from cofferlake.sources.statements import numbered
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 RUNNING = "user_id long, symbol string, seq long, rejected boolean, reason string, shares double, avg_price double, realized_pnl double, dividends double, tax_withheld double, fees_paid double, needs_review boolean"
 _RUNNING_COLUMNS = [c.split()[0] for c in RUNNING.split(", ")]
-_AMOUNTS = ["shares", "price", "total_amount", "fee", "tax", "ratio"]
+_AMOUNTS = ["shares", "cash", "charge", "ratio"]
 _ORDER = ["user", "symbol", "at", "seq"]
 _WAITING = [*_ORDER, "type", *_AMOUNTS]
 _POSITION = [*_ORDER, "sh", "cost", "realized", "dividends", "tax", "fees", "review"]
@@ -43,22 +43,30 @@ def _whole(users: pd.Series) -> pd.Series:
 
 
 def _packed(rows: pd.DataFrame) -> bytes:
-    """Rows as one Arrow stream, the value of a state variable."""
-    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as stream:
-        stream.write_batch(batch)
+    """Rows as one compressed Arrow stream, the value of a state variable; strings are written once each."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    for i, field in enumerate(table.schema):
+        if pa.types.is_string(field.type):
+            table = table.set_column(i, field.name, table[i].dictionary_encode())
+    with pa.CompressedOutputStream(sink, "zstd") as out, pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table, max_chunksize=16_000)  # equal columns of a chunk lie near enough to be found equal
     return sink.getvalue().to_pybytes()
 
 
 def _unpacked(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_pandas()
+    table = pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(data), "zstd")).read_all()
+    for i, field in enumerate(table.schema):
+        if pa.types.is_dictionary(field.type):
+            table = table.set_column(i, field.name, table[i].cast(field.type.value_type))
+    return table.to_pandas()
 
 
 class _Positions(StatefulProcessor):
     """Average-cost positions of a bucket of users and symbols; the rules are those of ``positions_from_ledger``.
 
-    Moves wait in state until the watermark has passed them and are folded then, in order of date and seq. What a bucket
-    holds is read and written at once, as a call to the state store for each user and symbol costs far more than its fold.
+    Moves wait in state until the watermark has passed them and are folded then, user by user and symbol by symbol (which
+    keeps the files of the output small), in order of date and seq. What a bucket holds is read and written at once, as a
+    call to the state store for each user and symbol costs far more than its fold.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,7 +82,6 @@ class _Positions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         moves, held = pd.concat(list(rows), ignore_index=True), self._positions()
-        moves = moves.assign(**{c: moves[c].astype(float).fillna(0.0) for c in _AMOUNTS})
         if held:
             late = [(at, seq) <= held.get((user, symbol), (_NEVER, _NEVER))[:2] for user, symbol, at, seq in zip(*(moves[c].tolist() for c in _ORDER))]
             late = pd.Series(late, dtype=bool)
@@ -100,21 +107,21 @@ class _Positions(StatefulProcessor):
         else:
             self.waiting.clear()
         held, out = self._positions(), []
-        for user, symbol, at, last, kind, q, p, amount, fee, withheld, ratio in zip(*(c.tolist() for _, c in waiting[due].sort_values(["at", "seq"], kind="stable")[_WAITING].items())):
+        for user, symbol, at, last, kind, q, cash, charge, ratio in zip(*(c.tolist() for _, c in waiting[due].sort_values(_ORDER, kind="stable")[_WAITING].items())):
             _, _, sh, cost, realized, dividends, tax, fees, review = held.get((user, symbol), _NOTHING_HELD)
             if kind == "buy":
-                sh, cost, fees = sh + q, cost + (q * p + fee), fees + fee
+                sh, cost, fees = sh + q, cost + cash, fees + charge
             elif kind == "sell":
                 avg = cost / sh if sh > 0 else 0.0
-                realized, fees, left = realized + ((p * q - fee) - avg * q), fees + fee, sh - q
+                realized, fees, left = realized + (cash - avg * q), fees + charge, sh - q
                 review = review or left < -NOTHING
                 sh, cost = (0.0, 0.0) if left < NOTHING else (left, cost - avg * q)
             elif kind in ("split", "isin_change"):
                 sh = sh * ratio if 0 < ratio <= LARGEST_RATIO else sh + q
             elif kind == "dividend":
-                dividends, tax = dividends + amount, tax + withheld
+                dividends, tax = dividends + cash, tax + charge
             elif kind == "fee":
-                fees = fees + amount
+                fees = fees + cash
             held[user, symbol] = (at, last, sh, cost, realized, dividends, tax, fees, review)
             out.append((user, symbol, last, False, None, 0.0 if sh < NOTHING else sh, cost / sh if sh > NOTHING else 0.0, realized, dividends, tax, fees, review))
         self.state.update((_packed(pd.DataFrame([k + p for k, p in held.items()], columns=_POSITION)),))
@@ -136,8 +143,18 @@ def running_positions(moves: DataFrame, delay: str = "7 days", buckets: int = 10
     """
     day = F.col("date").cast("date")
     moves = moves.withColumn("_time", day.cast("timestamp")).withWatermark("_time", delay)
+    q, p, amount, fee, tax, ratio = (F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in ("shares", "price", "total_amount", "fee", "tax", "ratio"))
+    # What a move of its type does, and nothing else, as each number is shuffled and waits in state.
+    trade, none = F.col("type").isin("buy", "sell"), F.lit(0.0)
+    split = F.col("type").isin("split", "isin_change")
+    cash = F.when(F.col("type") == "buy", q * p + fee).when(F.col("type") == "sell", p * q - fee).when(F.col("type").isin("dividend", "fee"), amount).otherwise(none)
+    charge = F.when(trade, fee).when(F.col("type") == "dividend", tax).otherwise(none)
     # A copy without the watermark's mark: Spark would drop late rows unseen where the marked column goes on.
-    moves = moves.select(F.pmod(F.xxhash64(F.col("user_id").cast("long"), "symbol"), F.lit(buckets)).cast("int").alias("bucket"), F.col("user_id").cast("long").cast("string").alias("user"), "symbol", (F.unix_date(day).cast("long") * 86_400_000).alias("at"), F.col("seq").cast("long"), "type", "shares", "price", "total_amount", "fee", "tax", "ratio")
+    moves = moves.select(
+        F.pmod(F.xxhash64(F.col("user_id").cast("long"), "symbol"), F.lit(buckets)).cast("int").alias("bucket"), F.col("user_id").cast("long").cast("string").alias("user"), "symbol",
+        (F.unix_date(day).cast("long") * 86_400_000).alias("at"), F.col("seq").cast("long"), "type",
+        F.when(trade | split, q).otherwise(none).alias("shares"), cash.alias("cash"), charge.alias("charge"), F.when(split, ratio).otherwise(none).alias("ratio"),
+    )
     return moves.groupBy("bucket").transformWithStateInPandas(_Positions(), RUNNING, "append", "EventTime")
 
 
@@ -251,7 +268,7 @@ def finished(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None
     With a ``checkpoint`` and ``path`` of an earlier run it goes on where that one ended.
     """
     spark = stream.sparkSession
-    writer = stream.writeStream.option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
+    writer = stream.writeStream.option("compression", "zstd").option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-checkpoint")).trigger(availableNow=True)
     if each is not None:
         query = writer.foreachBatch(each).start()
     else:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
@@ -84,6 +85,58 @@ def test_users_share_buckets_of_state(spark):
     assert {(r.user_id, r.symbol): r.fees for r in last} == wanted
 
 
+def _shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i) for i in range(files.size())]
+    return {f.getName() for f in names if f.getName().startswith("shuffle_")}
+
+
+def test_a_stream_lands_in_one_pass(spark):
+    """Parts come from one pass and leave nothing that was shuffled; no part loses or gains rows."""
+    seen, before = spark.sparkContext.accumulator(0), _shuffled(spark)
+    counted = F.udf(lambda x: seen.add(1) or x, "long").asNondeterministic()
+    rows = spark.range(3_000).repartition(4, "id").withColumn("x", counted("id"))
+    parts = ["id < 2000", "id < 0", F.when(F.col("id") % 2 == 0, F.col("id") >= 1900)]
+    out = scratch_path(spark, "landed")
+    J.finished(as_stream(rows, "pass", parts), "landed", lambda batch, number: batch.withColumn("number", F.lit(number)).write.mode("append").parquet(out))
+    assert seen.value == 3_000
+    found = {n: sorted(r.x for r in spark.read.parquet(out).where(f"number = {n}").collect()) for n in range(3)}
+    assert found == {0: list(range(2_000)), 1: [], 2: list(range(1_900, 3_000, 2))}
+    until = time.monotonic() + 30
+    while _shuffled(spark) - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not _shuffled(spark) - before
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_moves_wait_in_little_room(spark):
+    """The state's files take some twenty bytes for each move that waits, and what is not a number counts as none."""
+    J.with_rocksdb(spark)
+    number = lambda seed: F.round(F.rand(seed) * 90_000 + 900, 2)
+    moves = spark.range(20_000).select((F.col("id") % 997).alias("user_id"), F.concat(F.lit("STANDARD POLISHED "), F.col("id") % 9).alias("symbol"), F.expr("date_add(DATE '2024-01-01', cast(id % 5 as int))").alias("date"), F.col("id").alias("seq"),
+        F.when(F.col("id") % 4 == 0, "dividend").otherwise("buy").alias("type"), (F.col("id") % 50 + 1.0).alias("shares"), (number(1) / (F.col("id") % 50 + 1)).alias("price"), number(1).alias("total_amount"),
+        F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(number(2) * 0.07).alias("fee"), (number(2) * 0.07).alias("tax"), F.lit(None).cast("double").alias("ratio"))
+    moves, path, checkpoint, out = stored(moves, "waiting-moves"), scratch_path(spark, "waiting"), scratch_path(spark, "waiting-checkpoint"), scratch_path(spark, "waiting-out")
+    moves.write.parquet(path)
+    run = lambda: J.finished(J.running_positions(spark.readStream.schema(moves.schema).parquet(path), buckets=4), "waiting", checkpoint=checkpoint, path=out)
+    run()
+    store, jpath = file_system(spark, checkpoint)
+    files = store.listFiles(jpath, True)
+    sizes = []
+    while files.hasNext():
+        f = files.next()
+        sizes += [f.getLen()] if f.getPath().getName().endswith(".sst") else []
+    assert 0 < sum(sizes) < 36 * 20_000
+    moves.limit(1).withColumn("user_id", F.lit(-1).cast("long")).withColumn("date", F.lit("2100-01-01").cast("date")).write.mode("append").parquet(path)
+    run()
+    sums = ("fees_paid", "dividends", "tax_withheld", "shares")  # none falls, as nothing is sold
+    found = spark.read.schema(J.RUNNING).parquet(out).where("user_id >= 0").groupBy("user_id", "symbol").agg(*[F.max(c).alias(c) for c in sums])
+    of = lambda kind, c: F.sum(F.when(F.col("type") == kind, F.nanvl(c, F.lit(0.0))).otherwise(0.0))
+    wanted = moves.groupBy("user_id", "symbol").agg(*[of(k, F.col(c)).alias(f"w_{s}") for s, k, c in zip(sums, ("buy", "dividend", "dividend", "buy"), ("fee", "total_amount", "tax", "shares"))])
+    joined = found.join(wanted, ["user_id", "symbol"], "full").collect()
+    assert len(joined) == 997 * 9 and all(math.isclose(r[c], r[f"w_{c}"], abs_tol=1e-6) for r in joined for c in sums)
+
+
 def test_statements_meet_their_headers_once(spark):
     """The parsers of all brokers read what one join left, not the files once each."""
     files = spark.range(60).select(F.lit("app").alias("file"), (F.col("id") + 1).alias("line_no"), F.when(F.col("id") == 0, "Date,Ticker,Type,Quantity,Price per share,Total Amount,Currency").otherwise('2024-01-02,A,BUY - MARKET,2,"$1,000.50","$2,001.00",USD').alias("line"))
